@@ -3,6 +3,8 @@
 A page is one row, so chunking is a map: no shuffle, no Python worker, and pages of one
 book spread over all executors.  Only greedy packing is sequential; it is a fold over
 the page's own pieces that carries the open chunk and the finished ones.
+
+Expressions are written as Spark SQL.  ``x`` below is a column name or any SQL expression.
 """
 
 from __future__ import annotations
@@ -13,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
-from folioforge.functions.charclass import is_blank, let, record, strip
+from folioforge.functions.charclass import WS_CHARS, is_blank
 from folioforge.functions.structure import chunk_id
 
-_TEXTS = "array<string>"
-
 
 @dataclass(frozen=True)
 class ChunkSettings:
@@ -32,280 +32,248 @@ class ChunkSettings:
             )
 
 
-def _none() -> Column:
-    return F.array().cast(_TEXTS)
+# --- SQL building blocks ----------------------------------------------------------
 
+_NONE = "cast(array() AS array<string>)"
 
-def _non_empty(parts: Column) -> Column:
-    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
+def _regex(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
 
-# --- headings ---------------------------------------------------------------------
 
+def _strip(x: str) -> str:
+    return f"btrim({x}, '{WS_CHARS}')"
 
-def strip_headings(text: Column) -> Column:
-    """Struct ``<body, headings, section>``.
 
-    Leading page numbers are dropped and chapter or section lines moved to ``headings``;
-    the first line that is neither ends the scan.
-    """
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` evaluated once and bound to ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def scan(lines: Column) -> Column:
-        top = F.slice(
-            F.filter(
-                F.transform(
-                    lines, lambda line, i: F.struct(i.alias("i"), strip(line).alias("s"))
-                ),
-                lambda x: x["s"] != "",
-            ),
-            1,
-            fv.HEADING_SCAN_LINES,
-        )
 
-        more, stop = F.lit(True), F.lit(False)
-
-        def step(acc: Column, x: Column) -> Column:
-            number = x["s"].rlike(fv.PAGE_NUMBER_LINE)
-            heading = x["s"].rlike(fv.CHAPTER_LINE) | x["s"].rlike(fv.SECTION_HEADING_LINE)
-            heads = F.concat(acc["heads"], F.array(x["s"]))
-            return (
-                F.when(~acc["open"], acc)
-                .when(number, record(start=x["i"] + 1, heads=acc["heads"], open=more))
-                .when(heading, record(start=x["i"] + 1, heads=heads, open=more))
-                .otherwise(record(start=acc["start"], heads=acc["heads"], open=stop))
-            )
+def _non_empty(parts: str) -> str:
+    return f"filter(transform({parts}, part -> {_strip('part')}), part -> part <> '')"
 
-        start = record(start=F.lit(0), heads=_none(), open=more)
 
-        def result(acc: Column) -> Column:
-            body = F.when(acc["start"] == 0, text).otherwise(
-                F.array_join(F.slice(lines, acc["start"] + 1, F.size(lines)), "\n")
-            )
-            return F.struct(
-                strip(body).alias("body"),
-                acc["heads"].alias("headings"),
-                F.coalesce(F.try_element_at(acc["heads"], F.lit(1)), F.lit("")).alias("section"),
-            )
+# --- headings ---------------------------------------------------------------------
 
-        return F.aggregate(top, start, step, result)
 
-    return let(F.split(text, "\n", -1), scan)
+def strip_headings(x: str) -> Column:
+    """Struct ``<body, headings, section>``.
 
+    Leading page numbers are dropped and chapter or section lines moved to ``headings``;
+    the first line that is neither ends the scan.
+    """
+    top = f"""slice(
+        filter(
+            transform(lines, (l, i) -> named_struct('i', i, 's', {_strip('l')})),
+            line -> line.s <> ''),
+        1, {fv.HEADING_SCAN_LINES})"""
+    heading = " OR ".join(
+        f"line.s RLIKE {_regex(p)}" for p in (fv.CHAPTER_LINE, fv.SECTION_HEADING_LINE)
+    )
+    body = f"""CASE WHEN acc.next = 0 THEN {x}
+        ELSE array_join(slice(lines, acc.next + 1, size(lines)), chr(10)) END"""
+    scan = f"""aggregate(
+        {top},
+        named_struct('next', 0, 'heads', {_NONE}, 'more', true),
+        (acc, line) -> CASE
+            WHEN NOT acc.more THEN acc
+            WHEN line.s RLIKE {_regex(fv.PAGE_NUMBER_LINE)}
+            THEN named_struct('next', line.i + 1, 'heads', acc.heads, 'more', true)
+            WHEN {heading}
+            THEN named_struct('next', line.i + 1, 'heads', concat(acc.heads, array(line.s)),
+                              'more', true)
+            ELSE named_struct('next', acc.next, 'heads', acc.heads, 'more', false) END,
+        acc -> named_struct(
+            'body', {_strip(body)},
+            'headings', acc.heads,
+            'section', coalesce(try_element_at(acc.heads, 1), '')))"""
+    return F.expr(_let("lines", f"split({x}, '\n', -1)", scan))
 
-# --- splitting --------------------------------------------------------------------
 
+# --- splitting --------------------------------------------------------------------
 
-def split_paragraphs(text: Column) -> Column:
-    return _non_empty(F.split(text, fv.PARAGRAPH_BREAK, -1))
 
+def _paragraphs(x: str) -> str:
+    return _non_empty(f"split({x}, {_regex(fv.PARAGRAPH_BREAK)}, -1)")
 
-def split_sentences(text: Column) -> Column:
-    one_line = F.regexp_replace(text, "\n+", " ")
-    return _non_empty(F.split(one_line, fv.SENTENCE_BREAK, -1))
 
+def _sentences(x: str) -> str:
+    return _non_empty(f"split(regexp_replace({x}, '\n+', ' '), {_regex(fv.SENTENCE_BREAK)}, -1)")
 
-def char_windows(text: Column, cfg: ChunkSettings = ChunkSettings()) -> Column:
-    """Overlapping character windows, stripped, short ones dropped.
 
-    The text is cut into steps once and a window is put together from the steps it
-    covers, so long texts are not searched from their start for every window.
-    """
+def _windows(x: str, cfg: ChunkSettings) -> str:
     step = cfg.chunk_size - cfg.overlap
     span = -(-cfg.chunk_size // step)
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
-    windows = let(
-        blocks,
-        lambda b: F.transform(
-            b,
-            lambda _, i: strip(
-                F.substring(F.array_join(F.slice(b, i + 1, F.lit(span)), ""), 1, cfg.chunk_size)
-            ),
-        ),
-    )
-    return F.filter(windows, lambda w: F.length(w) >= cfg.min_chunk_size)
+    steps = f"regexp_extract_all({x}, r'(?s).{{1,{step}}}', 0)"
+    window = f"substring(array_join(slice(steps, i + 1, {span}), ''), 1, {cfg.chunk_size})"
+    windows = _let("steps", steps, f"transform(steps, (b, i) -> {_strip(window)})")
+    return f"filter({windows}, w -> length(w) >= {cfg.min_chunk_size})"
 
 
-def _overlap(pieces: Column, sep: str, limit: int) -> Column:
+def _tail(pieces: str, sep: str, limit: int) -> str:
     """Trailing text of a finished chunk that seeds the next one."""
-    more, stop = F.lit(True), F.lit(False)
-
-    def step(acc: Column, p: Column) -> Column:
-        n = F.length(p)
-        room = F.lit(limit) - acc["size"]
-        tail = F.concat(F.array(F.right(p, room)), acc["kept"])
-        whole = F.concat(F.array(p), acc["kept"])
-        return (
-            F.when(~acc["open"], acc)
-            .when(n <= room, record(kept=whole, size=acc["size"] + n, open=more))
-            .when(room > 0, record(kept=tail, size=acc["size"], open=stop))
-            .otherwise(record(kept=acc["kept"], size=acc["size"], open=stop))
-        )
-
-    return F.aggregate(
-        F.reverse(pieces),
-        record(kept=_none(), size=F.lit(0), open=more),
-        step,
-        lambda acc: strip(F.array_join(acc["kept"], sep)),
+    return f"""aggregate(
+        reverse({pieces}),
+        named_struct('kept', {_NONE}, 'room', {limit}, 'more', true),
+        (t, q) -> CASE
+            WHEN NOT t.more THEN t
+            WHEN length(q) <= t.room
+            THEN named_struct('kept', concat(array(q), t.kept), 'room', t.room - length(q),
+                              'more', true)
+            WHEN t.room > 0
+            THEN named_struct('kept', concat(array(right(q, t.room)), t.kept), 'room', 0,
+                              'more', false)
+            ELSE named_struct('kept', t.kept, 'room', 0, 'more', false) END,
+        t -> {_strip(f"array_join(t.kept, '{sep}')")})"""
+
+
+def _pack(texts: str, split: str, sep: str, cfg: ChunkSettings) -> str:
+    """Greedy packing; ``split`` turns an oversized ``piece`` into its own chunks."""
+    pieces = f"""transform({texts}, piece -> named_struct(
+        'text', piece, 'size', length(piece),
+        'split', CASE WHEN length(piece) > {cfg.chunk_size} THEN {split} END))"""
+    flushed = f"""CASE WHEN size(acc.open) > 0
+        THEN concat(acc.done, array(array_join(acc.open, '{sep}'))) ELSE acc.done END"""
+    reseeded = f"""named_struct(
+        'done', {flushed},
+        'open', CASE WHEN seed = '' THEN array(p.text) ELSE array(seed, p.text) END,
+        'size', length(seed) + p.size)"""
+    return f"""aggregate(
+        {pieces},
+        named_struct('done', {_NONE}, 'open', {_NONE}, 'size', 0),
+        (acc, p) -> CASE
+            WHEN p.split IS NOT NULL
+            THEN named_struct('done', concat({flushed}, p.split), 'open', {_NONE}, 'size', 0)
+            WHEN acc.size + p.size > {cfg.chunk_size} AND size(acc.open) > 0
+            THEN {_let('seed', _tail('acc.open', sep, cfg.overlap), reseeded)}
+            ELSE named_struct('done', acc.done, 'open', concat(acc.open, array(p.text)),
+                              'size', acc.size + p.size) END,
+        acc -> {flushed})"""
+
+
+def _packed_sentences(sentences: str, cfg: ChunkSettings) -> str:
+    return _pack(sentences, _windows("piece", cfg), " ", cfg)
+
+
+def _packed_paragraphs(paragraphs: str, cfg: ChunkSettings) -> str:
+    """A paragraph over the target is packed by sentences, or cut into windows."""
+    resplit = f"""flatten(transform({_packed_sentences('sents', cfg)}, c -> CASE
+        WHEN length(c) > {2 * cfg.chunk_size} THEN {_windows('c', cfg)} ELSE array(c) END))"""
+    choice = f"CASE WHEN size(sents) <= 1 THEN {_windows('piece', cfg)} ELSE {resplit} END"
+    return _pack(paragraphs, _let("sents", _sentences("piece"), choice), "\n\n", cfg)
+
+
+def _chunk_texts(x: str, cfg: ChunkSettings) -> str:
+    def fits(chunks: str) -> str:
+        longest = f"array_max(transform({chunks}, c -> length(c)))"
+        return f"size({chunks}) > 0 AND {longest} <= {2 * cfg.chunk_size}"
+
+    fallback = _let(
+        "by_sentence",
+        _packed_sentences(_sentences("body"), cfg),
+        f"CASE WHEN {fits('by_sentence')} THEN by_sentence ELSE {_windows('body', cfg)} END",
     )
+    chosen = _let(
+        "by_paragraph",
+        _packed_paragraphs(_paragraphs("body"), cfg),
+        f"CASE WHEN {fits('by_paragraph')} THEN by_paragraph ELSE {fallback} END",
+    )
+    return _let("body", _strip(x), f"CASE WHEN body = '' THEN {_NONE} ELSE {chosen} END")
 
 
-def _pack(pieces: Column, sep: str, cfg: ChunkSettings) -> Column:
-    """Greedy packing of ``<text, size, split>`` pieces; ``split`` holds an oversized one's chunks."""
+def split_paragraphs(x: str) -> Column:
+    return F.expr(_paragraphs(x))
 
-    def flushed(acc: Column) -> Column:
-        return F.when(
-            F.size(acc["open"]) > 0,
-            F.concat(acc["done"], F.array(F.array_join(acc["open"], sep))),
-        ).otherwise(acc["done"])
 
-    def step(acc: Column, p: Column) -> Column:
-        def reseed(seed: Column) -> Column:
-            opened = F.when(seed == "", F.array(p["text"])).otherwise(F.array(seed, p["text"]))
-            return record(done=flushed(acc), open=opened, size=F.length(seed) + p["size"])
+def split_sentences(x: str) -> Column:
+    return F.expr(_sentences(x))
 
-        return (
-            F.when(
-                p["split"].isNotNull(),
-                record(done=F.concat(flushed(acc), p["split"]), open=_none(), size=F.lit(0)),
-            )
-            .when(
-                (acc["size"] + p["size"] > cfg.chunk_size) & (F.size(acc["open"]) > 0),
-                let(_overlap(acc["open"], sep, cfg.overlap), reseed),
-            )
-            .otherwise(
-                record(
-                    done=acc["done"],
-                    open=F.concat(acc["open"], F.array(p["text"])),
-                    size=acc["size"] + p["size"],
-                )
-            )
-        )
 
-    start = record(done=_none(), open=_none(), size=F.lit(0))
-    return F.aggregate(pieces, start, step, flushed)
-
-
-def _with_split(texts: Column, split, cfg: ChunkSettings) -> Column:
-    return F.transform(
-        texts,
-        lambda t: F.struct(
-            t.alias("text"),
-            F.length(t).alias("size"),
-            F.when(F.length(t) > cfg.chunk_size, split(t)).alias("split"),
-        ),
-    )
-
-
-def pack_sentences(sentences: Column, cfg: ChunkSettings = ChunkSettings()) -> Column:
-    pieces = _with_split(sentences, lambda s: char_windows(s, cfg), cfg)
-    return _pack(pieces, " ", cfg)
+def char_windows(x: str, cfg: ChunkSettings = ChunkSettings()) -> Column:
+    """Overlapping character windows, stripped, short ones dropped.
 
+    The text is cut into steps once and a window is put together from the steps it
+    covers, so long texts are not searched from their start for every window.
+    """
+    return F.expr(_windows(x, cfg))
 
-def _split_long_paragraph(para: Column, cfg: ChunkSettings) -> Column:
-    def packed(sentences: Column) -> Column:
-        chunks = F.transform(
-            pack_sentences(sentences, cfg),
-            lambda c: F.when(F.length(c) > 2 * cfg.chunk_size, char_windows(c, cfg)).otherwise(
-                F.array(c)
-            ),
-        )
-        return F.when(F.size(sentences) <= 1, char_windows(para, cfg)).otherwise(
-            F.flatten(chunks)
-        )
 
-    return let(split_sentences(para), packed)
+def pack_sentences(x: str, cfg: ChunkSettings = ChunkSettings()) -> Column:
+    """Chunks from an array of sentences."""
+    return F.expr(_packed_sentences(x, cfg))
 
 
-def pack_paragraphs(paragraphs: Column, cfg: ChunkSettings = ChunkSettings()) -> Column:
-    pieces = _with_split(paragraphs, lambda p: _split_long_paragraph(p, cfg), cfg)
-    return _pack(pieces, "\n\n", cfg)
+def pack_paragraphs(x: str, cfg: ChunkSettings = ChunkSettings()) -> Column:
+    """Chunks from an array of paragraphs."""
+    return F.expr(_packed_paragraphs(x, cfg))
 
 
-def split_text(text: Column, cfg: ChunkSettings = ChunkSettings()) -> Column:
+def split_text(x: str, cfg: ChunkSettings = ChunkSettings()) -> Column:
     """Chunk texts: by paragraphs, else by sentences, else by character windows.
 
     A fallback is evaluated only for a page whose preferred split left a chunk of more
     than twice the target size.
     """
-
-    def fits(chunks: Column) -> Column:
-        longest = F.array_max(F.transform(chunks, lambda c: F.length(c)))
-        return (F.size(chunks) > 0) & (longest <= 2 * cfg.chunk_size)
-
-    def fallback(body: Column) -> Column:
-        return let(
-            pack_sentences(split_sentences(body), cfg),
-            lambda c: F.when(fits(c), c).otherwise(char_windows(body, cfg)),
-        )
-
-    def choose(body: Column) -> Column:
-        chunks = let(
-            pack_paragraphs(split_paragraphs(body), cfg),
-            lambda c: F.when(fits(c), c).otherwise(fallback(body)),
-        )
-        return F.when(body == "", _none()).otherwise(chunks)
-
-    return let(strip(text), choose)
+    return F.expr(_chunk_texts(x, cfg))
 
 
-def place_chunks(body: Column, texts: Column) -> Column:
+def place_chunks(body: str, texts: str) -> Column:
     """Add offsets: each text is searched from the end of the one before it.
 
     A text that is not literally in the body (its line breaks became blanks) is placed
     at the cursor, as published.
     """
-    item = "array<struct<content:string,start_char:int,end_char:int>>"
-
-    def step(acc: Column, t: Column) -> Column:
-        def put(hit: Column) -> Column:
-            start = F.when(hit > 0, hit - 1).otherwise(acc["cursor"])
-            end = start + F.length(t)
-            placed = F.array(record(content=t, start_char=start, end_char=end))
-            return record(cursor=end, out=F.concat(acc["out"], placed))
-
-        return let(F.call_function("locate", t, body, acc["cursor"] + 1), put)
-
-    start = record(cursor=F.lit(0), out=F.array().cast(item))
-    return F.aggregate(texts, start, step, lambda acc: acc["out"])
+    start = "CASE WHEN hit > 0 THEN hit - 1 ELSE acc.pos END"
+    put = f"""named_struct(
+        'pos', {start} + length(t),
+        'out', concat(acc.out, array(named_struct(
+            'content', t, 'start_char', {start}, 'end_char', {start} + length(t)))))"""
+    return F.expr(
+        f"""aggregate(
+            {texts},
+            named_struct('pos', 0, 'out', cast(array() AS
+                array<struct<content:string,start_char:int,end_char:int>>)),
+            (acc, t) -> {_let('hit', f'locate(t, {body}, acc.pos + 1)', put)},
+            acc -> acc.out)"""
+    )
 
 
 def chunk_documents(df: DataFrame, cfg: ChunkSettings = ChunkSettings()) -> DataFrame:
     """Documents (``schemas.DOCUMENT``) to chunks (``schemas.CHUNK``)."""
-    kept = F.filter(
-        split_text(F.col("head.body"), cfg),
-        lambda t: F.length(strip(t)) >= cfg.min_chunk_size,
-    )
-    extras = F.map_filter(
-        F.create_map(
-            F.lit("headings"),
-            F.array_join("head.headings", "; "),
-            F.lit("section"),
-            F.col("head.section"),
-        ),
-        lambda _, v: v != "",
-    )
-    base = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
-    merged = F.map_concat(
-        F.map_filter(base, lambda k, _: ~F.map_contains_key(F.col("extras"), k)), F.col("extras")
-    )
+    kept = f"""filter({_chunk_texts('head.body', cfg)},
+        t -> length({_strip('t')}) >= {cfg.min_chunk_size})"""
+    found = """map_filter(
+        map('headings', array_join(head.headings, '; '), 'section', head.section),
+        (k, v) -> v <> '')"""
+    metadata = """map_concat(
+        map_filter(coalesce(metadata, cast(map() AS map<string,string>)),
+                   (k, v) -> NOT map_contains_key(found, k)),
+        found)"""
     return (
         df.filter(~is_blank(F.col("content")))
-        .withColumn("head", strip_headings(F.col("content")))
-        .withColumn("extras", extras)
-        .withColumn("texts", kept)
-        .withColumn("placed", place_chunks(F.col("head.body"), F.col("texts")))
         .select(
-            F.coalesce("id", F.lit("unknown")).alias("doc_id"),
-            merged.alias("metadata"),
-            F.coalesce("book_title", F.lit("Unknown")).alias("book_title"),
-            F.coalesce("page_number", F.lit(0)).alias("page_number"),
-            F.size("placed").alias("total_chunks"),
+            F.expr("coalesce(id, 'unknown') AS doc_id"),
+            "metadata",
+            F.expr("coalesce(book_title, 'Unknown') AS book_title"),
+            F.expr("coalesce(page_number, 0) AS page_number"),
+            "doc_seq",
+            strip_headings("content").alias("head"),
+        )
+        .select("*", F.expr(kept).alias("texts"), F.expr(found).alias("found"))
+        .select(
+            "doc_id",
+            F.expr(metadata).alias("metadata"),
+            "book_title",
+            "page_number",
+            F.size("texts").alias("total_chunks"),
             F.col("head.section").alias("section"),
             F.col("head.headings").alias("headings"),
             "doc_seq",
             # The outer form: the inner one makes the optimizer infer a filter on the
             # array, push it below the projections and so chunk every page twice.
-            F.posexplode_outer("placed").alias("chunk_index", "chunk"),
+            F.posexplode_outer(place_chunks("head.body", "texts")).alias("chunk_index", "chunk"),
         )
         .filter(F.col("chunk_index").isNotNull())
         .select(

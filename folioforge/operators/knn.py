@@ -143,27 +143,28 @@ def _grid(
     per_block = max(1, _QUERY_BLOCK_BYTES // (8 * dim))
     q_blocks = -(-n_queries // per_block)
     i_blocks = max(1, -(-index.count() // _INDEX_BLOCK_ROWS))
+    # Fresh column names: index and queries may come from one table.
     left = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).cast("long").alias("ib"),
-        "query_id",
-        "vec",
+        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"),
+        F.col("query_id").alias("q_id"),
+        F.col("vec").alias("q_vec"),
     )
     right = index.select(
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"),
-        F.pmod(F.xxhash64("row"), F.lit(i_blocks)).alias("ib"),
-        "row",
-        "vec",
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
+        F.pmod(F.xxhash64("row"), F.lit(i_blocks)).cast("int").alias("ib"),
+        F.col("row").alias("i_row"),
+        F.col("vec").alias("i_vec"),
     )
 
     def cell(q: pa.Table, v: pa.Table) -> pa.Table:
         if q.num_rows == 0 or v.num_rows == 0:
             return _HIT_ARROW.empty_table()
-        qm = _matrix(q.column("vec"), None).astype("float64")
-        vm = _matrix(v.column("vec"), qm.shape[1])
+        qm = _matrix(q.column("q_vec"), None).astype("float64")
+        vm = _matrix(v.column("i_vec"), qm.shape[1])
         qm = _unit(qm) if unit_queries else qm
-        found = _score_block(qm, vm, v.column("row").to_numpy(), k, unit_index)
-        return pa.Table.from_batches([_as_hits(q.column("query_id").to_numpy(), found)])
+        found = _score_block(qm, vm, v.column("i_row").to_numpy(), k, unit_index)
+        return pa.Table.from_batches([_as_hits(q.column("q_id").to_numpy(), found)])
 
     return (
         left.groupBy("qb", "ib")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioforge import schemas
 from folioforge.functions import fixed_values as fv
 from folioforge.functions.structure import judge_cache_key
+from folioforge.session import cut_lineage
 from folioforge.sources.tables import append_rows, read_or_empty
 
 Client = Callable[[str, str], str]  # (system, user) -> text
@@ -176,7 +177,8 @@ def judge_with_cache(
     text = F.col("prompt")
     if model_key is not None:
         text = F.concat_ws("\n", F.lit(model_key), text)
-    keyed = prompts.withColumn("cache_key", judge_cache_key(text))
+    # Written once: prompts are read again after the calls, and must not change meanwhile.
+    keyed = cut_lineage(prompts.withColumn("cache_key", judge_cache_key(text)), "prompts")
     known = read_or_empty(spark, cache_path, schemas.JUDGE_CACHE)
     todo = (
         keyed.select("cache_key", "prompt")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
-from folioforge.functions.charclass import word_count
+from folioforge.functions.charclass import let, word_count
 from folioforge.functions.structure import preview
 from folioforge.operators.ranks import size_profile
 
@@ -21,19 +21,19 @@ _MOJIBAKE_LEADS = "[ŌŽ╬âÃÂ√]"
 def _mojibake(content: Column) -> Column:
     """Per pattern: number of matches and of matched characters; empty for clean text."""
     kind = "array<struct<pattern:string,n:int,chars:int>>"
-    found = F.array(
-        *[
-            F.transform(
-                F.array(F.regexp_extract_all(content, F.lit(java), F.lit(0))),
-                lambda m, p=published: F.struct(
-                    F.lit(p).alias("pattern"),
-                    F.size(m).alias("n"),
-                    F.length(F.array_join(m, "")).alias("chars"),
-                ),
-            ).getItem(0)
-            for published, java in fv.MOJIBAKE_PATTERNS
-        ]
-    ).cast(kind)
+
+    def count(published: str, java: str) -> Column:
+        matches = F.regexp_extract_all(content, F.lit(java), F.lit(0))
+        return let(
+            matches,
+            lambda m: F.struct(
+                F.lit(published).alias("pattern"),
+                F.size(m).alias("n"),
+                F.length(F.array_join(m, "")).alias("chars"),
+            ),
+        )
+
+    found = F.array(*[count(*p) for p in fv.MOJIBAKE_PATTERNS]).cast(kind)
     hits = F.filter(found, lambda f: f["n"] > 0)
     # A cheap test for the lead characters spares clean texts the seven patterns.
     return F.when(content.rlike(_MOJIBAKE_LEADS), hits).otherwise(F.array().cast(kind))

@@ -26,9 +26,12 @@ def read_books(spark: SparkSession, path: str) -> DataFrame | None:
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from a JSON array file, or from a folder of JSON lines or arrays."""
-    return spark.read.schema(schemas.DOCUMENT).json(path, multiLine=True)
+def read_documents(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Documents from JSON lines, or with ``array`` from files that hold one JSON array.
+
+    Array files cannot be split: use them for interchange, lines for large corpora.
+    """
+    return spark.read.schema(schemas.DOCUMENT).json(path, multiLine=array)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +90,7 @@ def first_documents(documents: DataFrame, n: int) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
+    """JSON lines."""
     documents.write.json(path)
 
 
