@@ -120,23 +120,21 @@ def _mark(i: Column) -> Column:
 
 
 def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
-    """Clean with equations swapped out and back in."""
+    """Clean with equations hidden behind placeholders.
+
+    Published behaviour: cleaning collapses the double underscores of the placeholders, so
+    the step that would put the equations back finds none and is left out here.
+    """
     if not preserve_math:
         return clean_text(text)
 
-    def swapped(eqs: Column) -> Column:
-        marks = F.transform(
-            eqs, lambda e, i: F.struct(_mark(i).alias("mark"), e["content"].alias("content"))
+    def hidden(contents: Column) -> Column:
+        # A content hidden once is gone from the text: only its first number counts.
+        return F.aggregate(
+            F.array_distinct(contents),
+            text,
+            lambda t, c: F.replace(t, c, _mark(F.array_position(contents, c) - 1)),
         )
 
-        def run(m: Column) -> Column:
-            hidden = F.aggregate(
-                m, text, lambda t, e: F.replace(t, e["content"], e["mark"])
-            )
-            return F.aggregate(
-                m, clean_text(hidden), lambda t, e: F.replace(t, e["mark"], e["content"])
-            )
-
-        return let(marks, run)
-
-    return let(extract_equations(text), swapped)
+    contents = F.transform(extract_equations(text), lambda e: e["content"])
+    return clean_text(let(contents, hidden))

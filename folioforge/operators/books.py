@@ -43,7 +43,9 @@ def documents_from_pages(pages: DataFrame, books: DataFrame | None = None) -> Da
 
     Text is cleaned, pages left blank are dropped, and each page carries its book.
     """
-    cleaned = clean_column(pages, "text").filter(~is_blank(F.col("text")))
+    # Cleaning removes no visible character, so a page is blank after it exactly when it
+    # is blank before; filtering first keeps the predicate at the scan.
+    cleaned = clean_column(pages.filter(~is_blank(F.col("text"))), "text")
     known = with_book_metadata(cleaned, books)
     n_images = F.size("images")
     metadata = F.map_filter(

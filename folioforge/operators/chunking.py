@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
-from folioforge.functions.charclass import WS_CHARS, is_blank
+from folioforge.functions.charclass import WS_CHARS
 from folioforge.functions.structure import chunk_id
 
 
@@ -241,7 +241,7 @@ def place_chunks(body: str, texts: str) -> Column:
 
 
 def chunk_documents(df: DataFrame, cfg: ChunkSettings = ChunkSettings()) -> DataFrame:
-    """Documents (``schemas.DOCUMENT``) to chunks (``schemas.CHUNK``)."""
+    """Documents (``schemas.DOCUMENT``) to chunks (``schemas.CHUNK``); blank ones have none."""
     kept = f"""filter({_chunk_texts('head.body', cfg)},
         t -> length({_strip('t')}) >= {cfg.min_chunk_size})"""
     found = """map_filter(
@@ -252,14 +252,13 @@ def chunk_documents(df: DataFrame, cfg: ChunkSettings = ChunkSettings()) -> Data
                    (k, v) -> NOT map_contains_key(found, k)),
         found)"""
     return (
-        df.filter(~is_blank(F.col("content")))
-        .select(
+        df.select(
             F.expr("coalesce(id, 'unknown') AS doc_id"),
             "metadata",
             F.expr("coalesce(book_title, 'Unknown') AS book_title"),
             F.expr("coalesce(page_number, 0) AS page_number"),
             "doc_seq",
-            strip_headings("content").alias("head"),
+            strip_headings("coalesce(content, '')").alias("head"),
         )
         .select("*", F.expr(kept).alias("texts"), F.expr(found).alias("found"))
         .select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -51,6 +52,12 @@ def sentence_encoder(model_key: str = "bge-small", normalize: bool = False) -> C
     return load
 
 
+@lru_cache(maxsize=1 << 20)
+def _token_hash(token: str) -> tuple[int, int]:
+    h = hashlib.md5(token.encode()).hexdigest()
+    return int(h[:8], 16), 1 if h[8] < "8" else -1
+
+
 class HashingEncoder:
     """Deterministic stand-in where no model can be loaded: signed token hashing."""
 
@@ -61,8 +68,8 @@ class HashingEncoder:
         out = np.zeros((len(texts), self.dimension))
         for i, text in enumerate(texts):
             for token in re.findall(r"[^\W_]+", text.lower()):
-                h = hashlib.md5(token.encode()).hexdigest()
-                out[i, int(h[:8], 16) % self.dimension] += 1 if int(h[8], 16) < 8 else -1
+                position, sign = _token_hash(token)
+                out[i, position % self.dimension] += sign
         return out
 
 

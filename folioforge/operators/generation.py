@@ -56,15 +56,11 @@ def answer(
     queries: DataFrame, hits: DataFrame, connect: Callable[[], Client], retry: dict | None = None
 ) -> DataFrame:
     """Generated answers for ``(query_id, query)``; only queries with chunks are asked."""
-    asked = prompts(with_chunks(queries, hits))
-    has_chunks = F.size("chunks") > 0
-    replied = call_model(
-        asked.filter(has_chunks), "prompt", connect, system=fv.SYSTEM_PROMPT, retry=retry
+    asked = prompts(with_chunks(queries, hits)).withColumn(
+        "prompt", F.when(F.size("chunks") > 0, F.col("prompt"))
     )
-    silent = asked.filter(~has_chunks).select(
-        "*", F.lit(None).cast("string").alias("reply"), F.lit(None).cast("string").alias("error")
-    )
-    return settle(replied.unionByName(silent))
+    replied = call_model(asked, "prompt", connect, system=fv.SYSTEM_PROMPT, retry=retry)
+    return settle(replied)
 
 
 # --- chat history -----------------------------------------------------------------

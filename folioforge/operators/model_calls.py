@@ -124,6 +124,7 @@ def call_model(
 ) -> DataFrame:
     """Add ``reply`` and ``error`` (one of them null) for the prompts of ``df``.
 
+    A null prompt is not sent and has neither.
     ``min_interval`` paces the calls of one task.  A limit shared by the whole job is that
     interval times the number of tasks: repartition ``df`` to the number of parallel
     callers the provider allows and scale the interval accordingly.
@@ -137,6 +138,9 @@ def call_model(
         for prompts in batches:
             rows = []
             for user in prompts:
+                if user is None:
+                    rows.append((None, None))
+                    continue
                 wait = last + min_interval - time.monotonic()
                 if min_interval and wait > 0:
                     time.sleep(wait)

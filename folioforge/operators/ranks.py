@@ -27,7 +27,7 @@ def size_profile(
         ]
     )
     hist = (
-        df.select(F.inline(pairs))
+        df.select(F.inline_outer(pairs))
         .groupBy("measure", "value")
         .agg(F.count("*").alias("cnt"))
         .withColumn("bucket", F.floor(F.col("value") / _BUCKET))

@@ -109,7 +109,11 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 def mojibake_patterns(f: DataFrame) -> DataFrame:
     """Per pattern: matches, and pages of the first documents that have it."""
-    hits = f.select("doc_seq", "page", F.inline("mojibake"))
+    # Outer explode: the inner one has the optimizer infer a filter that repeats the
+    # pattern matching below the projection.
+    hits = f.select("doc_seq", "page", F.inline_outer("mojibake")).filter(
+        F.col("pattern").isNotNull()
+    )
     counts = hits.groupBy("pattern").agg(F.sum("n").alias("matches"))
     pages = first_per_group(hits, "pattern", "doc_seq", fv.SAMPLE_LIMIT)
     examples = pages.groupBy("pattern").agg(
@@ -171,7 +175,9 @@ def heading_samples(f: DataFrame) -> DataFrame:
             for kind, flag in _HEADING_KINDS.items()
         ]
     )
-    found = f.select("doc_seq", F.inline(F.filter(kinds, lambda k: k["found"])))
+    found = f.select("doc_seq", F.inline_outer(F.filter(kinds, lambda k: k["found"]))).filter(
+        F.col("kind").isNotNull()
+    )
     return first_per_group(found, "kind", "doc_seq", fv.SAMPLE_LIMIT).select(
         "kind", F.col("_r").alias("position"), "sample"
     )
@@ -230,11 +236,12 @@ def per_book(f: DataFrame) -> DataFrame:
 def worst_chunks(f: DataFrame) -> DataFrame:
     """The documents with most mojibake, in order of badness."""
     count = F.aggregate("mojibake", F.lit(0), lambda acc, m: acc + m["n"])
+    # The limit comes before the filter, which then cannot be pushed below the matching.
     return (
         f.withColumn("mojibake_count", count)
-        .filter(F.col("mojibake_count") > 0)
         .orderBy(F.desc("mojibake_count"), "doc_seq")
         .limit(fv.WORST_LIMIT)
+        .filter(F.col("mojibake_count") > 0)
         .select(
             "doc_seq", "book", "page", "mojibake_count", "chars",
             preview(F.col("content"), 120).alias("preview"),

@@ -705,3 +705,20 @@ res AS (SELECT query_id, any_value(book) AS book, any_value(difficulty) AS diffi
   least(CASE WHEN code = 429 THEN 20.0 * attempt ELSE 2.0 * pow(2, attempt - 1) END, 120)::DOUBLE AS delay FROM e""",
     "chat_history": "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations",
 }
+
+# DuckDB sums integers into a wider type than Spark; hand out the same one.
+_WIDE_SUMS = {
+    "corpus_totals": ["total_words", "avg_words_per_page"],
+    "per_book_totals": ["words"],
+    "chunk_totals": ["total_chars"],
+    "extraction_overall": ["total_chars", "total_words"],
+    "mojibake_totals": ["total_mojibake_chars"],
+    "mojibake_patterns": ["matches"],
+    "caption_counts": ["figure", "table", "algorithm", "equation"],
+    "math_content": ["total_math_symbols"],
+    "worst_chunks": ["mojibake_count"],
+    "encode_documents": ["value"],
+}
+for _name, _columns in _WIDE_SUMS.items():
+    _casts = ", ".join(f'"{c}"::BIGINT AS "{c}"' for c in _columns)
+    ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"

@@ -327,7 +327,7 @@ def _doc_vectors(spark, sf) -> DataFrame:
 
 def _encode(spark, sf):
     v = _doc_vectors(spark, sf).select(
-        F.col("row").alias("doc_id"), F.posexplode("vec").alias("bucket", "value")
+        F.col("row").alias("doc_id"), F.posexplode_outer("vec").alias("bucket", "value")
     )
     return v.filter(F.col("value") != 0).withColumn("value", F.col("value").cast("int"))
 
