@@ -1,7 +1,7 @@
 """Extraction-quality report: ten sections over documents or chunks.
 
-Every section selects from one lazily computed feature row per document, so a section
-pays only for the features it uses and the full report can share them by caching.
+Every section selects from one lazily computed feature row per document: a section alone
+pays only for the features it uses, the full report computes them once for all.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from folioforge.functions import fixed_values as fv
 from folioforge.functions.charclass import let, word_count
 from folioforge.functions.structure import preview
 from folioforge.operators.ranks import size_profile
+from folioforge.session import cut_lineage
 
 _MOJIBAKE_LEADS = "[ŌŽ╬âÃÂ√]"
 
@@ -48,7 +49,9 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_seq",
         F.coalesce("book_title", F.lit("?")).alias("book"),
         F.coalesce(F.col("page_number").cast("long"), F.lit(-1)).alias("page"),
-        c.alias("content"),
+        F.substring(first_line, 1, 80).alias("first_line"),
+        F.substring(c, 1, 80).alias("lead"),
+        preview(c, 120).alias("preview"),
         F.length(c).alias("chars"),
         word_count(c).alias("words"),
         F.coalesce(n_images, F.lit(0)).alias("n_images"),
@@ -163,14 +166,12 @@ def heading_counts(f: DataFrame) -> DataFrame:
 
 def heading_samples(f: DataFrame) -> DataFrame:
     """The first few examples of each kind: ``(kind, position, sample)``."""
-    line = F.substring(F.substring_index("content", "\n", 1), 1, 80)
-    start = F.substring("content", 1, 80)
     kinds = F.array(
         *[
             F.struct(
                 F.lit(kind).alias("kind"),
                 F.col(flag).alias("found"),
-                (start if kind == "page_number_leak" else line).alias("sample"),
+                F.col("lead" if kind == "page_number_leak" else "first_line").alias("sample"),
             )
             for kind, flag in _HEADING_KINDS.items()
         ]
@@ -242,16 +243,17 @@ def worst_chunks(f: DataFrame) -> DataFrame:
         .orderBy(F.desc("mojibake_count"), "doc_seq")
         .limit(fv.WORST_LIMIT)
         .filter(F.col("mojibake_count") > 0)
-        .select(
-            "doc_seq", "book", "page", "mojibake_count", "chars",
-            preview(F.col("content"), 120).alias("preview"),
-        )
+        .select("doc_seq", "book", "page", "mojibake_count", "chars", "preview")
     )
 
 
 def run(docs: DataFrame) -> dict[str, DataFrame]:
-    """All sections of the report, over one shared feature table."""
-    f = features(docs)
+    """All sections of the report.
+
+    The texts are read once: features, a small row per document, are written as a table
+    and the sections work on that.
+    """
+    f = cut_lineage(features(docs), "features")
     return {
         "overall": overall(f),
         "mojibake": mojibake_totals(f),

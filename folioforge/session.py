@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -24,17 +25,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+@lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="folioforge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can see, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder chosen, and it
-    is stored in the session so that later calls agree.
+    Only where the cluster names none (local tests) a temporary folder stands in.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path or _own_dir(spark.sparkContext.applicationId)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
