@@ -92,7 +92,8 @@ def encode_column(
                 vectors.extend(encoder.encode(values[i : i + batch_size]).astype("float32"))
             yield pd.Series(vectors, index=texts.index)
 
-    return df.withColumn(out, encode(F.col(text)))
+    # Declared not deterministic, so that Spark never encodes a text twice to push a filter.
+    return df.withColumn(out, encode.asNondeterministic()(F.col(text)))
 
 
 class EmbeddingCache:

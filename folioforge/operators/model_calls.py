@@ -155,7 +155,8 @@ def call_model(
             yield pd.DataFrame(rows, columns=["reply", "error"])
 
     return (
-        df.withColumn("_call", ask(F.col(prompt)))
+        # Not deterministic, so that no filter on the reply makes Spark ask twice.
+        df.withColumn("_call", ask.asNondeterministic()(F.col(prompt)))
         .withColumn("reply", F.col("_call.reply"))
         .withColumn("error", F.col("_call.error"))
         .drop("_call")
