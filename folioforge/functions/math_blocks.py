@@ -136,5 +136,5 @@ def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
             lambda t, c: F.replace(t, c, _mark(F.array_position(contents, c) - 1)),
         )
 
-    contents = F.transform(extract_equations(text), lambda e: e["content"])
+    contents = F.concat(*[_matches(text, p) for _, p in fv.EQUATION_PATTERNS])
     return clean_text(let(contents, hidden))

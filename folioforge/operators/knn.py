@@ -21,7 +21,9 @@ _HIT_ARROW = pa.schema(
 # meet block by block in a shuffle.
 BROADCAST_BYTES = 64 << 20
 _QUERY_BLOCK_BYTES = 16 << 20
-_INDEX_BLOCK_ROWS = 200_000
+_INDEX_BLOCK_BYTES = 64 << 20
+# Scores held at once in a task.
+_TILE = 1 << 24
 _MERGE_SALTS = 64
 
 
@@ -58,19 +60,23 @@ def _score_block(
     the k-th best is scored again in double precision, so the outcome is exact.
     """
     unit = _unit(vecs) if unit_index else vecs.astype("float64")
-    coarse = queries.astype("float32") @ unit.astype("float32").T
-    reach = np.linalg.norm(queries, axis=1) * max(np.linalg.norm(unit, axis=1).max(), 1e-30)
-    margin = 4 * vecs.shape[1] * np.finfo("float32").eps * reach
+    single = unit.astype("float32").T
+    longest = max(np.linalg.norm(unit, axis=1).max(), 1e-30)
+    error = 4 * vecs.shape[1] * np.finfo("float32").eps * longest
+    tile = max(1, _TILE // len(vecs))
     out = []
-    for q, line, slack in zip(queries, coarse, margin):
-        if len(line) > k:
-            kth = np.partition(line, -k)[-k]
-            picked = np.flatnonzero(line >= kth - slack)
-        else:
-            picked = np.arange(len(line))
-        exact = (unit[picked] * q).sum(axis=1)
-        best = _best(exact, rows[picked], k)
-        out.append((rows[picked][best], exact[best]))
+    for start in range(0, len(queries), tile):
+        part = queries[start : start + tile]
+        coarse = part.astype("float32") @ single
+        for q, line in zip(part, coarse):
+            if len(line) > k:
+                kth = np.partition(line, -k)[-k]
+                picked = np.flatnonzero(line >= kth - error * np.linalg.norm(q))
+            else:
+                picked = np.arange(len(line))
+            exact = (unit[picked] * q).sum(axis=1)
+            best = _best(exact, rows[picked], k)
+            out.append((rows[picked][best], exact[best]))
     return out
 
 
@@ -142,7 +148,7 @@ def _grid(
     """Both sides in blocks; each (query block, index block) cell is one bounded group."""
     per_block = max(1, _QUERY_BLOCK_BYTES // (8 * dim))
     q_blocks = -(-n_queries // per_block)
-    i_blocks = max(1, -(-index.count() // _INDEX_BLOCK_ROWS))
+    i_blocks = max(1, -(-index.count() * 4 * dim // _INDEX_BLOCK_BYTES))
     # Fresh column names: index and queries may come from one table.
     left = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
@@ -189,6 +195,7 @@ def top_k(
     """
     index = index.select(F.col("row").cast("long").alias("row"), "vec")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vec")
+    queries.persist()  # sized, then fetched: encoded queries must not be encoded twice
     size = queries.agg(
         F.count("*").alias("n"),
         F.min(F.size("vec")).alias("lo"),
@@ -204,8 +211,10 @@ def top_k(
         )
     if size.lo != size.hi:
         raise ValueError(f"Queries differ in dimension: {size.lo} and {size.hi}")
-    if 8 * size.n * size.hi <= broadcast_bytes:
-        table = queries.toArrow()
+    fits = 8 * size.n * size.hi <= broadcast_bytes
+    table = queries.toArrow() if fits else None
+    queries.unpersist()
+    if table is not None:
         matrix = _matrix(table.column("vec"), size.hi).astype("float64")
         matrix = _unit(matrix) if unit_queries else matrix
         scan = _scan_with(table.column("query_id").to_numpy(), matrix, k, unit_index)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,30 +121,31 @@ def call_model(
     system: str = "",
     provider: str = "gemini",
     min_interval: float = 0.0,
+    callers: int = 1,
     retry: dict | None = None,
 ) -> DataFrame:
     """Add ``reply`` and ``error`` (one of them null) for the prompts of ``df``.
 
     A null prompt is not sent and has neither.
-    ``min_interval`` paces the calls of one task.  A limit shared by the whole job is that
-    interval times the number of tasks: repartition ``df`` to the number of parallel
-    callers the provider allows and scale the interval accordingly.
+    ``min_interval`` is the least time between two calls of the whole job.  Each of the
+    ``callers`` tasks keeps that many intervals between its own calls and starts at its
+    turn, so the tasks together never call more often.
     """
     options = retry or {}
+    own_interval = min_interval * callers
 
     @F.pandas_udf("struct<reply:string,error:string>")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client = connect()
-        last = 0.0
+        turn = TaskContext.get().partitionId() % callers
+        due = time.monotonic() + turn * min_interval
         for prompts in batches:
             rows = []
             for user in prompts:
                 if user is None:
                     rows.append((None, None))
                     continue
-                wait = last + min_interval - time.monotonic()
-                if min_interval and wait > 0:
-                    time.sleep(wait)
+                time.sleep(max(0.0, due - time.monotonic()))
                 try:
                     reply = retry_call(
                         lambda: client(system, user), provider=provider, **options
@@ -151,7 +153,7 @@ def call_model(
                     rows.append((reply, None))
                 except (LLMError, RetryExhausted) as e:
                     rows.append((None, str(e)))
-                last = time.monotonic()
+                due = time.monotonic() + own_interval
             yield pd.DataFrame(rows, columns=["reply", "error"])
 
     return (
@@ -169,16 +171,17 @@ def judge_with_cache(
     cache_path: str,
     model_key: str | None = None,
     min_interval: float = fv.JUDGE_MIN_INTERVAL,
-    parallel_calls: int = 1,
+    callers: int | None = None,
     retry: dict | None = None,
 ) -> DataFrame:
     """Add ``response`` to rows with a ``prompt``; known prompts are not asked again.
 
-    Equal prompts are asked once.  Answers are stored before failures surface, so a run
+    Equal prompts are asked once, by ``callers`` tasks that share the pace.  Answers are stored before failures surface, so a run
     stopped by a quota resumes where it ended.  With ``model_key`` the key also covers the
     model; without it the key is the published one.
     """
     spark = prompts.sparkSession
+    tasks = callers or spark.sparkContext.defaultParallelism
     text = F.col("prompt")
     if model_key is not None:
         text = F.concat_ws("\n", F.lit(model_key), text)
@@ -189,10 +192,10 @@ def judge_with_cache(
         keyed.select("cache_key", "prompt")
         .join(known, "cache_key", "left_anti")
         .dropDuplicates(["cache_key"])
-        .repartition(parallel_calls)
+        .repartition(tasks)
     )
     asked = call_model(
-        todo, "prompt", connect, min_interval=min_interval * parallel_calls, retry=retry
+        todo, "prompt", connect, min_interval=min_interval, callers=tasks, retry=retry
     )
     append_rows(
         asked.filter(F.col("error").isNull()).select(

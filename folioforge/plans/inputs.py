@@ -58,7 +58,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
     return df.repartition(2 * cores, *keys) if size < cores * _SMALL_PER_CORE else df
 
 

@@ -479,7 +479,7 @@ hits AS (SELECT query_id, rank, row, score, source AS book, text AS content FROM
   JOIN documents ON doc_id = row WHERE rank <= {K})"""
 _GOLDEN = """golden AS (SELECT item_id AS query_id, 'q' || item_id AS id, 'book ' || item_id % 4 AS book,
   text AS query, ['easy', 'medium', 'hard'][item_id % 3 + 1] AS difficulty,
-  substring(text, 1, 40) AS expected_answer_summary, '' AS notes FROM benchmark)"""
+  text AS expected_answer_summary, '' AS notes FROM benchmark)"""
 _A, _B, _C, _D = (q(p) for p in fv.JUDGE_PROMPT_PARTS)
 _JUDGE_PROMPTS = f"""prompts AS (SELECT query_id, rank, row, score, h.book AS hit_book, g.book, difficulty, query,
     {_A} || query || {_B} || expected_answer_summary || {_C} || substring(content, 1, 2000) || {_D} AS prompt,
@@ -641,8 +641,8 @@ FROM (SELECT source, text, doc_id IN (SELECT doc_id FROM moji) AS bad FROM docs)
   sum(n) AS mojibake_count, length(text) AS chars,
   replace(substring(text, 1, 120), chr(10), ' ') AS preview
 FROM moji JOIN docs USING (doc_id) GROUP BY doc_id, docs.source, text ORDER BY sum(n) DESC, doc_id LIMIT 20""",
-    "ingest_pages": f"""WITH p AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS file, page_id, {clean('html')} AS text FROM pages),
-b AS (SELECT file, min(page_id) AS o FROM p WHERE page_id % 2 = 0 GROUP BY file)
+    "ingest_pages": f"""WITH p AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS file, url, page_id, {clean('html')} AS text FROM pages),
+b AS (SELECT file, min(page_id) AS o FROM p WHERE contains(url, '/en/') GROUP BY file)
 SELECT substr(md5(p.file || '_' || page_id), 1, 12) AS id, page_id + 1 AS page_number,
   CASE WHEN o IS NULL THEN replace(p.file, '.pdf', '') ELSE 'Book ' || o END AS book_title,
   md5(text) AS content_md5, CASE WHEN o IS NULL THEN 'Unknown' ELSE 'A. Writer' END AS author,

@@ -72,9 +72,12 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A Parquet table, or no rows where none has been written yet."""
+    """A cache table, or no rows where none has been written yet.
+
+    A broken file of a cache costs only its entries; they are computed again.
+    """
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

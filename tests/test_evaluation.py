@@ -249,3 +249,20 @@ def test_chat_history(spark):
     assert [r.text for r in generation.transcript(history, 2).collect()] == ["c"]
     generation.clear_history(spark.createDataFrame([], schema), path)
     assert spark.read.schema(schema).parquet(path).count() == 0
+
+
+def test_shared_pace(spark):
+    """Two tasks with a shared interval: starts are an interval apart, own calls two."""
+    from folioforge.operators.model_calls import call_model
+
+    def connect():
+        import time
+
+        return lambda system, user: str(time.time())
+
+    df = spark.range(0, 4, 1, 2).select(F.col("id").cast("string").alias("prompt"))
+    times = sorted(
+        float(r.reply)
+        for r in call_model(df, "prompt", connect, min_interval=0.4, callers=2).collect()
+    )
+    assert times[-1] - times[0] > 0.7

@@ -42,7 +42,8 @@ def vectors():
 @pytest.mark.parametrize("broadcast", [1 << 26, 0])
 @pytest.mark.parametrize("k", [1, 5, 1000])
 def test_both_paths_exact(spark, vectors, monkeypatch, broadcast, k):
-    monkeypatch.setattr(knn, "_INDEX_BLOCK_ROWS", 90)
+    monkeypatch.setattr(knn, "_INDEX_BLOCK_BYTES", 90 * 4 * 16)
+    monkeypatch.setattr(knn, "_TILE", 1000)
     monkeypatch.setattr(knn, "_QUERY_BLOCK_BYTES", 16 * 8 * 10)
     queries = vectors[:30]
     hits = knn.top_k(
