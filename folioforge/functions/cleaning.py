@@ -9,6 +9,7 @@ pays for.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +21,21 @@ from folioforge.functions.charclass import D, DIGIT, S, WS_INLINE, strip
 # no insertion can create or destroy another rule's neighbourhood other than by
 # separating the very pair it separates.  So one pass does them all: take the left
 # character, look at the right one.
-_LEFT_OF_GAP = "|".join(
-    [
-        rf"[a-z](?=[A-Z0-9(=<>{DIGIT}])",
-        rf"[A-Z](?=[0-9(=<>{DIGIT}])",
-        f"{D}(?=[a-zA-Z%])",
-        r"[,;):=<>](?=[a-zA-Z])",
-        r"\.(?=[A-Z][a-z])",
-        f"%(?={D})",
-    ]
+_LEFT_OF_GAP = (
+    "(?![a-z][a-z ])(?! )(?:"  # most places in running text: leave at once
+    + "|".join(
+        [
+            rf"[a-z](?=[A-Z0-9(=<>{DIGIT}])",
+            rf"[A-Z](?=[0-9(=<>{DIGIT}])",
+            r"[,;):=<>](?=[a-zA-Z])",
+            r"\.(?=[A-Z][a-z])",
+            f"{D}(?=[a-zA-Z%])",
+            f"%(?={D})",
+        ]
+    )
+    + ")"
 )
 
-# Runs collapse independently of each other because each run is one character:
-# letters keep two, sentence marks, underscores and asterisks keep one.
-_RUNS = r"(([a-zA-Z])\2)\2{2,}|([.!?])\3{2,}|([_*])\4+"
-
 _WRITTEN_REFERENCE = (
     "(?=[CSEFTA])(Chapter|Section|Equation|Figure|Table|Algorithm)"
     rf"{S}+([0-9]+){S}+([0-9]+)"
@@ -59,9 +60,17 @@ def fix_math_symbols(text: Column) -> Column:
     return replace_all(text, fv.MATH_SYMBOL_FIXES)
 
 
-def _collapse_runs(text: Column) -> Column:
-    c = F.regexp_replace(text, _RUNS, "$1$3$4")
-    return F.regexp_replace(c, "-{2,}", "—")
+def _collapse_letters(text: Column) -> Column:
+    return F.regexp_replace(text, r"([a-zA-Z])\1{3,}", "$1$1")
+
+
+def _collapse_marks(text: Column) -> Column:
+    return F.regexp_replace(text, r"([.!?])\1{2,}", "$1")
+
+
+def _collapse_rules(text: Column) -> Column:
+    c = F.regexp_replace(text, "-{2,}", "—")
+    return F.regexp_replace(c, r"([_*])\1+", "$1")
 
 
 def _unescape_latex(text: Column) -> Column:
@@ -82,7 +91,8 @@ def _dot_references(text: Column) -> Column:
 
 def clean_artifacts(text: Column) -> Column:
     """Collapse runs, unescape LaTeX brackets, tighten ``x ^ 2`` and ``Section 5 3``."""
-    c = _unescape_latex(_collapse_runs(text))
+    c = _collapse_rules(_collapse_marks(_collapse_letters(text)))
+    c = _unescape_latex(c)
     return _dot_references(_tighten_indices(_tighten_powers(c)))
 
 
@@ -101,23 +111,25 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def _steps(fix_spaces: bool, fix_encoding: bool, fix_math: bool, normalize_ws: bool):
-    """The chain as (guard, step).  A step can only change a text its guard matches."""
-    steps = []
+    """The chain as (needles, step): a step can only change texts with one of its needles."""
+    steps: list = []
     if fix_spaces:
-        steps.append((None, fix_missing_spaces))
+        steps.append(((), fix_missing_spaces))
     if fix_encoding:
-        steps.append(("Ã|â€", fix_encoding_issues))
+        steps.append((("Ã", "â€"), fix_encoding_issues))
     if fix_math:
-        steps.append(("[ÃÂ]|â[ˆŠ‰]", fix_math_symbols))
+        steps.append((("Ã", "Â", "âˆ", "âŠ", "â‰"), fix_math_symbols))
     steps += [
-        (None, _collapse_runs),
-        (r"\\", _unescape_latex),
-        (r"\^", _tighten_powers),
-        ("_", _tighten_indices),
-        (None, lambda c: fix_abbreviations(_dot_references(c))),
+        ((), _collapse_letters),
+        (("...", "!!!", "???"), _collapse_marks),
+        (("--", "__", "**"), _collapse_rules),
+        (("\\",), _unescape_latex),
+        (("^",), _tighten_powers),
+        (("_",), _tighten_indices),
+        ((), lambda c: fix_abbreviations(_dot_references(c))),
     ]
     if normalize_ws:
-        steps.append((None, normalize_whitespace))
+        steps.append(((), normalize_whitespace))
     return steps
 
 
@@ -143,12 +155,16 @@ def clean_column(
 ) -> DataFrame:
     """The same chain for a whole corpus: costly rare-case steps run only where needed.
 
-    Each guarded step is its own projection so that the text is computed once; Spark
-    keeps the projections apart and compiles them into one codegen stage.
+    Looking for a needle is a byte search, far cheaper than the step it may spare.  Each
+    guarded step is its own projection so that the text is computed once; Spark keeps the
+    projections apart and compiles them into one codegen stage.
     """
     out = df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
     c = F.col(column)
-    for guard, step in _steps(fix_spaces, fix_encoding, fix_math, normalize_ws):
-        value = step(c) if guard is None else F.when(c.rlike(guard), step(c)).otherwise(c)
+    for needles, step in _steps(fix_spaces, fix_encoding, fix_math, normalize_ws):
+        value = step(c)
+        if needles:
+            found = reduce(or_, [F.contains(c, F.lit(n)) for n in needles])
+            value = F.when(found, value).otherwise(c)
         out = out.withColumn(column, value)
     return out

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
 from folioforge.functions.charclass import let
-from folioforge.functions.cleaning import clean_text
+from folioforge.functions.cleaning import clean_column, clean_text
 
 _BLOCK = "array<struct<placeholder:string,content:string,type:string>>"
 _EQUATION = "array<struct<content:string,type:string,start:int,end:int,context:string>>"
@@ -119,14 +119,8 @@ def _mark(i: Column) -> Column:
     return F.concat(F.lit("__MATH_BLOCK_"), i.cast("string"), F.lit("__"))
 
 
-def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
-    """Clean with equations hidden behind placeholders.
-
-    Published behaviour: cleaning collapses the double underscores of the placeholders, so
-    the step that would put the equations back finds none and is left out here.
-    """
-    if not preserve_math:
-        return clean_text(text)
+def hide_equations(text: Column) -> Column:
+    """The text with each distinct equation replaced by its numbered placeholder."""
 
     def hidden(contents: Column) -> Column:
         # A content hidden once is gone from the text: only its first number counts.
@@ -136,5 +130,22 @@ def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
             lambda t, c: F.replace(t, c, _mark(F.array_position(contents, c) - 1)),
         )
 
-    contents = F.concat(*[_matches(text, p) for _, p in fv.EQUATION_PATTERNS])
-    return clean_text(let(contents, hidden))
+    return let(F.concat(*[_matches(text, p) for _, p in fv.EQUATION_PATTERNS]), hidden)
+
+
+def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
+    """Clean with equations hidden behind placeholders.
+
+    Published behaviour: cleaning collapses the double underscores of the placeholders, so
+    the step that would put the equations back finds none and is left out here.
+    """
+    return clean_text(hide_equations(text) if preserve_math else text)
+
+
+def clean_column_for_chunking(
+    df: DataFrame, column: str, preserve_math: bool = True
+) -> DataFrame:
+    """The same for a whole corpus, with the guarded cleaning chain."""
+    if preserve_math:
+        df = df.withColumn(column, hide_equations(F.col(column)))
+    return clean_column(df, column)

@@ -51,6 +51,11 @@ def _clean_text_full(spark, sf):
     return _digest(cleaning.clean_column(noisy_texts(spark, sf), "text"), F.col("text"))
 
 
+def _clean_for_chunking(spark, sf):
+    cleaned = math_blocks.clean_column_for_chunking(noisy_texts(spark, sf), "text")
+    return _digest(cleaned, F.col("text"))
+
+
 # --- math -------------------------------------------------------------------------
 
 
@@ -645,7 +650,7 @@ QUERIES: dict[str, Query] = {
     "protect_math": _protect_math,
     "restore_math": _restore_math,
     "extract_equations": _extract_equations,
-    "clean_for_chunking": _cleaning(math_blocks.clean_for_chunking),
+    "clean_for_chunking": _clean_for_chunking,
     # structure
     "section_boundaries": _section_boundaries,
     "chunking_stats": _chunking_stats,

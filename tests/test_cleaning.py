@@ -73,6 +73,10 @@ def test_protect_and_restore(fuzz):
 
 def test_clean_for_chunking(fuzz):
     check(fuzz, math_blocks.clean_for_chunking(T()), bf.clean_around_math)
+    whole = math_blocks.clean_column_for_chunking(fuzz.withColumn("c", T()), "c")
+    check(whole, F.col("c"), bf.clean_around_math)
+    plain = math_blocks.clean_column_for_chunking(fuzz.withColumn("c", T()), "c", False)
+    check(plain, F.col("c"), bf.clean)
 
 
 def test_section_boundaries(fuzz):
