@@ -77,6 +77,11 @@ LATEX_ESCAPES = [
     ("\\]", "] "),
 ]
 
+# --- fixed values: math symbols ---------------------------------------------------
+MATH_SYMBOLS = "∑∫∏√∂∇∞∈∉⊂⊃∩∪∧∨∀∃¬"
+# The range test in front spares ordinary characters one test per symbol.
+_SYMBOL = rf"(?=[¬\x{{2200}}-\x{{22FF}}])[{MATH_SYMBOLS}]"
+
 # --- fixed values: math block patterns (type, pattern) ----------------------------
 _INLINE_DOLLAR = r"\$[^\$]+\$"
 _DISPLAY = r"(?s)\\\[.*?\\\]"
@@ -97,12 +102,12 @@ EQUATION_PATTERNS = [
     ("display", r"(?s)\\begin\{align\}.*?\\end\{align\}"),
     ("display", r"(?s)\\begin\{eqnarray\}.*?\\end\{eqnarray\}"),
     ("simple", rf"[=≠≤≥±×÷]{S}*[0-9a-zA-Z()\^_{{}}]+"),
-    ("symbol", "[∑∫∏√∂∇∞∈∉⊂⊃∩∪∧∨∀∃¬]"),
+    ("symbol", _SYMBOL),
 ]
 EQUATION_CONTEXT_CHARS = 100
 
 COUNTED_EQUATION_PATTERNS = [_INLINE_DOLLAR, _DISPLAY, _INLINE_PAREN]
-MATH_CHARACTER = r"[\$\\∑∫∏√∂∇∞∈∉⊂⊃∩∪∧∨∀∃¬=≠≤≥±×÷\^_{}]"
+MATH_CHARACTER = rf"(?![a-zA-Z ])(?:[\$\\=≠≤≥±×÷\^_{{}}]|{_SYMBOL})"
 
 # --- fixed values: lines that open a section, and the word stride of page marks ---
 SECTION_LINE = (
@@ -149,7 +154,7 @@ REPEATED_LETTER = r"([a-zA-Z])\1{2,}"
 TRAILING_WHITESPACE = r"[ \t]+\n"
 UNICODE_MATH = (
     r"[\x{2200}-\x{22FF}\x{2A00}-\x{2AFF}\x{27C0}-\x{27EF}\x{2980}-\x{29FF}"
-    "∑∫∏√∂∇∞∈∉⊂⊃∩∪∧∨∀∃¬=≠≤≥±×÷]"
+    "¬=±×÷]"  # the other symbols and relations lie in the first range
 )
 HIGH_MATH_DENSITY = 0.03
 CAPTION_PATTERNS = [

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
-from folioforge.functions.charclass import let
+from folioforge.functions.charclass import let, record
 from folioforge.functions.cleaning import clean_column, clean_text
 
+_BLOCK_CHARS = 1024
 _BLOCK = "array<struct<placeholder:string,content:string,type:string>>"
 _EQUATION = "array<struct<content:string,type:string,start:int,end:int,context:string>>"
 
@@ -70,49 +71,60 @@ def restore_math_blocks(text: Column, blocks: Column) -> Column:
     )
 
 
-def _locate(text: Column, eq_type: str, pattern: str) -> Column:
+def _context(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters around ``[start, end)``, from the blocks they lie in.
+
+    A substring of the whole text would be searched from its first character each time.
+    """
+    n = fv.EQUATION_CONTEXT_CHARS
+    left = F.greatest(start - n, F.lit(0))
+    first = F.floor(left / _BLOCK_CHARS).cast("int")
+    last = F.floor((end + n) / _BLOCK_CHARS).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.substring(near, left - first * _BLOCK_CHARS + 1, end + n - left)
+
+
+def _locate(text: Column, blocks: Column, eq_type: str, pattern: str) -> Column:
     """All matches of one pattern with offsets.
 
     Gap and match lengths alternate, so a running sum over them yields the offsets
     without searching the text again.
     """
-    n = fv.EQUATION_CONTEXT_CHARS
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["pos"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
-        row = F.struct(
-            pair["hit"].alias("content"),
-            F.lit(eq_type).alias("type"),
-            start.alias("start"),
-            end.alias("end"),
-            F.substring(
-                text,
-                F.greatest(start - n, F.lit(0)) + 1,
-                end + n - F.greatest(start - n, F.lit(0)),
-            ).alias("context"),
-        )
-        return F.struct(
-            end.alias("pos"), F.concat(acc["out"], F.array(row).cast(_EQUATION)).alias("out")
+        row = record(
+            content=pair["hit"],
+            type=F.lit(eq_type),
+            start=start,
+            end=end,
+            context=_context(blocks, start, end),
         )
+        return record(pos=end, out=F.concat(acc["out"], F.array(row)))
 
     pairs = F.zip_with(
         F.split(text, pattern, -1),
         _matches(text, pattern),
         lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
     )
+    none = F.array().cast(_EQUATION)
     found = F.aggregate(
         F.filter(pairs, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(_EQUATION).alias("out")),
+        record(pos=F.lit(0), out=none),
         step,
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_EQUATION))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def extract_equations(text: Column) -> Column:
     """Equations as ``array<struct<content,type,start,end,context>>``, pattern by pattern."""
-    return F.concat(*[_locate(text, t, p) for t, p in fv.EQUATION_PATTERNS])
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK_CHARS}}}"), F.lit(0))
+    return let(
+        blocks,
+        lambda b: F.concat(*[_locate(text, b, t, p) for t, p in fv.EQUATION_PATTERNS]),
+    )
 
 
 def _mark(i: Column) -> Column:

@@ -82,11 +82,13 @@ class VectorIndex:
         """Best k rows for each query ``(query_id, vec)`` with their metadata."""
         if self.table is None:
             raise RuntimeError("Cannot search: index has not been built or loaded.")
-        odd = queries.filter(F.size("vec") != self.dimension).select(F.size("vec")).first()
-        if odd:
-            raise ValueError(f"Query dim {odd[0]} != index dimension {self.dimension}")
         hits = top_k(
-            self.table, queries, k, unit_queries=normalize, unit_index=False
+            self.table,
+            queries,
+            k,
+            unit_queries=normalize,
+            unit_index=False,
+            dimension=self.dimension,
         )
         return hits.join(self.table.drop("vec"), "row")
 

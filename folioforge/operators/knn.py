@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.session import cut_lineage
+
 HIT = "query_id long, row long, score double"
 _HIT_ARROW = pa.schema(
     [("query_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())]
@@ -186,12 +188,14 @@ def top_k(
     unit_queries: bool = True,
     unit_index: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
+    dimension: int | None = None,
 ) -> DataFrame:
     """Best k index rows per query: ``(query_id, rank, row, score)``.
 
     ``index`` has ``row`` and ``vec``, ``queries`` has ``query_id`` and ``vec``; the flags
     scale either side to unit length, which makes the score the cosine.  Ties go to the
-    lower row; fewer than k rows come back when the index is smaller.
+    lower row; fewer than k rows come back when the index is smaller.  With
+    ``dimension`` queries of another length are refused before the index is read.
     """
     index = index.select(F.col("row").cast("long").alias("row"), "vec")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vec")
@@ -211,8 +215,11 @@ def top_k(
         )
     if size.lo != size.hi:
         raise ValueError(f"Queries differ in dimension: {size.lo} and {size.hi}")
+    if dimension is not None and size.hi != dimension:
+        raise ValueError(f"Query dim {size.hi} != index dimension {dimension}")
     fits = 8 * size.n * size.hi <= broadcast_bytes
     table = queries.toArrow() if fits else None
+    stored = None if fits else cut_lineage(queries, "queries")
     queries.unpersist()
     if table is not None:
         matrix = _matrix(table.column("vec"), size.hi).astype("float64")
@@ -220,5 +227,5 @@ def top_k(
         scan = _scan_with(table.column("query_id").to_numpy(), matrix, k, unit_index)
         hits = index.mapInArrow(scan, HIT)
     else:
-        hits = _grid(index, queries, size.n, size.hi, k, unit_queries, unit_index)
+        hits = _grid(index, stored, size.n, size.hi, k, unit_queries, unit_index)
     return _keep_top(hits, k)
