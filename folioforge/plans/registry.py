@@ -25,7 +25,7 @@ from folioforge.operators.model_calls import judge_with_cache
 from folioforge.operators.ranks import number_rows
 from folioforge.plans import chunk_report, diagnostics
 from folioforge.plans.inputs import as_documents, load, noisy_texts, spread, texts, topped_texts
-from folioforge.session import new_table_path
+from folioforge.session import new_table_path, ship_package
 from folioforge.sources import tables
 from folioforge.streaming.ingest import stream_chunks
 
@@ -637,7 +637,7 @@ def _chat_history(spark, sf):
     )
 
 
-QUERIES: dict[str, Query] = {
+_QUERIES: dict[str, Query] = {
     # cleaning
     "clean_missing_spaces": _cleaning(cleaning.fix_missing_spaces),
     "clean_encoding": _cleaning(cleaning.fix_encoding_issues),
@@ -738,3 +738,16 @@ QUERIES: dict[str, Query] = {
     "retry_schedule": _retry_schedule,
     "chat_history": _chat_history,
 }
+
+
+def _ready(query: Query) -> Query:
+    """The query, with this package shipped to the workers of whatever session runs it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _ready(query) for name, query in _QUERIES.items()}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path or _own_dir(spark.sparkContext.applicationId)
 
 
+@lru_cache
+def _package_zip() -> str:
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="folioforge-")) / package.name
+    return shutil.make_archive(str(base), "zip", package.parent, package.name)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, once.
+
+    Needed where the session was not started with the package on its path, as with
+    ``spark-submit --py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        context.addPyFile(_package_zip())
+        _shipped.add(context.applicationId)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

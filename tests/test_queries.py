@@ -87,3 +87,20 @@ def test_patterns_are_matched_once(spark):
     p = plan(QUERIES["worst_chunks"](spark, SF))
     assert p.count("Ž[\\p") == 1
     assert plan(QUERIES["chunk_documents"](spark, SF)).count("CHAPTER|Chapter") == 1
+
+
+def test_workers_get_the_package(tmp_path):
+    """In a session started elsewhere, Python workers still find the package."""
+    import subprocess
+    import sys
+
+    code = (
+        f"import sys; sys.path.insert(0, {os.path.dirname(contract.__file__)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "import __spark_entry__ as e\n"
+        "print('rows', e.entry(SparkSession.builder.master('local[2]').getOrCreate()).count())\n"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120
+    )
+    assert "rows 2500" in done.stdout, done.stderr[-2000:]
