@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,10 +36,16 @@ def _own_dir(application: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can see, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary folder stands in.
+    A temporary folder stands in only where driver and executors are one process.  Anywhere
+    else it would be another folder on each machine, so a missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or _own_dir(spark.sparkContext.applicationId)
+    if path:
+        return path
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder with master {master!r}")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 @lru_cache
