@@ -5,32 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import block_naming
+from folioforge.llm import block_naming, mixing, quality_rules, url_reputation
+from folioforge.llm.sql import OP1, OP2, OP6, OP7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+URL_RULES = [
+    url_reputation.Rule("block", "net", "/"),
+    url_reputation.Rule("allow", "example.net", "/en/"),
+    url_reputation.Rule("block", "example.com", "/de/"),
+    url_reputation.Rule("allow", "org", "/fr/"),
+]
+
 
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _op1(spark, sf_dir):
+    """The last part of a page's path names the document that its labels are about."""
+    pages, labels = _load(spark, sf_dir, "pages"), _load(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    named = url_reputation.with_host_and_path(pages.select("page_id", "url")).select(
+        "host", F.regexp_extract("path", r"/([0-9]{1,18})(?:\.html)?/?$", 1).alias("number")
+    )
+    seen = named.filter("number != ''").withColumn("doc_id", F.col("number").cast("long"))
+    outcomes = seen.join(bad, "doc_id").select("host", "bad")
+    return url_reputation.judge_urls(pages, outcomes, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
 def _op2(spark, sf_dir):
     found = block_naming.exact_duplicates(_load(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _op6(spark, sf_dir):
+    return mixing.copies(_load(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+def _op7(spark, sf_dir):
+    return quality_rules.judged(_load(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
+    "op6_mixing": _op6,
+    "op7_quality_rules": _op7,
 }
 
 ORACLE: dict[str, str] = {
-    "op2_exact_dedup": """
-        SELECT doc_id,
-               max(doc_id) OVER same AS keep_id,
-               count(*) OVER same AS group_size,
-               row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept,
-               sha256(t) AS text_sha256
-        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-        WINDOW same AS (PARTITION BY t)""",
+    "op1_url_filter": OP1,
+    "op2_exact_dedup": OP2,
+    "op6_mixing": OP6,
+    "op7_quality_rules": OP7,
 }
