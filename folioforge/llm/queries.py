@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import block_naming, mixing, quality_rules, url_reputation
-from folioforge.llm.sql import OP1, OP2, OP6, OP7
+from folioforge.llm import block_naming, license_scan, mixing, quality_rules, url_reputation
+from folioforge.llm.rows import ROW
+from folioforge.llm.sql import OP1, OP2, OP6, OP7, OP9
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,11 +69,16 @@ def _op7(spark, sf_dir):
     )
 
 
+def _op9(spark, sf_dir):
+    return license_scan.scan(_load(spark, sf_dir, "documents")).drop(ROW)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
     "op6_mixing": _op6,
     "op7_quality_rules": _op7,
+    "op9_license_scan": _op9,
 }
 
 ORACLE: dict[str, str] = {
@@ -80,4 +86,5 @@ ORACLE: dict[str, str] = {
     "op2_exact_dedup": OP2,
     "op6_mixing": OP6,
     "op7_quality_rules": OP7,
+    "op9_license_scan": OP9,
 }

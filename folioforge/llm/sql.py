@@ -1,5 +1,9 @@
 """The queries of this subpackage in SQL, for DuckDB, where SQL can express them."""
 
+import re
+
+from folioforge.llm.license_scan import PHRASES, TEMPLATES
+from folioforge.llm.license_scan import WORD as LICENSE_WORD
 from folioforge.llm.quality_rules import STOP_WORDS
 from folioforge.llm.url_reputation import TWO_LABEL_SUFFIXES
 
@@ -160,3 +164,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        AND 2 * n_dup_lines <= n_lines AND 2 * n_repeat_words <= n_words AS kept
 FROM counts
 """
+
+
+def _template_rows(k: int = 3) -> str:
+    rows = []
+    for number, (label, text) in enumerate(TEMPLATES):
+        w = re.findall(LICENSE_WORD, text.lower())
+        rows += [
+            f"({number}, '{label}', '{' '.join(w[i : i + k])}', {i}, {len(w) - k + 1}, {len(w)})"
+            for i in range(len(w) - k + 1)
+        ]
+    return ", ".join(rows)
+
+
+_BASE_HITS = " UNION ALL ".join(
+    f"""SELECT doc_id, i, '{label}' AS label FROM placed
+        WHERE {" AND ".join(f"w{j} = '{p}'" for j, p in enumerate(phrase.split()))}"""
+    for phrase, label in PHRASES
+)
+
+OP9 = rf"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+words AS (SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS i FROM docs),
+placed AS (
+    SELECT doc_id, i, w0, lead(w0) OVER d AS w1, lead(w0, 2) OVER d AS w2
+    FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+base AS (
+    SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+           list_distinct(list(label)) AS own
+    FROM ({_BASE_HITS}) GROUP BY doc_id),
+runs(template, label, run, place, n_runs, n_words) AS (VALUES {_template_rows()}),
+votes AS (
+    SELECT doc_id, template, label, n_runs, n_words, i - place AS diagonal,
+           min(i) AS first, max(i) AS last, list_distinct(list(place)) AS places
+    FROM placed JOIN runs ON w2 IS NOT NULL AND concat(w0, ' ', w1, ' ', w2) = run
+    GROUP BY ALL),
+marked AS (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER d > 3 THEN 1 ELSE 0 END AS new
+    FROM votes WINDOW d AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+numbered AS (
+    SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+spans AS (
+    SELECT doc_id, label, len(list_distinct(flatten(list(places)))) / n_runs::DOUBLE AS coverage,
+           max(last) + 2 - min(first) + 1 <= n_words * 1.5 AS short
+    FROM numbered GROUP BY doc_id, template, label, n_runs, n_words, span),
+voted AS (
+    SELECT doc_id, list(label) FILTER (coverage >= 0.8 AND short) AS more, max(coverage) AS score
+    FROM spans GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels,
+       coalesce(score, 0) AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN voted USING (doc_id)
+"""
