@@ -145,8 +145,12 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     of rows that share the largest id, one stays.  An empty table gives no rows.
     """
     named = cut_lineage(identities(docs, block_bytes), "identities")
-    groups = named.groupBy("n_blocks", "name").agg(
-        F.max(F.struct("doc_id", ROW)).alias("keep"), F.count(F.lit(1)).alias("group_size")
+    # Written, so that a large group's rows meet its one row in a join that Spark can split.
+    groups = cut_lineage(
+        named.groupBy("n_blocks", "name").agg(
+            F.max(F.struct("doc_id", ROW)).alias("keep"), F.count(F.lit(1)).alias("group_size")
+        ),
+        "groups",
     )
     return named.join(groups, ["n_blocks", "name"]).select(
         ROW,
