@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import block_naming, license_scan, mixing, quality_rules, url_reputation
+from folioforge.llm import (
+    block_naming,
+    boosted_quality,
+    license_scan,
+    mixing,
+    quality_rules,
+    url_reputation,
+)
 from folioforge.llm.rows import ROW
 from folioforge.llm.sql import OP1, OP2, OP6, OP7, OP9
 
@@ -73,12 +80,19 @@ def _op9(spark, sf_dir):
     return license_scan.scan(_load(spark, sf_dir, "documents")).drop(ROW)
 
 
+def _op10(spark, sf_dir):
+    docs = _load(spark, sf_dir, "documents")
+    model = boosted_quality.fit_quality(docs, _load(spark, sf_dir, "labels"))
+    return boosted_quality.score(docs, model)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
     "op6_mixing": _op6,
     "op7_quality_rules": _op7,
     "op9_license_scan": _op9,
+    "op10_quality_boosting": _op10,
 }
 
 ORACLE: dict[str, str] = {
