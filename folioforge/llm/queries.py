@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import (
     block_naming,
     boosted_quality,
+    language_id,
     license_scan,
     mixing,
     quality_rules,
@@ -53,6 +54,12 @@ def _op2(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _op4(spark, sf_dir):
+    docs = _load(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def _op6(spark, sf_dir):
     return mixing.copies(_load(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -89,6 +96,7 @@ def _op10(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
+    "op4_language_id": _op4,
     "op6_mixing": _op6,
     "op7_quality_rules": _op7,
     "op9_license_scan": _op9,
