@@ -13,6 +13,7 @@ from folioforge.llm import (
     language_id,
     license_scan,
     mixing,
+    packing,
     quality_rules,
     url_reputation,
 )
@@ -60,6 +61,10 @@ def _op4(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def _op5(spark, sf_dir):
+    return packing.packed(_load(spark, sf_dir, "documents"))
+
+
 def _op6(spark, sf_dir):
     return mixing.copies(_load(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
     "op4_language_id": _op4,
+    "op5_packing": _op5,
     "op6_mixing": _op6,
     "op7_quality_rules": _op7,
     "op9_license_scan": _op9,
