@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from folioforge.llm import (
     mixing,
     packing,
     quality_rules,
+    simhash,
     url_reputation,
 )
 from folioforge.llm.rows import ROW
@@ -55,6 +57,10 @@ def _op2(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _op3(spark, sf_dir):
+    return simhash.linked(_load(spark, sf_dir, "documents"))
+
+
 def _op4(spark, sf_dir):
     docs = _load(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
@@ -101,12 +107,14 @@ def _op10(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
+    "op3_simhash": _op3,
     "op4_language_id": _op4,
     "op5_packing": _op5,
     "op6_mixing": _op6,
     "op7_quality_rules": _op7,
     "op9_license_scan": _op9,
     "op10_quality_boosting": _op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
