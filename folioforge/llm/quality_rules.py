@@ -127,4 +127,7 @@ def judged(docs: DataFrame, *keep: str, rules: tuple[Bound, ...] = RULES) -> Dat
 def keep_good(docs: DataFrame, rules: tuple[Bound, ...] = RULES) -> DataFrame:
     """The documents that are kept, with all their columns."""
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["text"])
-    return judged(whole, "_doc", rules=rules).filter("kept").select("_doc.*")
+    verdicts = judged(whole, "_doc", rules=rules)
+    # A filter would be pushed below the counts, and each of its terms would count again.
+    stays = verdicts.select(F.explode_outer(F.when(F.col("kept"), F.array("_doc"))).alias("_kept"))
+    return stays.filter(F.col("_kept").isNotNull()).select("_kept.*")
