@@ -101,15 +101,12 @@ def spans(docs: DataFrame, templates=TEMPLATES, voting: Voting = Voting()) -> Da
     that got votes; words count from 0 and the last one is part of the span."""
     k = voting.k
     words = with_row_id(docs.select(text_of(docs).alias("_t"))).select(ROW, _words(F.col("_t")).alias("w"))
-    runs = words.filter(F.size("w") >= k).select(
-        ROW,
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("w") - (k - 1)),
-                lambda i: F.concat_ws(" ", *[F.get("w", i + (j - 1)) for j in range(k)]),
-            )
-        ).alias("pos", "run"),
+    every = F.transform(
+        F.sequence(F.lit(0), F.size("w") - k),
+        lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(k)]),
     )
+    # No filter: pushed down, it would look for the words a second time.
+    runs = words.select(ROW, F.posexplode(F.when(F.size("w") >= k, every)).alias("pos", "run"))
     known = template_runs(docs.sparkSession, templates, k)
     hits = runs.withColumn("h", F.xxhash64("run")).join(F.broadcast(known), ["h", "run"])
     votes = hits.groupBy(ROW, "template", "label", "n_runs", "n_words", (F.col("pos") - F.col("place")).alias("diagonal")).agg(
