@@ -17,6 +17,7 @@ from folioforge.llm import (
     packing,
     quality_rules,
     simhash,
+    suffix_dedup,
     url_reputation,
 )
 from folioforge.llm.rows import ROW
@@ -94,6 +95,10 @@ def _op7(spark, sf_dir):
     )
 
 
+def _op8(spark, sf_dir):
+    return suffix_dedup.cleaned(_load(spark, sf_dir, "documents"))
+
+
 def _op9(spark, sf_dir):
     return license_scan.scan(_load(spark, sf_dir, "documents")).drop(ROW)
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": _op5,
     "op6_mixing": _op6,
     "op7_quality_rules": _op7,
+    "op8_suffix_dedup": _op8,
     "op9_license_scan": _op9,
     "op10_quality_boosting": _op10,
     "pipeline": corpus_pipeline.run,
