@@ -108,7 +108,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents of the mix, with all their columns, repeated as often as taken."""
-    taken = copies(docs, weights, most).filter("copies > 0").select(ROW, "copies")
-    repeated = with_row_id(docs).join(taken, ROW)
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    taken = copies(docs, weights, most).filter("copies > 0")
+    repeated = with_row_id(docs).join(taken.select(ROW, F.col("copies").alias("_copies")), ROW)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     return repeated.withColumn("_copy", times).select(*[docs[c] for c in docs.columns])
