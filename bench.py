@@ -1,4 +1,4 @@
-"""Headline queries at ``$BENCH_SF_DIR``; prints one JSON line."""
+"""All queries of the core library at ``$BENCH_SF_DIR``; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -9,47 +9,20 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from folioforge.plans.inputs import PARTITIONS  # noqa: E402
 from folioforge.plans.registry import QUERIES  # noqa: E402
 from folioforge.session import local_session  # noqa: E402
 
-HEADLINES = [
-    "clean_text_full",
-    "clean_for_chunking",
-    "extract_equations",
-    "section_boundaries",
-    "chunk_documents",
-    "chunk_size_profile",
-    "chunk_adjacency",
-    "chunk_duplicates",
-    "extraction_overall",
-    "mojibake_patterns",
-    "size_profile",
-    "heading_samples",
-    "per_book_quality",
-    "worst_chunks",
-    "ingest_pages",
-    "encode_documents",
-    "cached_embedding",
-    "knn_all_top5",
-    "knn_blocks_top5",
-    "indexed_search",
-    "retrieve_benchmark",
-    "judged_metrics",
-    "eval_breakdown",
-    "answers",
-    "stream_chunks",
-]
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(PARTITIONS, str(2 * spark.sparkContext.defaultParallelism))
     # JVM and Python workers come up outside the measured queries.
     spark.range(0, 64, 1, 8).mapInPandas(lambda batches: batches, "id long").count()
     seconds: dict[str, float] = {}
-    for name in HEADLINES:
+    for name in sorted(QUERIES):
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

@@ -43,9 +43,7 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
         else {}
     )
     pages = pdf.read_pdf_pages(spark, a.pdfs, a.images, titles=titles)
-    docs = documents_from_pages(pages, books).withColumn("file", F.col("metadata")["book_file"])
-    ordered = number_rows(docs.drop("doc_seq"), ["file", "page_number"], "doc_seq").drop("file")
-    tables.write_documents(ordered, a.out)
+    tables.write_documents(documents_from_pages(pages, books), a.out)
     back = tables.read_documents(spark, a.out)
     chunk_report.corpus_totals(back).show(truncate=False)
     chunk_report.per_book_totals(back).show(truncate=False)
@@ -111,7 +109,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     hits = _retriever(spark, a).search(golden.select("query_id", "query"), a.k)
     prompts = evaluation.judge_prompts(golden.drop("book"), hits)
     judge = gemini_client(a.judge, fv.JUDGE_TEMPERATURE)
-    judged = evaluation.decide(judge_with_cache(prompts, judge, a.judge_cache))
+    judged = evaluation.decide(judge_with_cache(prompts, judge, a.judge_cache, model_key=a.judge))
     results = evaluation.query_results(golden, judged)
     results.write.parquet(f"{a.out}/results")
     results = spark.read.parquet(f"{a.out}/results")

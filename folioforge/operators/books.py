@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
 from folioforge.functions.charclass import is_blank
 from folioforge.functions.cleaning import clean_column
 from folioforge.functions.structure import document_id
+from folioforge.session import cut_lineage
 
 
 def with_book_metadata(pages: DataFrame, books: DataFrame | None) -> DataFrame:
@@ -42,6 +43,8 @@ def documents_from_pages(pages: DataFrame, books: DataFrame | None = None) -> Da
     """Pages ``(file, page0, total_pages, text, images)`` to ``schemas.DOCUMENT``.
 
     Text is cleaned, pages left blank are dropped, and each page carries its book.
+    ``doc_seq`` orders the corpus by file and page and is unique: a file's pages follow the
+    ones of the files before it.
     """
     # Cleaning removes no visible character, so a page is blank after it exactly when it
     # is blank before; filtering first keeps the predicate at the scan.
@@ -69,7 +72,8 @@ def documents_from_pages(pages: DataFrame, books: DataFrame | None = None) -> Da
         ),
         lambda _, v: v.isNotNull(),
     )
-    return known.select(
+    documents = known.select(
+        "file",
         document_id(F.col("file"), F.col("page0")).alias("id"),
         F.col("text").alias("content"),
         metadata.alias("metadata"),
@@ -78,5 +82,16 @@ def documents_from_pages(pages: DataFrame, books: DataFrame | None = None) -> Da
         F.lit("").alias("chapter"),
         F.lit("").alias("section"),
         "images",
-        F.col("page0").cast("long").alias("doc_seq"),
+        F.col("page0").cast("long").alias("_page"),
+    )
+    # Stored: numbering files takes a pass over all pages, and pages must not be parsed twice.
+    documents = cut_lineage(documents, "documents")
+    # One row per file, however many pages.
+    lengths = documents.groupBy("file").agg((F.max("_page") + 1).alias("_n"))
+    before = lengths.select(
+        "file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before")
+    )
+    numbered = documents.join(before, "file")
+    return numbered.withColumn("doc_seq", F.col("_before") + F.col("_page")).drop(
+        "file", "_page", "_before"
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folioforge import schemas
 from folioforge.functions import fixed_values as fv
 from folioforge.functions.structure import embedding_cache_key
-from folioforge.sources.tables import append_rows, read_or_empty
+from folioforge.sources.tables import append_rows, one_per_key, read_or_empty
 
 
 class Encoder(Protocol):
@@ -99,11 +99,12 @@ def encode_column(
 class EmbeddingCache:
     """Vectors by key in a table of the shared folder.
 
-    ``key="chunk"`` keys on the chunk id as published; ``key="content"`` keys on model and
-    text, so that changed texts and other models do not get stale vectors.
+    ``key="content"`` keys on model and text, so that changed texts and other models do not
+    get stale vectors; ``key="chunk"`` keys on the chunk id as published, whose 48 bits are
+    not unique in corpora of many millions of chunks.  A broken file of the table is an error.
     """
 
-    def __init__(self, spark, path: str, key: str = "chunk", model_key: str = "") -> None:
+    def __init__(self, spark, path: str, key: str = "content", model_key: str = "") -> None:
         self.spark, self.path, self.key, self.model_key = spark, path, key, model_key
 
     def _key(self):
@@ -115,7 +116,9 @@ class EmbeddingCache:
         return chunks.withColumn("cache_key", self._key())
 
     def table(self) -> DataFrame:
-        return read_or_empty(self.spark, self.path, schemas.EMBEDDING_CACHE)
+        """One vector per key, whoever has written it how often."""
+        stored = read_or_empty(self.spark, self.path, schemas.EMBEDDING_CACHE)
+        return one_per_key(stored, "cache_key", "embedding")
 
     def hits(self, chunks: DataFrame) -> DataFrame:
         """Chunks with a cached vector."""
@@ -163,7 +166,10 @@ def embed_chunks(
     if cache is None:
         return encode_column(chunks, "content", make_encoder, batch_size=batch_size)
     cache.add(encode_column(cache.misses(chunks), "content", make_encoder, batch_size=batch_size))
-    return cache.keyed(chunks).join(cache.table(), "cache_key", "left").drop("cache_key")
+    joined = cache.keyed(chunks).join(cache.table(), "cache_key", "left")
+    lost = F.raise_error(F.concat(F.lit("No vector for chunk "), F.coalesce("id", F.lit("?"))))
+    vector = F.coalesce("embedding", lost.cast("array<float>"))
+    return joined.withColumn("embedding", vector).drop("cache_key")
 
 
 def embedding_rows(chunks: DataFrame) -> DataFrame:

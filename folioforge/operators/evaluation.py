@@ -23,7 +23,7 @@ def decide(responses: DataFrame) -> DataFrame:
 def query_results(golden: DataFrame, judged: DataFrame) -> DataFrame:
     """One row per golden entry from its (at most k) judged hits.
 
-    ``rank`` and ``best_score`` belong to the first relevant hit; an entry without hits
+    ``id`` is the golden entry's own, ``query_id`` its number.  ``rank`` and ``best_score`` belong to the first relevant hit; an entry without hits
     stays in with no judgments.
     """
     first = F.when(F.col("relevant"), F.col("rank"))
@@ -42,11 +42,13 @@ def query_results(golden: DataFrame, judged: DataFrame) -> DataFrame:
             h["book"].alias("book"), h["page"].alias("page"), h["score"].alias("score")
         ),
     )
+    named = F.col("id") if "id" in golden.columns else F.col("query_id")
     keys = golden.select(
-        "query_id", F.col("book").alias("golden_book"), "difficulty", "query"
+        "query_id", named.cast("string").alias("id"), F.col("book").alias("golden_book"), "difficulty", "query"
     )
     return keys.join(per_query, "query_id", "left").select(
         "query_id",
+        "id",
         F.col("golden_book").alias("book"),
         "difficulty",
         "query",
@@ -113,6 +115,7 @@ def failures(results: DataFrame) -> DataFrame:
     top = F.try_element_at("retrieved", F.lit(1))
     return results.filter(~F.col("hit")).select(
         "query_id",
+        "id",
         "difficulty",
         F.coalesce(top["book"], F.lit("?")).alias("top_book"),
         F.coalesce(top["page"].cast("string"), F.lit("?")).alias("top_page"),
@@ -123,6 +126,7 @@ def per_entry(results: DataFrame) -> DataFrame:
     """Printable columns of the per-query table."""
     return results.select(
         "query_id",
+        "id",
         "difficulty",
         F.when(F.col("hit"), "yes").otherwise("no").alias("hit"),
         F.coalesce(F.col("rank").cast("string"), F.lit("-")).alias("rank"),
@@ -131,12 +135,30 @@ def per_entry(results: DataFrame) -> DataFrame:
     )
 
 
-def write_summary(results: DataFrame, k: int, config: dict[str, str], path: str) -> None:
-    """The result record as JSON lines folders: config, metrics and per-query results."""
+def record(results: DataFrame, k: int, config: dict[str, str]) -> DataFrame:
+    """The evaluation record in one table: ``section`` is ``config``, ``overall``, ``book``,
+    ``difficulty`` or ``query``, and ``name`` the parameter, group or golden id."""
     spark = results.sparkSession
-    row = [F.lit(str(v)).alias(name) for name, v in config.items()]
-    spark.range(1).select(*row).write.json(f"{path}/config")
-    breakdown(results, k).write.json(f"{path}/metrics")
-    results.withColumnRenamed("retrieved", "top_retrieved").withColumnRenamed(
-        "query_id", "id"
-    ).write.json(f"{path}/per_query")
+    settings = spark.createDataFrame(
+        [("config", n, str(v)) for n, v in config.items()], "section string, name string, value string"
+    )
+    metrics = breakdown(results, k).withColumnRenamed("slice", "section")
+    queries = results.select(
+        F.lit("query").alias("section"),
+        F.col("id").alias("name"),
+        "book",
+        "difficulty",
+        "query",
+        "hit",
+        "rank",
+        "best_score",
+        "chunk_judgments",
+        F.col("retrieved").alias("top_retrieved"),
+    )
+    both = settings.unionByName(metrics, allowMissingColumns=True)
+    return both.unionByName(queries, allowMissingColumns=True)
+
+
+def write_summary(results: DataFrame, k: int, config: dict[str, str], path: str) -> None:
+    """The record as one folder of JSON lines; columns a line has no use for are left out."""
+    record(results, k, config).write.json(path)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from folioforge.functions.charclass import is_blank
 from folioforge.functions.vectors import l2_normalize
 from folioforge.operators.embedding import Encoder, embedding_model, encode_column
-from folioforge.operators.knn import top_k
+from folioforge.operators.knn import BROADCAST_BYTES, top_k
 from folioforge.operators.ranks import number_rows
+from folioforge.session import cut_lineage
 
 INDEX_TYPE = "exact inner product"
+# A hit in memory: query, rank, row and score, and what a row has besides.
+HIT_BYTES = 64
 
 
 class VectorIndex:
@@ -47,8 +50,13 @@ class VectorIndex:
             F.lit(f" != declared dimension {self.dimension}"),
         )
         values = l2_normalize(vec) if normalize else vec
-        checked = F.when(size == self.dimension, values.cast("array<float>")).otherwise(
-            F.raise_error(problem).cast("array<float>")
+        # NaN is not below infinity either.
+        finite = F.forall(vec, lambda x: F.abs(x) < F.lit(float("inf")))
+        endless = F.concat(F.lit("Vector of row "), F.col("row").cast("string"), F.lit(" is not finite"))
+        checked = (
+            F.when(size != self.dimension, F.raise_error(problem).cast("array<float>"))
+            .when(~finite, F.raise_error(endless).cast("array<float>"))
+            .otherwise(values.cast("array<float>"))
         )
         numbered = number_rows(rows, order)
         if model_key is not None:
@@ -90,7 +98,11 @@ class VectorIndex:
             unit_index=False,
             dimension=self.dimension,
         )
-        return hits.join(self.table.drop("vec"), "row")
+        # Stored, and with that known: k rows a query, broadcast if they are as few as to fit,
+        # so that the table with the texts stays where it is.
+        found = cut_lineage(hits, "hits")
+        few = found.count() * HIT_BYTES <= BROADCAST_BYTES
+        return self.table.drop("vec").join(F.broadcast(found) if few else found, "row")
 
     def stats(self) -> DataFrame:
         """One row: built, ntotal, dimension, metadata_rows, index_type."""

@@ -2,7 +2,8 @@
 
 Top-k decomposes: the best k of every index block contain the best k overall.  Each task
 multiplies the query matrix with its share of the index and hands on k rows per query, so
-vectors never move and the shuffle carries results only.
+vectors never move and the shuffle carries results only.  More queries than fit a matrix of
+bounded size go past the index in rounds.
 """
 
 from __future__ import annotations
@@ -12,25 +13,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.session import cut_lineage
+from folioforge.session import new_table_path
 
 HIT = "query_id long, row long, score double"
 _HIT_ARROW = pa.schema(
     [("query_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())]
 )
 
-# Queries are shipped to every task only up to this size; beyond it, index and queries
-# meet block by block in a shuffle.
+# Bytes of queries that are shipped to every task at once; more take several rounds.
 BROADCAST_BYTES = 64 << 20
-_QUERY_BLOCK_BYTES = 16 << 20
-_INDEX_BLOCK_BYTES = 64 << 20
 # Scores held at once in a task.
 _TILE = 1 << 24
 _MERGE_SALTS = 64
 
 
-def _matrix(column: pa.Array, dim: int | None) -> np.ndarray:
-    """List column to a float32 matrix; every vector must have the same length."""
+def _matrix(column: pa.Array, dim: int | None, names: pa.Array, what: str) -> np.ndarray:
+    """List column to a float32 matrix; every vector must have the same length.
+
+    A vector that is not finite compares with nothing, so it is an error that names its row.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float32", copy=False)
@@ -40,7 +41,11 @@ def _matrix(column: pa.Array, dim: int | None) -> np.ndarray:
     if column.null_count or (lengths != d).any():
         found = sorted(set(lengths.tolist()) - {d}) or ["null"]
         raise ValueError(f"Query dim {d} != index dimension {found[0]}")
-    return flat.reshape(n, d)
+    matrix = flat.reshape(n, d)
+    broken = np.flatnonzero(~np.isfinite(matrix).all(axis=1))
+    if len(broken):
+        raise ValueError(f"Vector of {what} {names[int(broken[0])].as_py()} is not finite")
+    return matrix
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -102,7 +107,7 @@ def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vecs = _matrix(batch.column("vec"), queries.shape[1])
+            vecs = _matrix(batch.column("vec"), queries.shape[1], batch.column("row"), "row")
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             found = _score_block(queries, vecs, rows, k, unit_index)
             if kept is not None:
@@ -138,47 +143,12 @@ def _keep_top(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _grid(
-    index: DataFrame,
-    queries: DataFrame,
-    n_queries: int,
-    dim: int,
-    k: int,
-    unit_queries: bool,
-    unit_index: bool,
-) -> DataFrame:
-    """Both sides in blocks; each (query block, index block) cell is one bounded group."""
-    per_block = max(1, _QUERY_BLOCK_BYTES // (8 * dim))
-    q_blocks = -(-n_queries // per_block)
-    i_blocks = max(1, -(-index.count() * 4 * dim // _INDEX_BLOCK_BYTES))
-    # Fresh column names: index and queries may come from one table.
-    left = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"),
-        F.col("query_id").alias("q_id"),
-        F.col("vec").alias("q_vec"),
-    )
-    right = index.select(
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-        F.pmod(F.xxhash64("row"), F.lit(i_blocks)).cast("int").alias("ib"),
-        F.col("row").alias("i_row"),
-        F.col("vec").alias("i_vec"),
-    )
-
-    def cell(q: pa.Table, v: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or v.num_rows == 0:
-            return _HIT_ARROW.empty_table()
-        qm = _matrix(q.column("q_vec"), None).astype("float64")
-        vm = _matrix(v.column("i_vec"), qm.shape[1])
-        qm = _unit(qm) if unit_queries else qm
-        found = _score_block(qm, vm, v.column("i_row").to_numpy(), k, unit_index)
-        return pa.Table.from_batches([_as_hits(q.column("q_id").to_numpy(), found)])
-
-    return (
-        left.groupBy("qb", "ib")
-        .cogroup(right.groupBy("qb", "ib"))
-        .applyInArrow(cell, schema=HIT)
-    )
+def _in_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """Queries stored by block, so that a round reads its own only."""
+    path = new_table_path(queries.sparkSession, "queries")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    return queries.sparkSession.read.parquet(path)
 
 
 def top_k(
@@ -217,15 +187,25 @@ def top_k(
         raise ValueError(f"Queries differ in dimension: {size.lo} and {size.hi}")
     if dimension is not None and size.hi != dimension:
         raise ValueError(f"Query dim {size.hi} != index dimension {dimension}")
-    fits = 8 * size.n * size.hi <= broadcast_bytes
-    table = queries.toArrow() if fits else None
-    stored = None if fits else cut_lineage(queries, "queries")
+    blocks = max(1, -(-8 * size.n * size.hi // max(broadcast_bytes, 1)))
+    stored = None if blocks == 1 else _in_blocks(queries, min(blocks, size.n))
+    first = queries.toArrow() if stored is None else None
     queries.unpersist()
-    if table is not None:
-        matrix = _matrix(table.column("vec"), size.hi).astype("float64")
+
+    def scanned(table: pa.Table) -> DataFrame:
+        ids = table.column("query_id")
+        matrix = _matrix(table.column("vec"), size.hi, ids, "query").astype("float64")
         matrix = _unit(matrix) if unit_queries else matrix
-        scan = _scan_with(table.column("query_id").to_numpy(), matrix, k, unit_index)
-        hits = index.mapInArrow(scan, HIT)
-    else:
-        hits = _grid(index, stored, size.n, size.hi, k, unit_queries, unit_index)
-    return _keep_top(hits, k)
+        return index.mapInArrow(_scan_with(ids.to_numpy(), matrix, k, unit_index), HIT)
+
+    if stored is None:
+        return _keep_top(scanned(first), k)
+    # Each round ships one bounded block of queries to where the index is and stores its
+    # hits, so neither vectors nor the queries of other rounds move.
+    spark = index.sparkSession
+    path = new_table_path(spark, "hits")
+    for block in range(min(blocks, size.n)):
+        part = stored.filter(F.col("block") == block).select("query_id", "vec").toArrow()
+        if part.num_rows:
+            scanned(part).write.mode("append").parquet(path)
+    return _keep_top(spark.read.schema(HIT).parquet(path), k)

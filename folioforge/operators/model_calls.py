@@ -15,7 +15,12 @@ from folioforge import schemas
 from folioforge.functions import fixed_values as fv
 from folioforge.functions.structure import judge_cache_key
 from folioforge.session import cut_lineage
-from folioforge.sources.tables import append_rows, read_or_empty
+from folioforge.sources.tables import append_rows, one_per_key, read_or_empty
+
+#: The error of a prompt that was held back because one before it failed.
+NOT_SENT = "not sent"
+#: Prompts asked in a round, after which the answers are stored.
+ROUND = 2_000
 
 Client = Callable[[str, str], str]  # (system, user) -> text
 
@@ -67,21 +72,25 @@ def retry_call(
     max_delay: float = fv.MAX_DELAY,
     sleep: Callable[[float], None] = time.sleep,
 ):
-    """Result of ``fn``; transient failures are retried, others raised as LLMError."""
-    attempt = 1
-    while True:
+    """Result of ``fn``; transient failures are retried, others raised as LLMError.
+
+    The waits before each further attempt are one schedule, made up front: linear for rate
+    limits, doubling for everything else, and none after the last attempt.
+    """
+    schedule = [
+        {True: min(rate_limit_delay * n, max_delay), False: min(base_delay * 2 ** (n - 1), max_delay)}
+        for n in range(1, max_attempts)
+    ]
+    for waits in [*schedule, None]:
         try:
             return fn()
         except Exception as exc:
-            err = as_llm_error(exc, provider)
-            if not err.retryable:
-                raise err from exc
-            if attempt >= max_attempts:
-                raise RetryExhausted(str(err)) from exc
-        limited = err.status_code == fv.RATE_LIMIT_STATUS
-        delay = rate_limit_delay * attempt if limited else base_delay * 2 ** (attempt - 1)
-        sleep(min(delay, max_delay))
-        attempt += 1
+            failed = as_llm_error(exc, provider)
+            if not failed.retryable:
+                raise failed from exc
+            if waits is None:
+                raise RetryExhausted(str(failed)) from exc
+            sleep(waits[failed.status_code == fv.RATE_LIMIT_STATUS])
 
 
 def gemini_client(model_key: str, temperature: float) -> Callable[[], Client]:
@@ -123,10 +132,12 @@ def call_model(
     min_interval: float = 0.0,
     callers: int = 1,
     retry: dict | None = None,
+    stop_on_error: bool = False,
 ) -> DataFrame:
     """Add ``reply`` and ``error`` (one of them null) for the prompts of ``df``.
 
-    A null prompt is not sent and has neither.
+    A null prompt is not sent and has neither.  With ``stop_on_error`` a task sends nothing
+    after its first final error; the prompts it has left get the error ``NOT_SENT``.
     ``min_interval`` is the least time between two calls of the whole job.  Each of the
     ``callers`` tasks keeps that many intervals between its own calls and starts at its
     turn, so the tasks together never call more often.
@@ -139,12 +150,16 @@ def call_model(
         client = connect()
         turn = TaskContext.get().partitionId() % callers
         due = time.monotonic() + turn * min_interval
+        stopped = False
         for prompts in batches:
             rows = []
             for user in prompts:
                 if user is None:
                     rows.append((None, None))
                     continue
+                if stopped:
+                    rows.append((None, NOT_SENT))
+                    continue
                 time.sleep(max(0.0, due - time.monotonic()))
                 try:
                     reply = retry_call(
@@ -153,6 +168,7 @@ def call_model(
                     rows.append((reply, None))
                 except (LLMError, RetryExhausted) as e:
                     rows.append((None, str(e)))
+                    stopped = stop_on_error
                 due = time.monotonic() + own_interval
             yield pd.DataFrame(rows, columns=["reply", "error"])
 
@@ -173,12 +189,15 @@ def judge_with_cache(
     min_interval: float = fv.JUDGE_MIN_INTERVAL,
     callers: int | None = None,
     retry: dict | None = None,
+    round_size: int = ROUND,
 ) -> DataFrame:
     """Add ``response`` to rows with a ``prompt``; known prompts are not asked again.
 
-    Equal prompts are asked once, by ``callers`` tasks that share the pace.  Answers are stored before failures surface, so a run
-    stopped by a quota resumes where it ended.  With ``model_key`` the key also covers the
-    model; without it the key is the published one.
+    Equal prompts are asked once, by ``callers`` tasks that share the pace, in rounds of about
+    ``round_size``.  The answers of a round are stored before the next one, and the first
+    final error is the last: its task sends nothing more and no further round begins.  So a
+    killed run loses a round at most, a spent quota is not hammered, and the next run resumes.
+    With ``model_key`` the key also covers the model; without it the key is the published one.
     """
     spark = prompts.sparkSession
     tasks = callers or spark.sparkContext.defaultParallelism
@@ -188,25 +207,37 @@ def judge_with_cache(
     # Written once: prompts are read again after the calls, and must not change meanwhile.
     keyed = cut_lineage(prompts.withColumn("cache_key", judge_cache_key(text)), "prompts")
     known = read_or_empty(spark, cache_path, schemas.JUDGE_CACHE)
-    todo = (
+    todo = cut_lineage(
         keyed.select("cache_key", "prompt")
         .join(known, "cache_key", "left_anti")
-        .dropDuplicates(["cache_key"])
-        .repartition(tasks)
-    )
-    asked = call_model(
-        todo, "prompt", connect, min_interval=min_interval, callers=tasks, retry=retry
+        .groupBy("cache_key")
+        .agg(F.first("prompt").alias("prompt")),
+        "todo",
     )
-    append_rows(
-        asked.filter(F.col("error").isNull()).select(
-            "cache_key",
-            F.substring("prompt", 1, fv.JUDGE_CACHE_PROMPT_CHARS).alias("prompt"),
-            F.col("reply").alias("response"),
-        ),
-        cache_path,
+    rounds = max(1, -(-todo.count() // round_size))
+    for turn in range(rounds):
+        part = todo.filter(F.pmod(F.xxhash64("cache_key"), F.lit(rounds)) == turn)
+        asked = cut_lineage(
+            call_model(
+                part.repartition(tasks), "prompt", connect,
+                min_interval=min_interval, callers=tasks, retry=retry, stop_on_error=True,
+            ),
+            "asked",
+        )
+        append_rows(
+            asked.filter(F.col("error").isNull()).select(
+                "cache_key",
+                F.substring("prompt", 1, fv.JUDGE_CACHE_PROMPT_CHARS).alias("prompt"),
+                F.col("reply").alias("response"),
+            ),
+            cache_path,
+        )
+        if not asked.filter(F.col("error").isNotNull()).isEmpty():
+            break
+    answers = one_per_key(
+        read_or_empty(spark, cache_path, schemas.JUDGE_CACHE), "cache_key", "response"
     )
-    answers = read_or_empty(spark, cache_path, schemas.JUDGE_CACHE)
-    joined = keyed.join(answers.select("cache_key", "response"), "cache_key", "left")
+    joined = keyed.join(answers, "cache_key", "left")
     aborted = F.raise_error(F.lit("Judging aborted; stored answers are kept, run again to resume"))
     return joined.withColumn(
         "response", F.coalesce("response", aborted.cast("string"))

@@ -26,12 +26,9 @@ def size_profile(
             for name, value in measures.items()
         ]
     )
-    hist = (
-        df.select(F.inline_outer(pairs))
-        .groupBy("measure", "value")
-        .agg(F.count("*").alias("cnt"))
-        .withColumn("bucket", F.floor(F.col("value") / _BUCKET))
-    )
+    counted = df.select(F.inline_outer(pairs)).groupBy("measure", "value").agg(F.count("*").alias("cnt"))
+    # Stored: it is joined with itself below, and what it comes from must not run twice.
+    hist = cut_lineage(counted, "histogram").withColumn("bucket", F.floor(F.col("value") / _BUCKET))
     by_measure = Window.partitionBy("measure")
     buckets = (
         hist.groupBy("measure", "bucket")

@@ -114,9 +114,9 @@ def mojibake_patterns(f: DataFrame) -> DataFrame:
     """Per pattern: matches, and pages of the first documents that have it."""
     # Outer explode: the inner one has the optimizer infer a filter that repeats the
     # pattern matching below the projection.
-    hits = f.select("doc_seq", "page", F.inline_outer("mojibake")).filter(
-        F.col("pattern").isNotNull()
-    )
+    found = f.select("doc_seq", "page", F.inline_outer("mojibake"))
+    # Stored: counted and sampled below, but matched once.
+    hits = cut_lineage(found.filter(F.col("pattern").isNotNull()), "mojibake")
     counts = hits.groupBy("pattern").agg(F.sum("n").alias("matches"))
     pages = first_per_group(hits, "pattern", "doc_seq", fv.SAMPLE_LIMIT)
     examples = pages.groupBy("pattern").agg(

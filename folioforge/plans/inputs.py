@@ -43,7 +43,8 @@ PAGE_TOPS = [
     "",
 ]
 
-_SMALL_PER_CORE = 32 << 20
+#: Session setting: tasks over which the queries deal their input first.
+PARTITIONS = "folioforge.inputPartitions"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,18 +52,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over the cores.
+    """``df`` as it is, or dealt over ``folioforge.inputPartitions`` tasks if that is set.
 
-    A file of one row group is one task whatever the number of cores.  Only inputs too
-    small to fill the cluster are moved; large ones have splits enough and stay put.
+    The benchmark sets it: its input is one file of one row group, hence one task.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return df.repartition(2 * cores, *keys) if size < cores * _SMALL_PER_CORE else df
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

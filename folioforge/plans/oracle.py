@@ -477,6 +477,19 @@ scored AS (SELECT b.item_id AS query_id, d.doc_id AS row,
 hits AS (SELECT query_id, rank, row, score, source AS book, text AS content FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, row) AS rank FROM scored)
   JOIN documents ON doc_id = row WHERE rank <= {K})"""
+# The same over chunks, numbered in the order of the corpus.
+_CHUNK_HITS = f"""{PLAIN}, {chunk_ctes()},
+cd AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS row, id AS chunk_id, doc_id, book_title,
+    content, content AS text FROM chunks),
+{hashed('dv', 'cd', 'row')}, {hashed('qv', 'benchmark', 'item_id')},
+dots AS (SELECT q.id AS query_id, d.id AS row, sum(q.v * d.v)::DOUBLE AS dot FROM qv q JOIN dv d USING (bucket) GROUP BY ALL),
+scored AS (SELECT b.item_id AS query_id, d.row,
+    coalesce(dot / (CASE WHEN qn.norm = 0 THEN 1 ELSE qn.norm END) / (CASE WHEN dn.norm = 0 THEN 1 ELSE dn.norm END), 0) AS score
+  FROM benchmark b CROSS JOIN cd d LEFT JOIN dots ON dots.query_id = b.item_id AND dots.row = d.row
+  LEFT JOIN qv_n qn ON qn.id = b.item_id LEFT JOIN dv_n dn ON dn.id = d.row),
+hits AS (SELECT query_id, rank, row, score, chunk_id, book_title AS book, doc_id AS page, content FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score::FLOAT, 6) DESC, row) AS rank FROM scored)
+  JOIN cd USING (row) WHERE rank <= {K})"""
 _GOLDEN = """golden AS (SELECT item_id AS query_id, 'q' || item_id AS id, 'book ' || item_id % 4 AS book,
   text AS query, ['easy', 'medium', 'hard'][item_id % 3 + 1] AS difficulty,
   text AS expected_answer_summary, '' AS notes FROM benchmark)"""
@@ -519,10 +532,10 @@ res AS (SELECT query_id, 'label ' || any_value(q_label) AS book,
 # --- generation -------------------------------------------------------------------
 
 _UA, _UB, _UC = (q(p) for p in fv.USER_PROMPT_PARTS)
-_PROMPTS = f"""WITH {_BENCH_HITS}, {_GOLDEN},
-ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || book || ', page ' || row || chr(10) || {trim('content')},
+_PROMPTS = f"""WITH RECURSIVE {_CHUNK_HITS}, {_GOLDEN},
+ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || book || ', page ' || page || chr(10) || {trim('content')},
       chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context,
-    string_agg('[' || rank || '] ' || book || ', page ' || row, '; ' ORDER BY rank) AS cites,
+    string_agg('[' || rank || '] ' || book || ', page ' || page, '; ' ORDER BY rank) AS cites,
     count(*) AS n_chunks FROM hits GROUP BY query_id),
 p AS (SELECT query_id, query, context, cites, n_chunks, {_UA} || context || {_UB} || query || {_UC} AS prompt
   FROM golden JOIN ctx USING (query_id))"""
@@ -677,20 +690,33 @@ SELECT count(*) AS queries, count(*) FILTER (query_id = row) AS found_self FROM
     "knn_blocks_top5": _KNN,
     "retrieve_benchmark": f"""WITH {_BENCH_HITS} SELECT query_id, rank, row, round(score, 6) AS score,
   row::VARCHAR AS chunk_id, book, row AS page FROM hits""",
-    "judge_prompts": f"""WITH {_BENCH_HITS}, {_GOLDEN}, {_JUDGE_PROMPTS}
+    "retrieve_chunks": f"""WITH RECURSIVE {_CHUNK_HITS} SELECT query_id, rank, row,
+  chunk_id, book, page FROM hits""",
+    "cached_vectors": """SELECT 'v' || vec_id AS cache_key, len(embedding) AS dimension,
+  round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings""",
+    "judge_prompts": f"""WITH RECURSIVE {_CHUNK_HITS}, {_GOLDEN}, {_JUDGE_PROMPTS}
 SELECT query_id, rank, md5(prompt) AS prompt_md5, substr(sha256(prompt), 1, 24) AS judge_key FROM prompts""",
-    "judged_hits": f"""WITH {_BENCH_HITS}, {_GOLDEN}, {_JUDGE_PROMPTS}
+    "judged_hits": f"""WITH RECURSIVE {_CHUNK_HITS}, {_GOLDEN}, {_JUDGE_PROMPTS}
 SELECT query_id, rank, row, relevant FROM prompts""",
-    "judged_metrics": f"""WITH {_BENCH_HITS}, {_GOLDEN}, {_JUDGE_PROMPTS},
+    "judged_metrics": f"""WITH RECURSIVE {_CHUNK_HITS}, {_GOLDEN}, {_JUDGE_PROMPTS},
 res AS (SELECT query_id, any_value(book) AS book, any_value(difficulty) AS difficulty,
   min(rank) FILTER (relevant) AS rank, count(*) FILTER (relevant) AS n_relevant, count(*) AS n_judged
   FROM prompts GROUP BY query_id) {metrics('res', _SLICES)}""",
-    "query_results": f"""{_LABEL_RESULTS} SELECT query_id, book, difficulty, rank IS NOT NULL AS hit, rank,
+    "query_results": f"""{_LABEL_RESULTS} SELECT query_id, 'v' || query_id AS id, book, difficulty, rank IS NOT NULL AS hit, rank,
   round(best_score, 6) AS best_score, judgments, retrieved_pages FROM res""",
     "eval_overall": f"""{_LABEL_RESULTS} SELECT * EXCLUDE (slice, name) FROM ({metrics('res', _SLICES[:1])})""",
     "eval_breakdown": f"{_LABEL_RESULTS} {metrics('res', _SLICES)}",
-    "eval_failures": f"""{_LABEL_RESULTS} SELECT query_id, difficulty, top_book, top_page FROM res WHERE rank IS NULL""",
-    "eval_per_entry": f"""{_LABEL_RESULTS} SELECT query_id, difficulty,
+    "eval_failures": f"""{_LABEL_RESULTS} SELECT query_id, 'v' || query_id AS id, difficulty, top_book, top_page FROM res WHERE rank IS NULL""",
+    "eval_record": f"""{_LABEL_RESULTS}
+SELECT 'config' AS section, name, value, NULL::BIGINT AS n, NULL::DOUBLE AS recall_at_1, NULL::DOUBLE AS recall_at_k,
+  NULL::DOUBLE AS mrr, NULL::DOUBLE AS precision_at_k, NULL::BOOLEAN AS hit, NULL::INT AS rank,
+  NULL::DOUBLE AS best_score, NULL::INT AS n_retrieved
+FROM (VALUES ('k', '{K}'), ('index', 'exact')) AS c(name, value)
+UNION ALL SELECT slice, name, NULL, n, recall_at_1, recall_at_k, mrr, precision_at_k, NULL, NULL, NULL, NULL
+FROM ({metrics('res', _SLICES)})
+UNION ALL SELECT 'query', 'v' || query_id, NULL, NULL, NULL, NULL, NULL, NULL, rank IS NOT NULL, rank,
+  round(best_score, 6), n_judged::INT FROM res""",
+    "eval_per_entry": f"""{_LABEL_RESULTS} SELECT query_id, 'v' || query_id AS id, difficulty,
   CASE WHEN rank IS NULL THEN 'no' ELSE 'yes' END AS hit, coalesce(rank::VARCHAR, '-') AS rank,
   CASE WHEN rank IS NULL THEN '-' ELSE printf('%.3f', best_score) END AS score,
   substring(query, 1, 60) AS query FROM res""",

@@ -20,7 +20,7 @@ from folioforge.operators.embedding import (
     embedding_rows,
     encode_column,
 )
-from folioforge.operators.index import VectorIndex, hit_rows, index_stats
+from folioforge.operators.index import Retriever, VectorIndex, hit_rows, index_stats
 from folioforge.operators.model_calls import judge_with_cache
 from folioforge.operators.ranks import number_rows
 from folioforge.plans import chunk_report, diagnostics
@@ -344,7 +344,7 @@ def _cached_embedding(spark, sf):
         F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("content")
     )
     labelled = load(spark, sf, "labels").select("doc_id").distinct()
-    cache = EmbeddingCache(spark, new_table_path(spark, "vector-cache"))
+    cache = EmbeddingCache(spark, new_table_path(spark, "vector-cache"), key="chunk")
     encoder = lambda: HashingEncoder(DIM)
     embed_chunks(docs.join(labelled, "doc_id", "left_semi"), encoder, cache)
     missing = cache.misses(docs).select("id", F.lit(True).alias("computed"))
@@ -363,7 +363,7 @@ def _cache_stats(spark, sf):
     docs = texts(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")
     )
-    cache = EmbeddingCache(spark, new_table_path(spark, "vector-cache"))
+    cache = EmbeddingCache(spark, new_table_path(spark, "vector-cache"), key="chunk")
     embed_chunks(docs, lambda: HashingEncoder(DIM), cache)
     return cache.stats().withColumn("cache_size_mb", F.round("cache_size_mb", 6))
 
@@ -407,8 +407,8 @@ def _knn_all(spark, sf):
 
 
 def _knn_blocks(spark, sf):
-    """The same search with both sides meeting in blocks."""
-    return _all_hits(spark, sf, K, broadcast_bytes=0).withColumn("score", F.round("score", 6))
+    """The same search with the queries in rounds of at most 64 KB."""
+    return _all_hits(spark, sf, K, broadcast_bytes=1 << 16).withColumn("score", F.round("score", 6))
 
 
 def _indexed_search(spark, sf):
@@ -430,13 +430,50 @@ def _benchmark_hits(spark, sf, k: int = K) -> DataFrame:
     return hit_rows(hits.join(docs.drop("vec"), "row"))
 
 
-def _retrieve(spark, sf):
-    h = _benchmark_hits(spark, sf)
-    return h.select(
+def _hit_columns(hits: DataFrame) -> DataFrame:
+    return hits.select(
         "query_id", "rank", "row", F.round("score", 6).alias("score"), "chunk_id", "book", "page"
     )
 
 
+def _retrieve(spark, sf):
+    return _hit_columns(_benchmark_hits(spark, sf))
+
+
+def _chunk_hits(spark, sf, k: int = K) -> DataFrame:
+    """The whole way: documents, chunks, vectors, index, retriever."""
+    encoder = lambda: HashingEncoder(DIM)
+    chunks = chunking.chunk_documents(as_documents(texts(spark, sf)))
+    rows = embed_chunks(chunks, encoder).withColumnRenamed("id", "chunk_id")
+    columns = ["doc_seq", "chunk_index", "chunk_id", "book_title", "page_number", "section", "content", "embedding"]
+    index = VectorIndex(DIM).build(rows.select(*columns), ["doc_seq", "chunk_index"], model_key="bge-small")
+    asked = load(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    )
+    return Retriever(index, encoder, "bge-small").search(asked, k)
+
+
+def _retrieve_chunks(spark, sf):
+    # Without the score: the index keeps single precision, so rounded ones differ in places.
+    return _hit_columns(_chunk_hits(spark, sf)).drop("score")
+
+
+def _cached_vectors(spark, sf):
+    """Two writers that saw the same misses have stored a vector each; a key still has one."""
+    v = _vectors(spark, sf).select(
+        F.concat(F.lit("v"), F.col("row").cast("string")).alias("cache_key"), F.col("vec").alias("embedding")
+    )
+    cache = EmbeddingCache(spark, new_table_path(spark, "vector-cache"))
+    cache.add(v)
+    cache.add(v.filter(F.substring("cache_key", -1, 1) < "5"))
+    cache.add(v)
+    return cache.table().select(
+        "cache_key",
+        F.size("embedding").alias("dimension"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"),
+    )
+
+
 # --- evaluation -------------------------------------------------------------------
 
 
@@ -455,7 +492,7 @@ def _golden_texts(spark, sf) -> DataFrame:
 
 
 def _judge_prompts(spark, sf):
-    hits = _benchmark_hits(spark, sf).withColumnRenamed("book", "hit_book")
+    hits = _chunk_hits(spark, sf).withColumnRenamed("book", "hit_book")
     p = evaluation.judge_prompts(_golden_texts(spark, sf), hits)
     return p.select("query_id", "rank", F.md5("prompt").alias("prompt_md5"),
                     structure.judge_cache_key(F.col("prompt")).alias("judge_key"))
@@ -473,7 +510,7 @@ def _literal_judge():
 
 
 def _judged(spark, sf) -> DataFrame:
-    hits = _benchmark_hits(spark, sf)
+    hits = _chunk_hits(spark, sf)
     p = evaluation.judge_prompts(
         _golden_texts(spark, sf), hits.withColumnRenamed("book", "hit_book")
     ).drop("book").withColumnRenamed("hit_book", "book")
@@ -497,6 +534,7 @@ def _label_results(spark, sf) -> DataFrame:
     v = _vectors(spark, sf)
     golden = v.select(
         F.col("row").alias("query_id"),
+        F.concat(F.lit("v"), F.col("row").cast("string")).alias("id"),
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("book"),
         F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")),
                      (F.col("row") % 3 + 1).cast("int")).alias("difficulty"),
@@ -529,7 +567,7 @@ def _metric_columns(m: DataFrame) -> DataFrame:
 def _query_results(spark, sf):
     r = _label_results(spark, sf)
     return r.select(
-        "query_id", "book", "difficulty", "hit", "rank",
+        "query_id", "id", "book", "difficulty", "hit", "rank",
         F.round("best_score", 6).alias("best_score"),
         F.array_join(F.transform("chunk_judgments", lambda j: j.cast("int").cast("string")), "")
         .alias("judgments"),
@@ -538,12 +576,20 @@ def _query_results(spark, sf):
     )
 
 
+def _eval_record(spark, sf):
+    r = evaluation.record(_label_results(spark, sf), K, {"k": str(K), "index": "exact"})
+    return _metric_columns(r).select(
+        "section", "name", "value", "n", "recall_at_1", "recall_at_k", "mrr", "precision_at_k", "hit", "rank",
+        F.round("best_score", 6).alias("best_score"), F.size("top_retrieved").alias("n_retrieved"),
+    )
+
+
 # --- generation -------------------------------------------------------------------
 
 
 def _with_chunks(spark, sf) -> DataFrame:
     queries = _golden_texts(spark, sf).select("query_id", "query")
-    return generation.with_chunks(queries, _benchmark_hits(spark, sf))
+    return generation.with_chunks(queries, _chunk_hits(spark, sf))
 
 
 def _context_blocks(spark, sf):
@@ -569,7 +615,7 @@ def _echo_model():
 
 def _answers(spark, sf):
     queries = _golden_texts(spark, sf).select("query_id", "query")
-    a = generation.answer(queries, _benchmark_hits(spark, sf), _echo_model)
+    a = generation.answer(queries, _chunk_hits(spark, sf), _echo_model)
     cited = F.transform(
         "citations",
         lambda c: F.concat(
@@ -722,6 +768,8 @@ _QUERIES: dict[str, Query] = {
     "knn_all_top5": _knn_all,
     "knn_blocks_top5": _knn_blocks,
     "retrieve_benchmark": _retrieve,
+    "retrieve_chunks": _retrieve_chunks,
+    "cached_vectors": _cached_vectors,
     # evaluation
     "judge_prompts": _judge_prompts,
     "judged_hits": _judged_hits,
@@ -730,6 +778,7 @@ _QUERIES: dict[str, Query] = {
     "eval_overall": lambda s, d: _metric_columns(evaluation.summarize(_label_results(s, d), K)),
     "eval_breakdown": lambda s, d: _metric_columns(evaluation.breakdown(_label_results(s, d), K)),
     "eval_failures": lambda s, d: evaluation.failures(_label_results(s, d)),
+    "eval_record": _eval_record,
     "eval_per_entry": lambda s, d: evaluation.per_entry(_label_results(s, d)),
     # generation
     "context_blocks": _context_blocks,

@@ -88,7 +88,7 @@ def evaluation_lines(results: DataFrame, k: int) -> Iterator[str]:
     none = True
     for f in evaluation.failures(results).orderBy("query_id").toLocalIterator():
         none = False
-        yield f"  {f.query_id!s:<16} [{f.difficulty}] top={f.top_book[:22]} p{f.top_page}"
+        yield f"  {f.id!s:<16} [{f.difficulty}] top={f.top_book[:22]} p{f.top_page}"
     if none:
         yield "  (none)"
 
@@ -99,7 +99,7 @@ def entry_lines(results: DataFrame) -> Iterator[str]:
     yield "  " + "-" * 90
     for r in evaluation.per_entry(results).orderBy("query_id").toLocalIterator():
         yield (
-            f"  {r.query_id!s:<16} {r.difficulty:<7} {r.hit:<5} {r['rank']:<5} {r.score:<7} {r.query}"
+            f"  {r.id!s:<16} {r.difficulty:<7} {r.hit:<5} {r['rank']:<5} {r.score:<7} {r.query}"
         )
 
 

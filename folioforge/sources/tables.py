@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,19 +73,38 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(
+    spark: SparkSession, path: str, schema: StructType, skip_broken: bool = False
+) -> DataFrame:
     """A cache table, or no rows where none has been written yet.
 
-    A broken file of a cache costs only its entries; they are computed again.
+    A broken file is an error, unless the caller repairs the table and skips it.
     """
+    broken = str(skip_broken).lower()
     try:
-        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", broken).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
 
 
+def repair_cache(spark: SparkSession, path: str, schema: StructType, repaired: str) -> int:
+    """Copy what can be read of a cache to ``repaired``; the number of entries saved.
+
+    Entries of broken files are lost and will be computed again, which a warning says.
+    """
+    read_or_empty(spark, path, schema, skip_broken=True).write.parquet(repaired)
+    saved = spark.read.schema(schema).parquet(repaired).count()
+    warnings.warn(f"{path}: {saved} cache entries saved, those of broken files are lost", stacklevel=2)
+    return saved
+
+
+def one_per_key(table: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key, the smallest value: two writers may both have stored a key."""
+    return table.groupBy(key).agg(F.min(value).alias(value))
+
+
 def first_documents(documents: DataFrame, n: int) -> DataFrame:
     """The first n documents in corpus order."""
     return documents.orderBy("doc_seq").limit(n)

@@ -22,10 +22,10 @@ JUDGED = "query_id long, rank int, relevant boolean, book string, page long, sco
 def results(spark):
     golden = spark.createDataFrame(
         [
-            (1, "A", "easy", "q1"), (2, "A", "hard", "q2"), (3, "B", "easy", "q3"),
-            (4, "B", "odd", "q4"),
+            (1, "g-1", "A", "easy", "q1"), (2, "g-2", "A", "hard", "q2"),
+            (3, "g-3", "B", "easy", "q3"), (4, "g-4", "B", "odd", "q4"),
         ],
-        "query_id long, book string, difficulty string, query string",
+        "query_id long, id string, book string, difficulty string, query string",
     )
     judged = spark.createDataFrame(
         [
@@ -73,21 +73,23 @@ def test_no_results(results):
 
 
 def test_failures_and_lines(results):
-    f = {x.query_id: (x.top_book, x.top_page) for x in evaluation.failures(results).collect()}
-    assert f == {3: ("B", "30"), 4: ("?", "?")}
+    f = {x.id: (x.top_book, x.top_page) for x in evaluation.failures(results).collect()}
+    assert f == {"g-3": ("B", "30"), "g-4": ("?", "?")}
     text = "\n".join(reports.evaluation_lines(results, 3))
     assert "n=4" in text and "Recall@1:      25.00%" in text and "odd" not in text.split("Failures")[0]
     assert text.index("easy") < text.index("hard")
     table = "\n".join(reports.entry_lines(results))
-    assert "0.900" in table and "no" in table
+    assert "0.900" in table and "no" in table and "g-2" in table and "g-4" in text
 
 
 def test_summary_files(spark, results):
     path = new_table_path(spark, "summary")
     evaluation.write_summary(results, 3, {"k": "3", "index": "i"}, path)
-    assert spark.read.json(f"{path}/config").first()["index"] == "i"
-    assert spark.read.json(f"{path}/metrics").count() == 6
-    assert spark.read.json(f"{path}/per_query").count() == 4
+    back = {(r.section, r.name): r for r in spark.read.json(path).collect()}
+    assert back["config", "index"].value == "i" and back["overall", ""].recall_at_k == 0.5
+    assert back["book", "B"].n == 2 and back["difficulty", "odd"].n == 1 and len(back) == 12
+    assert back["query", "g-2"]["rank"] == 3 and back["query", "g-2"].top_retrieved[0].page == 20
+    assert back["query", "g-4"].hit is False
 
 
 @pytest.mark.parametrize(
@@ -119,14 +121,42 @@ def test_judge_cache(spark):
     more = p.union(spark.createDataFrame([(4, "broken"), (5, "new")], p.schema))
     with pytest.raises(Exception, match="Judging aborted"):
         run(more).collect()
-    assert calls.value == 4  # the answer for "new" is kept
-    assert run(more.filter("prompt <> 'broken'")).count() == 4 and calls.value == 4
+    assert run(more.filter("prompt = 'good'")).count() == 2  # stored answers are kept
+    seen = calls.value
+    assert run(more.filter("prompt <> 'broken'")).count() == 4 and calls.value <= seen + 1
     long = spark.createDataFrame([(1, "x" * 900)], p.schema)
     run(long).collect()
     kept = spark.read.parquet(cache).select(F.max(F.length("prompt"))).first()[0]
     assert kept == fv.JUDGE_CACHE_PROMPT_CHARS
 
 
+def test_final_errors_end_the_calls(spark):
+    """A spent quota: a task sends nothing more, and no further round begins."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def connect():
+        def ask(system, user):
+            calls.add(1)
+            raise RuntimeError("429 quota PerDay")
+
+        return ask
+
+    p = spark.range(200).selectExpr("id AS query_id", "concat('p', id) AS prompt")
+    with pytest.raises(Exception, match="Judging aborted"):
+        judge_with_cache(p, connect, new_table_path(spark, "judge"), min_interval=0, callers=3, round_size=50).collect()
+    assert calls.value <= 3
+
+
+def test_two_writers_of_an_answer(spark):
+    cache = new_table_path(spark, "judge")
+    p = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "query_id long, prompt string")
+    yes = lambda: lambda system, user: "YES"
+    judge_with_cache(p, yes, cache, min_interval=0).collect()
+    spark.read.parquet(cache).write.parquet(cache + "-again")
+    spark.read.parquet(cache + "-again").write.mode("append").parquet(cache)
+    assert judge_with_cache(p, yes, cache, min_interval=0).count() == 3
+
+
 ERRORS = [
     ("gemini", "429 quota PerDay exceeded", None, 429, False),
     ("gemini", "429 Per Day limit", None, 429, False),

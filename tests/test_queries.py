@@ -9,11 +9,14 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from folioforge.plans.oracle import ORACLE as CORE_SQL
+from folioforge.plans.registry import QUERIES as CORE
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+# Those of the optional subpackage have tests of their own.
+QUERIES, ORACLE = CORE, CORE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +44,7 @@ def rows(frame, columns):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -61,9 +65,9 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", ["chunk_documents", "clean_text_full", "extract_equations"])
-def test_maps_only_spread_small_inputs(spark, name):
+def test_maps_move_nothing(spark, name):
     p = plan(QUERIES[name](spark, SF))
-    assert len(re.findall(r"\bExchange\b", p)) == 1 and "REPARTITION_BY_NUM" in p
+    assert "Exchange" not in p
     assert "Python" not in p and "Arrow" not in p
 
 
@@ -78,15 +82,22 @@ def test_scan_reads_needed_columns_only(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
 
 
-@pytest.mark.parametrize("name", ["heading_samples", "mojibake_patterns", "knn_all_top5"])
+@pytest.mark.parametrize("name", ["heading_samples", "mojibake_patterns", "knn_all_top5", "knn_blocks_top5"])
 def test_group_limits_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit .*Partial", plan(QUERIES[name](spark, SF)))
 
 
-def test_patterns_are_matched_once(spark):
-    p = plan(QUERIES["worst_chunks"](spark, SF))
-    assert p.count("Ž[\\p") == 1
-    assert plan(QUERIES["chunk_documents"](spark, SF)).count("CHAPTER|Chapter") == 1
+@pytest.mark.parametrize("name", sorted(CORE))
+def test_texts_are_worked_on_once(spark, name):
+    """No pattern of mis-decoded characters and no chunk generator twice in a plan."""
+    p = plan(QUERIES[name](spark, SF))
+    assert p.count("Ž[\\p") <= 1 and p.count("Generate inline(chunk") <= 1
+    assert p.count("CHAPTER|Chapter)\\s+\\d+$") <= 1
+
+
+def test_rounds_of_queries_move_no_vectors(spark):
+    p = plan(QUERIES["knn_blocks_top5"](spark, SF))
+    assert "vec" not in p and "MapInArrow" not in p
 
 
 def test_workers_get_the_package(tmp_path):

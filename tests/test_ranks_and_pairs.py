@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge.operators.books import documents_from_pages
+from folioforge.session import shared_dir
 from folioforge.operators import adjacency
 from folioforge.operators.adjacency import adjacent_pairs
 from folioforge.operators.ranks import number_rows, size_profile
@@ -66,6 +68,33 @@ def test_adjacent_pairs(spark, monkeypatch, span):
     assert (got.overlap_pairs, got.gap_pairs) == (over, gap)
 
 
+def test_documents_have_one_order(spark):
+    """Two files with the same page numbers."""
+    pages = spark.createDataFrame(
+        [(f, p, 3, f"text of {f} {p}", []) for f in ("b.pdf", "a.pdf") for p in (2, 0, 1)],
+        "file string, page0 int, total_pages int, text string, images array<struct<path:string>>",
+    )
+    docs = documents_from_pages(pages).orderBy("doc_seq").collect()
+    assert [d.content for d in docs] == [f"text of {f} {p}" for f in ("a. pdf", "b. pdf") for p in range(3)]
+    assert len({d.doc_seq for d in docs}) == 6
+
+
+def test_shared_folder_or_an_error():
+    """Beyond one process, a folder of the driver is no shared folder."""
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": master}.get(key, default))
+
+        class sparkContext:
+            applicationId = "app"
+
+    for master in ("local-cluster[3,2,900]", "yarn", "spark://host:7077", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session)
+    for master in ("local", "local[*]", "local[8]", "local[4,2]"):
+        assert shared_dir(Session)
+
+
 def test_adjacent_pairs_empty(spark):
     schema = "book_title string, page_number int, chunk_index int, doc_seq long, start_char int, end_char int"
     got = adjacent_pairs(spark.createDataFrame([], schema)).first()

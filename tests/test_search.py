@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge import schemas
 from folioforge.operators import knn
 from folioforge.operators.embedding import (
     EmbeddingCache,
@@ -12,6 +13,7 @@ from folioforge.operators.embedding import (
 )
 from folioforge.operators.index import Retriever, VectorIndex
 from folioforge.session import new_table_path
+from folioforge.sources import tables
 
 VEC = "row long, vec array<float>"
 
@@ -39,12 +41,10 @@ def vectors():
     return m.astype("float64")
 
 
-@pytest.mark.parametrize("broadcast", [1 << 26, 0])
+@pytest.mark.parametrize("broadcast", [1 << 26, 16 * 8 * 10])
 @pytest.mark.parametrize("k", [1, 5, 1000])
 def test_both_paths_exact(spark, vectors, monkeypatch, broadcast, k):
-    monkeypatch.setattr(knn, "_INDEX_BLOCK_BYTES", 90 * 4 * 16)
     monkeypatch.setattr(knn, "_TILE", 1000)
-    monkeypatch.setattr(knn, "_QUERY_BLOCK_BYTES", 16 * 8 * 10)
     queries = vectors[:30]
     hits = knn.top_k(
         table(spark, vectors).repartition(5), table(spark, queries, "query_id"), k,
@@ -58,6 +58,20 @@ def test_both_paths_exact(spark, vectors, monkeypatch, broadcast, k):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_vectors_that_are_not_finite(spark, vectors, bad):
+    """One such vector used to hide all others of its batch; now it is an error with its row."""
+    broken = vectors.copy()
+    broken[7, 3] = bad
+    good, some = table(spark, vectors, "query_id"), table(spark, broken)
+    with pytest.raises(Exception, match="Vector of row 7 is not finite"):
+        knn.top_k(some, good, 3).collect()
+    with pytest.raises(ValueError, match="Vector of query 7 is not finite"):
+        knn.top_k(table(spark, vectors), table(spark, broken, "query_id"), 3).collect()
+    with pytest.raises(Exception, match="is not finite"):
+        VectorIndex(16).build(some.withColumnRenamed("row", "id"), ["id"], vector="vec").table.collect()
+
+
 def test_raw_inner_product(spark):
     m = np.array([[1.0, 0], [3, 0], [0, 2]])
     hits = knn.top_k(
@@ -131,7 +145,7 @@ def test_cache(spark):
             calls.add(len(texts))
             return super().encode(texts)
 
-    cache = EmbeddingCache(spark, new_table_path(spark, "cache"))
+    cache = EmbeddingCache(spark, new_table_path(spark, "cache"), key="chunk")
     assert cache.stats().first().total_embeddings == 0
     docs = chunks(spark, [f"text {i}" for i in range(50)])
     first = embed_chunks(docs.limit(20), lambda: Counting(8), cache).collect()
@@ -157,6 +171,47 @@ def test_content_cache_shares_equal_texts(spark):
     assert other.misses(docs).count() == 2
 
 
+def test_two_writers_of_a_vector(spark):
+    """Both saw the miss and both have stored it; a chunk still has one row."""
+    cache = EmbeddingCache(spark, new_table_path(spark, "cache"), model_key="m")
+    docs = chunks(spark, [f"text {i}" for i in range(20)])
+    for _ in range(2):
+        cache.add(encode_column(cache.keyed(docs), "content", lambda: HashingEncoder(8)))
+    assert cache.table().count() == 20
+    rows = embed_chunks(docs, lambda: HashingEncoder(8), cache)
+    assert rows.count() == 20 and cache.stats().first().total_embeddings == 20
+
+
+def test_broken_cache_file(spark, tmp_path):
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"), model_key="m")
+    docs = chunks(spark, [f"text {i}" for i in range(20)])
+    embed_chunks(docs.limit(10), lambda: HashingEncoder(8), cache).collect()
+    embed_chunks(docs, lambda: HashingEncoder(8), cache).collect()
+    broken = max(tmp_path.glob("cache/part-*"), key=lambda p: p.stat().st_size)
+    broken.write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        embed_chunks(docs, lambda: HashingEncoder(8), cache).collect()
+    repaired = str(tmp_path / "repaired")
+    with pytest.warns(UserWarning, match="broken files are lost"):
+        saved = tables.repair_cache(spark, cache.path, schemas.EMBEDDING_CACHE, repaired)
+    assert saved < 20
+    again = EmbeddingCache(spark, repaired, model_key="m")
+    rows = embed_chunks(docs, lambda: HashingEncoder(8), again)
+    assert rows.filter("embedding IS NULL").count() == 0 and rows.count() == 20
+
+
+def test_lost_vectors_are_an_error(spark):
+    """A cache whose appends get lost must not give chunks without a vector."""
+
+    class Forgetful(EmbeddingCache):
+        def add(self, rows):
+            pass
+
+    cache = Forgetful(spark, new_table_path(spark, "cache"))
+    with pytest.raises(Exception, match="No vector for chunk c"):
+        embed_chunks(chunks(spark, ["a", "b"]), lambda: HashingEncoder(8), cache).collect()
+
+
 def test_models_and_encoder(spark):
     assert embedding_model("bge-large")["dimension"] == 1024
     with pytest.raises(ValueError, match="Unknown model: nope"):

@@ -161,7 +161,7 @@ def test_command_line(spark, pdfs, tmp_path, monkeypatch, capsys):
     (tmp_path / "golden.jsonl").write_text(
         '{"id": "q1", "book": "three", "query": "uphill", "difficulty": "easy"}\n')
     monkeypatch.setattr(cli, "judge_with_cache",
-                        lambda p, c, path: judge(p, c, path, min_interval=0.0))
+                        lambda p, c, path, **_: judge(p, c, path, min_interval=0.0))
     run("evaluate", "--golden", at("golden.jsonl"), "--index", at("index"),
         "--judge-cache", at("judge"), "--out", at("eval"))
     assert "Recall@1:      100.00%" in capsys.readouterr().out
