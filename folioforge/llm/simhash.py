@@ -38,6 +38,9 @@ SLICE = 1 << 16
 #: Words of the long fingerprint: 64 bits each.  A block is three bytes.
 LONG, BLOCK_BYTES = 12, 3
 NEAR_WORDS, SIMILARITY = 5, 0.8
+#: Bits in which long fingerprints of near duplicates may differ.  At a similarity of 0.8
+#: some 2 % of the words differ, which gives about 50 of 768; unrelated texts give over 300.
+NEAR_BITS = 128
 #: In a large bucket of long fingerprints, a row meets the first and so many before it.
 NEIGHBOURS = 4
 
@@ -138,8 +141,9 @@ def linked(docs: DataFrame, size: int = WORDS, bits: int = BITS) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def _long_fingerprint(text: str) -> bytes:
-    """``64 * LONG`` bits of the different words, each 1 if set for over half of them."""
+def _long_fingerprint(text: str) -> np.ndarray:
+    """``64 * LONG`` bits of the different words, each 1 if set for over half of them, as
+    ``LONG`` signed integers."""
     words = set(text.encode("utf-8", "surrogatepass").lower().split())
     h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
     ones = np.zeros(64 * LONG, np.int64)
@@ -151,28 +155,44 @@ def _long_fingerprint(text: str) -> bytes:
         x ^= x >> np.uint64(31)
         bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
         ones += np.add.reduce(bits, 0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h)).tobytes()
+    return np.packbits(ones * 2 > len(h)).view("<i8").astype(np.int64)
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """``(a, b)``, rows that share a block of their long fingerprints."""
+def _meetings(prints: DataFrame) -> DataFrame:
+    """``(choice, key, _row, n, first)``: the blocks that several rows share, with the number
+    of these rows and the first of them."""
     n_blocks = 8 * LONG // BLOCK_BYTES
+    bits = F.array_join(F.transform("fp", lambda x: F.lpad(F.hex(x), 16, "0")), "")
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(n_blocks - 1)),
-        lambda i: F.substring(F.col("fp"), i * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)),
+        lambda i: F.conv(F.substring(F.col("bits"), i * 2 * BLOCK_BYTES + 1, F.lit(2 * BLOCK_BYTES)), 16, 10).cast("int"),
     )
-    blocks = cut_lineage(prints.select(ROW, "fp", F.posexplode(keys).alias("choice", "key")).drop("fp"), "blocks")
-    sizes = blocks.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut_lineage(blocks.join(sizes, ["choice", "key"]), "buckets")
-    few = met.filter(F.col("n") <= SMALL)
-    a = few.select("choice", "key", F.col(ROW).alias("a"))
-    b = few.select("choice", "key", F.col(ROW).alias("b"))
-    close = a.join(b, ["choice", "key"]).filter("a < b").select("a", "b")
+    blocks = prints.withColumn("bits", bits).select(ROW, F.posexplode(keys).alias("choice", "key"))
+    blocks = cut_lineage(blocks, "blocks")
+    sizes = blocks.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
+    return cut_lineage(blocks.join(sizes.filter("n > 1"), ["choice", "key"]), "meetings")
+
+
+def _other_pairs(met: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
+    """``(a, b)`` of rows that share a block and are in no common group yet."""
+    known = roots.withColumnRenamed("node", ROW)
+    grouped = met.join(known, ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    mixed = grouped.groupBy("choice", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    open_ = cut_lineage(
+        grouped.join(mixed.filter("r0 != r1").select("choice", "key"), ["choice", "key"]), "open"
+    )
+    few = open_.filter(F.col("n") <= SMALL)
+    a = few.select("choice", "key", F.col(ROW).alias("a"), F.col("root").alias("ra"))
+    b = few.select("choice", "key", F.col(ROW).alias("b"), F.col("root").alias("rb"))
+    close = a.join(b, ["choice", "key"]).filter("a < b AND ra != rb").select("a", "b")
     along = Window.partitionBy("choice", "key").orderBy("fp", ROW)
-    before = F.array(F.first(ROW).over(along), *[F.lag(ROW, i).over(along) for i in range(1, NEIGHBOURS + 1)])
-    many = met.filter(F.col("n") > SMALL).join(prints, ROW).withColumn("before", before)
-    far = many.select(F.col(ROW).alias("b"), F.explode(F.array_compact("before")).alias("a"))
-    return close.unionByName(far.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    before = F.array(*[F.lag(F.struct(ROW, "root"), i).over(along) for i in range(1, NEIGHBOURS + 1)])
+    many = open_.filter(F.col("n") > SMALL).join(prints, ROW).withColumn("before", before)
+    far = many.select(ROW, "root", F.explode(F.array_compact("before")).alias("o")).filter("root != o.root")
+    other = F.col(f"o.{ROW}")
+    return close.unionByName(
+        far.select(F.least(F.col(ROW), other).alias("a"), F.greatest(F.col(ROW), other).alias("b"))
+    ).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -180,10 +200,15 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
 
     Rows are linked if the Jaccard similarity of their different shingles is at least
     ``similarity``.  Rows without words are near duplicates of none.
+
+    In each bucket all rows first meet its first row; pairs that this leaves in different
+    groups are compared after that, so a large group of copies makes no pairs of its own.
+    Of a bucket with over ``SMALL`` rows these are each row and the ``NEIGHBOURS`` before it in
+    the order of fingerprints; a pair shares a block in several of the other choices.
     """
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<long>")
     def long_print(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(_long_fingerprint)
@@ -207,15 +232,31 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
     rows = with_row_id(docs.select(text_of(docs).alias("t")))
     worded = rows.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
     prints = cut_lineage(worded.select(ROW, long_print("t").alias("fp")), "prints")
-    pairs = cut_lineage(_candidates(prints), "candidates")
-    either = pairs.select(F.col("a").alias(ROW)).unionByName(pairs.select(F.col("b").alias(ROW))).distinct()
-    # Sets are made from the texts that are in a candidate pair at all.
-    sets = cut_lineage(rows.join(either, ROW, "left_semi").select(ROW, shingle_set("t").alias("s")), "sets")
-    of_a = sets.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
-    of_b = sets.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
-    compared = pairs.join(of_a, "a").join(of_b, "b")
-    edges = compared.filter(jaccard("sa", "sb") >= similarity).select("a", "b")
-    return components(edges).select(F.col("node").alias(ROW), "root")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs close in Hamming distance, then in the shingles themselves."""
+        a = prints.select(F.col(ROW).alias("a"), F.col("fp").alias("fa"))
+        b = prints.select(F.col(ROW).alias("b"), F.col("fp").alias("fb"))
+        differing = F.aggregate(
+            F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+            F.lit(0),
+            lambda total, x: total + x,
+        )
+        both = pairs.join(a, "a").join(b, "b").withColumn("d", differing)
+        close = cut_lineage(both.filter(F.col("d") <= NEAR_BITS).select("a", "b"), "close")
+        either = close.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
+        # Sets are made from the texts that are in a close pair at all.
+        sets = cut_lineage(rows.join(either, ROW, "left_semi").select(ROW, shingle_set("t").alias("s")), "sets")
+        of_a = sets.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
+        of_b = sets.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
+        compared = close.join(of_a, "a").join(of_b, "b")
+        return cut_lineage(compared.filter(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
+
+    met = _meetings(prints)
+    stars = met.filter(F.col(ROW) != F.col("first")).select(F.col("first").alias("a"), F.col(ROW).alias("b"))
+    edges = verified(stars.distinct())
+    more = verified(_other_pairs(met, components(edges), prints))
+    return components(edges.unionByName(more)).select(F.col("node").alias(ROW), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
