@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.rows import held_out, text_of
+from folioforge.llm.rows import bounded_sample, held_out, text_of
 from folioforge.session import ship_package
 
-#: At most so many labelled documents are fitted on, those with the smallest hashes of their
+#: About so many labelled documents are fitted on if there are more, chosen by a hash of their
 #: ids.  Scores are given to all documents.
 SAMPLE = 40_000
 
@@ -151,10 +151,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     usable = labels.filter(
         F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    chosen = (
-        usable.groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    )
+    labelled = usable.groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+    # About ``bound`` rows of two numbers: safe to broadcast.
+    chosen = bounded_sample(labelled, bound, "doc_id")
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +166,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Trees:
-    """Fit on a sample of at most ``bound`` labels."""
+    """Fit on a sample of about ``bound`` labels."""
     ship_package(docs.sparkSession)
     # Several documents may share an id, so the sample's rows are bounded once more.
     sample = training_sample(docs, labels, bound).limit(2 * bound).toPandas()

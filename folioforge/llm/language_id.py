@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.rows import FOLDS, HELD_OUT, held_out, text_of
+from folioforge.llm.rows import FOLDS, HELD_OUT, ROW, bounded_sample, held_out, text_of, with_row_id
 from folioforge.session import ship_package
 
 ORDER = 4
 #: Model size: the most frequent runs of all languages together, dealt evenly.
 MOST_RUNS = 1_000_000
-#: Rows of the fold that calibrates, those with the smallest hashes of their ids.
+#: Rows of the fold that calibrates, about, if it has more; by a hash of their places.
 CALIBRATION_FOLD, CALIBRATION_ROWS = 1, 4_000
 #: Characters whose runs are held at once.
 SLICE = 1 << 18
@@ -255,11 +255,9 @@ def fit(docs: DataFrame, most_runs: int = MOST_RUNS, calibration_rows: int = CAL
     each = max(most_runs // max(len(languages), 1), 1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
     counts = counted.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank").toPandas()
-    sample = (
-        known.filter(F.col("fold") == CALIBRATION_FOLD).select("lang", "text", "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("lang", "text").toPandas()
-    )
-    return calibrate(build(counts), sample)
+    fold_rows = with_row_id(known).filter(F.col("fold") == CALIBRATION_FOLD)
+    sample = bounded_sample(fold_rows, calibration_rows, ROW)
+    return calibrate(build(counts), sample.select("lang", "text").toPandas())
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:

@@ -33,6 +33,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, bound: int, *keys: str) -> DataFrame:
+    """``df`` if it has at most ``bound`` rows, else about so many, chosen by a hash of ``keys``.
+
+    A threshold on the hash is a filter: no rows are ranked, and none but the chosen move.
+    """
+    n = df.count()
+    if n <= bound:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
