@@ -55,6 +55,7 @@ TOPPED = (
 
 # --- cleaning ---------------------------------------------------------------------
 
+# Published patterns and tables, which results depend on.
 SPACES = [
     ("([a-z])([A-Z])", r"\1 \2"),
     (r"([a-z])(\d)", r"\1 \2"),
@@ -70,6 +71,7 @@ SPACES = [
     (r"%(\d)", r"% \1"),
     (r"(\d)%", r"\1 %"),
 ]
+# Published patterns and tables, which results depend on.
 ARTIFACTS = (
     [(c + "{4,}", c * 2) for c in string.ascii_letters]
     + [("[.]{3,}", "."), ("[!]{3,}", "!"), ("[?]{3,}", "?")]
@@ -84,6 +86,7 @@ ARTIFACTS = (
         ),
     ]
 )
+# Published patterns and tables, which results depend on.
 BLANKING = [
     (r"\n\s*\n\s*\n", "\n\n"),
     (" +", " "),
@@ -134,6 +137,7 @@ def digest(docs: str, expr: str) -> str:
 _DOLLAR = r"\$[^\$]+\$"
 _DISPLAY = r"(?s)\\\[.*?\\\]"
 _PAREN = r"(?s)\\\(.*?\\\)"
+# Published patterns and tables, which results depend on.
 PROTECTED = [
     ("INLINE_MATH", _DOLLAR),
     ("DISPLAY_MATH", _DISPLAY),
@@ -160,6 +164,7 @@ def protected() -> str:
     return ", ".join(ctes)
 
 
+# Published patterns and tables, which results depend on.
 EQUATIONS = [
     ("inline", _DOLLAR),
     ("display", _DISPLAY),
@@ -209,6 +214,7 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t"""
 
 # --- structure --------------------------------------------------------------------
 
+# Published patterns and tables, which results depend on.
 _SECTION_LINES = [
     r"^Chapter\s+\d+",
     r"^Section\s+\d+\.?\d*",
@@ -399,6 +405,7 @@ def profile(source: str, measures: dict[str, str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+# Published patterns and tables, which results depend on.
 MOJIBAKE = [
     (r"Ō[\wąćęłńóśźż]+", r"Ō[\p{L}\p{N}_]+"),
     (r"Ž[\w]+", r"Ž[\p{L}\p{N}_]+"),
@@ -435,6 +442,7 @@ _SAMPLES = " UNION ALL ".join(
     f"FROM docs WHERE {cond}"
     for kind, (cond, sample) in _KINDS.items()
 )
+# Published patterns and tables, which results depend on.
 _CAPTIONS = {
     "figure": r"(?i)\b(Figure|Fig\.)\s*\d+",
     "table": r"(?i)\bTable\s*\d+",
