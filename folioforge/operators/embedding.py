@@ -67,9 +67,10 @@ class HashingEncoder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for i, text in enumerate(texts):
-            for token in re.findall(r"[^\W_]+", text.lower()):
-                position, sign = _token_hash(token)
-                out[i, position % self.dimension] += sign
+            hashed = [_token_hash(token) for token in re.findall(r"[^\W_]+", text.lower())]
+            if hashed:
+                position, sign = np.array(hashed, dtype=np.int64).T
+                out[i] = np.bincount(position % self.dimension, sign, self.dimension)
         return out
 
 

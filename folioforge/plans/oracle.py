@@ -669,6 +669,8 @@ SELECT substr(md5(p.file || '_' || page_id), 1, 12) AS id, page_id + 1 AS page_n
   md5(text) AS content_md5, CASE WHEN o IS NULL THEN 'Unknown' ELSE 'A. Writer' END AS author,
   CASE WHEN o IS NULL THEN 'unknown' ELSE 'intro' END AS level, (page_id + 1)::VARCHAR AS page,
   'false' AS has_images FROM p LEFT JOIN b ON p.file = b.file WHERE {trim('text')} <> ''""",
+    "first_documents": """SELECT doc_id AS doc_seq, source AS book_title, md5(text) AS content_md5
+FROM documents ORDER BY doc_id LIMIT 10""",
     "documents_json": f"""SELECT {_DOC_ID} AS id, source AS book_title, doc_id AS page_number,
   md5(text) AS content_md5, source AS book_file, 0 AS n_images FROM documents""",
     "chunks_jsonl": f"{CHUNKS} {_CHUNK_ROWS}",

@@ -267,6 +267,12 @@ def _ingest_pages(spark, sf):
     )
 
 
+def _first_documents(spark, sf):
+    return tables.first_documents(as_documents(texts(spark, sf)), 10).select(
+        "doc_seq", "book_title", F.md5("content").alias("content_md5")
+    )
+
+
 def _documents_json(spark, sf):
     path = new_table_path(spark, "documents")
     tables.write_documents(as_documents(texts(spark, sf)), path)
@@ -753,6 +759,7 @@ _QUERIES: dict[str, Query] = {
     # sources and sinks
     "ingest_pages": _ingest_pages,
     "documents_json": _documents_json,
+    "first_documents": _first_documents,
     "chunks_jsonl": _chunks_jsonl,
     "golden_jsonl": _golden_jsonl,
     "embeddings_parquet": _embeddings_parquet,
