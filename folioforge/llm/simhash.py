@@ -39,8 +39,9 @@ SLICE = 1 << 16
 LONG, BLOCK_BYTES = 12, 3
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Bits in which long fingerprints of near duplicates may differ.  At a similarity of 0.8
-#: some 2 % of the words differ, which gives about 50 of 768; unrelated texts give over 300.
-NEAR_BITS = 128
+#: 2 to 3 % of the different words do, which gives 50 to 65 of 768, give or take 8; unrelated
+#: texts give over 300.
+NEAR_BITS = 100
 #: In a large bucket of long fingerprints, a row meets the first and so many before it.
 NEIGHBOURS = 4
 
@@ -186,7 +187,8 @@ def _other_pairs(met: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFra
     b = few.select("choice", "key", F.col(ROW).alias("b"), F.col("root").alias("rb"))
     close = a.join(b, ["choice", "key"]).filter("a < b AND ra != rb").select("a", "b")
     along = Window.partitionBy("choice", "key").orderBy("fp", ROW)
-    before = F.array(*[F.lag(F.struct(ROW, "root"), i).over(along) for i in range(1, NEIGHBOURS + 1)])
+    one = F.struct(ROW, "root")
+    before = F.array(F.first(one).over(along), *[F.lag(one, i).over(along) for i in range(1, NEIGHBOURS + 1)])
     many = open_.filter(F.col("n") > SMALL).join(prints, ROW).withColumn("before", before)
     far = many.select(ROW, "root", F.explode(F.array_compact("before")).alias("o")).filter("root != o.root")
     other = F.col(f"o.{ROW}")
@@ -201,10 +203,11 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
     Rows are linked if the Jaccard similarity of their different shingles is at least
     ``similarity``.  Rows without words are near duplicates of none.
 
-    In each bucket all rows first meet its first row; pairs that this leaves in different
-    groups are compared after that, so a large group of copies makes no pairs of its own.
-    Of a bucket with over ``SMALL`` rows these are each row and the ``NEIGHBOURS`` before it in
-    the order of fingerprints; a pair shares a block in several of the other choices.
+    Every row first meets the first of all rows that it shares a block with; pairs that this
+    leaves in different groups are compared after that, so a large group of copies makes no
+    pairs of its own.  Of a bucket with over ``SMALL`` rows these are each row with the first
+    and with the ``NEIGHBOURS`` before it in the order of fingerprints; a pair shares a block
+    in several of the other choices.
     """
     ship_package(docs.sparkSession)
 
@@ -231,7 +234,9 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
 
     rows = with_row_id(docs.select(text_of(docs).alias("t")))
     worded = rows.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
-    prints = cut_lineage(worded.select(ROW, long_print("t").alias("fp")), "prints")
+    # Both are made in the one pass over the texts, which don't move.
+    made = cut_lineage(worded.select(ROW, long_print("t").alias("fp"), shingle_set("t").alias("s")), "prints")
+    prints, sets = made.select(ROW, "fp"), made.select(ROW, "s")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs close in Hamming distance, then in the shingles themselves."""
@@ -244,17 +249,17 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
         )
         both = pairs.join(a, "a").join(b, "b").withColumn("d", differing)
         close = cut_lineage(both.filter(F.col("d") <= NEAR_BITS).select("a", "b"), "close")
+        # Only the sets of rows that are in a close pair at all are kept for the joins.
         either = close.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-        # Sets are made from the texts that are in a close pair at all.
-        sets = cut_lineage(rows.join(either, ROW, "left_semi").select(ROW, shingle_set("t").alias("s")), "sets")
-        of_a = sets.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
-        of_b = sets.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
+        some = cut_lineage(sets.join(either, ROW, "left_semi"), "sets")
+        of_a = some.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
+        of_b = some.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
         compared = close.join(of_a, "a").join(of_b, "b")
         return cut_lineage(compared.filter(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
 
     met = _meetings(prints)
-    stars = met.filter(F.col(ROW) != F.col("first")).select(F.col("first").alias("a"), F.col(ROW).alias("b"))
-    edges = verified(stars.distinct())
+    stars = met.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).filter("a != b")
+    edges = verified(stars.select("a", "b"))
     more = verified(_other_pairs(met, components(edges), prints))
     return components(edges.unionByName(more)).select(F.col("node").alias(ROW), "root")
 
