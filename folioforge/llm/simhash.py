@@ -8,8 +8,9 @@ nodes, no pairs are made: its nodes meet at the bit patterns one step away from
 links exactly those within two steps.
 
 ``near_duplicates`` finds documents that share most of their five-word shingles.  Word
-shingles differ too fast under edits for 64 bits, so it takes a long fingerprint of single
-words, whose blocks bring the pairs together, and compares the shingles themselves.
+shingles differ too fast under edits for fingerprints, whose blocks miss pairs, so it joins on
+the rarest shingles of each text, by which no similar pair can be missed, and compares the
+shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.components import components
-from folioforge.llm.rows import ROW, text_of, with_row_id
+from folioforge.llm.rows import ROW, bounded_sample, text_of, with_row_id
 from folioforge.session import cut_lineage, ship_package
 
 WORDS, BITS, SEED = 3, 2, 42
@@ -35,15 +36,11 @@ SMALL = 32
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 16
 
-#: Words of the long fingerprint: 64 bits each.  A block is three bytes.
-LONG, BLOCK_BYTES = 12, 3
 NEAR_WORDS, SIMILARITY = 5, 0.8
-#: Bits in which long fingerprints of near duplicates may differ.  At a similarity of 0.8
-#: 2 to 3 % of the different words do, which gives 50 to 65 of 768, give or take 8; unrelated
-#: texts give over 300.
-NEAR_BITS = 100
-#: In a large bucket of long fingerprints, a row meets the first and so many before it.
-NEIGHBOURS = 4
+#: Rows, about, whose shingles are counted to tell frequent ones; only their order is from it.
+ORDER_ROWS = 20_000
+#: Rounds in which rows meet one row of another group before all pairs are made.
+STAR_ROUNDS = 2
 
 
 def _shingles(text: str, size: int) -> Iterator[list[int]]:
@@ -142,59 +139,86 @@ def linked(docs: DataFrame, size: int = WORDS, bits: int = BITS) -> DataFrame:
     return rows.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def _long_fingerprint(text: str) -> np.ndarray:
-    """``64 * LONG`` bits of the different words, each 1 if set for over half of them, as
-    ``LONG`` signed integers."""
-    words = set(text.encode("utf-8", "surrogatepass").lower().split())
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    ones = np.zeros(64 * LONG, np.int64)
-    for i in range(0, len(h), SLICE // LONG):
-        # More bits of a hash: the steps of the SplitMix generator that starts from it.
-        x = h[i : i + SLICE // LONG, None] + np.arange(LONG, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, 0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h)).view("<i8").astype(np.int64)
-
-
-def _meetings(prints: DataFrame) -> DataFrame:
-    """``(choice, key, _row, n, first)``: the blocks that several rows share, with the number
-    of these rows and the first of them."""
-    n_blocks = 8 * LONG // BLOCK_BYTES
-    bits = F.array_join(F.transform("fp", lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1)),
-        lambda i: F.conv(F.substring(F.col("bits"), i * 2 * BLOCK_BYTES + 1, F.lit(2 * BLOCK_BYTES)), 16, 10).cast("int"),
-    )
-    blocks = prints.withColumn("bits", bits).select(ROW, F.posexplode(keys).alias("choice", "key"))
-    blocks = cut_lineage(blocks, "blocks")
-    sizes = blocks.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-    return cut_lineage(blocks.join(sizes.filter("n > 1"), ["choice", "key"]), "meetings")
+def prefix_length(n: int, similarity: float) -> int:
+    """How many shingles of a set of ``n``, in one order for all sets, must be looked at.
+
+    A set shares at least ``similarity * n`` of them with any that is so similar, and the first
+    that they share comes before all others.
+    """
+    return int(n - similarity * n + 1e-6) + 1
+
+
+def _frequent(sets: DataFrame) -> pd.DataFrame:
+    """``(token, n)``: shingles that several of a sample of rows have, with their number.
+
+    Prefixes take shingles in the order of this number.  Any order finds all pairs; this one
+    leaves what many texts have in common to the end, and so makes fewer candidates.
+    """
+    @F.pandas_udf("array<int>")
+    def unpacked(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: np.frombuffer(x, np.int32))
+
+    some = bounded_sample(sets, ORDER_ROWS, ROW).select(F.explode(unpacked("s")).alias("token"))
+    return some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").toPandas()
+
+
+def _meetings(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(_row, size, place, token, n, first)``: the shingles in the prefixes of several
+    rows, the place of each in its row's prefix; with the number of these rows and the first of them."""
+    often = _frequent(sets).sort_values("token")
+    shared = sets.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int32), often["n"].to_numpy(np.int64)))
+
+    @F.pandas_udf("array<int>")
+    def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens, numbers = shared.value
 
+        def of(s: bytes) -> np.ndarray:
+            own = np.frombuffer(s, np.int32)
+            number = np.zeros(len(own), np.int64)
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                number = np.where(tokens[at] == own, numbers[at], 0)
+            return own[np.lexsort((own, number))[: prefix_length(len(own), similarity)]]
 
-def _other_pairs(met: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
-    """``(a, b)`` of rows that share a block and are in no common group yet."""
+        for part in batches:
+            yield part.map(of)
+
+    size = (F.octet_length("s") / 4).cast("int")
+    rows = sets.select(ROW, size.alias("size"), F.posexplode(prefix("s")).alias("place", "token"))
+    rows = cut_lineage(rows, "prefixes")
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
+    return cut_lineage(rows.join(sizes.filter("n > 1"), "token"), "meetings")
+
+
+def _open_meetings(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The meetings of rows of different groups, with their ``root``."""
     known = roots.withColumnRenamed("node", ROW)
-    grouped = met.join(known, ROW, "left").withColumn("root", F.coalesce("root", ROW))
-    mixed = grouped.groupBy("choice", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    open_ = cut_lineage(
-        grouped.join(mixed.filter("r0 != r1").select("choice", "key"), ["choice", "key"]), "open"
+    grouped = met.drop("first").join(known, ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    mixed = grouped.groupBy("token").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(ROW).alias("first")
+    )
+    return cut_lineage(grouped.join(mixed.filter("r0 != r1"), "token"), "open")
+
+
+def _all_pairs(open_: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: all pairs of rows of different groups that may be similar: what comes before
+    the shared shingle in either row, the other lacks, and enough is left after it."""
+    def side(x: str) -> DataFrame:
+        return open_.select(
+            "token", F.col(ROW).alias(x), F.col("root").alias(f"r{x}"), F.col("place").alias(f"p{x}"), F.col("size").alias(f"n{x}")
+        )
+
+    share = similarity / (1 + similarity)
+    enough = share * (F.col("na") + F.col("nb")) - 1e-6
+    may = (
+        (F.col("ra") != F.col("rb"))
+        # The smaller one is a; of equally large ones, the first.
+        & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        & (F.col("na") >= similarity * F.col("nb") - 1e-6)
+        & (F.col("na") - F.col("pa") >= enough)
+        & (F.col("nb") - F.col("pb") >= enough)
     )
-    few = open_.filter(F.col("n") <= SMALL)
-    a = few.select("choice", "key", F.col(ROW).alias("a"), F.col("root").alias("ra"))
-    b = few.select("choice", "key", F.col(ROW).alias("b"), F.col("root").alias("rb"))
-    close = a.join(b, ["choice", "key"]).filter("a < b AND ra != rb").select("a", "b")
-    along = Window.partitionBy("choice", "key").orderBy("fp", ROW)
-    one = F.struct(ROW, "root")
-    before = F.array(F.first(one).over(along), *[F.lag(one, i).over(along) for i in range(1, NEIGHBOURS + 1)])
-    many = open_.filter(F.col("n") > SMALL).join(prints, ROW).withColumn("before", before)
-    far = many.select(ROW, "root", F.explode(F.array_compact("before")).alias("o")).filter("root != o.root")
-    other = F.col(f"o.{ROW}")
-    return close.unionByName(
-        far.select(F.least(F.col(ROW), other).alias("a"), F.greatest(F.col(ROW), other).alias("b"))
-    ).distinct()
+    return side("a").join(side("b"), "token").filter(may).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -203,19 +227,12 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
     Rows are linked if the Jaccard similarity of their different shingles is at least
     ``similarity``.  Rows without words are near duplicates of none.
 
-    Every row first meets the first of all rows that it shares a block with; pairs that this
-    leaves in different groups are compared after that, so a large group of copies makes no
-    pairs of its own.  Of a bucket with over ``SMALL`` rows these are each row with the first
-    and with the ``NEIGHBOURS`` before it in the order of fingerprints; a pair shares a block
-    in several of the other choices.
+    Every row first meets the first of all rows that it shares a shingle of the prefixes with,
+    in ``STAR_ROUNDS`` rounds; all pairs that this leaves in different groups are compared
+    after that, so a large group of copies makes no pairs of its own.
     """
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("array<long>")
-    def long_print(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(_long_fingerprint)
-
     @F.pandas_udf("binary")
     def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -234,33 +251,30 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
 
     rows = with_row_id(docs.select(text_of(docs).alias("t")))
     worded = rows.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
-    # Both are made in the one pass over the texts, which don't move.
-    made = cut_lineage(worded.select(ROW, long_print("t").alias("fp"), shingle_set("t").alias("s")), "prints")
-    prints, sets = made.select(ROW, "fp"), made.select(ROW, "s")
+    sets = cut_lineage(worded.select(ROW, shingle_set("t").alias("s")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs close in Hamming distance, then in the shingles themselves."""
-        a = prints.select(F.col(ROW).alias("a"), F.col("fp").alias("fa"))
-        b = prints.select(F.col(ROW).alias("b"), F.col("fp").alias("fb"))
-        differing = F.aggregate(
-            F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-            F.lit(0),
-            lambda total, x: total + x,
-        )
-        both = pairs.join(a, "a").join(b, "b").withColumn("d", differing)
-        close = cut_lineage(both.filter(F.col("d") <= NEAR_BITS).select("a", "b"), "close")
-        # Only the sets of rows that are in a close pair at all are kept for the joins.
-        either = close.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-        some = cut_lineage(sets.join(either, ROW, "left_semi"), "sets")
+        """Pairs close in the shingles themselves."""
+        pairs = cut_lineage(pairs, "pairs")
+        # Only the sets of rows that are in a pair at all are kept for the joins.
+        either = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
+        some = cut_lineage(sets.join(either, ROW, "left_semi"), "some-sets")
         of_a = some.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
         of_b = some.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
-        compared = close.join(of_a, "a").join(of_b, "b")
+        compared = pairs.join(of_a, "a").join(of_b, "b")
         return cut_lineage(compared.filter(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
 
-    met = _meetings(prints)
-    stars = met.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).filter("a != b")
-    edges = verified(stars.select("a", "b"))
-    more = verified(_other_pairs(met, components(edges), prints))
+    met = _meetings(sets, similarity)
+    at_first = met.filter(F.col("first") != F.col(ROW))
+    edges = verified(at_first.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    for _ in range(STAR_ROUNDS - 1):
+        open_ = _open_meetings(met, components(edges))
+        of_first = open_.filter(F.col(ROW) == F.col("first")).select("token", F.col("root").alias("of_first"))
+        apart = open_.join(of_first, "token").filter("root != of_first")
+        edges = edges.unionByName(
+            verified(apart.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+        )
+    more = verified(_all_pairs(_open_meetings(met, components(edges)), similarity))
     return components(edges.unionByName(more)).select(F.col("node").alias(ROW), "root")
 
 
