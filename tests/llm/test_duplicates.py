@@ -175,6 +175,32 @@ def test_near_duplicates_by_stretches(spark, tmp_path):
     assert kept_of(spark, str(tmp_path / "d.parquet"), texts) == list(range(0, 80, 2))
 
 
+def test_near_duplicates_of_a_template(spark, tmp_path):
+    """Pairs of copies among many texts that share half their words, so that buckets are large."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(60)]
+    texts = []
+    for g in range(150):
+        own = [f"g{g}w{i}" for i in range(30)]
+        mixed = [w for i, t in enumerate(template) for w in ([t, own[i // 2]] if i % 2 else [t])]
+        texts.append(" ".join(mixed))
+    shared = [f"s{i}" for i in range(200)]
+    for g in range(150):
+        base = shared + [f"h{g}w{i}" for i in range(64)]
+        copy = base[:-20] + [f"c{g}w{i}" for i in range(20)]
+        texts += [" ".join(base), " ".join(copy)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    want = [i for i, r in enumerate(root) if i == r]
+    assert len(want) == 300
+    assert kept_of(spark, str(tmp_path / "d.parquet"), texts) == want
+
+
 def plain_cleaned(texts):
     data = [(t or "").encode() for t in texts]
     often = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
