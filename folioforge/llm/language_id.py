@@ -16,15 +16,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.rows import FOLDS, HELD_OUT, ROW, bounded_sample, held_out, text_of, with_row_id
 from folioforge.session import ship_package
 
 ORDER = 4
-#: Model size: the most frequent runs of all languages together, dealt evenly.
-MOST_RUNS = 1_000_000
+#: Numbers in the table of all languages' probabilities; runs beyond it take longer, not less.
+TABLE_CELLS = 20_000_000
 #: Rows of the fold that calibrates, about, if it has more; by a hash of their places.
 CALIBRATION_FOLD, CALIBRATION_ROWS = 1, 4_000
 #: Characters whose runs are held at once.
@@ -165,7 +165,7 @@ class KneserNey:
 
 @dataclass
 class Identifier:
-    """``table``: log probabilities ``[run, language]`` of all runs of any model, by hash.
+    """``table``: log probabilities ``[run, language]`` of the most frequent runs, by hash.
     Runs beyond it go through the models themselves."""
 
     languages: list[str]
@@ -213,7 +213,11 @@ def build(counts: pd.DataFrame) -> Identifier:
     everything = np.concatenate(runs)
     alphabet = len(np.unique(everything)) + 1
     models = [KneserNey(r, n, alphabet) for r, n in zip(runs, numbers, strict=True)]
-    keys, at = np.unique(hashes(everything), return_index=True)
+    keys, at, own = np.unique(hashes(everything), return_index=True, return_inverse=True)
+    size = max(TABLE_CELLS // len(languages), 1)
+    if len(keys) > size:
+        often = np.sort(np.argpartition(-np.bincount(own, np.concatenate(numbers)), size - 1)[:size])
+        keys, at = keys[often], at[often]
     logs = np.stack([np.log(m.probability(everything[at])) for m in models], 1)
     return Identifier(languages, models, SortedHashes(keys, logs.astype(np.float32)))
 
@@ -243,18 +247,13 @@ def calibrate(identifier: Identifier, sample: pd.DataFrame) -> Identifier:
     return identifier
 
 
-def fit(docs: DataFrame, most_runs: int = MOST_RUNS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
+def fit(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
     """Learn from all documents with a language outside the held-out and calibration folds."""
     ship_package(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     known = docs.select("doc_id", "lang", text_of(docs).alias("text"), F.coalesce(fold, F.lit(-1)).alias("fold"))
     known = known.filter(F.col("lang").isNotNull() & (F.col("fold") != HELD_OUT))
-    counted = count_runs(known.filter(F.col("fold") != CALIBRATION_FOLD))
-    languages = [r["lang"] for r in known.select("lang").distinct().collect()]
-    # Bounded by most_runs, whatever the corpus.
-    each = max(most_runs // max(len(languages), 1), 1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
-    counts = counted.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank").toPandas()
+    counts = count_runs(known.filter(F.col("fold") != CALIBRATION_FOLD)).toPandas()
     fold_rows = with_row_id(known).filter(F.col("fold") == CALIBRATION_FOLD)
     sample = bounded_sample(fold_rows, calibration_rows, ROW)
     return calibrate(build(counts), sample.select("lang", "text").toPandas())

@@ -55,6 +55,32 @@ def test_language_without_rows(spark, none, odd, odd_rows):
     assert language_id.identify(odd, language_id.fit(odd)).count() == len(odd_rows)
 
 
+def test_language_counts_are_not_cut(spark, tmp_path):
+    """A language with over a million different runs beside one with few keeps them all."""
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [(i, "".join(letters[k] for k in rng.integers(0, 3000, 2_000)), "zh") for i in range(1_000)]
+    rows.append((-1, "balo mira tulo", "aa"))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    model = language_id.fit(spark.read.parquet(path), calibration_rows=0)
+    learned = [t for i, t, lang in rows if lang == "zh" and zlib.crc32(str(i).encode()) % 5 > 1]
+    kinds = np.unique(np.concatenate([language_id.hashes(language_id.runs_of(language_id.characters(t))) for t in learned]))
+    assert len(kinds) > 1_000_000
+    assert np.isin(kinds, model.models[model.languages.index("zh")].own[4].keys).all()
+
+
+def test_runs_beyond_the_table_cost_the_same(monkeypatch):
+    rows = corpus(random.Random(2), 40)
+    counts = Counter((lang, "".join(map(chr, r))) for _, t, lang in rows for r in language_id.runs_of(language_id.characters(t)))
+    df = pd.DataFrame([(lang, run, n) for (lang, run), n in counts.items()], columns=["lang", "run", "n"])
+    codes = language_id.characters(rows[0][1])
+    whole = language_id.build(df).costs(codes)
+    monkeypatch.setattr(language_id, "TABLE_CELLS", 100)
+    part = language_id.build(df)
+    assert len(part.table.keys) == 50 and part.costs(codes) == pytest.approx(whole, rel=1e-5)
+
+
 def test_models_are_distributions():
     rows = corpus(random.Random(1), 60)
     runs = np.concatenate([language_id.runs_of(language_id.characters(t)) for _, t, _ in rows])
