@@ -5,7 +5,7 @@ From the counts come a model of order 4 for each language and, by the number of
 characters seen before a run, those of the lower orders.  Models are sorted arrays of run
 hashes with their probabilities.  A text gets the language under which its characters cost
 the fewest nats on average; how sure that is, and when a text is like no language, is
-calibrated on a fold that the counts have not seen.
+calibrated on a bounded sample of rows that the counts have not seen.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.rows import FOLDS, HELD_OUT, ROW, bounded_sample, held_out, text_of, with_row_id
+from folioforge.llm.rows import FOLDS, HELD_OUT, ROW, held_out, text_of, with_row_id
 from folioforge.session import ship_package
 
 ORDER = 4
 #: Numbers in the table of all languages' probabilities; runs beyond it take longer, not less.
 TABLE_CELLS = 20_000_000
-#: Rows of the fold that calibrates, about, if it has more; by a hash of their places.
+#: Rows of the fold that calibrate, about, if it has more; by a hash of their places.
 CALIBRATION_FOLD, CALIBRATION_ROWS = 1, 4_000
 #: Characters whose runs are held at once.
 SLICE = 1 << 18
@@ -222,18 +222,28 @@ def build(counts: pd.DataFrame) -> Identifier:
     return Identifier(languages, models, SortedHashes(keys, logs.astype(np.float32)))
 
 
-def calibrate(identifier: Identifier, sample: pd.DataFrame) -> Identifier:
-    """Fit the slope of the confidence, and each language's limit, on ``(lang, text)``."""
+def costs_of(identifier: Identifier, sample: DataFrame) -> pd.DataFrame:
+    """``(lang, n, costs)`` of the texts of ``(lang, text)`` that have letters: the characters
+    of each and its nats per character under each language, found in the tasks."""
+    shared = sample.sparkSession.sparkContext.broadcast(identifier)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            coded = [(lang, characters(t)) for lang, t in zip(batch["lang"], batch["text"], strict=True)]
+            out = [(lang, len(c), shared.value.costs(c).tolist()) for lang, c in coded if len(c)]
+            yield pd.DataFrame(out, columns=["lang", "n", "costs"])
+
+    return sample.select("lang", "text").mapInPandas(score, "lang string, n long, costs array<double>").toPandas()
+
+
+def calibrate(identifier: Identifier, scored: pd.DataFrame) -> Identifier:
+    """Fit the slope of the confidence, and each language's limit, on ``(lang, n, costs)``."""
     places = {lang: i for i, lang in enumerate(identifier.languages)}
-    rows = [
-        (characters(t), places[lang])
-        for lang, t in zip(sample["lang"], sample["text"], strict=True)
-        if lang in places
-    ]
-    rows = [(identifier.costs(c), len(c), lang) for c, lang in rows if len(c)]
-    if not rows:
+    scored = scored[scored["lang"].isin(places)]
+    if not len(scored):
         return identifier
-    costs, n, lang = (np.array(x) for x in zip(*rows, strict=True))
+    costs, n = np.stack(scored["costs"].map(np.asarray).to_list()), scored["n"].to_numpy()
+    lang = scored["lang"].map(places).to_numpy()
     spread = (costs - costs.min(1, keepdims=True)) * np.sqrt(n)[:, None]
 
     def loss(slope: float) -> float:
@@ -248,15 +258,24 @@ def calibrate(identifier: Identifier, sample: pd.DataFrame) -> Identifier:
 
 
 def fit(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Learn from all documents with a language outside the held-out and calibration folds."""
+    """Learn from all documents with a language outside the held-out fold.
+
+    About ``calibration_rows`` of one fold calibrate and are not counted; all others are, and
+    all documents of a language that would have none to count.
+    """
     ship_package(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     known = docs.select("doc_id", "lang", text_of(docs).alias("text"), F.coalesce(fold, F.lit(-1)).alias("fold"))
-    known = known.filter(F.col("lang").isNotNull() & (F.col("fold") != HELD_OUT))
-    counts = count_runs(known.filter(F.col("fold") != CALIBRATION_FOLD)).toPandas()
-    fold_rows = with_row_id(known).filter(F.col("fold") == CALIBRATION_FOLD)
-    sample = bounded_sample(fold_rows, calibration_rows, ROW)
-    return calibrate(build(counts), sample.select("lang", "text").toPandas())
+    known = with_row_id(known).filter(F.col("lang").isNotNull() & (F.col("fold") != HELD_OUT))
+    in_fold = F.col("fold") == CALIBRATION_FOLD
+    n = known.filter(in_fold).count()
+    bound = int((1 << 30) * min(calibration_rows / max(n, 1), 1))
+    drawn = in_fold & (F.pmod(F.xxhash64(ROW), F.lit(1 << 30)) < bound)
+    rest = F.max(~drawn & F.col("text").rlike("\\p{L}"))
+    alone = [r["lang"] for r in known.groupBy("lang").agg(rest.alias("rest")).filter("NOT rest").collect()]
+    drawn = drawn & ~F.col("lang").isin(alone)
+    identifier = build(count_runs(known.filter(~drawn)).toPandas())
+    return calibrate(identifier, costs_of(identifier, known.filter(drawn)))
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:

@@ -55,6 +55,28 @@ def test_language_without_rows(spark, none, odd, odd_rows):
     assert language_id.identify(odd, language_id.fit(odd)).count() == len(odd_rows)
 
 
+def test_language_learns_from_all_but_the_sample(spark, tmp_path):
+    """Rows of the calibration fold that are not drawn are counted, and so are languages that
+    are only in the sample."""
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i in range(400)}
+    rows = corpus(random.Random(6), 400)
+    fold = [i for i in folds if folds[i] == language_id.CALIBRATION_FOLD]
+    rare = set(fold[:3])
+    rows = [(i, "xyzzy plugh " * 20, "cc") if i in rare else (i, t, lang) for i, t, lang in rows]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert {got[i] for i in rare} == {"cc"}
+    # With no calibration rows, every row outside the held-out fold is counted.
+    model = language_id.fit(docs, calibration_rows=0)
+    learned = [(t, lang) for i, t, lang in rows if folds[i] != 0]
+    for k, lang in enumerate(model.languages):
+        runs = np.concatenate([language_id.runs_of(language_id.characters(t)) for t, own in learned if own == lang])
+        assert set(model.models[k].own[4].keys) == set(language_id.hashes(runs))
+    assert model.limits is None
+
+
 def test_language_counts_are_not_cut(spark, tmp_path):
     """A language with over a million different runs beside one with few keeps them all."""
     rng = np.random.default_rng(3)
