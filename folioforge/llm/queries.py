@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from folioforge.llm import (
     block_naming,
     boosted_quality,
+    hard_negatives,
     language_id,
     license_scan,
+    merkle_manifest,
     mixing,
     packing,
     quality_rules,
+    secret_scan,
     simhash,
     suffix_dedup,
     url_reputation,
 )
 from folioforge.llm.rows import ROW
-from folioforge.llm.sql import OP1, OP2, OP6, OP7, OP9
+from folioforge.llm.sql import OP1, OP2, OP6, OP7, OP9, OP11, OP12
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +112,33 @@ def _op10(spark, sf_dir):
     return boosted_quality.score(docs, model)
 
 
+def _op11(spark, sf_dir):
+    """Labels are made noisy first; every hundredth id is an anchor."""
+    rows, vector = _load(spark, sf_dir, "embeddings"), F.col("embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    anchor = F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False))
+    return hard_negatives.mine(
+        rows.filter(hard_negatives.finite(vector)).select(
+            F.col("vec_id").alias("id"),
+            label.alias("label"),
+            hard_negatives.quantized(vector).alias("vector"),
+            anchor.alias("anchor"),
+        )
+    )
+
+
+def _op12(spark, sf_dir):
+    """Every seventh id, by hash, is tampered with."""
+    docs = _load(spark, sf_dir, "documents")
+    return merkle_manifest.verified(docs, F.crc32(docs["doc_id"].cast("string")) % 7 == 0)
+
+
+def _op13(spark, sf_dir):
+    found = secret_scan.scan(_load(spark, sf_dir, "documents"))
+    counts = ["n_assign", "n_access", "n_hex"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": _op1,
     "op2_exact_dedup": _op2,
@@ -120,6 +150,9 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": _op8,
     "op9_license_scan": _op9,
     "op10_quality_boosting": _op10,
+    "op11_hard_negatives": _op11,
+    "op12_merkle_manifest": _op12,
+    "op13_secret_scan": _op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -129,4 +162,6 @@ ORACLE: dict[str, str] = {
     "op6_mixing": OP6,
     "op7_quality_rules": OP7,
     "op9_license_scan": OP9,
+    "op11_hard_negatives": OP11,
+    "op12_merkle_manifest": OP12,
 }

@@ -220,3 +220,92 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_w
        coalesce(score, 0) AS score
 FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN voted USING (doc_id)
 """
+
+OP11 = """
+WITH q AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def _framed(*fields: str) -> str:
+    one = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(one.format(f) for f in fields) + ")"
+
+
+def _crc32(text: str) -> str:
+    """Bit by bit over the bytes of an ASCII text."""
+    bits = "list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda crc, byte: {bits}), 4294967295)"
+
+
+def _tree(name: str, bottom: str) -> str:
+    """Nodes ``(g, level, pos, h, n)`` of a tree for each ``g`` over ``bottom``, pairs hashed."""
+    return f"""{name} AS (
+    SELECT g, 0 AS level, pos, h, n FROM {bottom}
+    UNION ALL
+    SELECT g, level + 1, pos // 2, sha256(h || coalesce(next, '')), (n + 1) // 2
+    FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY pos) AS next FROM {name} WHERE n > 1)
+    WHERE pos % 2 = 0)"""
+
+
+def _climb(name: str, start: str, tree: str) -> str:
+    """From the nodes of ``start`` upwards: the siblings so far and both folded hashes."""
+    return f"""{name} AS (
+    SELECT id, g, 0 AS level, pos, proof, fold FROM {start}
+    UNION ALL
+    SELECT c.id, c.g, c.level + 1, c.pos // 2, c.proof || coalesce(s.h, ''),
+           sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.fold ELSE c.fold || coalesce(s.h, '') END)
+    FROM {name} c JOIN {tree} own ON own.g = c.g AND own.level = c.level AND own.pos = c.pos AND own.n > 1
+    LEFT JOIN {tree} s ON s.g = c.g AND s.level = c.level AND s.pos = xor(c.pos, 1))"""
+
+
+OP12 = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS g,
+           {_framed("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+           {_framed("doc_id", "source", "lang", "n_chars + 1", "text")} AS changed
+    FROM documents),
+ranked AS (
+    SELECT *, row_number() OVER (ORDER BY g, doc_id NULLS FIRST, leaf) AS id,
+           row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY g) AS n
+    FROM leaves),
+bottom AS (SELECT g, pos, leaf AS h, n FROM ranked),
+{_tree("nodes", "bottom")},
+subroots AS (
+    SELECT '*' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n, g AS own
+    FROM nodes WHERE n = 1),
+{_tree("above", "subroots")},
+claims AS (
+    SELECT id, g, pos, '' AS proof,
+           CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN changed ELSE leaf END AS fold
+    FROM ranked),
+{_climb("climb", "claims", "nodes")},
+arrived AS (
+    SELECT c.id, s.g, s.pos, c.proof, c.fold
+    FROM climb c JOIN nodes t ON t.g = c.g AND t.level = c.level AND t.pos = c.pos AND t.n = 1
+    JOIN subroots s ON s.own = c.g),
+{_climb("climb2", "arrived", "above")}
+SELECT r.doc_id, r.leaf, s.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256,
+       c.fold AS folded_root, c.fold = t.h AS verified
+FROM climb2 c JOIN above t ON t.level = c.level AND t.pos = c.pos AND t.n = 1
+JOIN ranked r ON r.id = c.id JOIN subroots s ON s.own = r.g
+"""

@@ -22,7 +22,7 @@ def duck():
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries())
-    assert len([n for n in QUERIES if n.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13 and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
