@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens.  All that decides a packing is how
 many pieces there are of each length, a table of at most ``capacity`` rows.  Patterns of two
-or three lengths that fill a sequence are enumerated, and how often each is used is fitted to
-that table by non-negative least squares; repeat counts are rounded down to what is there.
+or three lengths that fill a sequence are enumerated (all pairs, and the triples that the fit
+asks for), and how often each is used is fitted to that table by non-negative least squares;
+repeat counts are rounded, as far as pieces are there.
 What is left is packed largest first, each gap taking the largest length that fits, again by
 counts.  Pieces then take the places of their length by their number among its pieces, so
 planning costs the same for any number of documents, and no sequence is packed in a task.
@@ -31,8 +32,8 @@ END = 0
 TOKENIZER = "byte_bpe_50k"
 #: Numbering buckets of each length; a length with a third of all pieces is that many groups.
 BUCKETS = 4096
-#: About so many patterns of three lengths are enumerated, and so many rounds fit the counts.
-TRIPLES, ROUNDS = 6_000, 300
+#: Rounds that fit the counts, and how often patterns of three lengths are added to the fit.
+ROUNDS, PRICINGS = 300, 12
 #: Bits of a piece's number within its length.
 RANK_BITS = 44
 
@@ -44,31 +45,34 @@ def _encoder(name: str):
     """Text to token ids as little-endian unsigned 32-bit integers.
 
     The rank file of the vocabulary is several times faster than its JSON form and gives the
-    same ids.  Where its splitter gives up (extreme runs of white space), the JSON form takes
-    over for that text.
+    same ids, told which added tokens the JSON form finds in a text.  Where its splitter gives
+    up (extreme runs of white space), the JSON form takes over for that text.
     """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    plain = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    added = plain.get_added_tokens_decoder()
+    # What else could be asked of an added token, the fast form does not know.
+    exact = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+    special = {t.content: i for i, t in added.items()}
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @lru_cache
-    def plain() -> Tokenizer:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+    # An added token has an id of its own, whether or not the ranks list it.
+    ranks = {token: rank for token, rank in ranks.items() if token.decode("utf-8", "replace") not in special}
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> bytes:
         try:
-            ids = fast.encode_to_numpy(text, disallowed_special=())
+            if not exact:
+                raise ValueError
+            ids = fast.encode_to_numpy(text, allowed_special="all")
         except BaseException as error:  # the splitter's panic is no Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            ids = plain().encode(text, add_special_tokens=False).ids
+            ids = plain.encode(text, add_special_tokens=False).ids
         return np.append(ids, END).astype("<u4").tobytes()
 
     return encode
@@ -111,51 +115,83 @@ def pieces(
     return found if keep_ids else found.drop("ids")
 
 
-def _patterns(counts: np.ndarray) -> np.ndarray:
-    """Rows of up to three lengths that fill a sequence exactly; 0 is no length."""
-    capacity = len(counts) - 1
+def _pairs(there: np.ndarray) -> np.ndarray:
+    """Rows of two lengths that fill a sequence exactly; the third length is 0, none."""
+    capacity = len(there) - 1
     a = np.arange(1, capacity // 2 + 1)
-    pairs = np.stack([a, capacity - a, np.zeros_like(a)], 1)
-    step = max(1, int(np.ceil(np.sqrt(capacity**2 / 12 / TRIPLES))))
-    a, b = np.meshgrid(np.arange(1, capacity // 3 + 1, step), np.arange(1, capacity // 2 + 1, step))
-    c = capacity - a - b
-    fits = (a <= b) & (b <= c)
-    triples = np.stack([a[fits], b[fits], c[fits]], 1)
-    every = np.concatenate([pairs, triples])
-    there = counts > 0
-    there[0] = True
-    return every[there[every].all(1)]
-
-
-def _fit(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Non-negative least squares: repeats of each pattern, by multiplicative updates."""
+    a = a[there[a] & there[capacity - a]]
+    return np.stack([a, capacity - a, np.zeros_like(a)], 1)
+
+
+def _priced(left_over: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Rows of three lengths that fill a sequence exactly: for each shortest one, those of which
+    the fit has left most, which is what it would gain by them."""
+    capacity, found = len(there) - 1, []
+    value = np.where(there, left_over, -np.inf)
+    for a in np.flatnonzero(there[: capacity // 3 + 1]):
+        b = np.arange(a, (capacity - a) // 2 + 1)
+        gain = value[b] + value[capacity - a - b]
+        if len(b) and value[a] + gain.max() > 0:
+            b = b[gain.argmax()]
+            found.append((a, b, capacity - a - b))
+    return np.array(found, dtype=np.int64).reshape(-1, 3)
+
+
+def _fit(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares by multiplicative updates: the repeats of each pattern, and
+    how many pieces of each length they leave over."""
     wanted = counts.astype(float)
     wanted[0] = 0
     goal = wanted[patterns].sum(1)
     x = goal / (3 * max(len(patterns), 1)) + 1e-9
-    for _ in range(ROUNDS):
-        used = np.bincount(patterns.ravel(), np.repeat(x, 3), len(counts))
-        used[0] = 0
-        x *= goal / (used[patterns].sum(1) + 1e-12)
-    return x
 
+    def used() -> np.ndarray:
+        n = np.bincount(patterns.ravel(), np.repeat(x, 3), len(counts))
+        n[0] = 0
+        return n
 
-def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
-    """Patterns with their repeats that use up ``counts[length]`` pieces of each length."""
+    for _ in range(rounds):
+        x *= goal / (used()[patterns].sum(1) + 1e-12)
+    return x, wanted - used()
+
+
+def _fitted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and their repeats.  Pairs come first, then triples as the fit asks for them."""
+    there = counts > 0
+    there[0] = False
+    patterns = _pairs(there)
+    for _ in range(PRICINGS):
+        left_over = _fit(patterns, counts, ROUNDS // 4)[1]
+        more = np.unique(np.concatenate([patterns, _priced(left_over, there)]), axis=0)
+        if len(more) == len(patterns):
+            break
+        patterns = more
+    return patterns, _fit(patterns, counts, ROUNDS)[0]
+
+
+def by_patterns(counts: np.ndarray) -> tuple[list[tuple[int, list[int]]], np.ndarray]:
+    """The part of the plan that patterns make up, and what they leave of each length.
+
+    Repeats are rounded to whole numbers, most used patterns first, as far as pieces are there.
+    """
     left, capacity = counts.astype(np.int64).copy(), len(counts) - 1
     made = [(int(left[capacity]), [capacity])] if left[capacity] else []
     left[capacity] = 0
-    patterns = _patterns(left)
-    repeats = _fit(patterns, left)
+    patterns, repeats = _fitted(left)
     for i in np.argsort(-repeats, kind="stable"):
-        if repeats[i] < 1:
-            break
         lengths = [int(n) for n in patterns[i] if n]
-        times = min(int(repeats[i]), *(int(left[n]) // lengths.count(n) for n in lengths))
-        if times:
+        times = min(round(repeats[i]), *(int(left[n]) // lengths.count(n) for n in lengths))
+        if times > 0:
             made.append((times, lengths))
             for n in lengths:
                 left[n] -= times
+    return made, left
+
+
+def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
+    """Patterns with their repeats that use up ``counts[length]`` pieces of each length."""
+    made, left = by_patterns(counts)
+    capacity = len(counts) - 1
     there = [int(n) for n in np.flatnonzero(left)]
     while there:
         lengths, room, taken = [], capacity, {}

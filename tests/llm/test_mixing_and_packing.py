@@ -81,7 +81,6 @@ def check_packing(rows, capacity):
 
 def test_packing(odd, odd_rows, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in odd_rows:
         ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -100,11 +99,12 @@ def test_packing(odd, odd_rows, none):
     assert packing.packed(none).count() == 0
 
 
-def test_special_strings_and_white_space_are_text():
+def test_ids_are_those_of_the_unmodified_tokenizer():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encode = packing._encoder(packing.TOKENIZER)
-    for text in ("<|endoftext|> a", " " * 5000, "  x​", "a" * 30_000, "日本語𝄞\u0000", "I'm we'LL 1234567"):
+    end = "<|endoftext|>"
+    assert tokenizer.encode(f"abc {end} def", add_special_tokens=False).ids == [39305, 220, 50256, 825]
+    for text in (f"{end} a", f"abc {end} def", f"a\n{end}", end * 3, f" {end} {end[:-1]} {end.upper()}", "x " * 2046 + end + " y" * 3000, end * 5000, " " * 5000 + end, " " * 5000, "  x​", "a" * 30_000, "日本語𝄞\u0000", "I'm we'LL 1234567"):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert encode(text) == np.array([*ids, 0], "<u4").tobytes()
 
@@ -126,6 +126,34 @@ def test_plans_use_up_the_histogram(seed):
     assert packing.plan(np.zeros(capacity + 1, int)) == []
 
 
+def test_special_token_around_cuts(spark, tmp_path):
+    """Cuts fall before, at and after the added token, which stays one id."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" x" * (2047 + d) + "<|endoftext|>" + " y" * 2048 for d in (-2, -1, 0, 1)] + ["<|endoftext|>"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = defaultdict(list)
+    for r in packing.packed(spark.read.parquet(path)).collect():
+        got[r["doc_id"]].append((r["piece"], r["length"], r["ids_crc32"]))
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert ids.count(50256) == 1
+        first = len(ids) % 2048 or min(len(ids), 2048)
+        cuts = [(0, first)] + [(a, a + 2048) for a in range(first, len(ids), 2048)]
+        want = [(n, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for n, (a, b) in enumerate(cuts)]
+        assert sorted(got[i]) == want
+
+
+def test_patterns_of_every_residue():
+    """Three lengths that only fill a sequence together, whatever they are modulo 8."""
+    for a, b in [(700, 701), (681, 682), (3, 1001), (500, 777), (6, 7)]:
+        counts = np.zeros(2049, int)
+        for n in (a, b, 2048 - a - b):
+            counts[n] += 1000
+        made = packing.plan(counts)
+        assert sum(t for t, _ in made) == 1000, (a, b, made[:3])
+
+
 def test_pack_wants_pieces_that_fit(spark):
     df = spark.createDataFrame([(1, 9)], "piece int, length long")
     with pytest.raises(ValueError):
