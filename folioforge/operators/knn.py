@@ -3,24 +3,26 @@
 Top-k decomposes: the best k of every index block contain the best k overall.  Each task
 multiplies the query matrix with its share of the index and hands on k rows per query, so
 vectors never move and the shuffle carries results only.  More queries than fit a matrix of
-bounded size go past the index in rounds.
+bounded size are answered from balls (``balls.py``), in two rounds whatever their number.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.session import new_table_path
+from folioforge.session import cut_lineage
 
 HIT = "query_id long, row long, score double"
 _HIT_ARROW = pa.schema(
     [("query_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())]
 )
 
-# Bytes of queries that are shipped to every task at once; more take several rounds.
+# Bytes of queries up to which they are shipped to every task.
 BROADCAST_BYTES = 64 << 20
 # Scores held at once in a task.
 _TILE = 1 << 24
@@ -53,70 +55,78 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the best k by (score descending, row ascending)."""
-    return np.lexsort((rows, -scores))[:k]
+class Block:
+    """Vectors of one block, made ready for scoring."""
+
+    def __init__(self, rows: np.ndarray, vecs: np.ndarray, unit_index: bool) -> None:
+        self.rows = rows
+        self.vecs = _unit(vecs) if unit_index else vecs.astype("float64")
+        self.single = self.vecs.astype("float32").T
+        longest = max(np.linalg.norm(self.vecs, axis=1).max(), 1e-30)
+        self.error = 4 * vecs.shape[1] * np.finfo("float32").eps * longest
+
+    def best(self, queries: np.ndarray, k: int) -> Hits:
+        """The best k vectors of each query, by score and then the lower row.
+
+        The float32 product only picks candidates; everything within its rounding error of
+        the k-th best is scored again in double precision, so the outcome is exact.
+        """
+        tile = max(1, _TILE // len(self.vecs))
+        parts = []
+        for start in range(0, len(queries), tile):
+            part = queries[start : start + tile]
+            coarse = part.astype("float32") @ self.single
+            if coarse.shape[1] > k:
+                kth = np.partition(coarse, -k, axis=1)[:, -k]
+                bar = kth - self.error * np.linalg.norm(part, axis=1)
+                at, picked = np.nonzero(coarse >= bar[:, None])
+            else:
+                at, picked = np.indices(coarse.shape).reshape(2, -1)
+            exact = np.empty(len(at))
+            step = max(1, _TILE // (4 * max(queries.shape[1], 1)))
+            for i in range(0, len(at), step):
+                own = slice(i, i + step)
+                exact[own] = (self.vecs[picked[own]] * part[at[own]]).sum(axis=1)
+            parts.append(_ranked(Hits(at + start, self.rows[picked], exact), k))
+        return Hits(*map(np.concatenate, zip(*parts, strict=True)))
 
 
-def _score_block(
-    queries: np.ndarray, vecs: np.ndarray, rows: np.ndarray, k: int, unit_index: bool
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query: rows and scores of the best k vectors of one block.
+class Hits(NamedTuple):
+    """Parallel arrays: the place of a query, a row of the index, their score."""
+
+    query: np.ndarray
+    row: np.ndarray
+    score: np.ndarray
 
-    The float32 product only picks candidates; everything within its rounding error of
-    the k-th best is scored again in double precision, so the outcome is exact.
-    """
-    unit = _unit(vecs) if unit_index else vecs.astype("float64")
-    single = unit.astype("float32").T
-    longest = max(np.linalg.norm(unit, axis=1).max(), 1e-30)
-    error = 4 * vecs.shape[1] * np.finfo("float32").eps * longest
-    tile = max(1, _TILE // len(vecs))
-    out = []
-    for start in range(0, len(queries), tile):
-        part = queries[start : start + tile]
-        coarse = part.astype("float32") @ single
-        for q, line in zip(part, coarse):
-            if len(line) > k:
-                kth = np.partition(line, -k)[-k]
-                picked = np.flatnonzero(line >= kth - error * np.linalg.norm(q))
-            else:
-                picked = np.arange(len(line))
-            exact = (unit[picked] * q).sum(axis=1)
-            best = _best(exact, rows[picked], k)
-            out.append((rows[picked][best], exact[best]))
-    return out
-
-
-def _as_hits(ids: np.ndarray, found: list) -> pa.RecordBatch:
-    counts = [len(r) for r, _ in found]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(ids, counts).astype("int64")),
-            pa.array(np.concatenate([r for r, _ in found]).astype("int64")),
-            pa.array(np.concatenate([s for _, s in found]).astype("float64")),
-        ],
-        schema=_HIT_ARROW,
-    )
+
+def _ranked(hits: Hits, k: int) -> Hits:
+    """The first k hits of each query, by score and then the lower row."""
+    order = np.lexsort((hits.row, -hits.score, hits.query))
+    query = hits.query[order]
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    order = order[place < k]
+    return Hits(*(x[order] for x in hits))
+
+
+def _as_hits(ids: np.ndarray, hits: Hits) -> pa.RecordBatch:
+    arrays = ids[hits.query].astype("int64"), hits.row.astype("int64"), hits.score
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=_HIT_ARROW)
 
 
 def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool):
     """Task body of the broadcast path: a running top-k over the partition's batches."""
 
     def scan(batches):
-        kept: list | None = None
+        kept: Hits | None = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             vecs = _matrix(batch.column("vec"), queries.shape[1], batch.column("row"), "row")
             rows = batch.column("row").to_numpy(zero_copy_only=False)
-            found = _score_block(queries, vecs, rows, k, unit_index)
+            found = Block(rows, vecs, unit_index).best(queries, k)
             if kept is not None:
-                merged = []
-                for (r0, s0), (r1, s1) in zip(kept, found):
-                    r, s = np.concatenate([r0, r1]), np.concatenate([s0, s1])
-                    best = _best(s, r, k)
-                    merged.append((r[best], s[best]))
-                found = merged
+                found = _ranked(Hits(*map(np.concatenate, zip(kept, found, strict=True))), k)
             kept = found
         if kept is not None:
             yield _as_hits(ids, kept)
@@ -124,7 +134,7 @@ def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool):
     return scan
 
 
-def _keep_top(hits: DataFrame, k: int) -> DataFrame:
+def keep_top(hits: DataFrame, k: int) -> DataFrame:
     """Merge per-task winners to k ranked rows per query, in two steps.
 
     One query has k rows per index partition, which is a hot group when queries are few;
@@ -143,14 +153,6 @@ def _keep_top(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _in_blocks(queries: DataFrame, blocks: int) -> DataFrame:
-    """Queries stored by block, so that a round reads its own only."""
-    path = new_table_path(queries.sparkSession, "queries")
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    dealt.repartition("block").write.partitionBy("block").parquet(path)
-    return queries.sparkSession.read.parquet(path)
-
-
 def top_k(
     index: DataFrame,
     queries: DataFrame,
@@ -187,25 +189,16 @@ def top_k(
         raise ValueError(f"Queries differ in dimension: {size.lo} and {size.hi}")
     if dimension is not None and size.hi != dimension:
         raise ValueError(f"Query dim {size.hi} != index dimension {dimension}")
-    blocks = max(1, -(-8 * size.n * size.hi // max(broadcast_bytes, 1)))
-    stored = None if blocks == 1 else _in_blocks(queries, min(blocks, size.n))
-    first = queries.toArrow() if stored is None else None
+    if 8 * size.n * size.hi > broadcast_bytes:
+        from folioforge.operators.balls import BallIndex
+
+        # Stored before the cache is given up; balls then send a query to where it can win.
+        stored = cut_lineage(queries, "queries")
+        queries.unpersist()
+        return BallIndex.build(index, unit_index).search(stored, k, unit_queries)
+    table = queries.toArrow()
     queries.unpersist()
-
-    def scanned(table: pa.Table) -> DataFrame:
-        ids = table.column("query_id")
-        matrix = _matrix(table.column("vec"), size.hi, ids, "query").astype("float64")
-        matrix = _unit(matrix) if unit_queries else matrix
-        return index.mapInArrow(_scan_with(ids.to_numpy(), matrix, k, unit_index), HIT)
-
-    if stored is None:
-        return _keep_top(scanned(first), k)
-    # Each round ships one bounded block of queries to where the index is and stores its
-    # hits, so neither vectors nor the queries of other rounds move.
-    spark = index.sparkSession
-    path = new_table_path(spark, "hits")
-    for block in range(min(blocks, size.n)):
-        part = stored.filter(F.col("block") == block).select("query_id", "vec").toArrow()
-        if part.num_rows:
-            scanned(part).write.mode("append").parquet(path)
-    return _keep_top(spark.read.schema(HIT).parquet(path), k)
+    ids = table.column("query_id")
+    matrix = _matrix(table.column("vec"), size.hi, ids, "query").astype("float64")
+    matrix = _unit(matrix) if unit_queries else matrix
+    return keep_top(index.mapInArrow(_scan_with(ids.to_numpy(), matrix, k, unit_index), HIT), k)
