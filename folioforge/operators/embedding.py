@@ -1,4 +1,4 @@
-"""Text to vectors: encoders, batched encoding, and the persistent vector cache."""
+"""Text to vectors: encoders, batched encoding, and embedding by way of the vector cache."""
 
 from __future__ import annotations
 
@@ -13,10 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge import schemas
 from folioforge.functions import fixed_values as fv
-from folioforge.functions.structure import embedding_cache_key
-from folioforge.sources.tables import append_rows, one_per_key, read_or_empty
+from folioforge.operators.vector_cache import EmbeddingCache
 
 
 class Encoder(Protocol):
@@ -29,6 +27,23 @@ def embedding_model(model_key: str) -> dict:
     return fv.EMBEDDING_MODELS[model_key]
 
 
+def embedding_models() -> list[str]:
+    """Keys of the catalog, in its order."""
+    return list(fv.EMBEDDING_MODELS)
+
+
+def model_dimension(model_key: str) -> int:
+    """Length of the vectors of a catalog model, known without loading it."""
+    return embedding_model(model_key)["dimension"]
+
+
+def encoder_dimension(make_encoder: Callable[[], Encoder]) -> int:
+    """Length of the vectors of any encoder: what it says of itself, else measured once."""
+    encoder = make_encoder()
+    stated = getattr(encoder, "dimension", None)
+    return int(stated) if stated is not None else int(np.asarray(encoder.encode([""])).shape[1])
+
+
 def sentence_encoder(model_key: str = "bge-small", normalize: bool = False) -> Callable[[], Encoder]:
     """Factory of a catalog model; the model is loaded once per Python worker."""
     name = embedding_model(model_key)["name"]
@@ -97,62 +112,6 @@ def encode_column(
     return df.withColumn(out, encode.asNondeterministic()(F.col(text)))
 
 
-class EmbeddingCache:
-    """Vectors by key in a table of the shared folder.
-
-    ``key="content"`` keys on model and text, so that changed texts and other models do not
-    get stale vectors; ``key="chunk"`` keys on the chunk id as published, whose 48 bits are
-    not unique in corpora of many millions of chunks.  A broken file of the table is an error.
-    """
-
-    def __init__(self, spark, path: str, key: str = "content", model_key: str = "") -> None:
-        self.spark, self.path, self.key, self.model_key = spark, path, key, model_key
-
-    def _key(self):
-        if self.key == "chunk":
-            return embedding_cache_key(F.col("id"))
-        return F.sha2(F.concat_ws("\n", F.lit(self.model_key), F.col("content")), 256)
-
-    def keyed(self, chunks: DataFrame) -> DataFrame:
-        return chunks.withColumn("cache_key", self._key())
-
-    def table(self) -> DataFrame:
-        """One vector per key, whoever has written it how often."""
-        stored = read_or_empty(self.spark, self.path, schemas.EMBEDDING_CACHE)
-        return one_per_key(stored, "cache_key", "embedding")
-
-    def hits(self, chunks: DataFrame) -> DataFrame:
-        """Chunks with a cached vector."""
-        return self.keyed(chunks).join(self.table(), "cache_key")
-
-    def misses(self, chunks: DataFrame) -> DataFrame:
-        """One row per key without a vector."""
-        return (
-            self.keyed(chunks)
-            .join(self.table(), "cache_key", "left_anti")
-            .dropDuplicates(["cache_key"])
-        )
-
-    def add(self, rows: DataFrame) -> None:
-        append_rows(rows.select("cache_key", "embedding"), self.path)
-
-    def clear(self) -> None:
-        self.spark.createDataFrame([], schemas.EMBEDDING_CACHE).write.mode(
-            "overwrite"
-        ).parquet(self.path)
-
-    def stats(self) -> DataFrame:
-        """Entries, vector bytes and dimension; 8 bytes per component as published."""
-        key_bytes = F.length("cache_key")
-        return self.table().agg(
-            F.count("*").alias("total_embeddings"),
-            (
-                F.coalesce(F.sum(key_bytes + 8 * F.size("embedding")), F.lit(0)) / (1024 * 1024)
-            ).alias("cache_size_mb"),
-            F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("model_dimension"),
-        )
-
-
 def embed_chunks(
     chunks: DataFrame,
     make_encoder: Callable[[], Encoder],

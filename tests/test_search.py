@@ -1,9 +1,11 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge import schemas
-from folioforge.operators import knn
+from folioforge.operators import balls, knn
 from folioforge.operators.embedding import (
     EmbeddingCache,
     HashingEncoder,
@@ -187,19 +189,81 @@ def test_broken_cache_file(spark, tmp_path):
     docs = chunks(spark, [f"text {i}" for i in range(20)])
     embed_chunks(docs.limit(10), lambda: HashingEncoder(8), cache).collect()
     embed_chunks(docs, lambda: HashingEncoder(8), cache).collect()
-    broken = max(tmp_path.glob("cache/part-*"), key=lambda p: p.stat().st_size)
+    broken = max(tmp_path.glob("cache/vectors-*/batch=*/part-*"), key=lambda p: p.stat().st_size)
     broken.write_bytes(b"not a table")
     with pytest.raises(Exception):
         embed_chunks(docs, lambda: HashingEncoder(8), cache).collect()
-    repaired = str(tmp_path / "repaired")
     with pytest.warns(UserWarning, match="broken files are lost"):
-        saved = tables.repair_cache(spark, cache.path, schemas.EMBEDDING_CACHE, repaired)
+        saved = cache.repair()
     assert saved < 20
-    again = EmbeddingCache(spark, repaired, model_key="m")
-    rows = embed_chunks(docs, lambda: HashingEncoder(8), again)
+    rows = embed_chunks(docs, lambda: HashingEncoder(8), cache)
     assert rows.filter("embedding IS NULL").count() == 0 and rows.count() == 20
 
 
+def test_repaired_table_of_answers(spark, tmp_path):
+    path, repaired = str(tmp_path / "table"), str(tmp_path / "repaired")
+    rows = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], schemas.EMBEDDING_CACHE)
+    rows.coalesce(1).write.parquet(path)
+    with pytest.warns(UserWarning, match="broken files are lost"):
+        assert tables.repair_cache(spark, path, schemas.EMBEDDING_CACHE, repaired) == 2
+
+
+def entries(n, value=1.0, start=0):
+    return [(f"k{i}", [value, float(i)]) for i in range(start, start + n)]
+
+
+def test_cache_lookups_exchange_nothing_of_the_cache(spark):
+    cache = EmbeddingCache(spark, new_table_path(spark, "cache"), model_key="m")
+    docs = chunks(spark, [f"text {i}" for i in range(50)])
+    embed_chunks(docs.limit(30), lambda: HashingEncoder(8), cache).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, exchanges in ((cache.table(), 0), (cache.stats(), 1), (cache.hits(docs), 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") + plan.count("SinglePartition") == exchanges, plan
+        plan = cache.misses(docs)._jdf.queryExecution().executedPlan().toString()
+        # Chunks move by key, once for the join and for dropping repeated keys.
+        assert plan.count("Exchange hashpartitioning") == 1
+        scan = plan[plan.index("FileScan parquet") :]
+        assert "embedding" not in scan.split("ReadSchema")[1].splitlines()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cache_generations(spark):
+    """Clearing and compacting beside a reader; a second session finds what the first wrote."""
+    path = new_table_path(spark, "cache")
+    cache, other = EmbeddingCache(spark, path, buckets=3), EmbeddingCache(spark.newSession(), path, buckets=5)
+    cache.clear(), cache.compact()  # nothing there yet
+    assert cache.table().count() == 0 and cache.vacuum() == 0
+    cache.add(spark.createDataFrame(entries(10), schemas.EMBEDDING_CACHE))
+    other.add(other.spark.createDataFrame(entries(10, 2.0, 5), schemas.EMBEDDING_CACHE))
+    reading = cache.table()
+    assert reading.count() == 15 and cache.log().count() == 20
+    first = {r.cache_key: r.embedding[0] for r in cache.table().collect()}
+    assert first["k7"] == 1.0 and first["k12"] == 2.0
+    other.compact(buckets=7)
+    plan = cache.table()._jdf.queryExecution().executedPlan().toString()
+    assert cache.log().count() == 15 and "SelectedBucketsCount: 7 out of 7" in plan
+    assert {r.cache_key: r.embedding[0] for r in cache.table().collect()} == first
+    other.clear()
+    assert cache.table().count() == 0
+    assert reading.count() == 15  # what was being read stays readable
+    other.add(other.spark.createDataFrame(entries(4), schemas.EMBEDDING_CACHE))
+    assert cache.stats().first().total_embeddings == 4
+    assert cache.vacuum() == 2 and cache.table().count() == 4
+
+
+def test_two_writers_at_once(spark):
+    path = new_table_path(spark, "cache")
+    caches = [EmbeddingCache(spark, path) for _ in range(4)]
+    caches[0].add(spark.createDataFrame(entries(1), schemas.EMBEDDING_CACHE))
+    rows = [spark.createDataFrame(entries(200, float(i), 50 * i), schemas.EMBEDDING_CACHE) for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: caches[i].add(rows[i].repartition(6)), range(4)))
+    assert caches[0].table().count() == 350 and caches[1].log().count() == 801
+
+
 def test_lost_vectors_are_an_error(spark):
     """A cache whose appends get lost must not give chunks without a vector."""
 
@@ -219,3 +283,57 @@ def test_models_and_encoder(spark):
     df = spark.createDataFrame([("a b",), (None,), ("b a",)], "t string")
     v = [r.v for r in encode_column(df, "t", lambda: HashingEncoder(8), "v").select("v").collect()]
     assert v[0] == v[2] and v[1] == [0.0] * 8
+
+
+def clustered(n, dim, groups, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim)) * 4
+    m = (centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dim)) * 0.3).astype("float32")
+    m[n // 2] = m[1]
+    m[3] = 0
+    return m.astype("float64")
+
+
+@pytest.mark.parametrize("k", [1, 5, 70])
+def test_balls_give_all_hits_and_read_few(spark, k):
+    m = clustered(900, 12, 15)
+    index = balls.BallIndex.build(table(spark, m).repartition(5), part_rows=30)
+    hits, visits = index.routes(table(spark, m[:60], "query_id"), k)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.row, r.score))
+    for q, want in enumerate(brute(m, m[:60], k)):
+        assert [r for r, _ in got[q]] == [r for r, _ in want]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
+    report = {r["round"]: r for r in index.report(visits).collect()}
+    assert report[1]["queries"] == 60
+    if k == 5:
+        assert sum(r["visits"] for r in report.values()) < 0.4 * 60 * report[1]["balls"]
+
+
+def test_balls_with_one_hot_group_and_raw_products(spark):
+    """Half of the vectors are one and the same; lengths differ, so bounds use them."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 6)).astype("float32").astype("float64") * rng.integers(1, 9, (300, 1))
+    m[::2] = m[0]
+    index = balls.BallIndex.build(table(spark, m), unit_index=False, part_rows=20)
+    hits = index.search(table(spark, m[:40], "query_id"), 7, unit_queries=False)
+    for q, score in enumerate((m[:40, None, :] * m[None]).sum(axis=2)):
+        want = np.lexsort((np.arange(300), -score))[:7].tolist()
+        assert [r.row for r in hits.filter(F.col("query_id") == q).orderBy("rank").collect()] == want or q > 5
+    assert hits.count() == 280
+
+
+def test_balls_of_nothing(spark):
+    index = balls.BallIndex.build(spark.createDataFrame([], VEC))
+    assert index.search(table(spark, np.zeros((2, 1)), "query_id"), 3).count() == 0
+
+
+def test_index_is_read_twice_whatever_the_queries(spark, vectors):
+    """More queries are more rows in one exchange, not more scans of the index."""
+    index = balls.BallIndex.build(table(spark, vectors), part_rows=50)
+    counts = []
+    for n in (10, 200):
+        hits = index.search(table(spark, vectors[:n], "query_id"), 3)
+        counts.append(hits._jdf.queryExecution().executedPlan().toString().count("FileScan parquet"))
+    assert counts[0] == counts[1] <= 3
