@@ -133,15 +133,29 @@ def _steps(fix_spaces: bool, fix_encoding: bool, fix_math: bool, normalize_ws: b
     return steps
 
 
+def _chain(mode: str):
+    if mode == "faithful":
+        return _steps
+    if mode == "fixed":
+        from folioforge.functions import corrected
+
+        return corrected.steps
+    raise ValueError(f"mode is 'faithful' or 'fixed', not {mode!r}")
+
+
 def clean_text(
     text: Column,
     fix_spaces: bool = True,
     fix_encoding: bool = True,
     fix_math: bool = True,
     normalize_ws: bool = True,
+    mode: str = "faithful",
 ) -> Column:
-    """The whole cleaning chain as one expression.  Null becomes ``''``."""
-    steps = _steps(fix_spaces, fix_encoding, fix_math, normalize_ws)
+    """The whole cleaning chain as one expression.  Null becomes ``''``.
+
+    ``mode="fixed"`` takes the corrected rules of ``corrected`` instead of the published ones.
+    """
+    steps = _chain(mode)(fix_spaces, fix_encoding, fix_math, normalize_ws)
     return reduce(lambda c, step: step[1](c), steps, F.coalesce(text, F.lit("")))
 
 
@@ -152,6 +166,7 @@ def clean_column(
     fix_encoding: bool = True,
     fix_math: bool = True,
     normalize_ws: bool = True,
+    mode: str = "faithful",
 ) -> DataFrame:
     """The same chain for a whole corpus: costly rare-case steps run only where needed.
 
@@ -161,7 +176,7 @@ def clean_column(
     """
     out = df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
     c = F.col(column)
-    for needles, step in _steps(fix_spaces, fix_encoding, fix_math, normalize_ws):
+    for needles, step in _chain(mode)(fix_spaces, fix_encoding, fix_math, normalize_ws):
         value = step(c)
         if needles:
             found = reduce(or_, [F.contains(c, F.lit(n)) for n in needles])

@@ -192,36 +192,30 @@ EMBEDDING_MODELS = {
         "name": "BAAI/bge-small-en-v1.5",
         "dimension": 384,
         "batch_size": 32,
-        "description": "Fast, good for testing",
     },
     "bge-large": {
         "name": "BAAI/bge-large-en-v1.5",
         "dimension": 1024,
         "batch_size": 16,
-        "description": "Better quality, slower",
     },
     "all-mpnet": {
         "name": "sentence-transformers/all-mpnet-base-v2",
         "dimension": 768,
         "batch_size": 32,
-        "description": "Good general purpose",
     },
 }
 LLM_MODELS = {
     "gemini-flash-lite": {
         "provider": "gemini",
         "name": "gemini-3.5-flash-lite",
-        "description": "Cheapest Gemini; good for YES/NO judging.",
     },
     "gemini-flash": {
         "provider": "gemini",
         "name": "gemini-3.6-flash",
-        "description": "Fast Gemini; good default for generation.",
     },
     "gemini-pro": {
         "provider": "gemini",
         "name": "gemini-3.6-pro",
-        "description": "Higher quality; use for final answer generation.",
     },
 }
 

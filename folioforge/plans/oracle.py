@@ -6,6 +6,7 @@ lookaround and no back-references, so those patterns appear in their plain spell
 
 from __future__ import annotations
 
+import re
 import string
 
 from folioforge.functions import fixed_values as fv
@@ -212,6 +213,54 @@ shown AS (
 t AS (SELECT doc_id, arg_max(text, n) AS t FROM shown GROUP BY doc_id)
 SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t"""
 
+# --- corrected cleaning -----------------------------------------------------------
+
+_REPAIRS = sorted(
+    dict(reversed([("\u00e2\u02c6\u0161", "√"), ("\u00e2\u2030\u00a0", "≠")] + fv.ENCODING_FIXES + fv.MATH_SYMBOL_FIXES)).items(),
+    key=lambda kv: -len(kv[0]),
+)
+
+
+def decoded(x):
+    """Keys to private characters first, so that no value is read again."""
+    hidden = [(key, chr(0xE100 + i)) for i, (key, _) in enumerate(_REPAIRS)]
+    return literal(literal(x, hidden), [(c, v) for (_, c), (_, v) in zip(hidden, _REPAIRS, strict=True)])
+
+
+def expanded(x):
+    """Whole words: a neighbour is consumed, so that the second round finds every other one."""
+    for key, value in fv.ABBREVIATIONS:
+        for _ in range(2):
+            x = f"regexp_replace({x}, {q(f'(^|[^a-zA-Z0-9])' + re.escape(key) + '(?:[.]|([^a-zA-Z0-9.])|$)')}, " \
+                f"{q(chr(92) + '1' + _held(value) + chr(92) + '2')}, 'g')"
+        x = f"replace({x}, {q(_held(value))}, {q(value)})"
+    return x
+
+
+def _held(value: str) -> str:
+    """A stand-in that no other rule reads as a word."""
+    return "\ue200" + "".join(chr(0xE300 + ord(c)) for c in value)
+
+
+def fixed_after_decoding(x):
+    x = literal(expanded(subs(spaces(x), ARTIFACTS)), [("\r\n", "\n"), ("\r", "\n")])
+    x = subs(x, [(r"\n\s*\n\s*\n", "\n\n"), (" +", " "), (r"[^\S\n]+([.,;:!?])", r"\1"), ("([.,;:!?])([a-zA-Z])", r"\1 \2")])
+    return trim(subs(x, [(r"(^|[^a-zA-Z])(e[.]|i[.]) ([ge][.])", r"\1\2\3")] * 2))
+
+
+_MATH = "|".join(
+    f"(?s:{p.removeprefix('(?s)')})" if p.startswith("(?s)") else f"(?:{p})" for kind, p in EQUATIONS if kind != "symbol"
+)
+_CLEAN_FOR_CHUNKING_FIXED = f"""WITH {NOISY},
+d AS (SELECT doc_id, {decoded('text')} AS text FROM docs),
+m AS (SELECT doc_id, regexp_extract_all(text, {q(_MATH)}) AS hits, regexp_split_to_array(text, {q(_MATH)}) AS gaps FROM d),
+h AS (SELECT doc_id, hits, array_to_string(list_transform(range(1, len(gaps) + 1),
+  lambda i: gaps[i] || CASE WHEN i <= len(hits) THEN chr(57344) || (i - 1) || chr(57345) ELSE '' END), '') AS text FROM m),
+c AS (SELECT doc_id, hits, regexp_split_to_array({fixed_after_decoding('text')}, chr(57344) || '[0-9]+' || chr(57345)) AS gaps FROM h),
+t AS (SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1),
+  lambda i: gaps[i] || CASE WHEN i <= len(hits) THEN hits[i] ELSE '' END), '') AS t FROM c)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t"""
+
 # --- structure --------------------------------------------------------------------
 
 # Published patterns and tables, which results depend on.
@@ -578,6 +627,8 @@ SELECT doc_id, seq, content, type, st::INT AS start_char, en::INT AS end_char,
     (least(length(text), en + 100) - greatest(st - 100, 0))::BIGINT)) AS context_md5
 FROM eq JOIN docs USING (doc_id)""",
     "clean_for_chunking": _CLEAN_FOR_CHUNKING,
+    "clean_text_fixed": digest(NOISY, fixed_after_decoding(decoded("text"))),
+    "clean_for_chunking_fixed": _CLEAN_FOR_CHUNKING_FIXED,
     "section_boundaries": _BOUNDARIES,
     "chunking_stats": _STATS,
     "identifiers": _IDENTIFIERS,

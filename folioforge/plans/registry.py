@@ -56,6 +56,15 @@ def _clean_for_chunking(spark, sf):
     return _digest(cleaned, F.col("text"))
 
 
+def _clean_fixed(spark, sf):
+    return _digest(cleaning.clean_column(noisy_texts(spark, sf), "text", mode="fixed"), F.col("text"))
+
+
+def _clean_for_chunking_fixed(spark, sf):
+    cleaned = math_blocks.clean_column_for_chunking(noisy_texts(spark, sf), "text", mode="fixed")
+    return _digest(cleaned, F.col("text"))
+
+
 # --- math -------------------------------------------------------------------------
 
 
@@ -699,6 +708,8 @@ _QUERIES: dict[str, Query] = {
     "clean_whitespace": _cleaning(cleaning.normalize_whitespace),
     "clean_text_full": _clean_text_full,
     "clean_text_expression": _cleaning(cleaning.clean_text),
+    "clean_text_fixed": _clean_fixed,
+    "clean_for_chunking_fixed": _clean_for_chunking_fixed,
     "protect_math": _protect_math,
     "restore_math": _restore_math,
     "extract_equations": _extract_equations,

@@ -23,7 +23,7 @@ NAMES = [
     "clean_abbreviations", "clean_whitespace", "clean_text_full", "clean_text_expression",
     "protect_math", "extract_equations", "clean_for_chunking", "section_boundaries",
     "strip_headings", "split_paragraphs", "split_sentences", "char_windows", "chunk_documents",
-    "chunk_plain_documents",
+    "chunk_plain_documents", "clean_text_fixed", "clean_for_chunking_fixed",
 ]
 
 
