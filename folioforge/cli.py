@@ -10,7 +10,6 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
 from folioforge.operators import evaluation, generation
@@ -27,6 +26,7 @@ from folioforge.operators.index import Retriever, VectorIndex
 from folioforge.operators.model_calls import gemini_client, judge_with_cache
 from folioforge.operators.ranks import number_rows
 from folioforge.plans import chunk_report, diagnostics, reports
+from folioforge.session import cut_lineage
 from folioforge.sources import pdf, tables
 
 
@@ -35,14 +35,16 @@ def _show(lines) -> None:
         print(line)
 
 
+def _report(sections: list[reports.Section], path: str | None) -> None:
+    """The first lines for the console, all of them in files."""
+    _show(reports.head(sections))
+    if path:
+        reports.write(sections, path)
+
+
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     books = tables.read_books(spark, a.metadata)
-    titles = (
-        {r.file: r.title for r in books.orderBy(F.desc("ordinal")).toLocalIterator()}
-        if books is not None and a.images
-        else {}
-    )
-    pages = pdf.read_pdf_pages(spark, a.pdfs, a.images, titles=titles)
+    pages = pdf.read_pdf_pages(spark, a.pdfs, a.images, titles=books if a.images else None)
     tables.write_documents(documents_from_pages(pages, books), a.out)
     back = tables.read_documents(spark, a.out)
     chunk_report.corpus_totals(back).show(truncate=False)
@@ -90,14 +92,16 @@ def _retriever(spark: SparkSession, a: argparse.Namespace) -> Retriever:
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> None:
-    _show(reports.search_lines(_retriever(spark, a).search_text(a.query, a.k), a.preview_chars))
+    _show(reports.head(reports.hits(_retriever(spark, a).search_text(a.query, a.k), a.preview_chars)))
 
 
 def answer(spark: SparkSession, a: argparse.Namespace) -> None:
     queries = spark.createDataFrame([(0, a.query)], "query_id long, query string")
     hits = _retriever(spark, a).search(queries, a.k)
     client = gemini_client(a.generator, fv.GENERATE_TEMPERATURE)
-    _show(reports.answer_lines(generation.answer(queries, hits, client), a.show_chunks))
+    # Stored: the sections read it one after the other, and no answer is asked for twice.
+    found = cut_lineage(generation.answer(queries, hits, client), "answers")
+    _show(reports.head(reports.answers(found, a.show_chunks)))
 
 
 def _numbered_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -113,8 +117,9 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     results = evaluation.query_results(golden, judged)
     results.write.parquet(f"{a.out}/results")
     results = spark.read.parquet(f"{a.out}/results")
-    _show(reports.evaluation_lines(results, a.k))
-    _show(reports.entry_lines(results))
+    if results.isEmpty():
+        raise ValueError("No query results to report")
+    _report(reports.evaluated(results, a.k), f"{a.out}/report")
     config = {
         "k": a.k, "model_key": a.model, "judge_model_key": a.judge,
         "index": a.index, "golden_file": a.golden,
@@ -123,7 +128,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def diagnose_chunks(spark: SparkSession, a: argparse.Namespace) -> None:
-    _show(reports.chunk_lines(chunk_report.run(tables.read_chunks(spark, a.chunks))))
+    _report(reports.chunks(chunk_report.run(tables.read_chunks(spark, a.chunks))), a.out)
 
 
 def check_extraction(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -131,7 +136,7 @@ def check_extraction(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.sample:
         docs = tables.first_documents(docs, a.sample)
     report = diagnostics.run(docs)
-    _show(reports.extraction_lines(report))
+    _report(reports.extraction(report), f"{a.out}/text" if a.out else None)
     if a.out:
         reports.save_json(report, a.out)
 
@@ -169,7 +174,7 @@ def _parser() -> argparse.ArgumentParser:
         "evaluate", evaluate, "golden", "index", "judge_cache", "out", model="bge-small",
         judge="gemini-flash-lite", k=5,
     )
-    stage("diagnose-chunks", diagnose_chunks, "chunks")
+    stage("diagnose-chunks", diagnose_chunks, "chunks", out=None)
     stage("check-extraction", check_extraction, "documents", array=False, sample=0, out=None)
     return parser
 

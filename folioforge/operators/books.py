@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
 from folioforge.functions.charclass import is_blank
 from folioforge.functions.cleaning import clean_column
 from folioforge.functions.structure import document_id
+from folioforge.operators.ranks import sum_before
 from folioforge.session import cut_lineage
 
 
@@ -88,9 +89,7 @@ def documents_from_pages(pages: DataFrame, books: DataFrame | None = None) -> Da
     documents = cut_lineage(documents, "documents")
     # One row per file, however many pages.
     lengths = documents.groupBy("file").agg((F.max("_page") + 1).alias("_n"))
-    before = lengths.select(
-        "file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before")
-    )
+    before = sum_before(lengths, ["file"], "_n", "_before").drop("_n")
     numbered = documents.join(before, "file")
     return numbered.withColumn("doc_seq", F.col("_before") + F.col("_page")).drop(
         "file", "_page", "_before"

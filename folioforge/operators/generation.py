@@ -11,6 +11,7 @@ from folioforge.functions import fixed_values as fv
 from folioforge.functions.charclass import is_blank
 from folioforge.functions.prompts import citations, user_prompt
 from folioforge.operators.model_calls import Client, call_model
+from folioforge.operators.ranks import number_rows
 
 _CHUNK = "struct<rank:int,score:double,row:bigint,chunk_id:string,book:string,page:bigint,section:string,content:string>"
 
@@ -67,14 +68,35 @@ def answer(
 
 
 def append_messages(messages: DataFrame, path: str) -> None:
-    messages.write.mode("append").parquet(path)
+    """Add messages as files that hold a range of conversations each, turns in their order."""
+    ranges = messages.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "turn")
+    ranges.write.mode("append").parquet(path)
 
 
 def clear_history(history: DataFrame, path: str) -> None:
     history.limit(0).write.mode("overwrite").parquet(path)
 
 
+def compact_history(history: DataFrame, path: str) -> None:
+    """All conversations as files of disjoint ranges with the place of each message.
+
+    ``place`` counts messages in display order from 0.  After this, any stretch of the
+    history is a filter on ``place`` that reads the files it lies in, and no reader sorts.
+    """
+    number_rows(history, ["conv_id", "turn"], "place").write.parquet(path)
+
+
 def transcript(history: DataFrame, conv_id: int | None = None) -> DataFrame:
-    """Messages in display order, of one conversation or of all."""
-    rows = history if conv_id is None else history.filter(F.col("conv_id") == conv_id)
-    return rows.orderBy("conv_id", "turn")
+    """Messages of one conversation in display order, or all with the ``place`` of each.
+
+    One conversation is read from the row groups whose range it is in, and only its turns are
+    sorted.  All of them are given by place, for any number of readers to take stretches of.
+    """
+    if conv_id is not None:
+        return history.filter(F.col("conv_id") == conv_id).orderBy("turn")
+    return history if "place" in history.columns else number_rows(history, ["conv_id", "turn"], "place")
+
+
+def stretch(history: DataFrame, start: int, end: int) -> DataFrame:
+    """Messages from place ``start`` to before ``end`` of a compacted history, in order."""
+    return history.filter((F.col("place") >= start) & (F.col("place") < end)).orderBy("place")

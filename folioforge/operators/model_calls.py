@@ -40,6 +40,11 @@ class RetryExhausted(Exception):
     """All attempts failed with a retryable error."""
 
 
+def llm_models() -> list[str]:
+    """Keys of the catalog, in its order."""
+    return list(fv.LLM_MODELS)
+
+
 def llm_model(model_key: str) -> dict:
     if model_key not in fv.LLM_MODELS:
         raise ValueError(

@@ -58,30 +58,46 @@ def size_profile(
     )
 
 
-def number_rows(df: DataFrame, order: list[str], out: str = "row") -> DataFrame:
-    """Dense 0-based row numbers in ``order``, by range partitions.
+def _in_range_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted, with ``_part`` and ``_id``, as a stored table.
 
-    The sorted rows are written once to the shared folder: partition contents have to be
-    the same when counted and when numbered, whatever executors are lost in between.
+    Stored, because partition contents have to be the same when summed up and when numbered,
+    whatever executors are lost in between.
     """
     parts = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    parts = cut_lineage(parts, "numbered")
-    part = F.shiftright("_id", 33)
-    # As many rows as there are partitions.
-    offsets = (
-        parts.groupBy(part.alias("_part"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-        .select("_part", "_base")
-    )
+    return cut_lineage(parts, "numbered").withColumn("_part", F.shiftright("_id", 33))
+
+
+def _with_base(parts: DataFrame, amount: Column) -> DataFrame:
+    """Add ``_base``: the sum of ``amount`` over all partitions before a row's own.
+
+    The sums of partitions are added up on the driver: as many numbers as there are tasks.
+    """
+    sums = parts.groupBy("_part").agg(F.sum(amount).alias("n")).orderBy("_part").collect()
+    bases, total = [], 0
+    for row in sums:
+        bases.append((row["_part"], total))
+        total += row["n"]
+    known = parts.sparkSession.createDataFrame(bases, "_part long, _base long")
+    return parts.join(F.broadcast(known), "_part")
+
+
+def number_rows(df: DataFrame, order: list[str], out: str = "row") -> DataFrame:
+    """Dense 0-based row numbers in ``order``, by range partitions."""
+    parts = _with_base(_in_range_order(df, order), F.lit(1))
     position = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        parts.withColumn("_part", part)
-        .join(offsets, "_part")
-        .withColumn(out, F.col("_base") + position)
-        .drop("_part", "_base", "_id")
-    )
+    return parts.withColumn(out, F.col("_base") + position).drop("_part", "_base", "_id")
+
+
+def sum_before(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over all rows before a row in ``order``.
+
+    Running sums stay within range partitions; no window holds all rows.
+    """
+    parts = _with_base(_in_range_order(df, order), F.col(amount))
+    within = F.sum(amount).over(Window.partitionBy("_part").orderBy("_id")) - F.col(amount)
+    return parts.withColumn(out, F.col("_base") + within).drop("_part", "_base", "_id")

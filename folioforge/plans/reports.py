@@ -1,223 +1,152 @@
-"""Console reports.
+"""Reports as text.
 
-Each report is a stream of lines: sections of fixed size are read at once, sections with a
-row per book, query or page are read through an iterator, one partition at a time.
+A report is a list of sections, each a table with a title and an order.  Rows become lines in
+Spark: ``write`` puts every line of every section into text files in that order, and ``head``
+gives a bounded number of lines of each for the console, with a word on what is left out.
 """
 
 from __future__ import annotations
 
 import textwrap
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.operators import evaluation
 
+#: Rows of a section that a console shows, and characters of a wrapped line.
+SHOWN, WIDTH = 20, 100
+
+
+@dataclass
+class Section:
+    """A table under a title; ``order`` sorts its rows, ``texts`` names columns to wrap."""
+
+    title: str
+    table: DataFrame
+    order: list = field(default_factory=list)
+    texts: tuple[str, ...] = ()
+
+    def sorted(self) -> DataFrame:
+        return self.table.orderBy(*self.order) if self.order else self.table
+
+    def lines(self) -> DataFrame:
+        """``line``: one for each row, ``name value`` pairs; texts follow behind a bar."""
+        return self.sorted().select(F.concat_ws(" | ", *_cells(self)).alias("line"))
 
-def _fill(text: str, indent: str = "") -> str:
-    return textwrap.fill(text, width=100, initial_indent=indent, subsequent_indent=indent)
-
-
-def search_lines(hits: DataFrame, preview_chars: int = 300) -> Iterator[str]:
-    """Ranked hits with a wrapped preview."""
-    for h in hits.orderBy("query_id", "rank").toLocalIterator():
-        yield (
-            f"[{h['rank']}] score={h.score:.4f}  {h.book}  p.{h.page}  (chunk_id={h.chunk_id})"
-        )
-        preview = h.content.replace("\n", " ").strip()
-        if len(preview) > preview_chars:
-            preview = preview[:preview_chars] + "..."
-        yield _fill(preview, "    ")
-        yield "-" * 100
-
-
-def answer_lines(answers: DataFrame, show_chunks: bool = False) -> Iterator[str]:
-    """Answers, their sources and optionally the retrieved chunks."""
-    for a in answers.toLocalIterator():
-        yield "ANSWER"
-        yield _fill(a.answer)
-        if a.citations:
-            yield ""
-            yield "Sources:"
-            for c in a.citations:
-                section = f", {c.section}" if c.section else ""
-                yield f"  [{c['index']}] {c.book}, page {c.page}{section}"
-        if show_chunks and a.chunks:
-            yield ""
-            yield "RETRIEVED CHUNKS"
-            for i, c in enumerate(a.chunks, start=1):
-                yield f"[{i}] score={c.score:.4f}  {c.book}, page {c.page}"
-                yield _fill(c.content[:300].replace("\n", " "), "    ")
-
-
-def evaluation_lines(results: DataFrame, k: int) -> Iterator[str]:
-    """Overall metrics, slices, and the queries nothing relevant was found for."""
-    total = evaluation.summarize(results, k).first()
-    if total is None:
-        raise ValueError("No query results to report")
-    slices = evaluation.breakdown(results, k)
 
-    def short(m) -> str:
-        return (
-            f"    Recall@1: {m.recall_at_1:.2%}   Recall@{k}: {m.recall_at_k:.2%}   "
-            f"MRR: {m.mrr:.4f}"
-        )
-
-    yield f"RETRIEVAL EVALUATION  (k={k}, n={total.n})"
-    yield f"Recall@1:      {total.recall_at_1:.2%}"
-    yield f"Recall@{k}:      {total.recall_at_k:.2%}"
-    yield f"MRR:           {total.mrr:.4f}"
-    yield f"Precision@{k}:   {total.precision_at_k:.2%}"
-    yield ""
-    yield "Per book:"
-    for m in slices.filter("slice = 'book'").orderBy("name").toLocalIterator():
-        yield f"  {m.name}"
-        yield short(m)
-    yield ""
-    yield "Per difficulty:"
-    by_name = {m.name: m for m in slices.filter(
-        (F.col("slice") == "difficulty") & F.col("name").isin("easy", "medium", "hard")
-    ).collect()}
-    for name in ("easy", "medium", "hard"):
-        if name in by_name:
-            yield f"  {name:<8} (n={by_name[name].n})"
-            yield short(by_name[name])
-    yield ""
-    yield "Failures:"
-    none = True
-    for f in evaluation.failures(results).orderBy("query_id").toLocalIterator():
-        none = False
-        yield f"  {f.id!s:<16} [{f.difficulty}] top={f.top_book[:22]} p{f.top_page}"
-    if none:
-        yield "  (none)"
-
-
-def entry_lines(results: DataFrame) -> Iterator[str]:
-    yield "Per-query detail (rank = position of first judged-relevant chunk):"
-    yield f"  {'id':<16} {'diff':<7} {'hit':<5} {'rank':<5} {'score':<7} query"
-    yield "  " + "-" * 90
-    for r in evaluation.per_entry(results).orderBy("query_id").toLocalIterator():
-        yield (
-            f"  {r.id!s:<16} {r.difficulty:<7} {r.hit:<5} {r['rank']:<5} {r.score:<7} {r.query}"
-        )
-
-
-def extraction_lines(report: dict[str, DataFrame]) -> Iterator[str]:
-    """The sections of ``diagnostics.run`` as text."""
-    o = report["overall"].first()
-    yield "EXTRACTION DIAGNOSTICS"
-    yield "OVERALL"
-    yield f"  Chunks:              {o.n_documents:,}"
-    yield f"  Total chars:         {o.total_chars:,}"
-    yield f"  Total words:         {o.total_words:,}"
-    yield f"  Avg chars/chunk:     {o.avg_chars_per_chunk:.0f}"
-    yield f"  Avg words/chunk:     {o.avg_words_per_chunk:.0f}"
-    m = report["mojibake"].first()
-    yield "MOJIBAKE"
-    yield (
-        f"  Chunks with mojibake: {m.chunks_with_mojibake:,} ({m.chunks_with_mojibake_pct:.1f}%)"
-    )
-    yield f"  Total mojibake chars: {m.total_mojibake_chars:,}"
-    for p in report["mojibake_patterns"].orderBy(F.desc("matches"), "pattern").limit(8).collect():
-        yield f"    {p.pattern!r}: {p.matches:,}"
-    yield "CHUNK SIZE"
-    for s in report["chunk_size"].orderBy("measure").collect():
-        yield (
-            f"  {s.measure}:  min={s['min']}  p50={s.p50}  p90={s.p90}  p99={s.p99}  "
-            f"max={s['max']}  mean={s['mean']:.0f}"
-        )
-    p = report["pages"].first()
-    yield f"  Unique pages:           {p.unique_pages:,}"
-    yield f"  Pages with 1 chunk:     {p.pages_with_one_chunk:,}"
-    yield f"  Pages with >1 chunk:    {p.pages_with_multiple_chunks:,}"
-    yield f"  Max chunks on one page: {p.max_chunks_per_page}"
-    h = report["headings"].first()
-    yield "HEADING RESIDUE"
-    yield f"  Start with N.N heading:     {h.chunks_starting_with_heading:,}"
-    yield f"  Start with Chapter N:       {h.chunks_starting_with_chapter:,}"
-    yield f"  Start with ALL-CAPS:        {h.chunks_starting_with_allcaps:,}"
-    yield f"  Leading page number:        {h.chunks_with_leading_page_number:,}"
-    leaks = report["heading_samples"].filter("kind = 'page_number_leak' AND position <= 3")
-    for s in leaks.orderBy("position").collect():
-        yield f"    {s['sample']!r}"
-    c = report["captions"].first()
-    yield "CAPTIONS"
-    for name in ("figure", "table", "algorithm", "equation"):
-        yield f"  {name.title() + ' refs:':<16}{c[name]:,}"
-    e = report["equations"].first()
-    yield "MATH CONTENT"
-    yield (
-        f"  Chunks w/ math symbols:      {e.chunks_with_math_symbols:,} "
-        f"({e.chunks_with_math_symbols_pct:.1f}%)"
-    )
-    yield f"  Chunks w/ high math density: {e.chunks_with_high_math_density:,}"
-    yield f"  Total math symbols:          {e.total_math_symbols:,}"
-    t = report["text_hygiene"].first()
-    yield "TEXT HYGIENE"
-    yield f"  Chunks w/ repeated chars:      {t.chunks_with_repeated_chars:,}"
-    yield f"  Chunks w/ missing spaces:      {t.chunks_with_missing_spaces:,}"
-    yield f"  Chunks w/ trailing whitespace: {t.chunks_with_trailing_whitespace:,}"
-    yield "EMPTY PAGES"
-    yield f"  Count: {report['empty_pages'].count()}"
-    for d in report["empty_pages"].orderBy("doc_seq").limit(10).collect():
-        yield f"    {d.book}  p{d.page}  chars={d.chars}  images={d.n_images}"
-    yield "PER BOOK"
-    for b in report["per_book"].orderBy("book").toLocalIterator():
-        yield f"  {b.book}"
-        yield f"    Chunks:               {b.chunks:,}"
-        yield f"    Chars mean/max:       {b.chars_mean:.0f} / {b.chars_max:,}"
-        yield (
-            f"    Chunks w/ mojibake:   {b.chunks_with_mojibake:,} "
-            f"({b.chunks_with_mojibake_pct:.1f}%)"
-        )
-    worst = report["worst_chunks"].limit(10).collect()
-    if worst:
-        yield "WORST CHUNKS BY MOJIBAKE COUNT"
-        for w in worst:
-            yield (
-                f"  {w.book[:22]:<24} {w.page:>5} {w.mojibake_count:>9} {w.chars:>7}  "
-                f"{w.preview[:60]}"
-            )
-
-
-def chunk_lines(report: dict[str, DataFrame]) -> Iterator[str]:
-    """The sections of ``chunk_report.run`` as text."""
-    n = report["totals"].first().chunks
-    yield f"Total chunks: {n:,}"
-    yield "Chunks per book:"
-    for b in report["books"].toLocalIterator():
-        yield f"   {b.book_title}: {b.chunks:,}"
-    yield "Chunk sizes:"
-    for s in report["sizes"].orderBy("measure").collect():
-        yield (
-            f"   {s.measure}: min={s['min']}  p10={s.p10}  p50={s.p50}  p90={s.p90}  p99={s.p99}  "
-            f"max={s['max']}  mean={s['mean']:.0f}"
-        )
-    yield "Chunks per page:"
-    for p in report["pages"].orderBy("chunks_on_page").toLocalIterator():
-        yield f"   {p.chunks_on_page} chunk(s): {p.pages:,} pages"
-    b = report["boundaries"].first()
-    if n:
-        yield f"Start mid-sentence: {b.mid_start:,} / {n:,} ({b.mid_start_pct:.1f}%)"
-        yield f"End mid-sentence:   {b.mid_end:,} / {n:,} ({b.mid_end_pct:.1f}%)"
-    r = report["residue"].first()
-    yield f"Start with N.N heading:   {r.heading_hits:,}"
-    yield f"Start with Chapter N:     {r.chapter_hits:,}"
-    yield f"Leading page number:      {r.page_number_hits:,}"
-    a = report["adjacent"].first()
-    yield f"Pairs with overlap:  {a.overlap_pairs:,}"
-    yield f"Pairs with gap:      {a.gap_pairs:,}"
-    d = report["duplicates"].first()
-    yield f"Duplicate chunks (exact match): {d.duplicate_groups:,}"
-    yield "Sample chunks (first 5):"
-    for i, s in enumerate(report["samples"].collect(), start=1):
-        yield f"   Chunk {i}: {s.book_title}, page {s.page_number}"
-        yield f"      Chunk: {s.chunk_no}/{s.total_chunks}  Size: {s.chars} chars"
-        yield f"      Preview: {s.preview}..."
+def _shown(table: DataFrame, name: str) -> Column:
+    kind, value = table.schema[name].dataType.typeName(), F.col(name)
+    if kind in ("double", "float"):
+        value = F.format_string("%.4f", value)
+    elif kind in ("array", "map", "struct"):
+        value = F.to_json(value)
+    return F.coalesce(value.cast("string"), F.lit("-"))
+
+
+def _cells(section: Section) -> list[Column]:
+    plain = [c for c in section.table.columns if c not in section.texts]
+    pairs = F.concat_ws("  ", *[F.concat(F.lit(f"{c}="), _shown(section.table, c)) for c in plain])
+    return [pairs, *[F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ") for c in section.texts]]
+
+
+def write(sections: list[Section], path: str) -> None:
+    """Every section as text files in a numbered folder, complete and in order."""
+    for i, section in enumerate(sections):
+        name = "".join(c if c.isalnum() else "-" for c in section.title.lower())
+        section.lines().write.text(f"{path}/{i:02d}-{name}")
 
 
 def save_json(report: dict[str, DataFrame], path: str) -> None:
     """Every section as JSON lines below ``path``."""
     for name, section in report.items():
         section.write.json(f"{path}/{name}")
+
+
+def head(sections: list[Section], shown: int = SHOWN) -> Iterator[str]:
+    """Titles and the first lines of each section; at most ``shown`` rows of each are read."""
+    for section in sections:
+        yield f"== {section.title} =="
+        rows = section.lines().limit(shown + 1).collect()
+        for row in rows[:shown]:
+            yield textwrap.fill(row["line"], width=WIDTH, subsequent_indent="    ")
+        if not rows:
+            yield "nothing"
+        elif len(rows) > shown:
+            yield f"... more than {shown}; the written report has them all"
+
+
+# --- reports ----------------------------------------------------------------------
+
+
+def hits(found: DataFrame, preview_chars: int = 300) -> list[Section]:
+    """Ranked hits with a preview of their text."""
+    table = found.withColumn("content", F.substring("content", 1, preview_chars))
+    return [Section("hits", table, ["query_id", "rank"], ("content",))]
+
+
+def answers(found: DataFrame, show_chunks: bool = False, preview_chars: int = 300) -> list[Section]:
+    """Answers with what they cite, and optionally the chunks that were retrieved for them."""
+    cited = found.select("query_id", F.inline("citations")).withColumnRenamed("index", "number")
+    sections = [
+        Section("answers", found.select("query_id", "answer"), ["query_id"], ("answer",)),
+        Section("sources", cited, ["query_id", "number"]),
+    ]
+    if show_chunks:
+        chunks = found.select("query_id", F.inline("chunks"))
+        preview = chunks.withColumn("content", F.substring("content", 1, preview_chars))
+        sections.append(Section("retrieved chunks", preview, ["query_id", F.desc("score")], ("content",)))
+    return sections
+
+
+def evaluated(results: DataFrame, k: int, levels: tuple[str, ...] = ("easy", "medium", "hard")) -> list[Section]:
+    """Measures overall and by group, the queries without a relevant hit, and every query.
+
+    Of difficulties, ``levels`` are reported, in this order.
+    """
+    slices = evaluation.breakdown(results, k)
+    level = F.array_position(F.array(*map(F.lit, levels)), F.col("name"))
+    by_level = slices.filter((F.col("slice") == "difficulty") & (level > 0))
+    return [
+        Section(f"all queries at k={k}", evaluation.summarize(results, k)),
+        Section("by book", slices.filter("slice = 'book'").drop("slice"), ["name"]),
+        Section("by difficulty", by_level.drop("slice"), [level]),
+        Section("nothing relevant found", evaluation.failures(results), ["query_id"]),
+        Section("each query", evaluation.per_entry(results), ["query_id"], ("query",)),
+    ]
+
+
+def extraction(report: dict[str, DataFrame]) -> list[Section]:
+    """The sections of ``diagnostics.run``."""
+    return [
+        Section("corpus", report["overall"]),
+        Section("mis-decoded text", report["mojibake"]),
+        Section("mis-decoded patterns", report["mojibake_patterns"], [F.desc("matches"), "pattern"]),
+        Section("sizes", report["chunk_size"], ["measure"]),
+        Section("pages", report["pages"]),
+        Section("left-over headings", report["headings"]),
+        Section("heading samples", report["heading_samples"], ["kind", "position"], ("sample",)),
+        Section("captions", report["captions"]),
+        Section("mathematics", report["equations"]),
+        Section("text defects", report["text_hygiene"]),
+        Section("pages without text", report["empty_pages"], ["doc_seq"]),
+        Section("books", report["per_book"], ["book"]),
+        Section("most mis-decoded", report["worst_chunks"], [F.desc("mojibake_count"), "book", "page"], ("preview",)),
+    ]
+
+
+def chunks(report: dict[str, DataFrame]) -> list[Section]:
+    """The sections of ``chunk_report.run``."""
+    return [
+        Section("chunks", report["totals"]),
+        Section("books", report["books"], ["book_title"]),
+        Section("sizes", report["sizes"], ["measure"]),
+        Section("chunks of a page", report["pages"], ["chunks_on_page"]),
+        Section("cut sentences", report["boundaries"]),
+        Section("left-over headings", report["residue"]),
+        Section("neighbouring chunks", report["adjacent"]),
+        Section("identical chunks", report["duplicates"]),
+        Section("samples", report["samples"], [], ("preview",)),
+    ]

@@ -84,3 +84,20 @@ def cut_lineage(df, name: str):
     path = new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df) -> None:
+    """Delete a table that ``cut_lineage`` wrote, when what was made of it has been written.
+
+    Nothing is deleted but folders with a name of ``new_table_path`` right below the shared one.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    shared = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    top = shared.getFileSystem(conf).makeQualified(shared)
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(conf)
+        path = system.makeQualified(path)
+        if path.getParent().equals(top) and re.search(r"-[0-9a-f]{32}$", path.getName()):
+            system.delete(path, True)

@@ -88,12 +88,13 @@ def read_pdf_pages(
     pdf_dir: str,
     image_root: str | None = None,
     parse: Callable[[bytes], Iterable[ParsedPage]] = pymupdf_pages,
-    titles: dict[str, str] | None = None,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """One row per page: ``(file, page0, total_pages, text, images)``.
 
     With ``image_root`` (a folder all executors can write) images are stored below the
-    book's title, taken from ``titles`` or the file's stem; without it none are read.
+    book's title, joined from ``titles`` (``file``, ``title``, ``ordinal``; the first entry of
+    a file counts) or the file's stem; without it none are read.
     """
     files = (
         spark.read.format("binaryFile")
@@ -101,12 +102,17 @@ def read_pdf_pages(
         .load(pdf_dir)
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     )
-    names = titles or {}
+    # Titles meet the names of files; the contents are read where they are joined.
+    if titles is None:
+        files = files.withColumn("title", F.lit(None).cast("string"))
+    else:
+        known = titles.groupBy("file").agg(F.min_by("title", "ordinal").alias("title"))
+        files = files.join(known, "file", "left")
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["file"], batch["content"]):
-                title = names.get(name, re.sub(r"\.pdf$", "", name))
+            for name, data, title in zip(batch["file"], batch["content"], batch["title"]):
+                title = re.sub(r"\.pdf$", "", name) if title is None else title
                 folder = re.sub(r"[^\w\s-]", "", title).strip().replace(" ", "_")
                 rows: list = []
                 for page0, page in enumerate(parse(data)):

@@ -5,11 +5,13 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioforge import schemas
+from folioforge.functions.charclass import is_blank
+from folioforge.sources.splits import read_json_array, read_lines, write_json_array
 
 
 # --- reading ----------------------------------------------------------------------
@@ -31,9 +33,11 @@ def read_books(spark: SparkSession, path: str) -> DataFrame | None:
 def read_documents(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """Documents from JSON lines, or with ``array`` from files that hold one JSON array.
 
-    Array files cannot be split: use them for interchange, lines for large corpora.
+    Either is read by several tasks, however large a file is.
     """
-    return spark.read.schema(schemas.DOCUMENT).json(path, multiLine=array)
+    if array:
+        return read_json_array(spark, path, schemas.DOCUMENT)
+    return spark.read.schema(schemas.DOCUMENT).json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -44,22 +48,25 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden queries from JSON lines.
 
-    A broken line or a missing required key is an error that shows the line; summary and
-    notes default to the empty string.
+    A broken line or a missing required key is an error that names the line by its number in
+    the file, blank lines counted, and shows it; summary and notes default to ``''``.
     """
     bad = "_bad"
     schema = StructType(list(schemas.GOLDEN.fields)).add(bad, "string")
-    rows = spark.read.schema(schema).json(
-        path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad
-    )
+    lines = read_lines(spark, path).filter(~is_blank(F.col("value")))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    rows = lines.select("line", "value", F.from_json("value", schema, options).alias("r")).select("line", "value", "r.*")
     required = ["id", "book", "query", "difficulty"]
     missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
-    checked = F.when(
-        F.col(bad).isNotNull(),
-        F.raise_error(F.concat(F.lit("Invalid JSONL line: "), F.col(bad))),
-    ).when(missing != "", F.raise_error(F.concat(F.lit("Golden entry lacks: "), missing)))
+
+    def error(what: str, shown) -> Column:
+        return F.raise_error(F.concat(F.lit(what), F.col("line").cast("string"), F.lit(": "), shown)).cast("string")
+
+    checked = F.when(F.col(bad).isNotNull(), error("Invalid JSONL at line ", F.col("value"))).when(
+        missing != "", error("Golden entry lacks keys at line ", missing)
+    )
     return rows.select(
-        F.coalesce(checked.cast("string"), F.col("id")).alias("id"),
+        F.coalesce(checked, F.col("id")).alias("id"),
         *required[1:],
         F.coalesce("expected_answer_summary", F.lit("")).alias("expected_answer_summary"),
         F.coalesce("notes", F.lit("")).alias("notes"),
@@ -113,9 +120,12 @@ def first_documents(documents: DataFrame, n: int) -> DataFrame:
 # --- writing ----------------------------------------------------------------------
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """JSON lines."""
-    documents.write.json(path)
+def write_documents(documents: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines, or with ``array`` parts of one JSON array in corpus order."""
+    if array:
+        write_json_array(documents, path, ["doc_seq"])
+    else:
+        documents.write.json(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

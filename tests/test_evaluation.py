@@ -68,18 +68,28 @@ def test_no_results(results):
     none = results.limit(0)
     assert evaluation.summarize(none, 3).count() == 0
     assert evaluation.breakdown(none, 3).count() == 0
-    with pytest.raises(ValueError):
-        list(reports.evaluation_lines(none, 3))
+    assert "nothing" in "\n".join(reports.head(reports.evaluated(none, 3)))
 
 
 def test_failures_and_lines(results):
     f = {x.id: (x.top_book, x.top_page) for x in evaluation.failures(results).collect()}
     assert f == {"g-3": ("B", "30"), "g-4": ("?", "?")}
-    text = "\n".join(reports.evaluation_lines(results, 3))
-    assert "n=4" in text and "Recall@1:      25.00%" in text and "odd" not in text.split("Failures")[0]
-    assert text.index("easy") < text.index("hard")
-    table = "\n".join(reports.entry_lines(results))
-    assert "0.900" in table and "no" in table and "g-2" in table and "g-4" in text
+    text = "\n".join(reports.head(reports.evaluated(results, 3)))
+    assert "n=4" in text and "recall_at_1=0.2500" in text and "name=odd" not in text
+    assert text.index("name=easy") < text.index("name=hard")
+    last = text.split("== each query ==")[1]
+    assert "0.900" in last and "hit=no" in last and "g-2" in last and "g-4" in text
+
+
+def test_written_report_has_all_lines_in_order(spark, tmp_path):
+    """More rows than a console shows: the driver reads a few, tasks write all."""
+    table = spark.range(0, 30_000, 1, 6).select(F.col("id").alias("query_id"), (-F.col("id") / 3).alias("x"), F.lit(" a\n b ").alias("text"))
+    section = reports.Section("many rows", table, [F.desc("query_id")], ("text",))
+    shown = list(reports.head([section, reports.Section("none", table.limit(0))], 5))
+    assert len(shown) == 1 + 5 + 1 + 2 and shown[1] == "query_id=29999  x=-9999.6667 |  a b " and "more than 5" in shown[6]
+    reports.write([section], str(tmp_path / "r"))
+    lines = [line for p in sorted((tmp_path / "r" / "00-many-rows").glob("part-*")) for line in p.read_text().splitlines()]
+    assert len(lines) == 30_000 and lines[0] == shown[1] and lines[-1].startswith("query_id=0 ")
 
 
 def test_summary_files(spark, results):
@@ -264,9 +274,9 @@ def test_answers(spark):
     assert (a[3].answer, a[3].chunks) == (fv.NO_ANSWER, [])
     assert a[4].answer == "[generation failed: [gemini status=401] 401 key]"
     assert len(a[4].chunks) == 1 and a[4].citations == []
-    lines = "\n".join(reports.answer_lines(generation.answer(queries, hits, connect), True))
-    assert "[1] A, page 3, 5.4 Hessian" in lines
-    assert "(chunk_id=c7)" in "\n".join(reports.search_lines(hits.fillna({"book": "?"}), 2))
+    lines = "\n".join(reports.head(reports.answers(generation.answer(queries, hits, connect), True)))
+    assert "number=1  book=A  page=3  section=5.4 Hessian" in lines and "== retrieved chunks ==" in lines
+    assert "chunk_id=c7" in "\n".join(reports.head(reports.hits(hits.fillna({"book": "?"}), 2)))
 
 
 def test_chat_history(spark):
@@ -275,12 +285,31 @@ def test_chat_history(spark):
     generation.append_messages(spark.createDataFrame([(1, 1, "assistant", "b")], schema), path)
     generation.append_messages(spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "c")], schema), path)
     history = spark.read.parquet(path)
-    assert [r.text for r in generation.transcript(history).collect()] == ["a", "b", "c"]
+    placed = {r.place: r.text for r in generation.transcript(history).collect()}
+    assert placed == {0: "a", 1: "b", 2: "c"}
     assert [r.text for r in generation.transcript(history, 2).collect()] == ["c"]
     generation.clear_history(spark.createDataFrame([], schema), path)
     assert spark.read.schema(schema).parquet(path).count() == 0
 
 
+def test_history_by_ranges(spark, tmp_path):
+    """Stored in ranges: stretches and conversations are filters that reach the files."""
+    rows = [(c, t, "user", f"{c}-{t}") for t in range(7) for c in range(500)]
+    history, path = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), str(tmp_path / "h")
+    generation.compact_history(history.repartition(5), path)
+    stored = spark.read.parquet(path)
+    every = generation.transcript(stored)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and every.count() == 3500
+    part = generation.stretch(stored, 700, 712)
+    assert [r.text for r in part.collect()] == [f"{c}-{t}" for c in (100, 101) for t in range(7)][:12]
+    one = generation.transcript(stored, 42)
+    assert [r.turn for r in one.collect()] == list(range(7))
+    assert "PushedFilters: [IsNotNull(conv_id), EqualTo(conv_id,42)]" in one._jdf.queryExecution().executedPlan().toString()
+    files = one.select(F.input_file_name()).distinct().count()
+    assert files == 1 < len(list((tmp_path / "h").glob("part-*")))
+
+
 def test_shared_pace(spark):
     """Two tasks with a shared interval: starts are an interval apart, own calls two."""
     from folioforge.operators.model_calls import call_model

@@ -9,7 +9,7 @@ from folioforge.operators.books import documents_from_pages
 from folioforge.operators.chunking import chunk_documents
 from folioforge.operators.embedding import HashingEncoder
 from folioforge.plans import chunk_report, diagnostics, reports
-from folioforge.sources import pdf, tables
+from folioforge.sources import pdf, splits, tables
 from folioforge.streaming.ingest import stream_chunks
 
 
@@ -42,7 +42,7 @@ def pdfs(tmp_path):
 def test_pdf_to_documents(spark, pdfs):
     books = tables.read_books(spark, str(pdfs / "books.json"))
     pages = pdf.read_pdf_pages(
-        spark, str(pdfs / "pdfs"), str(pdfs / "img"), fake_parse, {"one.pdf": "One: A Book"}
+        spark, str(pdfs / "pdfs"), str(pdfs / "img"), fake_parse, books
     )
     docs = {(r.metadata["book_file"], r.page_number): r
             for r in documents_from_pages(pages, books).collect()}
@@ -83,13 +83,86 @@ def test_golden(spark, tmp_path):
     assert rows["q1"].expected_answer_summary == "" and rows["q1"].notes == ""
     assert rows["q2"].notes == "n"
     path.write_text('{"id": "q1", broken\n')
-    with pytest.raises(Exception, match="Invalid JSONL line"):
+    with pytest.raises(Exception, match="Invalid JSONL at line 1: "):
         tables.read_golden(spark, str(path)).collect()
     path.write_text('{"id": "q1", "book": "B"}\n')
-    with pytest.raises(Exception, match="lacks: query, difficulty"):
+    with pytest.raises(Exception, match="lacks keys at line 1: query, difficulty"):
         tables.read_golden(spark, str(path)).collect()
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files of a few kilobytes are read by several tasks."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_line_numbers_over_splits(spark, tmp_path, small_splits):
+    lines = [("" if i % 7 == 3 else f"line {i} " + "x" * (i % 50)) for i in range(400)]
+    for name, own in (("a.txt", lines), ("b.txt", lines[:123]), ("c.txt", [])):
+        (tmp_path / name).write_text("\n".join(own) + ("\n" if own else ""))
+    got = splits.read_lines(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 5
+    by_file = {}
+    for r in got.collect():
+        by_file.setdefault(os.path.basename(r.file), {})[r.line] = r.value
+    assert by_file == {n: {i + 1: v for i, v in enumerate(own)} for n, own in (("a.txt", lines), ("b.txt", lines[:123]))}
+
+
+def test_broken_line_is_named_by_its_number(spark, tmp_path, small_splits):
+    good = [json.dumps({"id": f"q{i}", "book": "B", "query": "why " * 9, "difficulty": "easy"}) for i in range(60)]
+    lines = [x for g in good for x in (g, "  ")]
+    lines[87] = '{"id": "q", oops'
+    (tmp_path / "golden.jsonl").write_text("\n".join(lines))
+    with pytest.raises(Exception, match="Invalid JSONL at line 88: .*oops"):
+        tables.read_golden(spark, str(tmp_path / "golden.jsonl")).collect()
+
+
+ODD = ['a}{"b', 'quote " and \\', "[{]}", "\\\\", "ü 𝄞 \n\t", "", "}" * 30, '\\"}', "{" * 5, "," * 4]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_array_records_over_splits(spark, tmp_path, small_splits, indent):
+    """One array in many byte ranges: brackets, quotes and escapes at the seams."""
+    rows = [{"id": i, "t": ODD[i % len(ODD)] * (i % 5 + 1), "in": {"x": [{"y": "}"}, i]}} for i in range(300)]
+    rows[150]["t"] = 'long } " \\ { ' * 300  # over several ranges
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(rows[:1], indent=indent) + "\n")
+    (tmp_path / "c.json").write_text(" [ ]\n")
+    got = splits.json_array_records(spark, str(tmp_path))
+    assert splits._pieces(spark, str(tmp_path), "}").rdd.getNumPartitions() > 10
+    by_file = {}
+    for r in got.collect():
+        by_file.setdefault(os.path.basename(r.file), []).append(json.loads(r.text))
+    key = lambda r: r["id"]
+    assert sorted(by_file["a.json"], key=key) == rows and by_file["b.json"] == rows[:1] and "c.json" not in by_file
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}', '[{"a": "x}]', '[{"a": 1}}]', '[{"a": [1}]'])
+def test_broken_arrays_are_errors(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="whole JSON array|Invalid record"):
+        tables.read_documents(spark, str(tmp_path / "a.json"), array=True).collect()
+
+
+def test_array_parts_make_one_array(spark, tmp_path):
+    docs = documents(spark, [f"text {i} }} \" ," for i in range(200)]).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tables.write_documents(docs, str(tmp_path / "d"), array=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "d").glob("part-*"))
+    whole = "".join(p.read_text() for p in parts)
+    assert len(parts) > 1 and [r["doc_seq"] for r in json.loads(whole)] == list(range(200))
+    (tmp_path / "whole.json").write_text(whole)
+    back = tables.read_documents(spark, str(tmp_path / "whole.json"), array=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+    tables.write_documents(docs.limit(0), str(tmp_path / "e"), array=True)
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part-*"))) == []
+
+
 def documents(spark, texts):
     rows = [(f"d{i}", t, {"page": str(i)}, i, f"b{i % 2}", "", "", [], i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, schemas.DOCUMENT)
@@ -126,12 +199,12 @@ def test_stream_in_two_arrivals(spark, tmp_path):
 def test_reports(spark, tmp_path):
     docs = documents(spark, TEXTS)
     report = diagnostics.run(docs)
-    text = "\n".join(reports.extraction_lines(report))
-    assert "Chunks:              4" in text and "Figure refs:    30" in text and "b0" in text
+    text = "\n".join(reports.head(reports.extraction(report)))
+    assert "n_documents=4" in text and "figure=30" in text and "book=b0" in text
     reports.save_json(report, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r" / "overall")).first().n_documents == 4
-    text = "\n".join(reports.chunk_lines(chunk_report.run(chunk_documents(docs))))
-    assert "Pairs with overlap:  0" in text and "Sample chunks" in text
+    text = "\n".join(reports.head(reports.chunks(chunk_report.run(chunk_documents(docs)))))
+    assert "overlap_pairs=0" in text and "== samples ==" in text
     empty = diagnostics.run(docs.limit(0))
     assert empty["overall"].first().avg_chars_per_chunk == 0.0
     assert empty["mojibake"].first().chunks_with_mojibake_pct == 0.0
@@ -150,10 +223,10 @@ def test_command_line(spark, pdfs, tmp_path, monkeypatch, capsys):
     run("index", "--embeddings", at("vec.parquet"), "--out", at("index"))
     run("query", "--query", "gradients uphill", "--index", at("index"), "--k", "2")
     out = capsys.readouterr().out
-    assert "self check: True" in out and "three  p.1" in out
+    assert "self check: True" in out and "book=three  page=1" in out
     run("diagnose-chunks", "--chunks", at("chunks"))
     run("check-extraction", "--documents", at("docs"), "--sample", "2", "--out", at("report"))
-    assert "Chunks:              2" in capsys.readouterr().out
+    assert "n_documents=2" in capsys.readouterr().out
     client = lambda *a: lambda: (lambda system, user: "YES, uphill.")
     monkeypatch.setattr(cli, "gemini_client", client)
     run("answer", "--query", "gradients?", "--index", at("index"), "--show-chunks")
@@ -164,7 +237,7 @@ def test_command_line(spark, pdfs, tmp_path, monkeypatch, capsys):
                         lambda p, c, path, **_: judge(p, c, path, min_interval=0.0))
     run("evaluate", "--golden", at("golden.jsonl"), "--index", at("index"),
         "--judge-cache", at("judge"), "--out", at("eval"))
-    assert "Recall@1:      100.00%" in capsys.readouterr().out
+    assert "recall_at_1=1.0000" in capsys.readouterr().out
 
 
 from folioforge.operators.model_calls import judge_with_cache as judge  # noqa: E402
