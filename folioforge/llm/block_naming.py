@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.rows import ROW, text_of, with_row_id
+from folioforge.llm.rows import ROW, text_of, with_row_id, without_rows
 from folioforge.session import cut_lineage
 
 BLOCK_BYTES = 2048
@@ -163,6 +163,6 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever their names."""
     gone = exact_duplicates(docs, block_bytes).filter(~F.col("kept")).select(ROW)
-    return with_row_id(docs).join(gone, ROW, "left_anti").drop(ROW)
+    return without_rows(docs, gone)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.session import cut_lineage
+from folioforge.session import cut_lineage, drop_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-        current = cut_lineage(_small_star(_large_star(current)), "edges")
+        closer = cut_lineage(_small_star(_large_star(current)), "edges")
+        drop_table(current)
+        current = closer
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     own = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.unionByName(own)

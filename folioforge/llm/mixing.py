@@ -107,8 +107,12 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents of the mix, with all their columns, repeated as often as taken."""
-    taken = copies(docs, weights, most).filter("copies > 0")
-    repeated = with_row_id(docs).join(taken.select(ROW, F.col("copies").alias("_copies")), ROW)
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return repeated.withColumn("_copy", times).select(*[docs[c] for c in docs.columns])
+    """The documents of the mix, with all their columns, repeated as often as taken.
+
+    Nulls, ties and repeated rows are dealt with as in ``copies``; columns may have any name.
+    """
+    taken = copies(docs, weights, most).filter("copies > 0").select(ROW, "copies")
+    whole = with_row_id(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_whole")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    repeated = whole.join(taken, ROW).select("_whole", times.alias("_copy"))
+    return repeated.select(*[F.col("_whole")[c].alias(c) for c in docs.columns])

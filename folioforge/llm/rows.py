@@ -22,6 +22,13 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows that ``gone`` lists by ``_row``; its own columns may have any name."""
+    whole = with_row_id(df.select(F.struct(*[df[c] for c in df.columns]).alias("_whole")))
+    left = whole.join(gone, ROW, "left_anti")
+    return left.select(*[F.col("_whole")[c].alias(c) for c in df.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

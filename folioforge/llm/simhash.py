@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.components import components
-from folioforge.llm.rows import ROW, bounded_sample, text_of, with_row_id
-from folioforge.session import cut_lineage, ship_package
+from folioforge.llm.rows import ROW, bounded_sample, text_of, with_row_id, without_rows
+from folioforge.session import cut_lineage, drop_table, ship_package
 
 WORDS, BITS, SEED = 3, 2, 42
 #: Widths of the blocks of a fingerprint; pairs agree on all but ``BITS`` of them.
@@ -39,8 +39,14 @@ SLICE = 1 << 16
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Rows, about, whose shingles are counted to tell frequent ones; only their order is from it.
 ORDER_ROWS = 20_000
+#: The most frequent of them that are told apart from the others.
+ORDER_TOKENS = 200_000
 #: Rounds in which rows meet one row of another group before all pairs are made.
 STAR_ROUNDS = 2
+#: Bits of a table at most (32 MB), and for each value as long as it is smaller.
+MOST_BITS, BITS_PER_VALUE = 1 << 28, 16
+#: Pairs are broadcast up to so many bytes, at so many a pair.
+BROADCAST_BYTES, PAIR_BYTES = 64 << 20, 64
 
 
 def _shingles(text: str, size: int) -> Iterator[list[int]]:
@@ -148,46 +154,111 @@ def prefix_length(n: int, similarity: float) -> int:
     return int(n - similarity * n + 1e-6) + 1
 
 
-def _frequent(sets: DataFrame) -> pd.DataFrame:
-    """``(token, n)``: shingles that several of a sample of rows have, with their number.
+def _token_sets(size: int):
+    """A function of a text: its different shingles as sorted 64-bit hashes."""
+
+    def hashes(text: str) -> np.ndarray:
+        parts = [np.array(h, np.uint64) for h in _shingles(text, size)]
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+    return hashes
+
+
+def _worded(docs: DataFrame) -> DataFrame:
+    """``(_row, t)`` of the texts that have words."""
+    rows = with_row_id(docs.select(text_of(docs).alias("t")))
+    return rows.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def _frequent(texts: DataFrame, hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of rows have, sorted, with their number.
 
     Prefixes take shingles in the order of this number.  Any order finds all pairs; this one
     leaves what many texts have in common to the end, and so makes fewer candidates.
     """
-    @F.pandas_udf("array<int>")
-    def unpacked(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: np.frombuffer(x, np.int32))
 
-    some = bounded_sample(sets, ORDER_ROWS, ROW).select(F.explode(unpacked("s")).alias("token"))
-    return some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").toPandas()
+    @F.pandas_udf("array<long>")
+    def tokens(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: hashes(x).view(np.int64))
+
+    some = bounded_sample(texts, ORDER_ROWS, ROW).select(F.explode(tokens("t")).alias("token"))
+    counted = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
+    found = counted.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).toPandas().sort_values("token")
+    return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def _meetings(sets: DataFrame, similarity: float) -> DataFrame:
+class Bits:
+    """A table of bits that is set for the values of a column: it may say yes for others."""
+
+    def __init__(self, values: DataFrame, bound: int = MOST_BITS) -> None:
+        """From one column of longs that are as good as random; ``bound`` bits at most."""
+        (name,) = values.columns
+        n = values.count()
+        self.width = max(6, min(bound, BITS_PER_VALUE * max(n, 1)).bit_length() - 1)
+        at = F.shiftrightunsigned(F.col(name), 64 - self.width)
+        words = values.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        # A row for each word of the table, which is as large as bound says.
+        set_ = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        table = np.zeros(1 << (self.width - 6), np.int64)
+        table[set_["word"].to_numpy()] = set_["bits"].to_numpy()
+        self.shared = values.sparkSession.sparkContext.broadcast(table)
+
+    def contains(self):
+        """A function of arrays of longs, for use in tasks."""
+        shared, width = self.shared, self.width
+
+        def there(values: np.ndarray) -> np.ndarray:
+            at = values.view(np.uint64) >> np.uint64(64 - width)
+            words = shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)]
+            return (words >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+        return there
+
+
+def _meetings(texts: DataFrame, hashes, similarity: float) -> DataFrame:
     """``(_row, size, place, token, n, first)``: the shingles in the prefixes of several
-    rows, the place of each in its row's prefix; with the number of these rows and the first of them."""
-    often = _frequent(sets).sort_values("token")
-    shared = sets.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int32), often["n"].to_numpy(np.int64)))
+    rows, the place of each in its row's prefix; with the number of these rows and the first of them.
 
-    @F.pandas_udf("array<int>")
-    def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Most shingles of a prefix are in one row only.  They are counted in one exchange, by
+    themselves; a table of bits of the others then keeps them from any further one.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, hashes))
+
+    @F.pandas_udf("struct<size:int,tokens:array<long>>")
+    def prefix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokens, numbers = shared.value
 
-        def of(s: bytes) -> np.ndarray:
-            own = np.frombuffer(s, np.int32)
+        def of(text: str) -> tuple[int, np.ndarray]:
+            own = hashes(text).view(np.int64)
             number = np.zeros(len(own), np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                 number = np.where(tokens[at] == own, numbers[at], 0)
-            return own[np.lexsort((own, number))[: prefix_length(len(own), similarity)]]
+            return len(own), own[np.lexsort((own, number))[: prefix_length(len(own), similarity)]]
 
         for part in batches:
-            yield part.map(of)
+            yield pd.DataFrame([of(t) for t in part], columns=["size", "tokens"])
+
+    prefixes = cut_lineage(texts.select(ROW, prefix("t").alias("p")).select(ROW, "p.*"), "prefixes")
+    counted = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(counted.filter("n > 1").select("token"), "repeated")
+    there = Bits(repeated).contains()
+
+    @F.pandas_udf("array<struct<place:int,token:long>>")
+    def kept(tokens: pd.Series) -> pd.Series:
+        def of(own: np.ndarray) -> list[tuple[int, int]]:
+            at = np.flatnonzero(there(own))
+            return list(zip(at.tolist(), own[at].tolist(), strict=True))
+
+        return tokens.map(of)
 
-    size = (F.octet_length("s") / 4).cast("int")
-    rows = sets.select(ROW, size.alias("size"), F.posexplode(prefix("s")).alias("place", "token"))
-    rows = cut_lineage(rows, "prefixes")
+    rows = cut_lineage(prefixes.select(ROW, "size", F.inline(kept("tokens"))), "kept-prefixes")
+    drop_table(prefixes)
+    drop_table(repeated)
     sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-    return cut_lineage(rows.join(sizes.filter("n > 1"), "token"), "meetings")
+    met = cut_lineage(rows.join(sizes.filter("n > 1"), "token"), "meetings")
+    drop_table(rows)
+    return met
 
 
 def _open_meetings(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,46 +296,55 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
     """``(_row, root)``: rows with at least one near duplicate, and their group's first row.
 
     Rows are linked if the Jaccard similarity of their different shingles is at least
-    ``similarity``.  Rows without words are near duplicates of none.
+    ``similarity``.  Null and empty texts, and those without words, are near duplicates of
+    none; repeated rows are of each other; an empty table gives no rows.
 
     Every row first meets the first of all rows that it shares a shingle of the prefixes with,
     in ``STAR_ROUNDS`` rounds; all pairs that this leaves in different groups are compared
     after that, so a large group of copies makes no pairs of its own.
     """
     ship_package(docs.sparkSession)
-
-    @F.pandas_udf("binary")
-    def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(
-                lambda t: np.unique(np.array([h & 0xFFFFFFFF for s in _shingles(t, size) for h in s], np.uint32)).tobytes()
-            )
+    hashes = _token_sets(size)
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: bytes, y: bytes) -> float:
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both / max(len(x) + len(y) - both, 1)
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    rows = with_row_id(docs.select(text_of(docs).alias("t")))
-    worded = rows.filter(F.col("t").rlike("[^\\x20\\x09-\\x0D]"))
-    sets = cut_lineage(worded.select(ROW, shingle_set("t").alias("s")), "sets")
+    texts = _worded(docs)
+    met = _meetings(texts, hashes, similarity)
+    # Sets are made of the rows that meet another one, again told by bits; a row's number is
+    # spread by a hash for that.
+    spread = F.xxhash64(ROW)
+    meets = Bits(met.select(ROW).distinct().select(spread.alias("h"))).contains()
+
+    @F.pandas_udf("binary")
+    def shingle_set(hashed: pd.Series, t: pd.Series) -> pd.Series:
+        wanted = meets(hashed.to_numpy(np.int64))
+        return pd.Series([hashes(x).tobytes() if w else None for w, x in zip(wanted, t, strict=True)], dtype=object)
+
+    # Declared not deterministic, so that the filter does not make every set a second time.
+    sets = texts.select(ROW, shingle_set.asNondeterministic()(spread, "t").alias("s")).filter("s IS NOT NULL")
+    sets = cut_lineage(sets, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs close in the shingles themselves."""
+        """Pairs close in the shingles themselves.  A set moves to the pairs it is in, and
+        goes on with them to the other one."""
         pairs = cut_lineage(pairs, "pairs")
-        # Only the sets of rows that are in a pair at all are kept for the joins.
-        either = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-        some = cut_lineage(sets.join(either, ROW, "left_semi"), "some-sets")
-        of_a = some.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
-        of_b = some.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
-        compared = pairs.join(of_a, "a").join(of_b, "b")
-        return cut_lineage(compared.filter(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
-
-    met = _meetings(sets, similarity)
+        few = pairs.count() * PAIR_BYTES <= BROADCAST_BYTES
+        of_a = sets.select(F.col(ROW).alias("a"), F.col("s").alias("sa"))
+        of_b = sets.select(F.col(ROW).alias("b"), F.col("s").alias("sb"))
+        held = of_b.join(F.broadcast(pairs) if few else pairs, "b")
+        firsts = pairs.select("a").distinct()
+        needed = of_a.join(F.broadcast(firsts) if few else firsts, "a", "left_semi")
+        links = cut_lineage(held.join(needed, "a").filter(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
+        drop_table(pairs)
+        return links
+
     at_first = met.filter(F.col("first") != F.col(ROW))
     edges = verified(at_first.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
     for _ in range(STAR_ROUNDS - 1):
@@ -274,11 +354,19 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
         edges = edges.unionByName(
             verified(apart.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
         )
-    more = verified(_all_pairs(_open_meetings(met, components(edges)), similarity))
+        drop_table(open_)
+    open_ = _open_meetings(met, components(edges))
+    drop_table(met)
+    more = verified(_all_pairs(open_, similarity))
+    drop_table(open_)
+    drop_table(sets)
     return components(edges.unionByName(more)).select(F.col("node").alias(ROW), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The first document of each group and all others, with all their columns."""
+    """The first document of each group and all others, with all their columns.
+
+    Documents are grouped as ``near_duplicates`` says; columns of any name are kept.
+    """
     gone = near_duplicates(docs, size, similarity).filter(F.col(ROW) != F.col("root")).select(ROW)
-    return with_row_id(docs).join(gone, ROW, "left_anti").drop(ROW)
+    return without_rows(docs, gone)
