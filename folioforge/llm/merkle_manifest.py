@@ -149,7 +149,8 @@ def manifest(leaves: DataFrame, fan_out: int = FAN_OUT, digits: int = DIGITS) ->
     agree in both are the same leaf twice.  Null ``claimed`` stays null.  An empty table gives
     no rows.
     """
-    rows = leaves.select(_group_key(F.col("grp")).alias("g"), "key", "leaf", "claimed")
+    # Stored: ranking looks at its keys twice, and texts are to be hashed once.
+    rows = cut_lineage(leaves.select(_group_key(F.col("grp")).alias("g"), "key", "leaf", "claimed"), "merkle-leaves")
     placed = cut_lineage(number_rows(rows, ["g", "key", "leaf"], "at"), "merkle-ranks")
     groups = placed.groupBy("g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = placed.join(groups, "g").select(

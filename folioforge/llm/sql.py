@@ -51,12 +51,13 @@ bare AS (
     SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM hosts0),
 hosts1 AS (
     SELECT host, n, k,
+           regexp_extract(array_to_string(l, '.'), '^[0-9]+([.][0-9]+){{3}}$') AS address,
            array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one
     FROM bare),
 hosts2 AS (
     SELECT host, n, k,
-           CASE WHEN two IN ({_strings(TWO_LABEL_SUFFIXES)}) THEN two ELSE one END AS suffix,
-           CASE WHEN two IN ({_strings(TWO_LABEL_SUFFIXES)}) THEN three ELSE two END AS domain
+           CASE WHEN address <> '' THEN address WHEN two IN ({_strings(TWO_LABEL_SUFFIXES)}) THEN two ELSE one END AS suffix,
+           CASE WHEN address <> '' THEN address WHEN two IN ({_strings(TWO_LABEL_SUFFIXES)}) THEN three ELSE two END AS domain
     FROM hosts1),
 overall AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS prior FROM hosts2),
 suffixes AS (

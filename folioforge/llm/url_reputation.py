@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.rows import ascii_lower
+from folioforge.session import cut_lineage
 
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = (
@@ -70,11 +71,13 @@ def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
 
 def _levels(host: Column) -> dict[str, Column]:
     bare = F.regexp_replace(host, r":[0-9]*$", "")
+    # An address is its own domain and suffix: its last numbers say nothing of another one.
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$")
     two = F.substring_index(bare, ".", -2)
     long_suffix = two.isin(*TWO_LABEL_SUFFIXES)
     return {
-        "suffix": F.when(long_suffix, two).otherwise(F.substring_index(bare, ".", -1)),
-        "domain": F.when(long_suffix, F.substring_index(bare, ".", -3)).otherwise(two),
+        "suffix": F.when(address, bare).when(long_suffix, two).otherwise(F.substring_index(bare, ".", -1)),
+        "domain": F.when(address, bare).when(long_suffix, F.substring_index(bare, ".", -3)).otherwise(two),
     }
 
 
@@ -109,8 +112,10 @@ def host_reputations(outcomes: DataFrame, limits: Limits = Limits()) -> DataFram
     hosts = outcomes.groupBy("host").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")
     )
-    hosts = hosts.withColumns(_levels(F.col("host")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # Stored: weights and means of all levels are taken from the counts, not from the pages.
+    hosts = cut_lineage(hosts.withColumns(_levels(F.col("host"))), "hosts")
+    counted = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = cut_lineage(counted, "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = suffixes.agg(F.sum("n"), F.sum("k")).first()
     overall = (k + 1) / (n + 2) if n is not None else 0.5
@@ -132,8 +137,10 @@ def judge_urls(
     """``(page_id, host, path, rule, verdict, bad_rate, bad_rate_bound)`` of every page.
 
     ``outcomes`` is ``(host, bad)``, a row per labelled page.  Of the rules that fit, the
-    longest decides; without one, the host's reputation does.  A host without any outcome
-    has its domain's rate, and so on up.  Repeated pages each get a row.
+    longest decides, of equally long ones the first in the list; without one, the host's
+    reputation does.  A host without any outcome has its domain's rate, and so on up.  Null
+    urls have an empty host and path, urls of any length are read whole, repeated pages each
+    get a row, an empty table gives none, and other columns don't matter.
     """
     parts = with_host_and_path(pages).select(page_id, "host", "path")
     ordered = sorted(rules, key=lambda r: -len(r.text))

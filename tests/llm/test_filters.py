@@ -8,6 +8,20 @@ import pytest
 from folioforge.llm import license_scan, quality_rules, url_reputation
 from folioforge.llm.queries import URL_RULES
 
+def test_addresses_share_nothing(spark):
+    outcomes = [("10.0.0.1", True)] * 40 + [("10.9.0.1:80", False)] * 40 + [("a.co.uk", False)] * 3
+    df = spark.createDataFrame(outcomes, "host string, bad boolean")
+    got = {r["host"]: r["mean"] for r in url_reputation.host_reputations(df).collect()}
+    assert got["10.0.0.1"] > 0.9 and got["10.9.0.1:80"] < 0.1
+
+
+def test_repeated_and_long_urls(spark):
+    long = "http://a.net/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long, "h")] * 3 + [(2, "http://" + "b." * 50_000 + "org/fr/", "h")], "page_id long, url string, host string")
+    got = url_reputation.judge_urls(pages, spark.createDataFrame([], "host string, bad boolean"), URL_RULES).collect()
+    assert sorted((r["page_id"], r["rule"], len(r["path"])) for r in got) == [(1, "net/", 200_001)] * 3 + [(2, "org/fr/", 4)]
+
+
 URLS = [
     ("https://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),
     ("http://net/", "net", "/", "net/", "block"),
