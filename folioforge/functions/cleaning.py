@@ -175,11 +175,16 @@ def clean_column(
     projections apart and compiles them into one codegen stage.
     """
     out = df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+    return guarded(out, column, _chain(mode)(fix_spaces, fix_encoding, fix_math, normalize_ws))
+
+
+def guarded(df: DataFrame, column: str, steps: list) -> DataFrame:
+    """Apply ``(needles, step)`` in turn, a step only to texts that hold one of its needles."""
     c = F.col(column)
-    for needles, step in _chain(mode)(fix_spaces, fix_encoding, fix_math, normalize_ws):
+    for needles, step in steps:
         value = step(c)
         if needles:
             found = reduce(or_, [F.contains(c, F.lit(n)) for n in needles])
             value = F.when(found, value).otherwise(c)
-        out = out.withColumn(column, value)
-    return out
+        df = df.withColumn(column, value)
+    return df

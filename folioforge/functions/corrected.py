@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import cleaning
@@ -34,17 +34,25 @@ def longest_first(table: list[tuple[str, str]]) -> dict[str, str]:
     return dict(sorted(first.items(), key=lambda kv: -len(kv[0])))
 
 
+def _replaced(text: Column, pattern: str, values: dict[str, str], key) -> Column:
+    """Every match of ``pattern`` by the value of its key; the text is evaluated once."""
+    known = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+    def woven(t: Column) -> Column:
+        parts = F.zip_with(
+            F.split(t, pattern, -1),
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+            lambda gap, hit: F.concat(gap, F.coalesce(F.element_at(known, key(hit)), F.lit(""))),
+        )
+        return F.when(t.rlike(pattern), F.array_join(parts, "")).otherwise(t)
+
+    return let(text, woven)
+
+
 def replace_longest(text: Column, table: list[tuple[str, str]]) -> Column:
     """Replace all keys in one pass: at one place the longest key, and no value again."""
     fixes = longest_first(table)
-    pattern = "|".join(map(re.escape, fixes))
-    values = F.create_map(*[F.lit(x) for kv in fixes.items() for x in kv])
-    woven = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, key: F.concat(gap, F.coalesce(F.element_at(values, key), F.lit(""))),
-    )
-    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+    return _replaced(text, "|".join(map(re.escape, fixes)), fixes, lambda hit: hit)
 
 
 DECODING = ADDED_FIXES + fv.ENCODING_FIXES + fv.MATH_SYMBOL_FIXES
@@ -56,12 +64,9 @@ def decode(text: Column) -> Column:
 
 def expand_abbreviations(text: Column) -> Column:
     """Whole words only; a dot that belongs to the abbreviation goes with it."""
-
-    def one(c: Column, key: str, value: str) -> Column:
-        pattern = rf"(?<![a-zA-Z0-9]){re.escape(key)}(?![a-zA-Z0-9])\.?"
-        return F.when(c.contains(key), F.regexp_replace(c, pattern, value)).otherwise(c)
-
-    return reduce(lambda c, kv: one(c, *kv), fv.ABBREVIATIONS, text)
+    words = longest_first(fv.ABBREVIATIONS)
+    pattern = rf"(?<![a-zA-Z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-zA-Z0-9])\.?"
+    return _replaced(text, pattern, words, lambda hit: F.regexp_replace(hit, r"\.$", ""))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -105,6 +110,32 @@ def _math_pattern() -> str:
 MATH = _math_pattern()
 
 
+def _marked(decoded: Column) -> Column:
+    """Struct ``<text, math>``: equations replaced by their marks, and listed."""
+
+    def marks(gaps: Column) -> Column:
+        last = F.size(gaps) - 1
+        return F.transform(
+            gaps,
+            lambda gap, i: F.when(i < last, F.concat(gap, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(gap),
+        )
+
+    parts = let(F.split(decoded, MATH, -1), marks)
+    return F.struct(
+        F.array_join(parts, "").alias("text"), F.regexp_extract_all(decoded, F.lit(MATH), F.lit(0)).alias("math")
+    )
+
+
+def _shown(cleaned: Column, math: Column) -> Column:
+    """The equations back in place of their marks."""
+    parts = F.zip_with(
+        F.split(cleaned, MARK, -1),
+        F.regexp_extract_all(cleaned, F.lit(MARK), F.lit(1)),
+        lambda gap, i: F.concat(gap, F.coalesce(F.get(math, i.cast("int")), F.lit(""))),
+    )
+    return F.array_join(parts, "")
+
+
 def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
     """Clean around equations, which come back as they were (but for their encoding).
 
@@ -112,29 +143,23 @@ def clean_for_chunking(text: Column, preserve_math: bool = True) -> Column:
     The text is split at equations once and at marks once.
     """
 
-    def marked(decoded: Column) -> Column:
-        gaps = F.split(decoded, MATH, -1)
-        n = F.size(gaps) - 1
-        parts = F.transform(
-            gaps,
-            lambda gap, i: F.when(i < n, F.concat(gap, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(gap),
-        )
-        return F.struct(
-            F.array_join(parts, "").alias("text"), F.regexp_extract_all(decoded, F.lit(MATH), F.lit(0)).alias("math")
-        )
-
     def shown(state: Column) -> Column:
         cleaned = reduce(lambda c, step: step[1](c), _after_decoding(True, True), state["text"])
+        return let(cleaned, lambda c: _shown(c, state["math"]))
+
+    text = F.coalesce(text, F.lit(""))
+    return let(let(decode(text), _marked), shown) if preserve_math else clean_text(text)
 
-        def woven(c: Column) -> Column:
-            parts = F.zip_with(
-                F.split(c, MARK, -1),
-                F.regexp_extract_all(c, F.lit(MARK), F.lit(1)),
-                lambda gap, i: F.concat(gap, F.coalesce(F.get(state["math"], i.cast("int")), F.lit(""))),
-            )
-            return F.array_join(parts, "")
 
-        return let(cleaned, woven)
+def clean_column_for_chunking(df: DataFrame, column: str) -> DataFrame:
+    """The same for a whole corpus: each step is a projection of its own, guarded as in
+    ``cleaning.clean_column``."""
+    math, c = f"{column}_math_of_text", F.col(column)
+    out = cleaning.guarded(df.withColumn(column, F.coalesce(c, F.lit(""))), column, [_decoding()])
+    out = out.withColumn(math, _marked(c)).withColumn(column, F.col(math)["text"])
+    out = cleaning.guarded(out, column, _after_decoding(True, True))
+    return out.withColumn(column, _shown(c, F.col(math)["math"])).drop(math)
 
-    text = F.coalesce(text, F.lit(""))
-    return let(let(decode(text), marked), shown) if preserve_math else clean_text(text)
+
+def _decoding() -> tuple:
+    return tuple(sorted({key[:2] for key, _ in DECODING})), decode

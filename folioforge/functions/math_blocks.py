@@ -262,7 +262,7 @@ def clean_column_for_chunking(
 ) -> DataFrame:
     """The same for a whole corpus, with the guarded cleaning chain."""
     if mode == "fixed":
-        return df.withColumn(column, corrected.clean_for_chunking(F.col(column), preserve_math))
+        return corrected.clean_column_for_chunking(df, column) if preserve_math else clean_column(df, column, mode=mode)
     if preserve_math:
         df = df.withColumn(column, hide_equations(F.col(column)))
     return clean_column(df, column, mode=mode)

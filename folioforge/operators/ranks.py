@@ -89,8 +89,55 @@ def _with_base(parts: DataFrame, amount: Column) -> DataFrame:
 def number_rows(df: DataFrame, order: list[str], out: str = "row") -> DataFrame:
     """Dense 0-based row numbers in ``order``, by range partitions."""
     parts = _with_base(_in_range_order(df, order), F.lit(1))
-    position = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return parts.withColumn(out, F.col("_base") + position).drop("_part", "_base", "_id")
+    return parts.withColumn(out, F.col("_base") + _position()).drop("_part", "_base", "_id")
+
+
+def _position() -> Column:
+    """A row's place in its partition, from ``_id``."""
+    return F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _key(row) -> tuple:
+    """A sort key like Spark's: nulls first."""
+    return tuple((v is not None, v) for v in row)
+
+
+def stored_in_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` stored in ``order`` with ``_id``, and how many rows come before each partition.
+
+    A row's number is that of its partition, ``_id >> 33``, and its place there, the lower bits.
+    Where the partitions already hold ranges that do not overlap, rows are sorted within them
+    and stay where they are; else they are exchanged by range.  Either way rows are written once
+    or, if the partitions turn out to overlap, twice.
+    """
+    ident = F.monotonically_increasing_id()
+    stored = cut_lineage(df.sortWithinPartitions(*order).withColumn("_id", ident), "in-place")
+
+    def ranges(table: DataFrame) -> list:
+        key = F.struct(*order)
+        # A row for each partition: as many as there are tasks.
+        return table.groupBy(F.shiftright("_id", 33).alias("part")).agg(
+            F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")
+        ).collect()
+
+    parts = sorted(ranges(stored), key=lambda p: (_key(p.lo), _key(p.hi)))
+    if any(_key(a.hi) > _key(b.lo) for a, b in zip(parts, parts[1:], strict=False)):
+        stored = cut_lineage(
+            stored.drop("_id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", ident), "in-order"
+        )
+        parts = sorted(ranges(stored), key=lambda p: p.part)
+    before, total = {}, 0
+    for p in parts:
+        before[p.part] = total
+        total += p.n
+    return stored, before
+
+
+def with_numbers(stored: DataFrame, before: dict[int, int], out: str = "row") -> DataFrame:
+    """Number the rows of ``stored_in_order``, or of some of its files."""
+    bases = stored.sparkSession.createDataFrame(list(before.items()), "_part long, _base long")
+    parts = stored.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(bases), "_part")
+    return parts.withColumn(out, F.col("_base") + _position()).drop("_part", "_base", "_id")
 
 
 def sum_before(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:

@@ -724,6 +724,21 @@ SELECT substr(md5(p.file || '_' || page_id), 1, 12) AS id, page_id + 1 AS page_n
 FROM documents ORDER BY doc_id LIMIT 10""",
     "documents_json": f"""SELECT {_DOC_ID} AS id, source AS book_title, doc_id AS page_number,
   md5(text) AS content_md5, source AS book_file, 0 AS n_images FROM documents""",
+    "documents_json_array": f"""SELECT {_DOC_ID} AS id, source AS book_title, doc_id AS page_number,
+  md5(text) AS content_md5, source AS book_file, 0 AS n_images FROM documents""",
+    "line_numbers": """SELECT row_number() OVER (ORDER BY doc_id) AS number,
+  CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS text_md5
+FROM documents""",
+    "book_metadata": """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) % 5 > 0)
+SELECT doc_id, CASE WHEN n IS NULL THEN replace(d.source, '.pdf', '') ELSE 'Title ' || d.source || ' 1' END AS title,
+  CASE WHEN n IS NULL THEN 'Unknown' END AS author,
+  CASE WHEN n IS NULL THEN 'Unknown' ELSE (n + 1)::VARCHAR END AS year
+FROM documents d LEFT JOIN s USING (source)""",
+    "cache_generations": """SELECT 'v' || vec_id AS cache_key, len(embedding) AS dimension
+FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""",
+    "blank_queries": "SELECT item_id AS query_id, CASE WHEN item_id % 3 <> 0 THEN 1 END AS rank FROM benchmark",
+    "more_than_there_are": """SELECT vec_id AS query_id, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS hits,
+  (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS last FROM embeddings""",
     "chunks_jsonl": f"{CHUNKS} {_CHUNK_ROWS}",
     "golden_jsonl": f"""WITH {_GOLDEN} SELECT id, book, query, difficulty, expected_answer_summary, notes FROM golden""",
     "embeddings_parquet": """SELECT vec_id::VARCHAR AS chunk_id, 'label ' || label AS book_title,

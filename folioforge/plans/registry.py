@@ -12,7 +12,7 @@ from folioforge.functions.charclass import word_count
 from folioforge.functions.vectors import l2_norm, l2_normalize
 from folioforge.operators import chunking, evaluation, generation, knn
 from folioforge.operators.adjacency import adjacent_pairs
-from folioforge.operators.books import documents_from_pages
+from folioforge.operators.books import documents_from_pages, with_book_metadata
 from folioforge.operators.embedding import (
     EmbeddingCache,
     HashingEncoder,
@@ -20,13 +20,14 @@ from folioforge.operators.embedding import (
     embedding_rows,
     encode_column,
 )
-from folioforge.operators.index import Retriever, VectorIndex, hit_rows, index_stats
+from folioforge.operators.index import Retriever, VectorIndex, hit_rows
 from folioforge.operators.model_calls import judge_with_cache
 from folioforge.operators.ranks import number_rows
 from folioforge.plans import chunk_report, diagnostics
 from folioforge.plans.inputs import as_documents, load, noisy_texts, spread, texts, topped_texts
 from folioforge.session import new_table_path, ship_package
 from folioforge.sources import tables
+from folioforge.sources.splits import read_lines
 from folioforge.streaming.ingest import stream_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,14 +283,48 @@ def _first_documents(spark, sf):
     )
 
 
-def _documents_json(spark, sf):
-    path = new_table_path(spark, "documents")
-    tables.write_documents(as_documents(texts(spark, sf)), path)
-    back = tables.read_documents(spark, path)
-    return back.select(
-        "id", "book_title", "page_number", F.md5("content").alias("content_md5"),
-        F.col("metadata")["book_file"].alias("book_file"), F.size("images").alias("n_images"),
+def _documents_json(array: bool) -> Query:
+    def run(spark, sf):
+        path = new_table_path(spark, "documents")
+        tables.write_documents(as_documents(texts(spark, sf)), path, array, one_file=array)
+        back = tables.read_documents(spark, path, array)
+        return back.select(
+            "id", "book_title", "page_number", F.md5("content").alias("content_md5"),
+            F.col("metadata")["book_file"].alias("book_file"), F.size("images").alias("n_images"),
+        )
+
+    return run
+
+
+def _line_numbers(spark, sf):
+    """Texts as one file of lines, every third of them blank, and their numbers in it."""
+    path = new_table_path(spark, "lines")
+    line = F.when(F.col("doc_id") % 3 != 0, F.to_json(F.struct("doc_id", "text"))).otherwise("")
+    ordered = load(spark, sf, "documents").orderBy("doc_id").select(line.alias("value"))
+    ordered.coalesce(1).write.text(path)
+    numbered = read_lines(spark, path).select(
+        F.col("line").alias("number"), F.from_json("value", "doc_id long, text string").alias("d")
     )
+    return numbered.select("number", "d.doc_id", F.md5("d.text").alias("text_md5"))
+
+
+def _book_metadata(spark, sf):
+    """Sources as books of a metadata file, some twice and some not at all."""
+    path = new_table_path(spark, "books")
+    docs = texts(spark, sf)
+    sources = docs.groupBy("source").agg(F.count("*").alias("n")).filter("source IS NOT NULL AND n % 5 > 0")
+    entries = sources.withColumn("entry", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.col("source").alias("file"),
+        F.concat(F.lit("Title "), "source", F.lit(" "), F.col("entry").cast("string")).alias("title"),
+        (F.col("n") + F.col("entry")).alias("year"),
+        "entry",
+    )
+    # As many books as there are sources.
+    books = entries.agg(F.sort_array(F.collect_list(F.struct("entry", "file", "title", "year"))).alias("books"))
+    books.select(F.to_json(F.struct("books")).alias("value")).coalesce(1).write.text(path)
+    pages = docs.select(F.col("source").alias("file"), "doc_id")
+    known = with_book_metadata(pages, tables.read_books(spark, path))
+    return known.select("doc_id", "title", "author", F.col("year").cast("string").alias("year"))
 
 
 def _chunks_jsonl(spark, sf):
@@ -405,7 +440,7 @@ def _index_stats(spark, sf):
     )
     path = new_table_path(spark, "index")
     index.save(path)
-    return index_stats(VectorIndex.load(spark, path).table)
+    return VectorIndex.load(spark, path).stats()
 
 
 def _number_rows(spark, sf):
@@ -687,6 +722,42 @@ def _retry_schedule(spark, sf):
     )
 
 
+def _cache_generations(spark, sf):
+    """Everything cached, compacted and cleared; then half of it by one writer, some by another."""
+    v = _vectors(spark, sf).select(
+        F.concat(F.lit("v"), F.col("row").cast("string")).alias("cache_key"), F.col("vec").alias("embedding"), "row"
+    )
+    path = new_table_path(spark, "vector-cache")
+    cache, other = EmbeddingCache(spark, path), EmbeddingCache(spark, path)
+    cache.add(v)
+    other.compact(buckets=3)
+    other.clear()
+    cache.add(v.filter("row % 2 = 0"))
+    other.add(v.filter("row % 3 = 0"))
+    cache.compact()
+    return other.table().select("cache_key", F.size("embedding").alias("dimension"))
+
+
+def _blank_queries(spark, sf):
+    """Every third question is blank and finds nothing."""
+    docs = _doc_vectors(spark, sf)
+    index = VectorIndex(DIM).build(docs.withColumnRenamed("row", "doc"), ["doc"], vector="vec", normalize=False)
+    item = F.col("item_id")
+    asked = load(spark, sf, "benchmark").select(
+        item.alias("query_id"), F.when(item % 3 == 0, " \n\t").otherwise(F.col("text")).alias("query")
+    )
+    hits = Retriever(index, lambda: HashingEncoder(DIM), "bge-small").search(asked, 1)
+    return asked.join(hits.select("query_id", "rank"), "query_id", "left").select("query_id", "rank")
+
+
+def _more_than_there_are(spark, sf):
+    """More hits asked for than there are vectors: every query gets all of them."""
+    v = _vectors(spark, sf)
+    few = v.filter(F.col("row") % 50 == 0)
+    hits = knn.top_k(few, v.select(F.col("row").alias("query_id"), "vec"), 100_000)
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("rank").alias("last"))
+
+
 def _chat_history(spark, sf):
     path = new_table_path(spark, "history")
     messages = load(spark, sf, "conversations")
@@ -769,7 +840,13 @@ _QUERIES: dict[str, Query] = {
     "worst_chunks": lambda s, d: diagnostics.worst_chunks(_features(s, d)),
     # sources and sinks
     "ingest_pages": _ingest_pages,
-    "documents_json": _documents_json,
+    "documents_json": _documents_json(array=False),
+    "documents_json_array": _documents_json(array=True),
+    "line_numbers": _line_numbers,
+    "book_metadata": _book_metadata,
+    "cache_generations": _cache_generations,
+    "blank_queries": _blank_queries,
+    "more_than_there_are": _more_than_there_are,
     "first_documents": _first_documents,
     "chunks_jsonl": _chunks_jsonl,
     "golden_jsonl": _golden_jsonl,

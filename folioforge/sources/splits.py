@@ -192,10 +192,11 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
     return parsed.select(checked.alias(first), *[F.col(f"r.{c}").alias(c) for c in schema.fieldNames()[1:]])
 
 
-def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
+def write_json_array(rows: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
     """Text files that, put together in the order of their names, are one JSON array.
 
-    Every part but the first begins with a comma; an empty table is ``[]``.
+    Every part but the first begins with a comma; an empty table is ``[]``.  With ``one_file``
+    the last step is one task, which writes what the others have made in their order.
     """
     from folioforge.operators.ranks import number_rows
 
@@ -208,4 +209,5 @@ def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
     opened = F.when(F.col("place") == 0, F.lit("[")).otherwise(F.lit(","))
     closed = F.when(F.col("place") == n - 1, F.lit("]")).otherwise(F.lit(""))
     ordered = numbered.repartitionByRange("place").sortWithinPartitions("place")
-    ordered.select(F.concat(opened, "json", closed).alias("value")).write.text(path)
+    parts = ordered.select(F.concat(opened, "json", closed).alias("value"))
+    (parts.coalesce(1) if one_file else parts).write.text(path)

@@ -120,10 +120,10 @@ def first_documents(documents: DataFrame, n: int) -> DataFrame:
 # --- writing ----------------------------------------------------------------------
 
 
-def write_documents(documents: DataFrame, path: str, array: bool = False) -> None:
-    """JSON lines, or with ``array`` parts of one JSON array in corpus order."""
+def write_documents(documents: DataFrame, path: str, array: bool = False, one_file: bool = False) -> None:
+    """JSON lines, or with ``array`` one JSON array in corpus order, in parts or in one file."""
     if array:
-        write_json_array(documents, path, ["doc_seq"])
+        write_json_array(documents, path, ["doc_seq"], one_file)
     else:
         documents.write.json(path)
 

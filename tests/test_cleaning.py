@@ -97,3 +97,34 @@ def test_title_and_previews(spark):
     assert one(spark, "²x", structure.starts_clean(T())) and one(spark, "Éa", structure.starts_clean(T()))
     assert not one(spark, " ab", structure.starts_clean(T()))
     assert one(spark, 'ab." \n', structure.ends_clean(T())) and not one(spark, "", structure.ends_clean(T()))
+
+
+MODES = [
+    # A shorter key shadows a longer one (Q1, Q2), and the sign for "unequal" ends in a blank (Q3).
+    ("a â€“ b â€” c", 'a "“ b "” c', "a – b — c"),
+    ("âˆž âˆ« âˆš", "√ž √« √š", "∞ ∫ √"),
+    ("â‰ x â‰ y", "≠x â‰ y", "≠x ≠y"),
+    # Abbreviations without and with word bounds (Q4), so that captions keep their name (Q5).
+    ("Chapter 6, Figure 3, Fig. 3", "Chapterer 6, Figureure 3, Figure. 3", "Chapter 6, Figure 3, Figure 3"),
+    ("Apply it, e.g. here, vs them", "Appendixly it, e. g.. here, vs. them", "Apply it, e.g. here, vs. them"),
+]
+
+
+@pytest.mark.parametrize("text, faithful, fixed", MODES)
+def test_quirks_in_both_modes(spark, text, faithful, fixed):
+    assert one(spark, text, cleaning.clean_text(T())) == faithful
+    assert one(spark, text, cleaning.clean_text(T(), mode="fixed")) == fixed
+    again = one(spark, fixed, cleaning.clean_text(T(), mode="fixed"))
+    assert again == fixed
+
+
+def test_equations_survive_in_fixed_mode(spark):
+    text = "wordWord $a_ 1+b ^ 2$ and \\[ x,y \\] so\r\n\r\n\r\n\r\nx=3 , 7"
+    lost = one(spark, text, math_blocks.clean_for_chunking(T()))
+    kept = one(spark, text, math_blocks.clean_for_chunking(T(), mode="fixed"))
+    assert "MATH_BLOCK" in lost and "$a_ 1+b ^ 2$" not in lost
+    assert kept == "word Word $a_ 1+b ^ 2$ and \\[ x,y \\] so\n\nx=3, 7"
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    assert [r.t for r in math_blocks.clean_column_for_chunking(df, "t", mode="fixed").collect()] == [kept, ""]
+    with pytest.raises(ValueError, match="mode"):
+        cleaning.clean_text(T(), mode="better")

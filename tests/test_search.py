@@ -14,6 +14,7 @@ from folioforge.operators.embedding import (
     encode_column,
 )
 from folioforge.operators.index import Retriever, VectorIndex
+from folioforge.operators.ranks import stored_in_order, with_numbers
 from folioforge.session import new_table_path
 from folioforge.sources import tables
 
@@ -126,6 +127,45 @@ def test_index_lifecycle(spark, vectors):
         Retriever(loaded, lambda: HashingEncoder(16), "bge-large")
 
 
+def test_index_layout(spark, tmp_path):
+    """Rows in order stay where they are, hits read the files they lie in, a manifest knows the rest."""
+    m = clustered(600, 8, 10)
+    rows = table(spark, m, "page").repartitionByRange(12, "page").withColumn("content", F.col("page").cast("string"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        index = VectorIndex(8).build(spark.read.parquet(str(tmp_path / "rows")), ["page"], vector="vec")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = index.table._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert [r.content for r in index.table.orderBy("row").collect()] == [str(i) for i in range(600)]
+    assert len(index.files.files) == 12
+    index.save(str(tmp_path / "index"))
+    loaded = VectorIndex.load(spark, str(tmp_path / "index"))
+    hits = spark.createDataFrame([(7,), (8,), (599,)], "row long")
+    for one in (index, loaded):
+        assert 0 < len(one.files.holding(hits)) <= 2 < len(one.files.files)
+        assert one.rows_of(hits).join(hits, "row").count() == 3
+        assert one.rows_of(hits.limit(0)).count() == 0
+        read = one.rows_of(hits).select(F.input_file_name()).distinct().count()
+        assert read <= 2
+    stats = loaded.stats()
+    assert stats.first().ntotal == 600 and stats.first().dimension == 8
+    assert "vec" not in stats._jdf.queryExecution().executedPlan().toString()
+    a, b = ({(r.query_id, r["rank"]): r.content for r in x.search(table(spark, m[:9], "query_id"), 3).collect()} for x in (index, loaded))
+    assert a == b and len(a) == 27
+
+
+def test_overlapping_partitions_are_put_in_order(spark):
+    rows = spark.createDataFrame([(i * 37 % 100, None if i == 5 else f"k{i % 7}") for i in range(100)], "n long, k string")
+    stored, before = stored_in_order(rows.repartition(6), ["k", "n"])
+    numbered = with_numbers(stored, before).orderBy("row").collect()
+    assert [r.row for r in numbered] == list(range(100))
+    assert [(r.k, r.n) for r in numbered] == sorted(((r.k, r.n) for r in numbered), key=lambda x: (x[0] is not None, x))
+    assert with_numbers(*stored_in_order(rows.limit(0), ["n"])).count() == 0
+
+
 def test_retriever(spark):
     texts = ["gradient descent step", "matrix inverse", "hessian matrix", "prior belief"]
     encoder = lambda: HashingEncoder(64)
