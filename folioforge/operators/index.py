@@ -23,10 +23,10 @@ HIT_BYTES = 64
 
 
 class Files:
-    """Where rows lie: files with the first and the last row of each, sorted, not overlapping."""
+    """Where rows lie: files with ranges of rows that do not overlap; a file may have several."""
 
     def __init__(self, ranges: DataFrame, read: Callable[[list[str]], DataFrame]) -> None:
-        """From ``(file, first_row, last_row)``, a row for each file, and what reads files."""
+        """From ``(file, first_row, last_row)``, a row for each range, and what reads files."""
         found = ranges.orderBy("first_row").collect()
         self.files = [r.file for r in found]
         self.firsts = np.array([r.first_row for r in found], dtype=np.int64)
@@ -42,20 +42,22 @@ class Files:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(at).astype(np.int32))], names=["file"])
 
         asked = rows.select("row").mapInArrow(numbers, "file int").distinct().collect()
-        return [self.files[r.file] for r in sorted(asked)]
+        return sorted({self.files[r.file] for r in asked})
 
 
 class VectorIndex:
     """Exact inner-product index over a DataFrame ``(row, vec, <metadata>)``.
 
     Rows lie in files by range.  A search reads ``vec`` of all of them, and the metadata of the
-    files that hits lie in.  Saved beside the rows is a manifest: a row for each file with its
-    range, and the dimension and model of the index.
+    files that hits lie in.  Saved beside the rows is a manifest: a row for each range of each
+    file, and the dimension and model of the index.
     """
 
     def __init__(self, dimension: int) -> None:
         self.dimension = dimension
         self.table: DataFrame | None = None
+        # The table with ``_part``, the partition in which a row was numbered.
+        self.stored: DataFrame | None = None
         self.files: Files | None = None
         self.manifest: DataFrame | None = None
 
@@ -93,7 +95,8 @@ class VectorIndex:
             rows = rows.withColumn("model_key", F.lit(model_key))
         kept = rows.withColumn("vec", checked).drop(*([vector] if vector != "vec" else []))
         stored, before = stored_in_order(kept, order)
-        self.table = with_numbers(stored, before)
+        self.stored = with_numbers(stored, before, keep_part=True)
+        self.table = self.stored.drop("_part")
         ranges = with_numbers(stored.select("_id", F.col("_metadata.file_path").alias("file")), before)
         spark, schema = rows.sparkSession, stored.schema
         self.files = Files(
@@ -104,13 +107,16 @@ class VectorIndex:
     def save(self, path: str) -> None:
         if self.table is None:
             raise RuntimeError("Cannot save: index has not been built.")
-        self.table.write.parquet(f"{path}/rows")
-        rows = self.table.sparkSession.read.parquet(f"{path}/rows")
+        # Where it lies, a table need not be moved to be written: a task writes several
+        # partitions to one file, each of which is a range of rows.
+        self.stored.write.parquet(f"{path}/rows")
+        rows = self.stored.sparkSession.read.parquet(f"{path}/rows")
         model = F.first("model_key") if "model_key" in rows.columns else F.lit(None).cast("string")
-        known = rows.withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1)).groupBy("file").agg(
+        named = rows.withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+        known = named.groupBy("file", "_part").agg(
             F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("n"),
             model.alias("model_key"),
-        )
+        ).drop("_part")
         known.withColumn("dimension", F.lit(self.dimension)).coalesce(1).write.parquet(f"{path}/manifest")
 
     @classmethod
@@ -124,10 +130,10 @@ class VectorIndex:
             raise FileNotFoundError(f"Index not found: {path}") from e
         first = manifest.select("dimension").first()
         index = cls(first.dimension if first else 0)
-        index.table, index.manifest = spark.read.parquet(f"{path}/rows"), manifest
-        schema = index.table.schema
+        index.stored, index.manifest = spark.read.parquet(f"{path}/rows"), manifest
+        index.table, schema = index.stored.drop("_part"), index.stored.schema
         paths = manifest.withColumn("file", F.concat(F.lit(f"{path}/rows/"), "file"))
-        index.files = Files(paths, lambda files: spark.read.schema(schema).parquet(*files))
+        index.files = Files(paths, lambda files: spark.read.schema(schema).parquet(*files).drop("_part"))
         return index
 
     def model_key(self) -> str | None:

@@ -133,11 +133,14 @@ def stored_in_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, dict[in
     return stored, before
 
 
-def with_numbers(stored: DataFrame, before: dict[int, int], out: str = "row") -> DataFrame:
-    """Number the rows of ``stored_in_order``, or of some of its files."""
+def with_numbers(
+    stored: DataFrame, before: dict[int, int], out: str = "row", keep_part: bool = False
+) -> DataFrame:
+    """Number the rows of ``stored_in_order``, or of some of its files; ``_part`` can be kept."""
     bases = stored.sparkSession.createDataFrame(list(before.items()), "_part long, _base long")
     parts = stored.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(bases), "_part")
-    return parts.withColumn(out, F.col("_base") + _position()).drop("_part", "_base", "_id")
+    numbered = parts.withColumn(out, F.col("_base") + _position()).drop("_base", "_id")
+    return numbered if keep_part else numbered.drop("_part")
 
 
 def sum_before(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:

@@ -95,9 +95,16 @@ def test_texts_are_worked_on_once(spark, name):
     assert p.count("CHAPTER|Chapter)\\s+\\d+$") <= 1
 
 
-def test_rounds_of_queries_move_no_vectors(spark):
+def test_many_queries_read_the_index_in_two_rounds(spark):
+    """The second round is in the plan; the hits of the first are a table."""
     p = plan(QUERIES["knn_blocks_top5"](spark, SF))
-    assert "vec" not in p and "MapInArrow" not in p
+    assert p.count("MapInArrow") == 1 and p.count("FileScan parquet") <= 3
+
+
+@pytest.mark.parametrize("name", ["index_stats", "cache_stats", "cached_vectors"])
+def test_stored_vectors_are_not_exchanged(spark, name):
+    p = plan(QUERIES[name](spark, SF))
+    assert "Exchange hashpartitioning" not in p and "Exchange rangepartitioning" not in p
 
 
 def test_workers_get_the_package(tmp_path):
