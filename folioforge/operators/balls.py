@@ -28,6 +28,8 @@ PART_ROWS = 4096
 #: Balls at most, and bytes of their centres, which every task gets.
 MAX_BALLS, CENTRE_BYTES = 1024, 16 << 20
 SAMPLE_PER_BALL, CENTRE_ROUNDS = 16, 5
+#: Distances to centres that a task holds at once.
+_CELLS = 1 << 17
 #: Relative error that rounding may put into a bound.
 _SLACK = 1e-9
 _SPREAD = 0x9E3779B97F4A7C15
@@ -45,9 +47,17 @@ def _centres(sample: np.ndarray, balls: int) -> np.ndarray:
     return centres
 
 
+def _slices(n: int, balls: int) -> list[slice]:
+    """Of ``n`` vectors, so many at a time that their distances to all centres are few."""
+    step = max(1, _CELLS // max(balls, 1))
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
 def _nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each vector, and how far it is."""
-    own = ((centres**2).sum(axis=1) / 2 - vectors @ centres.T).argmin(axis=1)
+    half, own = (centres**2).sum(axis=1) / 2, np.zeros(len(vectors), np.int64)
+    for some in _slices(len(vectors), len(centres)):
+        own[some] = (half - vectors[some] @ centres.T).argmin(axis=1)
     return own, np.linalg.norm(vectors - centres[own], axis=1)
 
 
@@ -99,29 +109,35 @@ class BallIndex:
         """``(query_id, ball, vec)`` of one round; the second one has ``bar`` in ``queries``."""
         centres, radii, sizes = self.centres, self.radii, self.sizes
 
+        def asked_of(vecs: np.ndarray, bar: np.ndarray | None) -> np.ndarray:
+            near = np.where(sizes > 0, vecs @ centres.T, -np.inf)
+            order = np.argsort(-near, axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            asked = np.zeros(near.shape, bool)
+            np.put_along_axis(asked, order, before < k, axis=1)
+            asked &= sizes > 0
+            if bar is None:
+                return asked
+            length = np.linalg.norm(vecs, axis=1, keepdims=True)
+            reach = length * (np.linalg.norm(centres, axis=1) + np.maximum(radii, 0))
+            bound = near + length * np.maximum(radii, 0) + _SLACK * reach
+            # Fewer than k hits so far: nothing is out of the question.
+            bar = np.where(np.isnan(bar), -np.inf, bar)
+            return ~asked & (sizes > 0) & (bound >= bar[:, None])
+
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vecs = _matrix(batch.column("vec"), centres.shape[1], batch.column("query_id"), "query").astype("float64")
+                ids, vec = batch.column("query_id"), batch.column("vec")
+                vecs = _matrix(vec, centres.shape[1], ids, "query").astype("float64")
                 vecs = _unit(vecs) if unit_queries else vecs
-                near = np.where(sizes > 0, vecs @ centres.T, -np.inf)
-                order = np.argsort(-near, axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                asked = np.zeros(near.shape, bool)
-                np.put_along_axis(asked, order, before < k, axis=1)
-                asked &= sizes > 0
-                if second:
-                    length = np.linalg.norm(vecs, axis=1, keepdims=True)
-                    reach = length * (np.linalg.norm(centres, axis=1) + np.maximum(radii, 0))
-                    bound = near + length * np.maximum(radii, 0) + _SLACK * reach
-                    bar = batch.column("bar").to_numpy(zero_copy_only=False)
-                    # Fewer than k hits so far: nothing is out of the question.
-                    bar = np.where(np.isnan(bar), -np.inf, bar)
-                    asked = ~asked & (sizes > 0) & (bound >= bar[:, None])
-                at, ball = np.nonzero(asked)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(pa.array(at)), pa.array(ball.astype(np.int32)), batch.column("vec").take(pa.array(at))],
-                    names=["query_id", "ball", "vec"],
-                )
+                bar = batch.column("bar").to_numpy(zero_copy_only=False) if second else None
+                for some in _slices(len(vecs), len(centres)):
+                    at, ball = np.nonzero(asked_of(vecs[some], bar[some] if second else None))
+                    picked = pa.array(at + some.start)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(picked), pa.array(ball.astype(np.int32)), vec.take(picked)],
+                        names=["query_id", "ball", "vec"],
+                    )
 
         vec_type = queries.schema["vec"].dataType.simpleString()
         return queries.mapInArrow(routed, f"query_id long, ball int, vec {vec_type}")
@@ -149,16 +165,22 @@ class BallIndex:
                         vecs.append(own)
                     elif rows:
                         block = block or Block(np.concatenate(rows), np.concatenate(vecs), unit_index)
-                        own = own.astype("float64")
-                        yield _as_hits(ids, block.best(_unit(own) if unit_queries else own, k))
+                        for hits in block.best(own.astype("float64"), k, unit_queries):
+                            yield _as_hits(ids, hits)
 
         vec_type = asked.schema["vec"].dataType.simpleString()
+        # An index of few parts is held by several tasks each, which share its queries.
+        wanted = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shares = max(1, -(-wanted // sum(self.parts)))
+        copies = F.sequence(F.col("part") * shares, F.col("part") * shares + (shares - 1))
         held = self.table.filter(F.col("ball").isin(balls)).select(
-            "ball", "part", F.lit(False).alias("asks"), F.col("row").alias("id"), F.col("vec").cast(vec_type).alias("vec")
-        )
+            "ball", F.explode(copies).alias("part"), F.lit(False).alias("asks"),
+            F.col("row").alias("id"), F.col("vec").cast(vec_type).alias("vec"),
+        )
         parts = F.element_at(F.array(*map(F.lit, self.parts)), F.col("ball") + 1)
-        asking = asked.select(
-            "ball", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"),
+        share = F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int")
+        asking = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).select(
+            "ball", (F.col("part") * shares + share).alias("part"),
             F.lit(True).alias("asks"), F.col("query_id").alias("id"), "vec",
         )
         both = held.unionByName(asking).repartition("ball", "part")

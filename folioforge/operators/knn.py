@@ -3,11 +3,13 @@
 Top-k decomposes: the best k of every index block contain the best k overall.  Each task
 multiplies the query matrix with its share of the index and hands on k rows per query, so
 vectors never move and the shuffle carries results only.  More queries than fit a matrix of
-bounded size are answered from balls (``balls.py``), in two rounds whatever their number.
+bounded size, or whose hits do not, are answered from balls (``balls.py``), in two rounds
+whatever their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +26,10 @@ _HIT_ARROW = pa.schema(
 
 # Bytes of queries up to which they are shipped to every task.
 BROADCAST_BYTES = 64 << 20
+# Bytes of a hit while it is merged with others, which a task holds for all queries shipped to it.
+_MERGED_BYTES = 96
 # Scores held at once in a task.
-_TILE = 1 << 24
+_TILE = 1 << 20
 _MERGE_SALTS = 64
 
 
@@ -60,35 +64,48 @@ class Block:
 
     def __init__(self, rows: np.ndarray, vecs: np.ndarray, unit_index: bool) -> None:
         self.rows = rows
-        self.vecs = _unit(vecs) if unit_index else vecs.astype("float64")
-        self.single = self.vecs.astype("float32").T
-        longest = max(np.linalg.norm(self.vecs, axis=1).max(), 1e-30)
+        self.vecs = vecs.astype("float64")
+        squares = (self.vecs**2).sum(axis=1)
+        self.squares = np.where(squares == 0, 1.0, squares) if unit_index else None
+        scaled = _unit(vecs) if unit_index else self.vecs
+        self.single = scaled.astype("float32").T
+        longest = max(np.linalg.norm(scaled, axis=1).max(), 1e-30)
         self.error = 4 * vecs.shape[1] * np.finfo("float32").eps * longest
 
-    def best(self, queries: np.ndarray, k: int) -> Hits:
-        """The best k vectors of each query, by score and then the lower row.
+    def _exact(self, picked: np.ndarray, part: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Scores of pairs.  A cosine is the root of a quotient of squares: of vectors of whole
+        numbers all of these are exact, so that multiples of a vector tie as they should."""
+        score = (self.vecs[picked] * part).sum(axis=1)
+        if self.squares is not None:
+            square = score * np.abs(score) / self.squares[picked]
+            score = np.sign(square) * np.sqrt(np.abs(square))
+        return score / lengths
+
+    def best(self, queries: np.ndarray, k: int, unit_queries: bool) -> Iterator[Hits]:
+        """The best k vectors of each query, by score and then the lower row; tile by tile.
 
         The float32 product only picks candidates; everything within its rounding error of
         the k-th best is scored again in double precision, so the outcome is exact.
         """
         tile = max(1, _TILE // len(self.vecs))
-        parts = []
         for start in range(0, len(queries), tile):
             part = queries[start : start + tile]
-            coarse = part.astype("float32") @ self.single
+            scaled = _unit(part) if unit_queries else part
+            coarse = scaled.astype("float32") @ self.single
             if coarse.shape[1] > k:
                 kth = np.partition(coarse, -k, axis=1)[:, -k]
-                bar = kth - self.error * np.linalg.norm(part, axis=1)
+                bar = kth - self.error * np.linalg.norm(scaled, axis=1)
                 at, picked = np.nonzero(coarse >= bar[:, None])
             else:
                 at, picked = np.indices(coarse.shape).reshape(2, -1)
+            lengths = np.linalg.norm(part, axis=1) if unit_queries else np.ones(len(part))
+            lengths[lengths == 0] = 1.0
             exact = np.empty(len(at))
             step = max(1, _TILE // (4 * max(queries.shape[1], 1)))
             for i in range(0, len(at), step):
                 own = slice(i, i + step)
-                exact[own] = (self.vecs[picked[own]] * part[at[own]]).sum(axis=1)
-            parts.append(_ranked(Hits(at + start, self.rows[picked], exact), k))
-        return Hits(*map(np.concatenate, zip(*parts, strict=True)))
+                exact[own] = self._exact(picked[own], part[at[own]], lengths[at[own]])
+            yield _ranked(Hits(at + start, self.rows[picked], exact), k)
 
 
 class Hits(NamedTuple):
@@ -114,7 +131,11 @@ def _as_hits(ids: np.ndarray, hits: Hits) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=_HIT_ARROW)
 
 
-def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool):
+def _joined(parts: list[Hits]) -> Hits:
+    return Hits(*map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool, unit_queries: bool):
     """Task body of the broadcast path: a running top-k over the partition's batches."""
 
     def scan(batches):
@@ -124,10 +145,8 @@ def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool):
                 continue
             vecs = _matrix(batch.column("vec"), queries.shape[1], batch.column("row"), "row")
             rows = batch.column("row").to_numpy(zero_copy_only=False)
-            found = Block(rows, vecs, unit_index).best(queries, k)
-            if kept is not None:
-                found = _ranked(Hits(*map(np.concatenate, zip(kept, found, strict=True))), k)
-            kept = found
+            found = _joined(list(Block(rows, vecs, unit_index).best(queries, k, unit_queries)))
+            kept = found if kept is None else _ranked(_joined([kept, found]), k)
         if kept is not None:
             yield _as_hits(ids, kept)
 
@@ -189,7 +208,7 @@ def top_k(
         raise ValueError(f"Queries differ in dimension: {size.lo} and {size.hi}")
     if dimension is not None and size.hi != dimension:
         raise ValueError(f"Query dim {size.hi} != index dimension {dimension}")
-    if 8 * size.n * size.hi > broadcast_bytes:
+    if size.n * max(8 * size.hi, _MERGED_BYTES * k) > broadcast_bytes:
         from folioforge.operators.balls import BallIndex
 
         # Stored before the cache is given up; balls then send a query to where it can win.
@@ -200,5 +219,5 @@ def top_k(
     queries.unpersist()
     ids = table.column("query_id")
     matrix = _matrix(table.column("vec"), size.hi, ids, "query").astype("float64")
-    matrix = _unit(matrix) if unit_queries else matrix
-    return keep_top(index.mapInArrow(_scan_with(ids.to_numpy(), matrix, k, unit_index), HIT), k)
+    scan = _scan_with(ids.to_numpy(), matrix, k, unit_index, unit_queries)
+    return keep_top(index.mapInArrow(scan, HIT), k)

@@ -84,6 +84,54 @@ def test_raw_inner_product(spark):
     assert [(h.row, h.score) for h in hits] == [(1, 6.0), (0, 2.0), (2, 2.0)]
 
 
+@pytest.mark.parametrize("broadcast", [1 << 26, 1])
+def test_multiples_of_a_vector_tie(spark, broadcast):
+    """Cosines of whole numbers that are equal used to differ in their last digits."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-9, 10, size=(40, 16))
+    index = np.concatenate([base * f for f in (7, 3, 1, 11, 5)]).astype("float64")
+    queries = rng.integers(-9, 10, size=(25, 16)).astype("float64")
+    hits = knn.top_k(
+        table(spark, index).repartition(7), table(spark, queries, "query_id"), 10, broadcast_bytes=broadcast
+    ).orderBy("query_id", "rank").collect()
+    for q in range(25):
+        own = [h for h in hits if h.query_id == q]
+        dots = base @ queries[q]
+        best = np.lexsort((np.arange(40), -np.sign(dots) * dots**2 / (base**2).sum(axis=1)))[:2]
+        assert [h.row for h in own] == [int(b) + 40 * i for b in best for i in range(5)]
+        assert len({h.score for h in own[:5]}) == 1
+
+
+def test_a_task_holds_a_tile_of_hits(monkeypatch):
+    """However many hits are asked for, they leave the block tile by tile."""
+    monkeypatch.setattr(knn, "_TILE", 1000)
+    rng = np.random.default_rng(6)
+    block = knn.Block(np.arange(100), rng.normal(size=(100, 8)).astype("float32"), True)
+    parts = list(block.best(rng.normal(size=(500, 8)), 100_000, True))
+    assert max(len(p.row) for p in parts) <= 1000 and sum(len(p.row) for p in parts) == 50_000
+
+
+def test_many_hits_go_by_balls(spark, vectors, monkeypatch):
+    """Few queries with so many hits that their running best would not fit a task."""
+    asked = []
+    search = balls.BallIndex.search
+    monkeypatch.setattr(balls.BallIndex, "search", lambda self, *a: asked.append(1) or search(self, *a))
+    hits = knn.top_k(table(spark, vectors), table(spark, vectors[:3], "query_id"), 100_000, broadcast_bytes=1 << 16)
+    assert asked and hits.count() == 3 * len(vectors)
+
+
+def test_routes_in_slices(spark, vectors, monkeypatch):
+    """Distances to centres are held for some queries at a time; the routes are the same."""
+    index = balls.BallIndex.build(table(spark, vectors), part_rows=20)
+    queries = table(spark, vectors[:50], "query_id")
+    whole = sorted(map(tuple, index.routes(queries, 4)[1].collect()))
+    monkeypatch.setattr(balls, "_CELLS", 64)
+    assert [s.stop - s.start for s in balls._slices(7, 20)] == [3, 3, 3]
+    near = balls._nearest(vectors, index.centres)
+    assert (near[0] == np.argmin(((vectors[:, None] - index.centres) ** 2).sum(axis=2), axis=1)).all()
+    assert sorted(map(tuple, index.routes(queries, 4)[1].collect())) == whole
+
+
 def test_no_queries_and_wrong_dimension(spark, vectors):
     none = knn.top_k(table(spark, vectors), spark.createDataFrame([], "query_id long, vec array<float>"), 3)
     assert none.count() == 0
