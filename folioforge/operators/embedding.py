@@ -67,7 +67,11 @@ def sentence_encoder(model_key: str = "bge-small", normalize: bool = False) -> C
     return load
 
 
-@lru_cache(maxsize=1 << 20)
+#: Tokens that a Python worker remembers, some 400 bytes each.
+REMEMBERED = 1 << 15
+
+
+@lru_cache(maxsize=REMEMBERED)
 def _token_hash(token: str) -> tuple[int, int]:
     h = hashlib.md5(token.encode()).hexdigest()
     return int(h[:8], 16), 1 if h[8] < "8" else -1

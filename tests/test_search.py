@@ -132,6 +132,14 @@ def test_routes_in_slices(spark, vectors, monkeypatch):
     assert sorted(map(tuple, index.routes(queries, 4)[1].collect())) == whole
 
 
+def test_tokens_remembered_are_few():
+    """A worker used to keep up to a million tokens, which grew with the corpus."""
+    from folioforge.operators import embedding
+
+    HashingEncoder(8).encode([" ".join(f"t{i}" for i in range(40_000))])
+    assert embedding._token_hash.cache_info().currsize <= 1 << 15
+
+
 def test_no_queries_and_wrong_dimension(spark, vectors):
     none = knn.top_k(table(spark, vectors), spark.createDataFrame([], "query_id long, vec array<float>"), 3)
     assert none.count() == 0
