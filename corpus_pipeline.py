@@ -29,9 +29,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similar texts, one document.
 
-    Candidates meet on their rarest five-word shingles and are compared by all of them.
-    Fingerprints of bits, which ``op3_simhash`` links, differ too much where a stretch of a
-    text was added, cut or replaced, so they decide nothing here.
+    Rows with close SimHash fingerprints meet first, by pigeonhole blocks; what that leaves apart
+    meets on its rarest five-word shingles.  Either way all shingles are compared.
+    Fingerprints alone differ too much where a stretch of a text was added, cut or replaced, so
+    they miss pairs, which the join on shingles finds.
     """
     return simhash.drop_near_duplicates(docs)
 
@@ -46,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-#: The third stage keeps the name it was dealt; see ``near`` for what it does.
+#: Stages in order, by the names they were dealt.
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("exact dedup", exact),

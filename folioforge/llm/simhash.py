@@ -7,16 +7,19 @@ compared bit by bit.  Equal fingerprints are one node from the start.  Of a buck
 nodes, no pairs are made: its nodes meet at the bit patterns one step away from them, which
 links exactly those within two steps.
 
-``near_duplicates`` finds documents that share most of their five-word shingles.  Word
-shingles differ too fast under edits for fingerprints, whose blocks miss pairs, so it joins on
-the rarest shingles of each text, by which no similar pair can be missed, and compares the
-shingles themselves.
+``near_duplicates`` finds documents that share most of their five-word shingles.  Rows with
+close fingerprints meet first, by the same blocks.  Word shingles differ too fast under edits for
+fingerprints alone, whose blocks miss pairs, so what they leave apart meets in a join on the
+rarest shingles of each text, by which no similar pair can be missed.  Either way the shingles
+themselves are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -41,10 +44,12 @@ NEAR_WORDS, SIMILARITY = 5, 0.8
 ORDER_ROWS = 20_000
 #: The most frequent of them that are told apart from the others.
 ORDER_TOKENS = 200_000
-#: Rounds in which rows meet one row of another group before all pairs are made.
-STAR_ROUNDS = 2
+#: Rounds at most in which rows meet a few rows of other groups before all pairs are made.
+STAR_ROUNDS, STARS = 2, 4
 #: Bits of a table at most (32 MB), and for each value as long as it is smaller.
 MOST_BITS, BITS_PER_VALUE = 1 << 28, 16
+#: Longs of a row's parities, by which pairs that differ too much are told before they are made.
+PARITY_LONGS = 16
 #: Pairs are broadcast up to so many bytes, at so many a pair.
 BROADCAST_BYTES, PAIR_BYTES = 64 << 20, 64
 
@@ -73,16 +78,21 @@ def fingerprint(text: str, size: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)`` of every row, ``fp`` as a signed long; null texts have no words."""
-    ship_package(docs.sparkSession)
+def _fingerprint_udf(size: int):
+    """Of texts, as signed longs."""
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.uint64(fingerprint(t, size)).astype(np.int64) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", text_of(docs).alias("t")).select("doc_id", of("t").alias("fp"))
+    return of
+
+
+def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """``(doc_id, fp)`` of every row, ``fp`` as a signed long; null texts have no words."""
+    ship_package(docs.sparkSession)
+    return docs.select("doc_id", text_of(docs).alias("t")).select("doc_id", _fingerprint_udf(size)("t").alias("fp"))
 
 
 def _choices(fp: Column, bits: int) -> Column:
@@ -154,6 +164,17 @@ def prefix_length(n: int, similarity: float) -> int:
     return int(n - similarity * n + 1e-6) + 1
 
 
+def _close_rows(texts: DataFrame, size: int = WORDS, bits: int = BITS) -> DataFrame:
+    """``(a, b)``: enough to connect all rows whose fingerprints differ in up to ``bits``, and
+    none that differ in more.  Of equal fingerprints, every row meets the first one."""
+    rows = cut_lineage(texts.select(ROW, _fingerprint_udf(size)("t").alias("fp")), "fingerprints")
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min(ROW).alias("least")), "nodes")
+    equal = rows.join(nodes, "fp").filter(F.col(ROW) != F.col("least")).select(F.col("least").alias("a"), F.col(ROW).alias("b"))
+    of = {x: nodes.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x)) for x in "ab"}
+    close = links(nodes.select("fp"), bits).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return equal.unionByName(close.join(of["a"], "fp_a").join(of["b"], "fp_b").select("a", "b"))
+
+
 def _token_sets(size: int):
     """A function of a text: its different shingles as sorted 64-bit hashes."""
 
@@ -216,8 +237,8 @@ class Bits:
 
 
 def _meetings(texts: DataFrame, hashes, similarity: float) -> DataFrame:
-    """``(_row, size, place, token, n, first)``: the shingles in the prefixes of several
-    rows, the place of each in its row's prefix; with the number of these rows and the first of them.
+    """``(_row, size, place, token)``: the shingles in the prefixes of several rows, one of those
+    that the same rows have, and the place of each in its row's prefix.
 
     Most shingles of a prefix are in one row only.  They are counted in one exchange, by
     themselves; a table of bits of the others then keeps them from any further one.
@@ -255,32 +276,72 @@ def _meetings(texts: DataFrame, hashes, similarity: float) -> DataFrame:
     rows = cut_lineage(prefixes.select(ROW, "size", F.inline(kept("tokens"))), "kept-prefixes")
     drop_table(prefixes)
     drop_table(repeated)
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-    met = cut_lineage(rows.join(sizes.filter("n > 1"), "token"), "meetings")
+    met = cut_lineage(rows.join(_one_of_each(rows), "token"), "meetings")
     drop_table(rows)
     return met
 
 
-def _open_meetings(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """The meetings of rows of different groups, with their ``root``."""
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """``(token)``: of shingles that the same rows have, several of them, the one that comes first.
+
+    Shingles of one passage often have the same rows.  They come in the same order in all of
+    them, and a pair that meets at any of them and may be similar also may by the first one, so
+    the others add nothing.  Sets of rows are told apart by their number and two sums of 64 bits.
+    """
+    sums = [F.sum(F.xxhash64(F.lit(i), ROW).cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
+    members = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), *sums, F.min(F.struct(ROW, "place"))["place"].alias("at")
+    )
+    return members.filter("n > 1").groupBy("n", "h0", "h1").agg(F.min_by("token", "at").alias("token")).select("token")
+
+
+def _open_meetings(met: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame:
+    """The meetings of rows of different groups, with their ``root``; and of each meeting the
+    ``stars``, some of its rows with their roots, others with each ``turn``."""
     known = roots.withColumnRenamed("node", ROW)
-    grouped = met.drop("first").join(known, ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    grouped = met.join(known, ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    drawn = [
+        F.min(F.struct(F.xxhash64(F.lit(turn * STARS + i), ROW).alias("by"), F.col(ROW).alias("row"), "root"))
+        for i in range(STARS)
+    ]
     mixed = grouped.groupBy("token").agg(
-        F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(ROW).alias("first")
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.array(*drawn).alias("stars")
     )
     return cut_lineage(grouped.join(mixed.filter("r0 != r1"), "token"), "open")
 
 
-def _all_pairs(open_: DataFrame, similarity: float) -> DataFrame:
+def _stars(open_: DataFrame) -> DataFrame:
+    """``(a, b)``: for each row and draw one star of another group."""
+    met = open_.select(F.col(ROW).alias("b"), "root", F.posexplode("stars").alias("draw", "star"))
+    apart = met.filter("root != star.root").groupBy("b", "draw").agg(F.min("star").alias("star"))
+    return apart.select(F.col("star.row").alias("a"), "b").distinct()
+
+
+def _parities(halves: np.ndarray) -> np.ndarray:
+    """Of each of ``64 * PARITY_LONGS`` classes of shingles, whether a set has an odd number."""
+    counts = np.bincount(halves % np.uint32(64 * PARITY_LONGS), minlength=64 * PARITY_LONGS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
+def _all_pairs(open_: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: all pairs of rows of different groups that may be similar: what comes before
-    the shared shingle in either row, the other lacks, and enough is left after it."""
+    the shared shingle in either row, the other lacks, and enough is left after it.
+
+    Every parity in which two sets differ is a shingle that one of them lacks, so a pair with
+    more of these than similar sets of that size can have is not similar.
+    """
+    held = open_.join(parities, ROW)
+
     def side(x: str) -> DataFrame:
-        return open_.select(
-            "token", F.col(ROW).alias(x), F.col("root").alias(f"r{x}"), F.col("place").alias(f"p{x}"), F.col("size").alias(f"n{x}")
-        )
+        words = [F.col("parities")[i].alias(f"w{x}{i}") for i in range(PARITY_LONGS)]
+        return held.select(
+            "token", F.col(ROW).alias(x), F.col("root").alias(f"r{x}"), F.col("place").alias(f"p{x}"),
+            F.col("size").alias(f"n{x}"), *words,
+        )
 
     share = similarity / (1 + similarity)
     enough = share * (F.col("na") + F.col("nb")) - 1e-6
+    odd = reduce(add, [F.bit_count(F.col(f"wa{i}").bitwiseXOR(F.col(f"wb{i}"))) for i in range(PARITY_LONGS)])
     may = (
         (F.col("ra") != F.col("rb"))
         # The smaller one is a; of equally large ones, the first.
@@ -288,6 +349,7 @@ def _all_pairs(open_: DataFrame, similarity: float) -> DataFrame:
         & (F.col("na") >= similarity * F.col("nb") - 1e-6)
         & (F.col("na") - F.col("pa") >= enough)
         & (F.col("nb") - F.col("pb") >= enough)
+        & (odd <= (1 - 2 * share) * (F.col("na") + F.col("nb")) + 1e-6)
     )
     return side("a").join(side("b"), "token").filter(may).select("a", "b").distinct()
 
@@ -299,9 +361,10 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
     ``similarity``.  Null and empty texts, and those without words, are near duplicates of
     none; repeated rows are of each other; an empty table gives no rows.
 
-    Every row first meets the first of all rows that it shares a shingle of the prefixes with,
-    in ``STAR_ROUNDS`` rounds; all pairs that this leaves in different groups are compared
-    after that, so a large group of copies makes no pairs of its own.
+    Rows with close fingerprints meet first.  Then every row meets a few rows of other groups that
+    it shares a shingle of the prefixes with, some drawn anew in each round, while rounds link
+    rows; all pairs that this leaves in different groups are compared after that, so a large
+    group of copies, whether or not all are similar to its first one, makes no pairs of its own.
     """
     ship_package(docs.sparkSession)
     hashes = _token_sets(size)
@@ -322,19 +385,25 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
     spread = F.xxhash64(ROW)
     meets = Bits(met.select(ROW).distinct().select(spread.alias("h"))).contains()
 
-    @F.pandas_udf("binary")
-    def shingle_set(hashed: pd.Series, t: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<s:binary,parities:array<long>>")
+    def shingle_set(hashed: pd.Series, t: pd.Series) -> pd.DataFrame:
         wanted = meets(hashed.to_numpy(np.int64))
-        return pd.Series([halves(x) if w else None for w, x in zip(wanted, t, strict=True)], dtype=object)
+        own = [halves(x) if w else None for w, x in zip(wanted, t, strict=True)]
+        return pd.DataFrame(
+            {
+                "s": pd.Series([None if x is None else x.tobytes() for x in own], dtype=object),
+                "parities": pd.Series([None if x is None else _parities(x) for x in own], dtype=object),
+            }
+        )
 
-    def halves(text: str) -> bytes:
+    def halves(text: str) -> np.ndarray:
         # Two texts are compared by half of each hash: of 400 shingles each, unlike ones agree
         # in one of some 25,000 pairs.  What meets whom is told by whole hashes.
-        return np.unique((hashes(text) >> np.uint64(32)).astype(np.uint32)).tobytes()
+        return np.unique((hashes(text) >> np.uint64(32)).astype(np.uint32))
 
     # Declared not deterministic, so that the filter does not make every set a second time.
-    sets = texts.select(ROW, shingle_set.asNondeterministic()(spread, "t").alias("s")).filter("s IS NOT NULL")
-    sets = cut_lineage(sets, "sets")
+    sets = texts.select(ROW, shingle_set.asNondeterministic()(spread, "t").alias("x")).select(ROW, "x.*")
+    sets = cut_lineage(sets.filter("s IS NOT NULL"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs close in the shingles themselves.  A set moves to the pairs it is in, and
@@ -350,19 +419,17 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
         drop_table(pairs)
         return links
 
-    at_first = met.filter(F.col("first") != F.col(ROW))
-    edges = verified(at_first.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-    for _ in range(STAR_ROUNDS - 1):
-        open_ = _open_meetings(met, components(edges))
-        of_first = open_.filter(F.col(ROW) == F.col("first")).select("token", F.col("root").alias("of_first"))
-        apart = open_.join(of_first, "token").filter("root != of_first")
-        edges = edges.unionByName(
-            verified(apart.groupBy(F.col(ROW).alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
-        )
+    edges = verified(_close_rows(texts))
+    for turn in range(STAR_ROUNDS):
+        open_ = _open_meetings(met, components(edges), turn)
+        found = verified(_stars(open_))
         drop_table(open_)
+        edges = edges.unionByName(found)
+        if found.isEmpty():
+            break
     open_ = _open_meetings(met, components(edges))
     drop_table(met)
-    more = verified(_all_pairs(open_, similarity))
+    more = verified(_all_pairs(open_, sets.select(ROW, "parities"), similarity))
     drop_table(open_)
     drop_table(sets)
     return components(edges.unionByName(more)).select(F.col("node").alias(ROW), "root")

@@ -201,6 +201,71 @@ def test_near_duplicates_of_a_template(spark, tmp_path):
     assert kept_of(spark, str(tmp_path / "d.parquet"), texts) == want
 
 
+def test_close_fingerprints_meet_first(spark, monkeypatch, tmp_path):
+    """Near duplicates go by fingerprints first, through the blocks that ``links`` joins on."""
+    rng = random.Random(4)
+    base = [f"k{i}" for i in range(600)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[1:]), " ".join(base)]
+    texts += [" ".join(rng.choices(base, k=50)) for _ in range(20)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    met = components(simhash._close_rows(simhash._worded(docs))).collect()
+    fp = [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and (fp[a] ^ fp[b]).bit_count() <= 2:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    of = {r["node"]: r["root"] for r in met}
+    assert root[:4] != [0, 1, 2, 3] and [of.get(i, i) for i in range(len(texts))] == root
+    asked = []
+    close = simhash._close_rows
+    monkeypatch.setattr(simhash, "_close_rows", lambda *a: asked.append(1) or close(*a))
+    assert simhash.drop_near_duplicates(docs).count() == 21 and asked
+
+
+def test_pairs_of_a_large_group(spark, monkeypatch, tmp_path):
+    """Edited copies of one text, about half of the pairs similar: their pairs used to grow with
+    the square of the group."""
+    rng = random.Random(9)
+    base = [f"m{i}" for i in range(250)]
+    texts = []
+    for g in range(120):
+        copy = list(base)
+        for i in rng.sample(range(250), rng.choice([2, 4, 9])):
+            copy[i] = f"e{g}x{i}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root, similar = list(range(120)), 0
+    for b in range(120):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                similar += 1
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert 1000 < similar < 6000
+    made, cut = [], simhash.cut_lineage
+
+    def counted(df, name):
+        out = cut(df, name)
+        made.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "cut_lineage", counted)
+    assert kept_of(spark, str(tmp_path / "d.parquet"), texts) == [i for i, r in enumerate(root) if i == r]
+    assert sum(made) < 120 * 15
+
+
+def test_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(1)
+    for n in (5, 60, 900, 5000):
+        whole = np.unique(rng.integers(0, 1 << 32, 2 * n, dtype=np.uint64).astype(np.uint32))
+        for share in (0.5, 0.8, 0.95):
+            a, b = whole[: int(len(whole) * (1 + share) / 2)], whole[int(len(whole) * (1 - share) / 2) :]
+            odd = sum(int(x).bit_count() for x in (simhash._parities(a) ^ simhash._parities(b)).view(np.uint64))
+            assert odd <= len(np.setxor1d(a, b))
+
+
 def plain_cleaned(texts):
     data = [(t or "").encode() for t in texts]
     often = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
