@@ -4,6 +4,9 @@ A task reads a byte range of a file and does not know what comes before.  What a
 contributes is summed up once per range, a window over the few ranges of a file adds that up,
 and every range then knows where it starts: the number of its first line, or, for JSON,
 whether it starts in a string and how deep in brackets.
+
+With ``parts`` the files of a folder are one text, put together in the order of their names;
+so several tasks can also write it.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,6 +24,11 @@ from folioforge.session import ship_package
 _PLACE = ["file", "start"]
 
 
+def _whole(path: str, parts: bool) -> Column:
+    """What a range belongs to: its file, or with ``parts`` all files of the path."""
+    return F.lit(path) if parts else F.col("file")
+
+
 def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """``(value, file, start)``: what lies between separators, with the range it was read in.
 
@@ -32,15 +40,16 @@ def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> Dat
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line, value)``: all lines, blank ones too, numbered from 1 in each file.
+def read_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """``(file, line, value)``: all lines, blank ones too, numbered from 1 in each file, or
+    with ``parts`` through all files.
 
     Lines of a range are consecutive in the task that reads it, so a line's number is that of
     the range's first line plus its distance from it.  Only counts are exchanged.
     """
     lines = _pieces(spark, path).withColumn("_id", F.monotonically_increasing_id())
     ranges = lines.groupBy(*_PLACE).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("start")) - F.col("_n")
+    before = F.sum("_n").over(Window.partitionBy(_whole(path, parts)).orderBy(*_PLACE)) - F.col("_n")
     known = ranges.select(*_PLACE, before.alias("_before"), "_first")
     # A row for each range of a file: as many as there are tasks.
     return lines.join(F.broadcast(known), _PLACE).select(
@@ -89,27 +98,37 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SUMS = "file string, start long, out_ends boolean, out_deeper long, in_ends boolean, in_deeper long"
 
 
-def _starts(sums: DataFrame) -> DataFrame:
-    """``(file, start, in_string, depth, last, sound)``: how each range starts, in one fold a
-    file over its ranges; ``sound`` tells whether the file ends outside of everything."""
+def _starts(sums: DataFrame, whole: Column) -> DataFrame:
+    """``(file, start, in_string, depth, last, sound)``: how each range starts, in one fold for
+    each ``whole`` over its ranges; ``sound`` tells whether it ends outside of everything."""
 
     def step(acc, r):
         inside = acc["inside"]
+        # What follows the last bracket of a file is counted as if it ended in one.
+        begins = acc["depth"] + F.when(acc["file"] != r["file"], F.lit(1)).otherwise(F.lit(0))
         ends = F.when(inside, r["in_ends"]).otherwise(r["out_ends"])
-        depth = acc["depth"] + F.when(inside, r["in_deeper"]).otherwise(r["out_deeper"])
-        row = F.struct(r["start"].alias("start"), inside.alias("in_string"), acc["depth"].alias("depth"))
-        return F.struct(ends.alias("inside"), depth.alias("depth"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    ranges = F.sort_array(F.collect_list(F.struct("start", "out_ends", "out_deeper", "in_ends", "in_deeper")))
-    none = F.array().cast("array<struct<start: bigint, in_string: boolean, depth: bigint>>")
-    first = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("depth"), none.alias("rows"))
-    files = sums.groupBy("file").agg(ranges.alias("r")).select("file", F.aggregate("r", first, step).alias("s"))
-    # What follows the last bracket is counted as if it ended in one.
+        depth = begins + F.when(inside, r["in_deeper"]).otherwise(r["out_deeper"])
+        row = F.struct(
+            r["file"].alias("file"), r["start"].alias("start"), inside.alias("in_string"), begins.alias("depth")
+        )
+        return F.struct(
+            r["file"].alias("file"), ends.alias("inside"), depth.alias("depth"),
+            F.concat(acc["rows"], F.array(row)).alias("rows"),
+        )
+
+    ranges = F.sort_array(F.collect_list(F.struct(*_PLACE, "out_ends", "out_deeper", "in_ends", "in_deeper")))
+    none = F.array().cast("array<struct<file: string, start: bigint, in_string: boolean, depth: bigint>>")
+    first = F.struct(
+        F.lit(None).cast("string").alias("file"), F.lit(False).alias("inside"),
+        F.lit(0).cast("long").alias("depth"), none.alias("rows"),
+    )
+    texts = sums.groupBy(whole.alias("whole")).agg(ranges.alias("r")).select(F.aggregate("r", first, step).alias("s"))
     sound = ~F.col("s.inside") & (F.col("s.depth") == -1)
-    last = F.element_at("s.rows", -1)["start"]
-    return files.select("file", sound.alias("sound"), last.alias("final"), F.inline("s.rows")).select(
-        *_PLACE, "in_string", "depth", (F.col("start") == F.col("final")).alias("last"), "sound"
-    )
+    final = F.element_at("s.rows", -1)
+    return texts.select(sound.alias("sound"), final.alias("final"), F.inline("s.rows")).select(
+        *_PLACE, "in_string", "depth",
+        ((F.col("file") == F.col("final.file")) & (F.col("start") == F.col("final.start"))).alias("last"), "sound",
+    )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +171,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(closed())
 
 
-def json_array_records(spark: SparkSession, path: str) -> DataFrame:
+def json_array_records(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """``(file, text)``: the objects of files that hold one JSON array each, in several tasks.
 
+    With ``parts`` the files are one array put together, as ``write_json_array`` leaves them: a
+    part ends with a line end, between two records.
+
     Records that lie within a byte range never move; only the parts at the ends of ranges do,
     which are put together by file, in the order of their ranges.  Brackets, quotes and
     escapes within strings are text.  A file that ends within a string or bracket is an error;
@@ -163,7 +185,7 @@ def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
     pieces = _pieces(spark, path, _END)
     # A row for each range: as many as there are tasks.
-    starts = F.broadcast(_starts(pieces.mapInArrow(_summed, _SUMS)))
+    starts = F.broadcast(_starts(pieces.mapInArrow(_summed, _SUMS), _whole(path, parts)))
     cut = pieces.join(starts, _PLACE).mapInArrow(_cut, "file string, start long, kind int, text string")
     # A record begins with each part of kind 2, in the order of ranges; kinds 1 and 3 go on.
     seams = cut.filter("kind > 0").withColumn("place", F.when(F.col("kind") == 2, 1).otherwise(0))
@@ -180,12 +202,12 @@ def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     return every.select("file", bare.alias("text")).filter(F.col("text").startswith("{"))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: StructType, parts: bool = False) -> DataFrame:
     """Records of JSON arrays by ``schema``; one that does not parse is an error that shows it."""
     bad = "_bad"
     with_bad = StructType([*schema.fields]).add(bad, "string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
-    parsed = json_array_records(spark, path).select(F.from_json("text", with_bad, options).alias("r"))
+    parsed = json_array_records(spark, path, parts).select(F.from_json("text", with_bad, options).alias("r"))
     broken = F.raise_error(F.concat(F.lit("Invalid record: "), F.substring(f"r.{bad}", 1, 200)))
     first = schema.fieldNames()[0]
     checked = F.when(F.col(f"r.{bad}").isNotNull(), broken.cast(schema[first].dataType)).otherwise(F.col(f"r.{first}"))

@@ -30,13 +30,14 @@ def read_books(spark: SparkSession, path: str) -> DataFrame | None:
     )
 
 
-def read_documents(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Documents from JSON lines, or with ``array`` from files that hold one JSON array.
+def read_documents(spark: SparkSession, path: str, array: bool = False, parts: bool = False) -> DataFrame:
+    """Documents from JSON lines, or with ``array`` from files that hold one JSON array each, or
+    with ``parts`` as well one together.
 
     Either is read by several tasks, however large a file is.
     """
     if array:
-        return read_json_array(spark, path, schemas.DOCUMENT)
+        return read_json_array(spark, path, schemas.DOCUMENT, parts)
     return spark.read.schema(schemas.DOCUMENT).json(path)
 
 

@@ -163,6 +163,25 @@ def test_array_parts_make_one_array(spark, tmp_path):
     assert json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part-*"))) == []
 
 
+def test_parts_are_read_as_one(spark, tmp_path, small_splits):
+    """What several tasks have written: one array, and one sequence of lines."""
+    docs = documents(spark, [o * (i % 4 + 1) for i, o in enumerate(ODD * 20)]).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tables.write_documents(docs, str(tmp_path / "d"), array=True)
+    lines = [("" if i % 3 else f"line {i} " + "x" * (i % 50)) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i long, value string")
+    rows.repartitionByRange(6, "i").sortWithinPartitions("i").select("value").write.text(str(tmp_path / "l"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "d").glob("part-*"))) > 1 and len(list((tmp_path / "l").glob("part-*"))) == 6
+    back = tables.read_documents(spark, str(tmp_path / "d"), array=True, parts=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+    got = splits.read_lines(spark, str(tmp_path / "l"), parts=True)
+    assert {r.line: r.value for r in got.collect()} == {i + 1: v for i, v in enumerate(lines)}
+    (tmp_path / "d" / "part-99999.txt").write_text('{"id": "more"\n')
+    with pytest.raises(Exception, match="whole JSON array"):
+        tables.read_documents(spark, str(tmp_path / "d"), array=True, parts=True).collect()
+
+
 def documents(spark, texts):
     rows = [(f"d{i}", t, {"page": str(i)}, i, f"b{i % 2}", "", "", [], i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, schemas.DOCUMENT)
