@@ -24,7 +24,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.components import components
@@ -50,6 +50,8 @@ STAR_ROUNDS, STARS = 2, 4
 MOST_BITS, BITS_PER_VALUE = 1 << 28, 16
 #: Longs of a row's parities, by which pairs that differ too much are told before they are made.
 PARITY_LONGS = 16
+#: Shingles before a shared one by which a pair is told to have met already.
+EARLIER = 8
 #: Pairs are broadcast up to so many bytes, at so many a pair.
 BROADCAST_BYTES, PAIR_BYTES = 64 << 20, 64
 
@@ -301,7 +303,7 @@ def _open_meetings(met: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame
     known = roots.withColumnRenamed("node", ROW)
     grouped = met.join(known, ROW, "left").withColumn("root", F.coalesce("root", ROW))
     drawn = [
-        F.min(F.struct(F.xxhash64(F.lit(turn * STARS + i), ROW).alias("by"), F.col(ROW).alias("row"), "root"))
+        F.min(F.struct(F.xxhash64(F.lit(turn * STARS + i), ROW).alias("by"), F.col(ROW).alias("row"), "root", "size", "place"))
         for i in range(STARS)
     ]
     mixed = grouped.groupBy("token").agg(
@@ -310,11 +312,35 @@ def _open_meetings(met: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame
     return cut_lineage(grouped.join(mixed.filter("r0 != r1"), "token"), "open")
 
 
-def _stars(open_: DataFrame) -> DataFrame:
-    """``(a, b)``: for each row and draw one star of another group."""
-    met = open_.select(F.col(ROW).alias("b"), "root", F.posexplode("stars").alias("draw", "star"))
-    apart = met.filter("root != star.root").groupBy("b", "draw").agg(F.min("star").alias("star"))
-    return apart.select(F.col("star.row").alias("a"), "b").distinct()
+def _may_be_similar(na: Column, pa: Column, nb: Column, pb: Column, similarity: float) -> Column:
+    """Whether sets of these sizes that share a shingle at these places may be similar: what comes
+    before it in either row, the other lacks, and enough has to be left after it."""
+    enough = similarity / (1 + similarity) * (na + nb) - 1e-6
+    sizes = F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6
+    return sizes & (na - pa >= enough) & (nb - pb >= enough)
+
+
+def _few_odd(wa: list[Column], wb: list[Column], na: Column, nb: Column, similarity: float) -> Column:
+    """Whether the parities of two sets differ in no more classes than those of similar ones can.
+
+    Every parity in which two sets differ is a shingle that one of them lacks.
+    """
+    odd = reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(wa, wb, strict=True)])
+    return odd <= (1 - 2 * similarity / (1 + similarity)) * (na + nb) + 1e-6
+
+
+def _stars(open_: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: for each row and draw one star of another group, of those that may be similar."""
+    met = open_.select(
+        F.col(ROW).alias("b"), "root", F.col("size").alias("nb"), "place", F.posexplode("stars").alias("draw", "star")
+    )
+    may = _may_be_similar(F.col("star.size"), F.col("star.place"), F.col("nb"), F.col("place"), similarity)
+    apart = met.filter((F.col("root") != F.col("star.root")) & may).groupBy("b", "nb", "draw").agg(F.min("star").alias("star"))
+    pairs = apart.select(F.col("star.row").alias("a"), "b", F.col("star.size").alias("na"), "nb").distinct()
+    of = {x: parities.select(F.col(ROW).alias(x), F.col("parities").alias(f"w{x}")) for x in "ab"}
+    words = {x: [F.col(f"w{x}")[i] for i in range(PARITY_LONGS)] for x in "ab"}
+    few = _few_odd(words["a"], words["b"], F.col("na"), F.col("nb"), similarity)
+    return pairs.join(of["a"], "a").join(of["b"], "b").filter(few).select("a", "b")
 
 
 def _parities(halves: np.ndarray) -> np.ndarray:
@@ -324,32 +350,30 @@ def _parities(halves: np.ndarray) -> np.ndarray:
 
 
 def _all_pairs(open_: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: all pairs of rows of different groups that may be similar: what comes before
-    the shared shingle in either row, the other lacks, and enough is left after it.
+    """``(a, b)``: all pairs of rows of different groups that may be similar.
 
-    Every parity in which two sets differ is a shingle that one of them lacks, so a pair with
-    more of these than similar sets of that size can have is not similar.
+    A pair is made where it meets first.  Shingles come in the same order in all rows, so one
+    that both have among those just before a shared shingle is a place where they met before.
     """
-    held = open_.join(parities, ROW)
+    in_order = Window.partitionBy(ROW).orderBy("place")
+    earlier = F.array_compact(F.array(*[F.lag("token", i).over(in_order) for i in range(1, EARLIER + 1)]))
+    held = open_.withColumn("earlier", earlier).join(parities, ROW)
 
     def side(x: str) -> DataFrame:
         words = [F.col("parities")[i].alias(f"w{x}{i}") for i in range(PARITY_LONGS)]
         return held.select(
             "token", F.col(ROW).alias(x), F.col("root").alias(f"r{x}"), F.col("place").alias(f"p{x}"),
-            F.col("size").alias(f"n{x}"), *words,
+            F.col("size").alias(f"n{x}"), F.col("earlier").alias(f"e{x}"), *words,
         )
 
-    share = similarity / (1 + similarity)
-    enough = share * (F.col("na") + F.col("nb")) - 1e-6
-    odd = reduce(add, [F.bit_count(F.col(f"wa{i}").bitwiseXOR(F.col(f"wb{i}"))) for i in range(PARITY_LONGS)])
+    words = {x: [F.col(f"w{x}{i}") for i in range(PARITY_LONGS)] for x in "ab"}
     may = (
         (F.col("ra") != F.col("rb"))
         # The smaller one is a; of equally large ones, the first.
         & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & (F.col("na") >= similarity * F.col("nb") - 1e-6)
-        & (F.col("na") - F.col("pa") >= enough)
-        & (F.col("nb") - F.col("pb") >= enough)
-        & (odd <= (1 - 2 * share) * (F.col("na") + F.col("nb")) + 1e-6)
+        & _may_be_similar(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), similarity)
+        & _few_odd(words["a"], words["b"], F.col("na"), F.col("nb"), similarity)
+        & ~F.arrays_overlap("ea", "eb")
     )
     return side("a").join(side("b"), "token").filter(may).select("a", "b").distinct()
 
@@ -419,17 +443,18 @@ def near_duplicates(docs: DataFrame, size: int = NEAR_WORDS, similarity: float =
         drop_table(pairs)
         return links
 
+    parities = sets.select(ROW, "parities")
     edges = verified(_close_rows(texts))
     for turn in range(STAR_ROUNDS):
         open_ = _open_meetings(met, components(edges), turn)
-        found = verified(_stars(open_))
+        found = verified(_stars(open_, parities, similarity))
         drop_table(open_)
         edges = edges.unionByName(found)
         if found.isEmpty():
             break
     open_ = _open_meetings(met, components(edges))
     drop_table(met)
-    more = verified(_all_pairs(open_, sets.select(ROW, "parities"), similarity))
+    more = verified(_all_pairs(open_, parities, similarity))
     drop_table(open_)
     drop_table(sets)
     return components(edges.unionByName(more)).select(F.col("node").alias(ROW), "root")

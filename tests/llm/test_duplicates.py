@@ -256,6 +256,46 @@ def test_pairs_of_a_large_group(spark, monkeypatch, tmp_path):
     assert sum(made) < 120 * 15
 
 
+def test_pairs_meet_once(spark, tmp_path):
+    """Two rows that share many shingles used to be a row of the join for each of them."""
+    shared = 40
+    rows = [(t, r, 300, t, r) for t in range(shared) for r in (1, 2)]
+    rows += [(100 + t, r, 300, t, r) for t in range(3) for r in (2, 3)]
+    open_ = spark.createDataFrame(rows, "token long, _row long, size int, place int, root long")
+    same = [0] * simhash.PARITY_LONGS
+    parities = spark.createDataFrame([(r, same) for r in (1, 2, 3)], "_row long, parities array<long>")
+    pairs = simhash._all_pairs(open_, parities, 0.8)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (2, 3)]
+    plan = pairs._jdf.queryExecution().executedPlan()
+    made, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if re.search("HashJoin|SortMergeJoin", name) and "ea#" in node.simpleString(1000):
+            made.append(node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert made == [2]
+
+
+def test_stars_are_those_that_may_be_similar(spark):
+    """Rows that share a shingle but are too unlike in size or parities were compared as sets."""
+    star = "struct<by:long,row:long,root:long,size:int,place:int>"
+    one = [(0, 1, 1, 300, 0)]
+    rows = [(2, 2, 300, 0, one), (3, 3, 100, 0, one), (4, 4, 300, 0, one), (5, 1, 300, 0, one)]
+    open_ = spark.createDataFrame(rows, f"_row long, root long, size int, place int, stars array<{star}>")
+    same, other = [0] * simhash.PARITY_LONGS, [-1] * simhash.PARITY_LONGS
+    of = [(1, same), (2, same), (3, same), (4, other), (5, same)]
+    parities = spark.createDataFrame(of, "_row long, parities array<long>")
+    assert [tuple(r) for r in simhash._stars(open_, parities, 0.8).collect()] == [(1, 2)]
+
+
 def test_parities_lose_no_similar_pair():
     rng = np.random.default_rng(1)
     for n in (5, 60, 900, 5000):
