@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import fixed_values as fv
-from folioforge.functions.charclass import D, DIGIT, S, WS_INLINE, strip
+from folioforge.functions.charclass import D, DIGIT, S, WS_INLINE, let, strip
 
 # Every missing-space rule inserts one blank between two neighbouring characters, and
 # no insertion can create or destroy another rule's neighbourhood other than by
@@ -154,9 +154,11 @@ def clean_text(
     """The whole cleaning chain as one expression.  Null becomes ``''``.
 
     ``mode="fixed"`` takes the corrected rules of ``corrected`` instead of the published ones.
+    Steps are guarded as in ``clean_column``.
     """
     steps = _chain(mode)(fix_spaces, fix_encoding, fix_math, normalize_ws)
-    return reduce(lambda c, step: step[1](c), steps, F.coalesce(text, F.lit("")))
+    guarded_step = lambda c, step: let(c, lambda t: _guarded(t, *step)) if step[0] else step[1](c)
+    return reduce(guarded_step, steps, F.coalesce(text, F.lit("")))
 
 
 def clean_column(
@@ -180,11 +182,12 @@ def clean_column(
 
 def guarded(df: DataFrame, column: str, steps: list) -> DataFrame:
     """Apply ``(needles, step)`` in turn, a step only to texts that hold one of its needles."""
-    c = F.col(column)
     for needles, step in steps:
-        value = step(c)
-        if needles:
-            found = reduce(or_, [F.contains(c, F.lit(n)) for n in needles])
-            value = F.when(found, value).otherwise(c)
-        df = df.withColumn(column, value)
+        df = df.withColumn(column, _guarded(F.col(column), needles, step))
     return df
+
+
+def _guarded(c: Column, needles: tuple, step) -> Column:
+    if not needles:
+        return step(c)
+    return F.when(reduce(or_, [F.contains(c, F.lit(n)) for n in needles]), step(c)).otherwise(c)

@@ -128,3 +128,14 @@ def test_equations_survive_in_fixed_mode(spark):
     assert [r.t for r in math_blocks.clean_column_for_chunking(df, "t", mode="fixed").collect()] == [kept, ""]
     with pytest.raises(ValueError, match="mode"):
         cleaning.clean_text(T(), mode="better")
+
+
+def test_rare_steps_of_one_expression_are_guarded(spark):
+    """A text without mis-decoded characters used to be searched for every one of them."""
+    texts = ["plain the x^2", "cafÃ© â€™ âˆ† Â±", "a--b__c \\( e.g", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(cleaning.clean_text(T())).collect()] == [
+        r[0] for r in cleaning.clean_column(df, "t").collect()
+    ]
+    plan = df.select(cleaning.clean_text(T()))._jdf.queryExecution().optimizedPlan().toJSON()
+    assert "expressions.Contains" in plan
