@@ -49,10 +49,16 @@ def _replaced(text: Column, pattern: str, values: dict[str, str], key) -> Column
     return let(text, woven)
 
 
+def _any_of(keys: dict[str, str]) -> str:
+    """A pattern of any of the keys; most places of a text are left at their first character."""
+    first = "".join(sorted({key[0] for key in keys}))
+    return f"(?=[{re.escape(first)}])(?:{'|'.join(map(re.escape, keys))})"
+
+
 def replace_longest(text: Column, table: list[tuple[str, str]]) -> Column:
     """Replace all keys in one pass: at one place the longest key, and no value again."""
     fixes = longest_first(table)
-    return _replaced(text, "|".join(map(re.escape, fixes)), fixes, lambda hit: hit)
+    return _replaced(text, _any_of(fixes), fixes, lambda hit: hit)
 
 
 DECODING = ADDED_FIXES + fv.ENCODING_FIXES + fv.MATH_SYMBOL_FIXES

@@ -139,3 +139,22 @@ def test_rare_steps_of_one_expression_are_guarded(spark):
     ]
     plan = df.select(cleaning.clean_text(T()))._jdf.queryExecution().optimizedPlan().toJSON()
     assert "expressions.Contains" in plan
+
+
+def test_longest_keys_are_found_by_their_first_character():
+    """Every place of a text used to be compared with every key."""
+    import random
+    import re
+
+    from folioforge.functions import corrected
+
+    keys = corrected.longest_first(corrected.DECODING)
+    pattern = corrected._any_of(keys)
+    assert re.match(r"\(\?=\[", pattern)
+    rng, plain = random.Random(3), "|".join(map(re.escape, keys))
+    for _ in range(300):
+        text = "".join(rng.choice([*keys, *"Ãâ€ ab^-]\\"]) for _ in range(30))
+        assert re.findall(pattern, text) == re.findall(plain, text)
+    odd = {"]x": "1", "^y": "2", "-z": "3", "\\w": "4", "a": "5", "ab": "6"}
+    text = "]x ^y -z \\w ab a b"
+    assert re.findall(corrected._any_of(corrected.longest_first(list(odd.items()))), text) == ["]x", "^y", "-z", "\\w", "ab", "a"]
