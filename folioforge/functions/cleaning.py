@@ -110,6 +110,19 @@ def normalize_whitespace(text: Column) -> Column:
     return strip(c)
 
 
+def artifact_steps() -> list:
+    """``clean_artifacts`` as (needles, step)."""
+    return [
+        ((), _collapse_letters),
+        (("...", "!!!", "???"), _collapse_marks),
+        (("--", "__", "**"), _collapse_rules),
+        (("\\",), _unescape_latex),
+        (("^",), _tighten_powers),
+        (("_",), _tighten_indices),
+        ((), _dot_references),
+    ]
+
+
 def _steps(fix_spaces: bool, fix_encoding: bool, fix_math: bool, normalize_ws: bool):
     """The chain as (needles, step): a step can only change texts with one of its needles."""
     steps: list = []
@@ -119,15 +132,7 @@ def _steps(fix_spaces: bool, fix_encoding: bool, fix_math: bool, normalize_ws: b
         steps.append((("Ã", "â€"), fix_encoding_issues))
     if fix_math:
         steps.append((("Ã", "Â", "âˆ", "âŠ", "â‰"), fix_math_symbols))
-    steps += [
-        ((), _collapse_letters),
-        (("...", "!!!", "???"), _collapse_marks),
-        (("--", "__", "**"), _collapse_rules),
-        (("\\",), _unescape_latex),
-        (("^",), _tighten_powers),
-        (("_",), _tighten_indices),
-        ((), lambda c: fix_abbreviations(_dot_references(c))),
-    ]
+    steps += [*artifact_steps()[:-1], ((), lambda c: fix_abbreviations(_dot_references(c)))]
     if normalize_ws:
         steps.append(((), normalize_whitespace))
     return steps

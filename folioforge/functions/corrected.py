@@ -87,7 +87,7 @@ def normalize_whitespace(text: Column) -> Column:
 def _after_decoding(fix_spaces: bool, normalize_ws: bool) -> list:
     """The rest of the chain as (needles, step), like that of ``cleaning``."""
     steps: list = [((), cleaning.fix_missing_spaces)] if fix_spaces else []
-    steps += [((), cleaning.clean_artifacts), (tuple(k for k, _ in fv.ABBREVIATIONS), expand_abbreviations)]
+    steps += [*cleaning.artifact_steps(), (tuple(k for k, _ in fv.ABBREVIATIONS), expand_abbreviations)]
     if normalize_ws:
         steps.append(((), normalize_whitespace))
     return steps

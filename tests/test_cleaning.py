@@ -158,3 +158,13 @@ def test_longest_keys_are_found_by_their_first_character():
     odd = {"]x": "1", "^y": "2", "-z": "3", "\\w": "4", "a": "5", "ab": "6"}
     text = "]x ^y -z \\w ab a b"
     assert re.findall(corrected._any_of(corrected.longest_first(list(odd.items()))), text) == ["]x", "^y", "-z", "\\w", "ab", "a"]
+
+
+def test_artifact_steps_are_guarded_in_both_chains(spark):
+    """The corrected chain used to run all of them on every text."""
+    texts = ["plain", "aaaaa!!! a--b __ ** \\( x ^ 2 y _ 3 Section 5  3", "x _ y _ z...", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = [r[0] for r in df.select(cleaning.clean_artifacts(T())).collect()]
+    assert [r[0] for r in cleaning.guarded(df, "t", cleaning.artifact_steps()).collect()] == whole
+    for chain in (cleaning._chain("faithful"), cleaning._chain("fixed")):
+        assert {("^",), ("_",), ("\\",)} <= {needles for needles, _ in chain(True, True, True, True)}
