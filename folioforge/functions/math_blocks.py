@@ -223,6 +223,27 @@ def hide_swept(text: str, contents: list[str]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def _equations(text: Column) -> Column:
+    return F.concat(*[_matches(text, p) for _, p in fv.EQUATION_PATTERNS])
+
+
+def _hide(text: Column, contents: Column) -> Column:
+    """``text`` with the equations of ``contents`` hidden; ``contents`` is looked at twice."""
+
+    @F.pandas_udf("string")
+    def swept(many: pd.DataFrame) -> pd.Series:
+        pairs = zip(many["text"], many["contents"], strict=True)
+        return pd.Series([None if t is None else hide_swept(t, list(c)) for t, c in pairs], dtype=object)
+
+    def is_many(c: Column) -> Column:
+        runs_on = F.exists(c, lambda x: x.rlike("(?:_|__M[A-Z_]*)$")) | text.contains("__MATH_BLOCK_")
+        return F.coalesce((F.size(c) > FEW_EQUATIONS) & ~runs_on, F.lit(False))
+
+    many = let(contents, lambda c: F.when(is_many(c), F.struct(text.alias("text"), c.alias("contents"))))
+    in_turn = let(contents, lambda c: F.when(~is_many(c), _hide_in_turn(text, c)))
+    return F.coalesce(swept(many), in_turn)
+
+
 def hide_equations(text: Column) -> Column:
     """The text with each distinct equation replaced by its numbered placeholder.
 
@@ -230,18 +251,14 @@ def hide_equations(text: Column) -> Column:
     that could run on into a placeholder, or a text with placeholders of its own, is left to
     the search in turn, which sees what the placeholders have become part of.
     """
+    return _hide(text, _equations(text))
 
-    @F.pandas_udf("string")
-    def swept(texts: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if t is None else hide_swept(t, list(c)) for t, c in zip(texts, contents, strict=True)], dtype=object
-        )
 
-    contents = F.concat(*[_matches(text, p) for _, p in fv.EQUATION_PATTERNS])
-    runs_on = F.exists(contents, lambda c: c.rlike("(?:_|__M[A-Z_]*)$")) | text.contains("__MATH_BLOCK_")
-    many = (F.size(contents) > FEW_EQUATIONS) & ~runs_on
-    in_turn = F.when(~F.coalesce(many, F.lit(False)), let(contents, lambda c: _hide_in_turn(text, c)))
-    return F.coalesce(swept(F.when(many, text), F.when(many, contents)), in_turn)
+def hide_column(df: DataFrame, column: str) -> DataFrame:
+    """The same for a whole corpus: equations are found once, in a column of their own."""
+    found = f"{column}_equations_of_text"
+    df = df.withColumn(found, _equations(F.col(column)))
+    return df.withColumn(column, _hide(F.col(column), F.col(found))).drop(found)
 
 
 def clean_for_chunking(text: Column, preserve_math: bool = True, mode: str = "faithful") -> Column:
@@ -264,5 +281,5 @@ def clean_column_for_chunking(
     if mode == "fixed":
         return corrected.clean_column_for_chunking(df, column) if preserve_math else clean_column(df, column, mode=mode)
     if preserve_math:
-        df = df.withColumn(column, hide_equations(F.col(column)))
+        df = hide_column(df, column)
     return clean_column(df, column, mode=mode)

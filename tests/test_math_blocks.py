@@ -75,6 +75,19 @@ def test_hiding_equals_replacing_in_turn(spark, monkeypatch, few):
         assert found == (None if text is None else hidden(text)), text
 
 
+def test_equations_of_a_corpus_are_found_once(spark):
+    """A pattern runs once over a column, twice in an expression, and hides the same."""
+    few, many = "$x$ = 5 and = 50, = 5", "".join(f"$x_{i}$ = {i} and = a_ " for i in range(40))
+    texts = [few, many, many.replace("a_", "a"), "__MATH_BLOCK_0__ $x$", "none", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    column, expr = math_blocks.hide_column(df, "t"), df.select(math_blocks.hide_equations(F.col("t")).alias("t"))
+    for hiding, most in [(column, 1), (expr, 2)]:
+        assert hiding.columns == ["t"]
+        assert [r.t for r in hiding.collect()] == [None if t is None else hidden(t) for t in texts]
+        plan = hiding._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("eqnarray\\}.*?") == most, plan
+
+
 @pytest.mark.parametrize("n", [1, 127, 128, 129, 1000])
 def test_offsets_over_several_pieces(spark, n):
     text = "".join(f"w{i} $a{i}$ = {i} " for i in range(n)) + "end"
