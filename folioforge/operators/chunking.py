@@ -223,19 +223,22 @@ def place_chunks(body: str, texts: str) -> Column:
     """Add offsets: each text is searched from the end of the one before it.
 
     A text that is not literally in the body (its line breaks became blanks) is placed
-    at the cursor, as published.
+    at the cursor, as published.  The fold carries what is left of the body from the cursor on,
+    so that what lies before it is neither searched nor stepped over again.
     """
-    start = "CASE WHEN hit > 0 THEN hit - 1 ELSE acc.pos END"
+    skipped = "CASE WHEN hit > 0 THEN hit - 1 ELSE 0 END"
     put = f"""named_struct(
-        'pos', {start} + length(t),
+        'pos', acc.pos + {skipped} + length(t),
+        'rest', substring(acc.rest, {skipped} + length(t) + 1),
         'out', concat(acc.out, array(named_struct(
-            'content', t, 'start_char', {start}, 'end_char', {start} + length(t)))))"""
-    # Most misses are texts that occur nowhere, which a byte search finds out fastest.
-    hit = f"CASE WHEN contains({body}, t) THEN locate(t, {body}, acc.pos + 1) ELSE 0 END"
+            'content', t, 'start_char', acc.pos + {skipped},
+            'end_char', acc.pos + {skipped} + length(t)))))"""
+    # Most texts are not there any more, which a byte search finds out fastest.
+    hit = "CASE WHEN contains(acc.rest, t) THEN locate(t, acc.rest) ELSE 0 END"
     return F.expr(
         f"""aggregate(
             {texts},
-            named_struct('pos', 0, 'out', cast(array() AS
+            named_struct('pos', 0, 'rest', {body}, 'out', cast(array() AS
                 array<struct<content:string,start_char:int,end_char:int>>)),
             (acc, t) -> {_let('hit', hit, put)},
             acc -> acc.out)"""

@@ -9,7 +9,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +71,21 @@ def sentence_encoder(model_key: str = "bge-small", normalize: bool = False) -> C
 REMEMBERED = 1 << 15
 
 
+#: What parts the tokens of a text without other characters than ASCII.
+_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+_TOKEN = re.compile(r"[^\W_]+")
+
+
 @lru_cache(maxsize=REMEMBERED)
-def _token_hash(token: str) -> tuple[int, int]:
-    h = hashlib.md5(token.encode()).hexdigest()
-    return int(h[:8], 16), 1 if h[8] < "8" else -1
+def _token_hash(token: str) -> int:
+    """The first 33 bits of the digest: 32 that give the position, and one for the sign."""
+    h = hashlib.md5(token.encode()).digest()
+    return int.from_bytes(h[:4], "big") << 1 | h[4] >> 7
+
+
+def _tokens(text: str) -> list[str]:
+    text = text.lower()
+    return text.translate(_APART).split() if text.isascii() else _TOKEN.findall(text)
 
 
 class HashingEncoder:
@@ -86,13 +97,20 @@ class HashingEncoder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for i, text in enumerate(texts):
-            hashed = [_token_hash(token) for token in re.findall(r"[^\W_]+", text.lower())]
-            if hashed:
-                position, sign = np.array(hashed, dtype=np.int64).T
-                out[i] = np.bincount(position % self.dimension, sign, self.dimension)
+            tokens = _tokens(text)
+            if tokens:
+                hashed = np.fromiter(map(_token_hash, tokens), np.int64, len(tokens))
+                out[i] = np.bincount((hashed >> 1) % self.dimension, 1 - 2 * (hashed & 1), self.dimension)
         return out
 
 
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as Arrow lists of single precision."""
+    n, dimension = matrix.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * dimension
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(matrix.astype("float32").ravel()))
+
+
 def encode_column(
     df: DataFrame,
     text: str,
@@ -102,15 +120,14 @@ def encode_column(
 ) -> DataFrame:
     """Add vectors; the encoder is built once per task and fed ``batch_size`` texts."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            vectors: list = []
-            for i in range(0, len(values), batch_size):
-                vectors.extend(encoder.encode(values[i : i + batch_size]).astype("float32"))
-            yield pd.Series(vectors, index=texts.index)
+            values = texts.fill_null("").to_pylist()
+            # Matrices become lists as they are, not vector by vector.
+            lists = [_lists(encoder.encode(values[i : i + batch_size])) for i in range(0, len(values), batch_size)]
+            yield pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.float32()))
 
     # Declared not deterministic, so that Spark never encodes a text twice to push a filter.
     return df.withColumn(out, encode.asNondeterministic()(F.col(text)))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -124,3 +125,48 @@ def test_properties(spark, texts):
             assert c[2] == i and c[3] == len(got)
             assert 5 <= len(c[1]) <= 120 and c[5] - c[4] == len(c[1])
             assert i == 0 or c[4] >= got[i - 1][5]
+
+
+def placed(body, texts):
+    pos, out = 0, []
+    for t in texts:
+        hit = body.find(t, pos)
+        start = hit if hit >= 0 else pos
+        out.append((t, start, start + len(t)))
+        pos = start + len(t)
+    return out
+
+
+def test_chunks_are_placed_from_the_cursor_on(spark):
+    rng = random.Random(4)
+    cases = [("", ["a"]), ("abc", ["abcd", "c"]), ("é1é1é1", ["é1", "1é", "é1", "é1", "x" * 9, "é"]), ("ab ab", [])]
+    for _ in range(200):
+        body = "".join(rng.choices("ab é", k=rng.choice([5, 40])))
+        cuts = [sorted(rng.choices(range(len(body) + 1), k=2)) for _ in range(6)]
+        cases.append((body, [body[i:j] or "b" for i, j in cuts] + ["a\nb"]))
+    df = spark.createDataFrame(cases, "body string, texts array<string>")
+    got = df.select(chunking.place_chunks("body", "texts").alias("x")).collect()
+    for (body, texts), row in zip(cases, got, strict=True):
+        assert [tuple(p) for p in row.x] == placed(body, texts), (body, texts)
+
+
+def test_placing_does_not_search_what_is_passed(spark):
+    """Overlapping chunks of one text take less time than twice a search of it for each.
+
+    They were searched from the start, and then stepped over up to the cursor.
+    """
+    body = " ".join(f"Sentence {i} of this body says that {i * 7919 % 1000003} is not {i * 31}." for i in range(3000))
+    texts = [body[max(0, i - 200) : i + 800] for i in range(0, len(body), 800)]
+    df = spark.createDataFrame([(body, texts)], "body string, texts array<string>").cache()
+
+    def seconds(expr):
+        times = []
+        for _ in range(6):
+            start = time.perf_counter()
+            df.select(expr).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    searches = seconds(F.expr("size(filter(texts, t -> contains(body, concat(t, '#'))))"))
+    assert seconds(chunking.place_chunks("body", "texts")) < 1.7 * searches
+    df.unpersist()
