@@ -275,9 +275,15 @@ def chunk_documents(df: DataFrame, cfg: ChunkSettings = ChunkSettings()) -> Data
             F.col("head.section").alias("section"),
             F.col("head.headings").alias("headings"),
             "doc_seq",
+            F.col("head.body").alias("body"),
+            "texts",
+        )
+        .select(
+            *["doc_id", "metadata", "book_title", "page_number", "total_chunks", "section", "headings", "doc_seq"],
             # The outer form: the inner one makes the optimizer infer a filter on the
             # array, push it below the projections and so chunk every page twice.
-            F.posexplode_outer(place_chunks("head.body", "texts")).alias("chunk_index", "chunk"),
+            # The body is a column of its own, or every chunk would carry all of ``head``.
+            F.posexplode_outer(place_chunks("body", "texts")).alias("chunk_index", "chunk"),
         )
         .filter(F.col("chunk_index").isNotNull())
         .select(

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -150,6 +151,16 @@ def test_chunks_are_placed_from_the_cursor_on(spark):
         assert [tuple(p) for p in row.x] == placed(body, texts), (body, texts)
 
 
+def test_chunk_rows_do_not_carry_their_text(spark):
+    """Each chunk carried the struct with its whole text up to the encoder, which queues rows."""
+    chunks = chunk_documents(documents(spark, ["Some words. " * 400])).select("id", "content", "section", "headings")
+    assert chunks.count() > 1
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    (kept,) = re.findall(r"\), \[([^\]]*)\], true, \[chunk_index", plan)
+    assert "section" in kept and "headings" in kept
+    assert "head#" not in kept and "body" not in kept
+
+
 def test_placing_does_not_search_what_is_passed(spark):
     """Overlapping chunks of one text take less time than twice a search of it for each.
 
