@@ -4,7 +4,8 @@ Top-k decomposes: the best k of every index block contain the best k overall.  E
 multiplies the query matrix with its share of the index and hands on k rows per query, so
 vectors never move and the shuffle carries results only.  More queries than fit a matrix of
 bounded size, or whose hits do not, are answered from balls (``balls.py``), in two rounds
-whatever their number.
+whatever their number.  Where many hits are asked for they would be far more than the vectors;
+then a small index is shipped instead, and a task ranks whole queries, so no hit is exchanged.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ _MERGED_BYTES = 96
 # Scores held at once in a task.
 _TILE = 1 << 20
 _MERGE_SALTS = 64
+# Hits of a query from which on a small index is shipped to the queries, and hits stay in their task.
+_MANY_HITS = 256
+# Hits that leave such a task at once, where all vectors are hits.
+_RANK_TILE = 1 << 17
+# Bytes of a shipped vector in a task, as ``Block`` holds it: of each coordinate, and besides.
+_HELD_COORDINATE, _HELD_VECTOR = 12, 24
+# Pairs of a query and a vector that a task scores, about.
+_TASK_PAIRS = 1 << 26
+
+RANKED = "query_id long, rank int, row long, score double"
+_RANKED_ARROW = pa.schema(
+    [("query_id", pa.int64()), ("rank", pa.int32()), ("row", pa.int64()), ("score", pa.float64())]
+)
 
 
 def _matrix(column: pa.Array, dim: int | None, names: pa.Array, what: str) -> np.ndarray:
@@ -107,6 +122,38 @@ class Block:
                 exact[own] = self._exact(picked[own], part[at[own]], lengths[at[own]])
             yield _ranked(Hits(at + start, self.rows[picked], exact), k)
 
+    def every(self, queries: np.ndarray, unit_queries: bool) -> Iterator[Hits]:
+        """All vectors, whose rows have to ascend, in the order ``best`` gives them; tile by tile."""
+        n = len(self.vecs)
+        tile = max(1, _RANK_TILE // n)
+        for start in range(0, len(queries), tile):
+            part = queries[start : start + tile]
+            # Not a matrix product, in which the place of a vector decides how it is rounded: equal
+            # vectors have to tie.
+            score = np.einsum("ij,qj->qi", self.vecs, part)
+            if self.squares is not None:
+                square = score * np.abs(score) / self.squares
+                score = np.sign(square) * np.sqrt(np.abs(square))
+            if unit_queries:
+                lengths = np.linalg.norm(part, axis=1, keepdims=True)
+                score /= np.where(lengths == 0, 1.0, lengths)
+            order = np.argsort(-score, axis=1)
+            score = np.take_along_axis(score, order, axis=1)
+            _order_ties(order, score)
+            query = np.repeat(np.arange(start, start + len(part)), n)
+            yield Hits(query, self.rows[order.ravel()], score.ravel())
+
+
+def _order_ties(order: np.ndarray, score: np.ndarray) -> None:
+    """Puts the places of equal scores, which are neighbours in a line of ``score``, in order."""
+    same = np.zeros((len(score), score.shape[1] + 1), bool)
+    same[:, 1:-1] = score[:, 1:] == score[:, :-1]
+    at = np.flatnonzero(same[:, 1:] | same[:, :-1])
+    if len(at):
+        run = np.cumsum(~same[:, :-1].ravel()[at])
+        tied = order.ravel()[at]
+        np.put(order, at, tied[np.lexsort((tied, run))])
+
 
 class Hits(NamedTuple):
     """Parallel arrays: the place of a query, a row of the index, their score."""
@@ -153,6 +200,89 @@ def _scan_with(ids: np.ndarray, queries: np.ndarray, k: int, unit_index: bool, u
     return scan
 
 
+def _rank_with(rows: pa.Array, vecs: np.ndarray, k: int, unit_index: bool, unit_queries: bool):
+    """Task body of the shipped index, whose rows ascend: ranks of queries that come in the order
+    of their ids.  Vectors of one id are one query, whose running best is all that is held."""
+
+    def as_ranked(names: pa.Array, hits: Hits) -> pa.RecordBatch:
+        first = np.flatnonzero(np.diff(hits.query, prepend=-1))
+        counts = np.diff(np.append(first, len(hits.query)))
+        rank = np.arange(1, len(hits.query) + 1) - np.repeat(first, counts)
+        named, found = names.take(pa.array(hits.query)), rows.take(pa.array(hits.row))
+        return pa.RecordBatch.from_arrays(
+            [named, pa.array(rank.astype("int32")), found, pa.array(hits.score)], schema=_RANKED_ARROW
+        )
+
+    def ranks(batches):
+        block, last, held = None, None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            block = block or Block(np.arange(len(rows)), vecs, unit_index)
+            ids = batch.column("query_id")
+            queries = _matrix(batch.column("vec"), vecs.shape[1], ids, "query").astype("float64")
+            value, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+            other = (value[1:] != value[:-1]) | (known[1:] != known[:-1])
+            group = np.append(0, np.cumsum(other))
+            names = ids.take(pa.array(np.append(0, np.flatnonzero(other) + 1)))
+            if held is not None and last[0].as_py() == names[0].as_py():
+                held = held._replace(query=np.zeros_like(held.query))
+            elif held is not None:
+                yield as_ranked(last, held._replace(query=np.zeros_like(held.query)))
+                held = None
+            many = len(rows) > k
+            for hits in block.best(queries, k, unit_queries) if many else block.every(queries, unit_queries):
+                hits = hits._replace(query=group[hits.query])
+                if held is not None and held.query[0] != hits.query[0]:
+                    yield as_ranked(names, held)
+                    held = None
+                if held is not None:
+                    hits = _joined([held, hits])
+                if held is not None or len(names) < len(ids):
+                    hits = _ranked(hits, k)
+                # The last id may go on in what comes next.
+                end = np.searchsorted(hits.query, hits.query[-1])
+                if end:
+                    yield as_ranked(names, Hits(*(x[:end] for x in hits)))
+                held = Hits(*(x[end:] for x in hits))
+            last = names[-1:]
+        if held is not None:
+            yield as_ranked(last, held._replace(query=np.zeros_like(held.query)))
+
+    return ranks
+
+
+def _rank_queries(
+    index: DataFrame, n: int, queries: DataFrame, size, k: int, unit_queries: bool, unit_index: bool
+) -> DataFrame:
+    """``(query_id, rank, row, score)`` from an index of ``n`` vectors that each task holds.
+
+    An id with more vectors than a task should score is dealt over several, whose best are merged.
+    """
+    table = index.toArrow()
+    table = table.take(pc.sort_indices(table, [("row", "ascending")], null_placement="at_start"))
+    rows = table.column("row").combine_chunks()
+    vecs = _matrix(table.column("vec"), size.hi, rows, "row")
+    wanted = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(wanted, -(-size.n * n // _TASK_PAIRS))
+
+    def ranked(some: DataFrame, *keys: str) -> DataFrame:
+        dealt = some.repartition(tasks, *keys).sortWithinPartitions("query_id").select("query_id", "vec")
+        return dealt.mapInArrow(_rank_with(rows, vecs, k, unit_index, unit_queries), RANKED)
+
+    shares = F.ceil(F.count("*") * n / _TASK_PAIRS)
+    hot = queries.groupBy(F.col("query_id").alias("hot_id")).agg(shares.alias("shares")).filter("shares > 1")
+    hot = cut_lineage(hot, "hot-ids")
+    if hot.isEmpty():
+        return ranked(queries, "query_id")
+    same = F.col("query_id").eqNullSafe(F.col("hot_id"))
+    place = F.pmod(F.col("place"), F.col("shares"))
+    placed = queries.withColumn("place", F.monotonically_increasing_id())
+    parts = ranked(placed.join(F.broadcast(hot), same).withColumn("place", place), "query_id", "place")
+    rest = ranked(queries.join(F.broadcast(hot), same, "left_anti"), "query_id")
+    return rest.unionByName(keep_top(parts.drop("rank"), k))
+
+
 def keep_top(hits: DataFrame, k: int) -> DataFrame:
     """Merge per-task winners to k ranked rows per query, in two steps.
 
@@ -214,6 +344,10 @@ def top_k(
         # Stored before the cache is given up; balls then send a query to where it can win.
         stored = cut_lineage(queries, "queries")
         queries.unpersist()
+        if k >= _MANY_HITS:
+            n = index.count()
+            if 0 < n * (_HELD_COORDINATE * size.hi + _HELD_VECTOR) <= broadcast_bytes:
+                return _rank_queries(index, n, stored, size, k, unit_queries, unit_index)
         return BallIndex.build(index, unit_index).search(stored, k, unit_queries)
     table = queries.toArrow()
     queries.unpersist()

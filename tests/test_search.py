@@ -3,6 +3,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,73 @@ def test_many_hits_go_by_balls(spark, vectors, monkeypatch):
     assert asked and hits.count() == 3 * len(vectors)
 
 
+@pytest.mark.parametrize("k", [300, 100_000])
+def test_many_hits_of_a_small_index_are_not_exchanged(spark, vectors, k):
+    """They used to be dealt out by query and stored, which takes far more disk than the vectors."""
+    queries = vectors[:350]
+    hits = knn.top_k(table(spark, vectors).repartition(5), table(spark, queries, "query_id"), k, broadcast_bytes=1 << 17)
+    assert "Window" not in hits._jdf.queryExecution().toString()
+    assert hits.schema.simpleString() == "struct<query_id:bigint,rank:int,row:bigint,score:double>"
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.row, r.score))
+    for q, want in enumerate(brute(vectors, queries, k)):
+        assert [r[:2] for r in got[q]] == [(i + 1, row) for i, (row, _) in enumerate(want)]
+        assert np.allclose([r[2] for r in got[q]], [score for _, score in want], atol=1e-12)
+
+
+@pytest.mark.parametrize("pairs", [1 << 26, 800])
+def test_many_hits_of_ids_that_repeat_or_are_null(spark, vectors, monkeypatch, pairs):
+    """Vectors of one id are one query, in several tasks if they are many; a missing id stays missing."""
+    monkeypatch.setattr(knn, "_TASK_PAIRS", pairs)
+    names = [None, 7, 7, 8, None, 9, 7, 10]
+    some = vectors[: len(names)] + 0.5
+    some = some.astype("float32").astype("float64")
+    asked = spark.createDataFrame(
+        [(n, [float(x) for x in v]) for n, v in zip(names, some, strict=True)], "query_id long, vec array<float>"
+    ).repartition(3)
+    hits = knn.top_k(table(spark, vectors), asked, 1000, broadcast_bytes=1 << 17)
+    assert ("Window" in hits._jdf.queryExecution().toString()) == (pairs == 800)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.row, r.score))
+    whole = brute(vectors, some, 1000)
+    for name in set(names):
+        found = [(-score, row) for n, own in zip(names, whole, strict=True) if n == name for row, score in own]
+        want = sorted(found)[:1000]
+        assert [r[:2] for r in got[name]] == [(i + 1, row) for i, (_, row) in enumerate(want)]
+        assert np.allclose([r[2] for r in got[name]], [-score for score, _ in want], atol=1e-12)
+
+
+@pytest.mark.parametrize("k", [30, 150, 100_000])
+@pytest.mark.parametrize("tile", [1, 250, 1 << 20])
+def test_ranks_whatever_the_batches(monkeypatch, k, tile):
+    """An id may go on in the next tile or batch; equal scores go by the row."""
+    monkeypatch.setattr(knn, "_TILE", tile)
+    monkeypatch.setattr(knn, "_RANK_TILE", tile)
+    rng = np.random.default_rng(8)
+    index = rng.integers(-1, 2, size=(90, 3)).astype("float32")
+    names = pa.array([None, None, 1, 2, 2, 2, 2, 5, 6, 6, 7], pa.int64())
+    vecs = rng.integers(-1, 2, size=(len(names), 3)).astype("float32")
+    rows = pa.array([10 * i for i in range(90)], pa.int64())
+    lists = pa.array(vecs.tolist(), pa.list_(pa.float32()))
+    whole = pa.RecordBatch.from_arrays([names, lists], names=["query_id", "vec"])
+    want = []
+    block = knn.Block(np.arange(90), index, True)
+    for name in dict.fromkeys(names.to_pylist()):
+        own = [i for i, n in enumerate(names.to_pylist()) if n == name]
+        parts = [block.best(vecs[[i]].astype("float64"), 90, True) for i in own]
+        found = sorted((-s, 10 * int(r)) for part in parts for h in part for r, s in zip(h.row, h.score, strict=True))
+        want += [(name, i + 1, row, -score) for i, (score, row) in enumerate(found[:k])]
+    for cuts in ([], [1], [4, 5, 9], range(1, 11)):
+        ends = [0, *cuts, len(names)]
+        batches = [whole.slice(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+        scan = knn._rank_with(rows, index, k, True, True)(iter(batches))
+        got = [tuple(r.values()) for b in scan for r in b.to_pylist()]
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+
+
 def test_routes_in_slices(spark, vectors, monkeypatch):
     """Distances to centres are held for some queries at a time; the routes are the same."""
     index = balls.BallIndex.build(table(spark, vectors), part_rows=20)
